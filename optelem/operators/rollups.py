@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optelem.functions.exact import mean_ms, share
 from optelem.functions.times import bucket, epoch_us, trunc, ts
@@ -236,21 +237,22 @@ def token_bucket_audit(df: DataFrame, limits: DataFrame, keys: Sequence[str] = (
     by_key = Window.partitionBy(*keys).orderBy("_sec")
     idle = F.coalesce(F.col("_sec") - F.lag("_sec").over(by_key) > 60, F.lit(True)).cast("int")
     cut = seconds.withColumn("_idle", idle).withColumn("_seg", F.sum("_idle").over(by_key)).drop("_idle")
-    schema = cut.select(*keys, "_sec").schema.simpleString()[7:-1] + ", _tokens double"
-
-    def replay_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_sec")
-        capacity = float(pdf["capacity"].iloc[0])
-        rate, tokens, at, starts = capacity / 60.0, capacity, None, []
-        for sec, n in zip(pdf["_sec"], pdf["_n"]):
-            if at is not None:
-                tokens = min(capacity, tokens + (sec - at) * rate)
-            starts.append(tokens)
-            tokens -= min(float(n), float(int(tokens)))
-            at = sec
-        return pdf[[*keys, "_sec"]].assign(_tokens=starts)
-
-    starts = cut.groupBy(*keys, "_seg").applyInPandas(replay_segment, schema.replace(":", " "))
+    schema = T.StructType([*cut.select(*keys, "_sec").schema.fields, T.StructField("_tokens", T.DoubleType())])
+    ordered = cut.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_sec")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment, tokens, at = None, 0.0, 0
+        for pdf in batches:
+            starts = []
+            owners = zip(*[pdf[c] for c in (*keys, "_seg")])
+            for owner, capacity, sec, n in zip(owners, pdf["capacity"], pdf["_sec"], pdf["_n"]):
+                tokens = min(float(capacity), tokens + (sec - at) * capacity / 60.0) if owner == segment else float(capacity)
+                starts.append(tokens)
+                tokens -= min(float(n), float(int(tokens)))
+                segment, at = owner, sec
+            yield pdf[[*keys, "_sec"]].assign(_tokens=starts)
+
+    starts = ordered.mapInPandas(replay, schema)
     position = F.row_number().over(Window.partitionBy(*keys, "_sec").orderBy("event_time", "event_id"))
     judged = keyed.withColumn("_pos", position).join(starts, [*keys, "_sec"])
     whole = F.floor("_tokens")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from optelem.functions.network import domain_of
 from optelem.functions.times import bucket, trunc, ts
-from optelem.plans.lookups import lookup_side
+from optelem.plans.lookups import lookup_side, settle
 
 
 def merge_feeds(*feeds: DataFrame, as_of: str, life_hours: int = 24 * 30) -> DataFrame:
@@ -26,6 +26,7 @@ def merge_feeds(*feeds: DataFrame, as_of: str, life_hours: int = 24 * 30) -> Dat
 def match_indicators(df: DataFrame, indicators: DataFrame, min_score: int = 25) -> DataFrame:
     """Add abuse_score (the highest of address, ASN and domain indicators) and is_malicious. `df` carries client_ip, asn, host."""
     keyed = df.withColumn("_ipv4", F.col("client_ip")).withColumn("_asn", F.col("asn").cast("string")).withColumn("_domain", domain_of(F.col("host")))
+    indicators = settle(indicators.select("kind", "indicator", "abuse_score"))
     for kind in ("ipv4", "asn", "domain"):
         side = (indicators.where(F.col("kind") == kind).groupBy(F.col("indicator").alias(f"_{kind}"))
                 .agg(F.max("abuse_score").alias(f"_{kind}_score")))
@@ -130,6 +131,10 @@ def breach_match(accounts: DataFrame, breaches: DataFrame) -> DataFrame:
     return accounts.withColumn("email_hash", email_hash()).join(leaked, "email_hash", "left_semi").select("account_id", "tenant_id", "email_hash")
 
 
+def _grams(starts: Column, length: int) -> Column:
+    return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " "))
+
+
 def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term, n: whole-word occurrences of brand terms, over whole texts.
 
@@ -148,7 +153,7 @@ def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -
     grams = None
     for length in sorted(lengths):
         starts = F.when(F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        part = F.transform(starts, lambda i, n=length: F.array_join(F.slice("_w", i, n), " "))
+        part = _grams(starts, length)
         grams = part if grams is None else F.concat(grams, part)
     if grams is None:
         return tokens.where(F.lit(False)).select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS_PER_OCTAVE = 64
+DIGITS = 6  # interpolated values are rounded, so they do not depend on how the interpolation is written
 
 
 def _value_bucket(v: Column) -> Column:
@@ -52,6 +53,6 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         for tag, f in (("lo", F.floor), ("hi", F.ceil)):
             picks.append(F.max(F.when(holds(f(rank(p)), "_at", "_c"), F.col("_v"))).alias(f"_{tag}{i}"))
     picked = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
-    results = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p) - F.floor(rank(p)))).alias(name)
+    results = [F.round(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p) - F.floor(rank(p))), DIGITS).alias(name)
                for i, (name, p) in enumerate(probs.items())]
     return picked.select(*keys, *results, F.col("_n").cast("long").alias("n"))

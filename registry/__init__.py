@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "enrichment")
+AREAS = ("quality", "enrichment", "rollups", "threat", "lifecycle", "ml")
 
 
 def _merged(attribute: str) -> dict:
