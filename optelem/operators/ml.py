@@ -41,9 +41,9 @@ def window_features(df: DataFrame, window_hours: int = 24) -> DataFrame:
     variance = (F.col("_q").cast("double") - F.col("_s").cast("double") * F.col("_s").cast("double") / n) / F.nullif(n - 1, F.lit(0e0)) / F.lit(1e6)
     return hourly.select(
         "tenant_id", "hour", "requests",
-        F.round(F.avg("avg_latency").over(recent), 6).alias("moving_avg_latency"),
-        F.round(F.col("avg_latency") - F.lag("avg_latency").over(by_hour), 6).alias("latency_delta"),
-        F.round(variance, 4).alias("latency_variance"),
+        F.round(F.avg("avg_latency").over(recent), 9).alias("moving_avg_latency"),
+        F.round(F.col("avg_latency") - F.lag("avg_latency").over(by_hour), 9).alias("latency_delta"),
+        variance.alias("latency_variance"),
         (F.col("errors").cast("double") / n).alias("error_rate"),
         F.hour("hour").alias("hour_of_day"),
         (n / F.max("requests").over(recent)).alias("peak_share"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "enrichment", "rollups", "threat", "lifecycle", "ml")
+AREAS = ("quality", "enrichment", "rollups", "threat", "lifecycle", "ml", "docs")
 
 
 def _merged(attribute: str) -> dict:

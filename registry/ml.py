@@ -94,8 +94,8 @@ QUERIES = {
 }
 
 FEATURES = f"""h AS (SELECT tenant_id, date_trunc('hour', event_time) AS hour, CAST(sum(CAST(round(latency_ms * 1000) AS BIGINT)) AS DOUBLE) / (1e3 * count(latency_ms)) AS avg_latency, count(*) AS requests,
-  count(CASE WHEN status_code >= 500 THEN 1 END) AS errors, var_samp(latency_ms) AS v FROM tel GROUP BY ALL),
- feat AS (SELECT tenant_id, hour, requests, round(avg(avg_latency) OVER r, 6) AS moving_avg_latency, round(avg_latency - lag(avg_latency) OVER w, 6) AS latency_delta, round(v, 4) AS latency_variance,
+  count(CASE WHEN status_code >= 500 THEN 1 END) AS errors, CAST(sum(CAST(round(latency_ms * 1000) AS HUGEINT)) AS DOUBLE) AS s, CAST(sum(CAST(round(latency_ms * 1000) AS HUGEINT) * CAST(round(latency_ms * 1000) AS HUGEINT)) AS DOUBLE) AS q FROM tel GROUP BY ALL),
+ feat AS (SELECT tenant_id, hour, requests, round(avg(avg_latency) OVER r, 9) AS moving_avg_latency, round(avg_latency - lag(avg_latency) OVER w, 9) AS latency_delta, (q - s * s / CAST(requests AS DOUBLE)) / nullif(CAST(requests AS DOUBLE) - 1, 0) / 1e6 AS latency_variance,
   CAST(errors AS DOUBLE) / requests AS error_rate, CAST(EXTRACT(HOUR FROM hour) AS INTEGER) AS hour_of_day, CAST(requests AS DOUBLE) / max(requests) OVER r AS peak_share
   FROM h WINDOW w AS (PARTITION BY tenant_id ORDER BY hour), r AS (PARTITION BY tenant_id ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
 LIT_T = ", ".join(f"({t}e0)" for t in THRESHOLDS)
