@@ -225,7 +225,7 @@ TRACKING_COOKIES = ("_ga", "_ga_*", "_gid", "_gat*", "_gcl_*", "_clck", "_clsk")
 def strip_tracking_cookies(df: DataFrame, header: str = "cookie_header", consented: str = "analytical") -> DataFrame:
     """Remove analytics cookies from logged headers of users without consent."""
     pattern = "^(" + "|".join(name.replace("*", ".*") for name in TRACKING_COOKIES) + ")$"
-    parts = F.transform(F.split(F.col(header), ";"), F.trim)
+    parts = F.transform(F.split(F.col(header), ";"), lambda c: F.trim(c))
     kept = F.filter(parts, lambda c: (c != "") & ~F.trim(F.split_part(c, F.lit("="), F.lit(1))).rlike(pattern))
     return df.withColumn(header, F.when(F.coalesce(F.col(consented), F.lit(False)), F.col(header))
                          .otherwise(F.array_join(kept, "; ")))
