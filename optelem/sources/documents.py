@@ -39,7 +39,7 @@ def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
     fence = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n(.*)$"
     parts = (files.withColumn("_has", F.col("value").rlike(fence))
-             .withColumn("_front", F.regexp_extract("value", fence, 1)).withColumn("body", F.trim(F.regexp_extract("value", fence, 2))))
+             .withColumn("_front", F.regexp_extract("value", fence, 1)).withColumn("body", F.regexp_replace(F.regexp_extract("value", fence, 2), r"^\s+|\s+$", "")))
     block = F.regexp_extract("_front", r"(?m)^categories:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|$))+)", 1)
     inline = F.regexp_extract("_front", r"(?m)^categories:[ \t]*\[(.*?)\][ \t]*$", 1)
     listed = F.when(block != "", F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), 1)).otherwise(F.split(inline, ","))

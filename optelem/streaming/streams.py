@@ -6,6 +6,7 @@ are arguments. Every query takes a checkpoint folder and restarts from it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ class TokenBucket(StatefulProcessor):
             whole = int(tokens)
             left = tokens - min(used, whole)
             ok = used <= whole
-            out.append((key[0], event_id, ok, int(left), 0 if ok else int(-(-(1 - left) // rate))))
+            out.append((key[0], event_id, ok, int(left), 0 if ok else math.ceil((1.0 - left) / rate)))
         self.bucket.update((int(second), float(tokens), int(used)))
         yield pd.DataFrame(out, columns=["tenant_id", "event_id", "allowed", "remaining", "retry_after"])
 
@@ -120,26 +121,31 @@ def stream_enrich(stream: DataFrame, read_tables: Callable[[SparkSession], tuple
 
 
 def stream_complaints(complaints: DataFrame, telemetry: DataFrame, window_minutes: int = 30, watermark: str = WATERMARK) -> DataFrame:
-    """Failure counts per complaint within whole minutes around its filing, in append mode once the window has passed.
+    """Failure counts per (tenant, filing minute) within whole minutes around it, in append mode once its window has passed.
 
-    Failures collapse per minute before the join, and rows meet on (tenant, minute).
+    Failures collapse per minute and complaints per filing minute before the join, which meets on
+    (tenant, minute).
     """
-    minute = F.window("event_time", "1 minute")
-    failures = (telemetry.where(failed()).withWatermark("event_time", watermark).groupBy("tenant_id", "service_id", "status_code", minute.alias("w"))
-                .agg(F.count(F.lit(1)).alias("n")).select("tenant_id", "service_id", "status_code", "n", F.window_time("w").alias("failed_at"), F.col("w.start").alias("at_minute")))
-    filed = complaints.withColumn("filed_minute", F.date_trunc("minute", "filed_at"))
-    span = F.sequence(F.col("filed_minute") - F.expr(f"INTERVAL {window_minutes} MINUTE"), F.col("filed_minute") + F.expr(f"INTERVAL {window_minutes} MINUTE"), F.expr("INTERVAL 1 MINUTE"))
-    asks = filed.withColumn("ask_minute", F.explode(span)).withWatermark("ask_minute", f"{2 * window_minutes + 10} minutes").withColumnRenamed("tenant_id", "ask_tenant")
+    failures = (telemetry.where(failed()).withWatermark("event_time", watermark)
+                .groupBy("tenant_id", "service_id", "status_code", F.window("event_time", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+                .select("tenant_id", "service_id", "status_code", "n", F.window_time("w").alias("failed_at"), F.col("w.start").alias("at_minute")))
+    reach, minute = F.expr(f"INTERVAL {window_minutes} MINUTE"), F.expr("INTERVAL 1 MINUTE")
+    asks = (complaints.withColumn("filed_minute", F.date_trunc("minute", "filed_at")).withWatermark("filed_minute", watermark)
+            .dropDuplicates(["tenant_id", "filed_minute"])
+            .select(F.col("tenant_id").alias("ask_tenant"), "filed_minute",
+                    F.explode(F.sequence(F.col("filed_minute") - reach, F.col("filed_minute") + reach, minute)).alias("ask_minute")))
     on = ((F.col("ask_tenant") == F.col("tenant_id")) & (F.col("ask_minute") == F.col("at_minute"))
-          & F.col("failed_at").between(F.col("ask_minute"), F.col("ask_minute") + F.expr("INTERVAL 1 MINUTE")))
-    return asks.join(failures, on).select("complaint_id", "tenant_id", "service_id", "status_code", "n", "ask_minute")
+          & (F.col("failed_at") >= F.col("filed_minute") - reach) & (F.col("failed_at") < F.col("filed_minute") + reach + minute))
+    return asks.join(failures, on).select("tenant_id", "filed_minute", "service_id", "status_code", "n")
 
 
-def best_causes(counts: DataFrame) -> DataFrame:
+def best_causes(counts: DataFrame, complaints: DataFrame) -> DataFrame:
     """complaint_id, cause, hits over the accumulated counts of `stream_complaints`."""
-    totals = counts.groupBy("complaint_id", "service_id", "status_code").agg(F.sum("n").alias("n"))
-    best = totals.groupBy("complaint_id").agg(F.min(F.struct((-F.col("n")).alias("neg"), "service_id", "status_code")).alias("b"))
-    return best.select("complaint_id", F.concat_ws(":", "b.service_id", F.col("b.status_code").cast("string")).alias("cause"), (-F.col("b.neg")).alias("hits"))
+    totals = counts.groupBy("tenant_id", "filed_minute", "service_id", "status_code").agg(F.sum("n").alias("n"))
+    best = totals.groupBy("tenant_id", "filed_minute").agg(F.min(F.struct((-F.col("n")).alias("neg"), "service_id", "status_code")).alias("b"))
+    filed = complaints.withColumn("filed_minute", F.date_trunc("minute", F.col("filed_at").cast("timestamp")))
+    return filed.join(best, ["tenant_id", "filed_minute"]).select(
+        "complaint_id", F.concat_ws(":", "b.service_id", F.col("b.status_code").cast("string")).alias("cause"), (-F.col("b.neg")).alias("hits"))
 
 
 def late_rows(df: DataFrame, limit: str = WATERMARK) -> DataFrame:
