@@ -13,8 +13,3 @@ def as_micros(ms: Column | str) -> Column:
 
 def mean_ms(ms: str) -> Column:
     return F.sum(as_micros(ms)).cast("double") / (F.lit(1e3) * F.count(ms))
-
-
-def share(condition: Column) -> Column:
-    """Share of rows for which the condition holds, 0..1."""
-    return F.count_if(condition).cast("double") / F.count(F.lit(1))

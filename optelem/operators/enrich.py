@@ -210,10 +210,10 @@ def match_vulnerabilities(inventory: DataFrame, feed: DataFrame) -> DataFrame:
 
     Versions meet the feed once, not once per tenant; only affected versions go back to the tenants.
     """
-    versions = inventory.select(F.col("tech_name").alias("product"), "version").distinct().withColumn("_key", version_key("version"))
+    owners = inventory.select("tenant_id", F.col("tech_name").alias("product"), "version").distinct()
+    versions = owners.select("product", "version").distinct().withColumn("_key", version_key("version"))
     ranges = feed.select("cve_id", F.lower("product").alias("_product"), F.col("cvss").cast("double").alias("cvss"),
                          F.array(F.col("major_from").cast("int")).alias("_from"), F.array((F.col("major_to") + 1).cast("int")).alias("_below"))
     affected = versions.join(ranges, (F.col("product") == F.col("_product")) & (F.col("_key") >= F.col("_from")) & (F.col("_key") < F.col("_below")))
     affected = affected.select("product", "version", "cve_id", "cvss")
-    owners = inventory.select("tenant_id", F.col("tech_name").alias("product"), "version").distinct()
     return owners.join(affected, ["product", "version"]).select("tenant_id", "product", "version", "cve_id", "cvss")

@@ -12,6 +12,7 @@ from optelem.functions.times import bucket
 from optelem.plans.lookups import lookup_side, settled_lookup
 from optelem.plans.ordered import last_known
 from optelem.plans.percentiles import exact_percentiles
+from optelem.plans.spread import spread
 
 # (reason, condition that must hold); the first failing rule names the reason
 TELEMETRY_RULES = (
@@ -157,8 +158,9 @@ PII_PATTERNS = {
 }
 
 
-def redact_pii(df: DataFrame, column: str = "text") -> DataFrame:
+def redact_pii(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
     """Mask e-mail, IPv4 and phone-like strings; `n_hits` counts the masks set."""
+    df = spread(df, key)
     text, hits = F.col(column), F.lit(0)
     for name, pattern in PII_PATTERNS.items():
         hits = hits + F.regexp_count(text, F.lit(pattern))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from optelem.functions.exact import mean_ms, share
+from optelem.functions.exact import mean_ms
 from optelem.functions.times import bucket, epoch_us, trunc, ts
 from optelem.plans.lookups import lookup_side
 from optelem.plans.ordered import running_sum
@@ -60,9 +60,11 @@ def fill_no_data(uptime: DataFrame, first_day: str, days: int) -> DataFrame:
 
 def sla_compliance(df: DataFrame, max_error: float = 0.01, p99_bound: float = 1000.0) -> DataFrame:
     """Error rate and P99 per tenant and day against their bounds."""
-    daily = df.withColumn("day", F.to_date("event_time"))
-    errors = daily.groupBy("tenant_id", "day").agg(F.count(F.lit(1)).alias("requests"), share(failed()).alias("error_rate"))
-    p99 = exact_percentiles(daily, ["tenant_id", "day"], "latency_ms", {"p99": 0.99}).drop("n")
+    # one pass over the rows: error counts and percentiles both come from these counts
+    counted = (df.groupBy("tenant_id", F.to_date("event_time").alias("day"), failed().alias("_failed"), "latency_ms").agg(F.count(F.lit(1)).alias("_w")))
+    errors = counted.groupBy("tenant_id", "day").agg(
+        F.sum("_w").alias("requests"), (F.sum(F.when(F.col("_failed"), F.col("_w")).otherwise(0)).cast("double") / F.sum("_w")).alias("error_rate"))
+    p99 = exact_percentiles(counted, ["tenant_id", "day"], "latency_ms", {"p99": 0.99}, weight="_w").drop("n")
     met = (F.col("error_rate") <= max_error) & (F.col("p99") <= p99_bound)
     return errors.join(p99, ["tenant_id", "day"], "left").withColumn("compliant", F.coalesce(met, F.lit(False)))
 
@@ -160,8 +162,13 @@ def cumulative_records(daily: DataFrame, days: int = 30) -> DataFrame:
 def ces_scores(df: DataFrame, rollup: DataFrame, incidents: DataFrame, p99_bound: float = 300.0,
                forecast: DataFrame | None = None) -> DataFrame:
     """Threat, SLA and stableness sub-scores and the weighted master score per tenant, lowered by the forecast."""
-    traffic = df.groupBy("tenant_id").agg(share(failed()).alias("_err"), share(F.col("latency_ms") > p99_bound).alias("_slow"))
-    p99 = exact_percentiles(df, ["tenant_id"], "latency_ms", {"_p99": 0.99}).drop("n")
+    counted = df.groupBy("tenant_id", failed().alias("_failed"), "latency_ms").agg(F.count(F.lit(1)).alias("_w"))
+
+    def weight_of(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("_w")).otherwise(0)).cast("double") / F.sum("_w")
+
+    traffic = counted.groupBy("tenant_id").agg(weight_of(F.col("_failed")).alias("_err"), weight_of(F.col("latency_ms") > p99_bound).alias("_slow"))
+    p99 = exact_percentiles(counted, ["tenant_id"], "latency_ms", {"_p99": 0.99}, weight="_w").drop("n")
     hours = rollup.groupBy("tenant_id").agg((F.stddev_samp("avg_latency") / F.avg("avg_latency")).alias("_cv"))
     opened = incidents.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_inc"))
     joined = traffic.join(p99, "tenant_id", "left").join(hours, "tenant_id", "left").join(opened, "tenant_id", "left")

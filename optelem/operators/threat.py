@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from optelem.functions.network import domain_of
 from optelem.functions.times import bucket, trunc, ts
 from optelem.plans.lookups import lookup_side, settle
+from optelem.plans.spread import spread
 
 
 def merge_feeds(*feeds: DataFrame, as_of: str, life_hours: int = 24 * 30) -> DataFrame:
@@ -149,7 +150,7 @@ def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -
     lengths = [r["_len"] for r in wanted.select("_len").distinct().limit(64).collect()]
     if len(lengths) == 64:
         raise ValueError("terms have 64 or more different word counts; split them")
-    tokens = documents.select("doc_id", words(text).alias("_w"))
+    tokens = spread(documents.select("doc_id", text), "doc_id").select("doc_id", words(text).alias("_w"))
     grams = None
     for length in sorted(lengths):
         starts = F.when(F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))).otherwise(F.array().cast("array<int>"))
@@ -293,6 +294,7 @@ def triage_board(findings: DataFrame, active: DataFrame) -> DataFrame:
     scored = findings.join(hot, "tenant_id", "left").withColumn("has_active_intel", F.col("_active").isNotNull()).drop("_active")
     impact = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(F.col("cvss") / 2).cast("int")))
     scored = scored.withColumn("priority", impact * (F.lit(2) + 3 * F.col("has_active_intel").cast("int")))
+    scored = settle(scored)  # read twice below
     w = Window.partitionBy("tenant_id").orderBy(F.desc("priority"), F.desc("cvss"), F.asc("cve_id"))
     ranks = scored.select("tenant_id", "cve_id", "cvss", "priority").distinct().withColumn("rank", F.dense_rank().over(w))
     lane = F.when(F.col("priority") >= 20, F.lit("now")).when(F.col("priority") >= 8, F.lit("next")).otherwise(F.lit("backlog"))
