@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from optelem.functions.exact import mean_ms
 from optelem.functions.times import trunc
 from optelem.operators.rollups import failed
-from optelem.plans.lookups import lookup_side, settled_lookup
+from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.percentiles import exact_percentiles
 
 FEATURES = ("moving_avg_latency", "latency_delta", "latency_variance", "error_rate", "hour_of_day", "peak_share")
@@ -161,6 +161,7 @@ def spike_forecast(rollup: DataFrame, seq_len: int = 24, leak: float = 0.9, thre
 
 def anomaly_scores(rollup: DataFrame, value: str = "avg_latency") -> DataFrame:
     """Robust z and 0..1 score per tenant and hour; a group is one tenant's hours."""
+    rollup = settle(rollup)  # one row per tenant and hour, read several times below
     center = exact_percentiles(rollup, ["tenant_id"], value, {"_median": 0.5}).drop("n")
     off = rollup.join(settled_lookup(center), "tenant_id").withColumn("_off", F.abs(F.col(value) - F.col("_median")))
     spread = exact_percentiles(off, ["tenant_id"], "_off", {"_mad": 0.5}).drop("n")
@@ -278,7 +279,7 @@ def distil(features: DataFrame, teacher: DataFrame, key: Sequence[str], seed: in
 
 def drift(features: DataFrame, columns: Sequence[str], cut: str, time: str = "hour", bins: int = 10, epsilon: float = 1e-4) -> DataFrame:
     """feature, psi: shift of each feature between the rows before and from `cut`, over deciles of the earlier ones."""
-    long = features.select((F.col(time) >= F.lit(cut).cast("timestamp_ntz")).alias("_late"),
+    long = settle(features).select((F.col(time) >= F.lit(cut).cast("timestamp_ntz")).alias("_late"),
                            *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["_late"], list(columns), "feature", "_v").where("_v IS NOT NULL")
     probs = {f"_q{i}": i / bins for i in range(1, bins)}
     edges = exact_percentiles(long.where(~F.col("_late")), ["feature"], "_v", probs).drop("n")

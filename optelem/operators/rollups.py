@@ -60,27 +60,28 @@ def fill_no_data(uptime: DataFrame, first_day: str, days: int) -> DataFrame:
 
 def sla_compliance(df: DataFrame, max_error: float = 0.01, p99_bound: float = 1000.0) -> DataFrame:
     """Error rate and P99 per tenant and day against their bounds."""
-    # one pass over the rows: error counts and percentiles both come from these counts
-    counted = (df.groupBy("tenant_id", F.to_date("event_time").alias("day"), failed().alias("_failed"), "latency_ms").agg(F.count(F.lit(1)).alias("_w")))
-    errors = counted.groupBy("tenant_id", "day").agg(
-        F.sum("_w").alias("requests"), (F.sum(F.when(F.col("_failed"), F.col("_w")).otherwise(0)).cast("double") / F.sum("_w")).alias("error_rate"))
-    p99 = exact_percentiles(counted, ["tenant_id", "day"], "latency_ms", {"p99": 0.99}, weight="_w").drop("n")
+    daily = df.withColumn("day", F.to_date("event_time"))
+    out = exact_percentiles(daily, ["tenant_id", "day"], "latency_ms", {"p99": 0.99},
+                            totals={"requests": F.count(F.lit(1)), "_errors": F.count_if(failed())})
+    out = out.withColumn("error_rate", F.col("_errors").cast("double") / F.col("requests"))
     met = (F.col("error_rate") <= max_error) & (F.col("p99") <= p99_bound)
-    return errors.join(p99, ["tenant_id", "day"], "left").withColumn("compliant", F.coalesce(met, F.lit(False)))
+    return out.select("tenant_id", "day", "requests", "error_rate", "p99", F.coalesce(met, F.lit(False)).alias("compliant"))
 
 
 def latency_by_dimension(df: DataFrame, dims: Sequence[str] = ("device_type", "country", "network_class")) -> DataFrame:
-    """p50, p95, p99 by every single dimension, by all together and in total.
+    """p50, p95, p99 by every single dimension, by all together and in total; bit i of `level` is set when dimension i is rolled up.
 
-    Rows collapse to (dimensions, latency) counts first; the subtotals expand only those.
+    Each row counts for every grouping inside its task; only histograms of the groupings are shuffled.
     """
-    counted = df.groupBy(*dims, "latency_ms").agg(F.count(F.lit(1)).alias("_w"))
-    expanded = counted.groupingSets(
-        [[F.col(d) for d in dims] + [F.col("latency_ms")], *[[F.col(d), F.col("latency_ms")] for d in dims], [F.col("latency_ms")]],
-        *[F.col(d) for d in dims], F.col("latency_ms")).agg(F.sum("_w").alias("_w"), F.grouping_id().alias("_gid"))
-    labelled = expanded.withColumn("_gid", F.shiftright("_gid", 1).cast("int"))
-    out = exact_percentiles(labelled, [*dims, "_gid"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, weight="_w")
-    return out.withColumnRenamed("_gid", "level")
+    dims = list(dims)
+    groupings = [dims, *[[d] for d in dims], []]
+
+    def grouping(kept: list[str]) -> Column:
+        level = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
+        return F.struct(*[(F.col(d) if d in kept else F.lit(None).cast("string")).alias(d) for d in dims], F.lit(level).alias("level"))
+
+    grouped = df.select("latency_ms", F.explode(F.array(*[grouping(g) for g in groupings])).alias("_g")).select("latency_ms", "_g.*")
+    return exact_percentiles(grouped, [*dims, "level"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def latency_sketches(df: DataFrame, k: int = 400) -> DataFrame:
@@ -162,16 +163,13 @@ def cumulative_records(daily: DataFrame, days: int = 30) -> DataFrame:
 def ces_scores(df: DataFrame, rollup: DataFrame, incidents: DataFrame, p99_bound: float = 300.0,
                forecast: DataFrame | None = None) -> DataFrame:
     """Threat, SLA and stableness sub-scores and the weighted master score per tenant, lowered by the forecast."""
-    counted = df.groupBy("tenant_id", failed().alias("_failed"), "latency_ms").agg(F.count(F.lit(1)).alias("_w"))
-
-    def weight_of(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("_w")).otherwise(0)).cast("double") / F.sum("_w")
-
-    traffic = counted.groupBy("tenant_id").agg(weight_of(F.col("_failed")).alias("_err"), weight_of(F.col("latency_ms") > p99_bound).alias("_slow"))
-    p99 = exact_percentiles(counted, ["tenant_id"], "latency_ms", {"_p99": 0.99}, weight="_w").drop("n")
+    traffic = exact_percentiles(df, ["tenant_id"], "latency_ms", {"_p99": 0.99}, totals={
+        "_requests": F.count(F.lit(1)), "_errors": F.count_if(failed()), "_over": F.count_if(F.col("latency_ms") > p99_bound)})
+    traffic = (traffic.withColumn("_err", F.col("_errors").cast("double") / F.col("_requests"))
+               .withColumn("_slow", F.col("_over").cast("double") / F.col("_requests")))
     hours = rollup.groupBy("tenant_id").agg((F.stddev_samp("avg_latency") / F.avg("avg_latency")).alias("_cv"))
     opened = incidents.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_inc"))
-    joined = traffic.join(p99, "tenant_id", "left").join(hours, "tenant_id", "left").join(opened, "tenant_id", "left")
+    joined = traffic.join(hours, "tenant_id", "left").join(opened, "tenant_id", "left")
     joined = (joined.join(forecast.select("tenant_id", F.col("forecast").alias("_f")), "tenant_id", "left") if forecast is not None
               else joined.withColumn("_f", F.lit(0e0)))
     joined = joined.fillna(0, ["_inc", "_cv", "_f"])
@@ -214,7 +212,7 @@ def quota_usage(df: DataFrame, tenants: DataFrame, limits: dict[str, int] | None
                          (F.col("used") > F.col("quota")).alias("over"))
 
 
-def sliding_rate(df: DataFrame, limit: int, span_seconds: int = 60, chunk_seconds: int = 600) -> DataFrame:
+def sliding_rate(df: DataFrame, limit: int, span_seconds: int = 60, chunk_seconds: int = 300) -> DataFrame:
     """Requests of the tenant in the trailing span at each request.
 
     Each tenant is cut into time chunks; rows near a chunk's end are also sent to the next chunk,
@@ -332,7 +330,9 @@ def reconcile_subscriptions(local: DataFrame, remote: DataFrame) -> DataFrame:
     target = F.lit(None).cast("string")
     for status, tier in STATUS_TIERS.items():
         target = F.when(F.col("status") == status, F.lit(tier)).otherwise(target)
-    joined = local.join(remote.withColumn("_wanted", target), "remote_id", "full_outer")
+    # accounts without a stored id match nothing; kept apart, they do not pile up on one join key
+    stored = local.where(F.col("remote_id").isNotNull()).join(remote.withColumn("_wanted", target), "remote_id", "full_outer")
+    joined = stored.unionByName(local.where(F.col("remote_id").isNull()), allowMissingColumns=True)
     action = (F.when(F.col("account_id").isNull(), F.lit("orphan_remote"))
               .when(F.col("remote_id").isNull() & (F.col("tier") == "Pro"), F.lit("manual_grant"))
               .when(F.col("_wanted").isNull(), F.lit("keep"))

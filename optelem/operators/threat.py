@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from optelem.functions.network import domain_of
 from optelem.functions.times import bucket, trunc, ts
-from optelem.plans.lookups import lookup_side, settle
+from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.spread import spread
 
 
@@ -331,7 +331,7 @@ def stix_objects(findings: DataFrame, listings: DataFrame, created: str) -> Data
 def stix_bundle(objects: DataFrame, max_objects: int = 500) -> DataFrame:
     """tenant_id, page, n_objects, bundle_json. A tenant's objects spread over as many hashed pages as its count needs."""
     sizes = objects.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_objects)).cast("long").alias("_pages"))
-    paged = objects.join(lookup_side(sizes), "tenant_id").withColumn("page", F.pmod(F.xxhash64("object_id"), F.col("_pages")))
+    paged = objects.join(settled_lookup(sizes), "tenant_id").withColumn("page", F.pmod(F.xxhash64("object_id"), F.col("_pages")))
     parts = paged.groupBy("tenant_id", "page").agg(
         F.count(F.lit(1)).alias("n_objects"), F.array_sort(F.collect_list(F.struct("object_id", "object_json"))).alias("_o"))
     body = F.array_join(F.transform("_o", lambda o: o["object_json"]), ",")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from optelem.functions.times import bucket
 
-CHUNK_SECONDS = 3600
+CHUNK_SECONDS = 300  # a key with a third of 100 TB over a month then puts a few GB into a chunk
 
 
 def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,33 +7,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from optelem.plans.lookups import lookup_side, settle
+
 STEPS_PER_OCTAVE = 64
 DIGITS = 6  # interpolated values are rounded, so they do not depend on how the interpolation is written
 
 
 def _value_bucket(v: Column) -> Column:
     """Monotone bucket number; each bucket spans about one percent of relative width."""
-    size = F.floor(F.log2(F.abs(v)) * STEPS_PER_OCTAVE).cast("long") + F.lit(100_000)
+    size = F.floor(F.least(F.log2(F.abs(v)) * STEPS_PER_OCTAVE, F.lit(90_000e0))).cast("long") + F.lit(100_000)
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                      weight: str | None = None) -> DataFrame:
-    """keys + one column per entry of `probs` + `n`, equal to continuous percentiles.
+                      weight: str | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
+    """keys + one column per entry of `probs` + `n`, equal to continuous percentiles; NULL and NaN values do not count.
 
-    Rows are first counted per (key, value), which spreads a hot key over its values and collapses
-    repeats before the shuffle. A histogram of value buckets tells which bucket holds each wanted
-    rank, and only those buckets are ordered. `weight` names a count column of pre-aggregated rows.
+    First pass: a histogram of value buckets per key, a few hundred counts each, tells which bucket
+    holds each wanted rank. Second pass: only rows of those buckets, about one in a hundred, are
+    counted by value and ordered. Neither pass shuffles raw rows, so a hot key costs no task more
+    than its share of the scan. `weight` names a count column of pre-aggregated rows. `totals` are
+    further aggregates over all rows of a key (sums or counts), taken along in the first pass.
     """
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-               .agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("_c"))
-               .withColumn("_b", _value_bucket(F.col("_v"))))
+    totals = totals or {}
+    v = F.col(value).cast("double")
+    rows = df.withColumn("_v", F.when(~F.isnan(v), v)).withColumn("_b", _value_bucket(F.col("_v")))
+    count = F.sum(F.when(F.col("_v").isNotNull(), F.col(weight))) if weight else F.count("_v")
+    hist = rows.groupBy(*keys, "_b").agg(F.coalesce(count, F.lit(0)).cast("long").alias("_bc"), *[c.alias(f"_t_{name}") for name, c in totals.items()])
+    hist = settle(hist)
     in_key = Window.partitionBy(*keys)
     earlier = in_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-            .withColumn("_before", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)))
-            .withColumn("_n", F.sum("_bc").over(in_key)))
+    placed_hist = (hist.withColumn("_before", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)))
+                   .withColumn("_n", F.sum("_bc").over(in_key)))
 
     def rank(p: float) -> Column:
         return F.lit(p) * (F.col("_n") - 1)
@@ -42,12 +51,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         return (r >= F.col(start)) & (r < F.col(start) + F.col(size))
 
     wanted = [f(rank(p)) for p in probs.values() for f in (F.floor, F.ceil)]
-    hits = hist.where(reduce(lambda a, b: a | b, [holds(r, "_before", "_bc") for r in wanted]))
-    hits = hits.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_hb"), "_before", "_n")
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
-                F.col("_b") == F.col("_hb"))
+    hits = placed_hist.where(reduce(lambda a, b: a | b, [holds(r, "_before", "_bc") for r in wanted]))
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    hits = hits.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)], F.col("_b").alias("_hb"), "_before", "_n")
+    near = rows.where(F.col("_v").isNotNull()).join(lookup_side(hits), _same(keys, renamed) & (F.col("_b") == F.col("_hb")))
+    counted = near.groupBy(*keys, "_b", "_v", "_before", "_n").agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("long").alias("_c"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.join(hits, on).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    placed = counted.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     picks = []
     for i, p in enumerate(probs.values()):
         for tag, f in (("lo", F.floor), ("hi", F.ceil)):
@@ -55,4 +65,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     picked = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     results = [F.round(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rank(p) - F.floor(rank(p))), DIGITS).alias(name)
                for i, (name, p) in enumerate(probs.items())]
-    return picked.select(*keys, *results, F.col("_n").cast("long").alias("n"))
+    out = picked.select(*keys, *results, F.col("_n").cast("long").alias("n"))
+    if not totals:
+        return out
+    sums = hist.groupBy(*[F.col(k).alias(r) for k, r in zip(keys, renamed)]).agg(*[F.sum(f"_t_{name}").alias(name) for name in totals])
+    names = [*probs, "n"]
+    joined = sums.join(out, _same(keys, renamed), "left")
+    return joined.select(*[F.col(r).alias(k) for k, r in zip(keys, renamed)], *names, *totals)

@@ -15,6 +15,7 @@ def build_session(master: str = "local[8]", app: str = "optelem", **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.redaction.regex": "(?i)secret|password|token|keyring|access[.]?key",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
     }

@@ -42,7 +42,11 @@ def stream_hourly_rollup(stream: DataFrame, watermark: str = WATERMARK) -> DataF
 def write_rollup(rollup: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keyed read model of the hourly rollup: (tenant, hour) with the most requests wins, days are partitions."""
     def write(batch: DataFrame, _: int) -> None:
-        upsert_results(batch.withColumn("day", F.to_date("hour")), target, ["tenant_id", "hour"], ["requests", "errors", "avg_latency"])
+        kept = batch.withColumn("day", F.to_date("hour")).persist()  # read twice by the upsert
+        try:
+            upsert_results(kept, target, ["tenant_id", "hour"], ["requests", "errors", "avg_latency"])
+        finally:
+            kept.unpersist()
 
     return (rollup.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

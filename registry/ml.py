@@ -108,6 +108,11 @@ ORACLES = {
       o AS (SELECT roll.*, m, abs(avg_latency - m) AS off FROM roll JOIN c ON c.tenant_id = roll.tenant_id), s AS (SELECT tenant_id, round(quantile_cont(off, 0.5), 6) AS mad FROM o GROUP BY tenant_id),
       z AS (SELECT o.tenant_id, hour, coalesce(0.6745e0 * (avg_latency - m) / nullif(mad, 0), 0) AS z FROM o JOIN s ON s.tenant_id = o.tenant_id)
       SELECT tenant_id, hour, round(z, 4) AS z, round(least(1e0, abs(z) / 6), 4) AS score FROM z""",
+    "spike_forecast": f"""WITH {ROLLUP}, e AS (SELECT *, CAST(errors AS DOUBLE) / requests AS err FROM roll),
+      x AS (SELECT tenant_id, hour, (coalesce((avg_latency - min(avg_latency) OVER t) / nullif(max(avg_latency) OVER t - min(avg_latency) OVER t, 0), 0) + coalesce((err - min(err) OVER t) / nullif(max(err) OVER t - min(err) OVER t, 0), 0)) / 2 AS x FROM e WINDOW t AS (PARTITION BY tenant_id)),
+      q AS (SELECT tenant_id, hour, list({{'v': x, 's': 0e0}}) OVER (PARTITION BY tenant_id ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS seq FROM x),
+      f AS (SELECT tenant_id, hour, list_reduce(seq, lambda a, b: {{'v': CASE WHEN a.v * 0.9e0 + b.v >= 1 THEN 0e0 ELSE a.v * 0.9e0 + b.v END, 's': a.s + CASE WHEN a.v * 0.9e0 + b.v >= 1 THEN 1e0 ELSE 0e0 END}}, {{'v': 0e0, 's': 0e0}}) AS st FROM q)
+      SELECT tenant_id, hour, round(least(1e0, (st.s + st.v) / 12e0), 6) AS forecast FROM f""",
     "forecast_30d": f"""WITH {FLAGGED}, dd AS (SELECT tenant_id, CAST(event_time AS DATE) AS day, CAST(count(CASE WHEN is_malicious THEN 1 END) AS DOUBLE) / count(*) AS risk FROM fl GROUP BY ALL),
       f AS (SELECT tenant_id, regr_slope(risk, date_diff('day', DATE '1970-01-01', day)) AS a, regr_intercept(risk, date_diff('day', DATE '1970-01-01', day)) AS b, max(day) AS last FROM dd GROUP BY tenant_id),
       e AS (SELECT tenant_id, a, b, CAST(last + CAST(i AS INTEGER) AS DATE) AS day FROM f, range(1, 31) r(i))

@@ -59,7 +59,7 @@ QUERIES = {
     "status_now": lambda s, d: rollups.status_now(tel(s, d), NOW, 3600),
     "cumulative_records": lambda s, d: rollups.cumulative_records(_daily(s, d), 7),
     "ces_scores": lambda s, d: rollups.ces_scores(tel(s, d), rollups.hourly_rollup(tel(s, d)), incidents(s, d).where("failures >= 5"), 450.0),
-    "overview_series": lambda s, d: rollups.overview_series(rollups.hourly_rollup(tel(s, d))),
+    "overview_series": lambda s, d: rollups.overview_series(rollups.hourly_rollup(tel(s, d))).select("tenant_id", "name", F.posexplode("points").alias("pos", "point")).select("tenant_id", "name", "pos", "point.*"),
     "quota_usage": lambda s, d: rollups.quota_usage(tel(s, d), view(s, d, "tenants"), {"Standard": 1, "Pro": 2}),
     "sliding_rate": lambda s, d: rollups.sliding_rate(tel(s, d), 1).select("event_id", "n60", "over"),
     "token_bucket_audit": lambda s, d: rollups.token_bucket_audit(tel(s, d), _limits(s, d)).select("event_id", "tenant_id", "allowed", "remaining", "retry_after"),
@@ -107,6 +107,15 @@ ORACLES = {
       s AS (SELECT t.tenant_id, greatest(0, 100e0 - 10 * coalesce(n, 0) - 100 * slow) AS threat, 100e0 * (1 - err) * least(1e0, 450e0 / p99) AS sla, greatest(0, 100e0 - 5 * coalesce(n, 0) - 50 * coalesce(cv, 0)) AS stable
        FROM t LEFT JOIN h ON t.tenant_id = h.tenant_id LEFT JOIN i ON t.tenant_id = i.tenant_id)
       SELECT tenant_id, round(threat, 6) AS threat, round(sla, 6) AS sla, round(stable, 6) AS stable, round(0.4e0 * threat + 0.35e0 * sla + 0.25e0 * stable, 6) AS ces FROM s""",
+    "overview_series": f"""WITH {ROLLUP}, lng AS (SELECT tenant_id, hour, 'avg_latency' AS name, avg_latency AS y FROM roll UNION ALL SELECT tenant_id, hour, 'requests', requests FROM roll UNION ALL SELECT tenant_id, hour, 'errors', errors FROM roll)
+      SELECT tenant_id, name, CAST(row_number() OVER (PARTITION BY tenant_id, name ORDER BY hour) - 1 AS INTEGER) AS pos, strftime(hour, '%Y-%m-%dT%H:%M') AS x, y FROM lng""",
+    "token_bucket_audit": """WITH secs AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY sec) AS rn FROM (SELECT tenant_id, cap, epoch_us(event_time) // 1000000 AS sec, count(*) AS n
+       FROM tel JOIN (SELECT tenant_id AS tid, CASE tier WHEN 'Pro' THEN 6 ELSE 2 END AS cap FROM tenants) l ON tid = tenant_id GROUP BY ALL) g),
+      walk AS (SELECT tenant_id, cap, sec, n, rn, CAST(cap AS DOUBLE) AS tokens FROM secs WHERE rn = 1 UNION ALL
+       SELECT s.tenant_id, s.cap, s.sec, s.n, s.rn, least(CAST(s.cap AS DOUBLE), w.tokens - least(CAST(w.n AS DOUBLE), floor(w.tokens)) + CAST((s.sec - w.sec) * s.cap AS DOUBLE) / 60e0) FROM walk w JOIN secs s ON s.tenant_id = w.tenant_id AND s.rn = w.rn + 1),
+      ranked AS (SELECT event_id, tenant_id, epoch_us(event_time) // 1000000 AS sec, row_number() OVER (PARTITION BY tenant_id, epoch_us(event_time) // 1000000 ORDER BY event_time, event_id) AS pos FROM tel),
+      j AS (SELECT r.event_id, r.tenant_id, pos <= floor(tokens) AS allowed, tokens - least(CAST(pos AS DOUBLE), floor(tokens)) AS rest, cap FROM ranked r JOIN walk w ON w.tenant_id = r.tenant_id AND w.sec = r.sec)
+      SELECT event_id, tenant_id, allowed, CAST(floor(rest) AS BIGINT) AS remaining, CASE WHEN allowed THEN 0 ELSE CAST(ceil((1e0 - rest) / (cap / 60e0)) AS BIGINT) END AS retry_after FROM j""",
     "quota_usage": """SELECT u.tenant_id, minute, used, quota, greatest(0, quota - used) AS remaining, used > quota AS over FROM (SELECT tenant_id, date_trunc('minute', event_time) AS minute, count(*) AS used FROM tel GROUP BY ALL) u
       JOIN (SELECT tenant_id, CAST(CASE tier WHEN 'Pro' THEN 2 ELSE 1 END AS BIGINT) AS quota FROM tenants) t ON u.tenant_id = t.tenant_id""",
     "sliding_rate": "SELECT event_id, n60, n60 > 1 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY tenant_id ORDER BY event_time RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n60 FROM tel) x",
@@ -120,3 +129,4 @@ ORACLES = {
       SELECT tenant_id, 'avg_latency' AS metric_name, avg_latency AS metric_value, hour AS recorded_at FROM r UNION ALL SELECT tenant_id, 'requests', requests, hour FROM r UNION ALL SELECT tenant_id, 'errors', errors, hour FROM r""",
 }
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}
+ORACLES["token_bucket_audit"] = ORACLES["token_bucket_audit"].replace("WITH ", "WITH RECURSIVE ", 1)
