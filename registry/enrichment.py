@@ -15,12 +15,12 @@ def enriched(spark, d):
 
 TARGETS = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'http://10.0.0.5/admin' WHEN 1 THEN 'http://user:pw@site.example.com/' WHEN 2 THEN 'http://169.254.169.254/latest'
  WHEN 3 THEN 'ftp://files.example.com/a' WHEN 4 THEN 'http://127.0.0.1:8080/x' ELSE url END AS url FROM pages"""
-PRODUCTS = "SELECT DISTINCT lower(concat(p_name, ' ', p_type)) AS name FROM part"
-DICTIONARY = "SELECT DISTINCT lower(CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' ', p_type) ELSE concat(p_type, ' pro ', p_name) END) AS name FROM part WHERE p_size > 45 AND p_partkey % 2 = 0"
+PRODUCTS = "SELECT DISTINCT lower(concat(p_name, ' ', p_type, ' ', p_brand)) AS name FROM part"
+DICTIONARY = "SELECT DISTINCT lower(CASE WHEN p_size < 10 THEN concat(p_name, ' ', p_type, ' ', p_brand) ELSE concat(p_type, ' pro ', p_name) END) AS name FROM part"
 
 
 def _approved(spark, d):
-    return table(spark, d, "pages").where("page_id % 5 <> 0").select(enrich.url_host("url").alias("host"))
+    return table(spark, d, "pages").where("url LIKE 'https:%'").select(enrich.url_host("url").alias("host"))
 
 
 def _inventory(spark, d):
@@ -83,9 +83,9 @@ ORACLES = {
        CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' WHEN n = 1 THEN 'low' ELSE 'none' END AS severity FROM complaints c LEFT JOIN best b ON c.complaint_id = b.complaint_id)
       SELECT *, json_object('complaint_id', complaint_id, 'tenant_id', tenant_id, 'cause', cause, 'severity', severity)::VARCHAR AS record FROM res""",
     "safe_targets": f"""SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN 'private' WHEN page_id % 9 = 1 THEN 'credentials' WHEN page_id % 9 = 2 THEN 'metadata_service' WHEN page_id % 9 = 3 THEN 'not_web' WHEN page_id % 9 = 4 THEN 'loopback'
-      WHEN {URL_HOST} NOT IN (SELECT {URL_HOST} FROM pages WHERE page_id % 5 <> 0) THEN 'off_domain' END AS reason FROM ({TARGETS}) t""",
+      WHEN {URL_HOST} NOT IN (SELECT {URL_HOST} FROM pages WHERE url LIKE 'https:%') THEN 'off_domain' END AS reason FROM ({TARGETS}) t""",
     "tech_inventory": f"WITH {INVENTORY} SELECT * FROM inv",
-    "cpe_candidates": f"""WITH p AS (SELECT name AS product, list_distinct(string_split(name, ' ')) AS pt FROM ({PRODUCTS}) x), d AS (SELECT name AS entry, list_distinct(string_split(name, ' ')) AS dt FROM ({DICTIONARY}) y),
+    "cpe_candidates": f"""WITH p AS (SELECT name AS product, list_distinct(regexp_split_to_array(name, '[^a-z0-9]+')) AS pt FROM ({PRODUCTS}) x), d AS (SELECT name AS entry, list_distinct(regexp_split_to_array(name, '[^a-z0-9]+')) AS dt FROM ({DICTIONARY}) y),
       scored AS (SELECT product, entry, CAST(len(list_intersect(pt, dt)) AS DOUBLE) / (len(pt) + len(dt) - len(list_intersect(pt, dt))) AS similarity, product = entry AS same FROM p JOIN d ON list_has_any(pt, dt)),
       best AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY same DESC, similarity DESC, entry) AS rn FROM scored WHERE similarity >= 0.5)
       SELECT product, 'cpe:2.3:a:*:' || regexp_replace(entry, '[^a-z0-9]+', '_', 'g') || ':*:*:*:*:*:*:*:*' AS cpe, CASE WHEN same THEN 'exact' ELSE 'tokens' END AS match_kind, similarity FROM best WHERE rn = 1""",

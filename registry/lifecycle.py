@@ -52,7 +52,7 @@ def _subject(spark, d):
 
 
 def _patch(spark, d):
-    return query(spark, d, "SELECT event_id, CAST(NULL AS STRING) AS event_type, 'fixed.example.com' AS host FROM tel WHERE event_id % 50 = 0")
+    return query(spark, d, "SELECT event_id, CAST(NULL AS STRING) AS event_type, 'fixed.example.com' AS host FROM tel WHERE event_type = 'signup'")
 
 
 def _records(spark, d):
@@ -96,7 +96,7 @@ ORACLES = {
     "erase_tenant_kept": "SELECT * FROM accounts WHERE tenant_id <> 't3'",
     "subject_export": """SELECT 'telemetry' AS table_name, json_object('event_id', event_id, 'user_id', user_id, 'tenant_id', tenant_id, 'event_type', event_type)::VARCHAR AS row_json FROM tel WHERE user_id = 42
       UNION ALL SELECT 'consent', json_object('user_id', user_id, 'analytical', analytical, 'marketing', marketing)::VARCHAR FROM consent WHERE user_id = 42""",
-    "subject_rectify": "SELECT event_id, event_type, CASE WHEN event_id % 50 = 0 THEN 'fixed.example.com' ELSE host END AS host FROM tel",
+    "subject_rectify": "SELECT event_id, event_type, CASE WHEN event_type = 'signup' THEN 'fixed.example.com' ELSE host END AS host FROM tel",
     # small tables fill one bucket per tenant and source, and 25 records stay far below 8 MiB
     "pack_batches": """SELECT tenant_id, source, sha256(concat_ws('|', tenant_id, source, '0', CAST(no AS STRING))) AS batch_id, count(*) AS n, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM
       (SELECT tenant_id, service_id AS source, (row_number() OVER (PARTITION BY tenant_id, service_id ORDER BY event_id) - 1) // 25 AS no, strlen(json_object('event_id', event_id, 'event_type', event_type, 'user_agent', user_agent)::VARCHAR) AS n_bytes FROM tel) x GROUP BY ALL""",
