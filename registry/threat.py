@@ -10,6 +10,7 @@ from registry.enrichment import ENR, FINDINGS, enriched, findings
 
 AS_OF = "2024-01-31 00:00:00"
 LIFE_HOURS = 20 * 24
+CREATED = "2024-01-31T00:00:00.000Z"
 NET_FEED = "SELECT CAST(asn AS STRING) AS indicator, 'asn' AS kind, 'feed_net' AS feed, 40 AS abuse_score, CAST('2024-01-20 00:00:00' AS TIMESTAMP) AS listed_at FROM geo_blocks WHERE asn % 11 = 0"
 SCORES = "SELECT event_id, tenant_id, k / 100e0 AS score FROM tel"
 SIGNALS = """SELECT event_id, tenant_id, event_time, CASE k % 9 WHEN 0 THEN 'indicator' WHEN 1 THEN 'automation' WHEN 2 THEN 'anonymiser' WHEN 3 THEN 'breached_credential'
@@ -41,6 +42,10 @@ def _flagged_listings(spark, d):
             .withColumnRenamed("client_ip", "indicator"))
 
 
+def _stix_objects(spark, d):
+    return threat.stix_objects(findings(spark, d), _flagged_listings(spark, d), CREATED)
+
+
 def _active(spark, d):
     return flagged(spark, d).where("abuse_score >= 99").select("tenant_id")
 
@@ -65,7 +70,8 @@ QUERIES = {
     "playbook_runs": lambda s, d: threat.playbook_runs(view(s, d, "playbook_actions")),
     "playbook_timeline": lambda s, d: threat.playbook_timeline(view(s, d, "playbook_actions")).select("run_id", "seq", "action_id", "attempts", "state", "retry_eligible", "next_retry_at"),
     "triage_board": lambda s, d: threat.triage_board(findings(s, d), _active(s, d)),
-    "stix_bundle": lambda s, d: threat.stix_bundle(threat.stix_objects(findings(s, d), _flagged_listings(s, d), "2024-01-31T00:00:00.000Z")),
+    "stix_objects": _stix_objects,
+    "stix_bundle": lambda s, d: threat.stix_bundle(_stix_objects(s, d)),
 }
 
 IND = f"""feeds AS (SELECT * FROM ioc_feed UNION ALL {NET_FEED}),
@@ -83,6 +89,26 @@ GRAMS = """toks AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORD
  led AS (SELECT doc_id, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
  grams AS (SELECT doc_id, w AS term FROM led UNION ALL SELECT doc_id, w || ' ' || w2 FROM led UNION ALL SELECT doc_id, w || ' ' || w2 || ' ' || w3 FROM led UNION ALL SELECT doc_id, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM led UNION ALL SELECT doc_id, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM led),
  wanted AS (SELECT DISTINCT trim(regexp_replace(lower(term), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS term FROM brand_terms)"""
+
+
+def _stix_id(kind: str, *parts: str) -> str:
+    h = f"sha256(concat_ws('|', '{kind}', {', '.join(parts)}))"
+    return f"'{kind}--' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def _stix_select(kind: str, ident: str, fields: str, source: str) -> str:
+    return f"""SELECT tenant_id, {ident} AS object_id, json_object('type', '{kind}', 'spec_version', '2.1', 'id', {ident}, 'created', '{CREATED}', 'modified', '{CREATED}', {fields})::VARCHAR AS object_json FROM {source}"""
+
+
+STIX = " UNION ALL ".join([
+    _stix_select("identity", _stix_id("identity", "tenant_id"), "'name', tenant_id, 'identity_class', 'organization'",
+                 "(SELECT tenant_id FROM findings UNION SELECT tenant_id FROM flagged) a"),
+    _stix_select("indicator", _stix_id("indicator", "tenant_id", "indicator"),
+                 f"'pattern', '[ipv4-addr:value = ' || chr(39) || indicator || chr(39) || ']', 'pattern_type', 'stix', 'valid_from', '{CREATED}'", "flagged"),
+    _stix_select("observed-data", _stix_id("observed-data", "tenant_id", "product", "version"),
+                 f"""'number_observed', 1, 'first_observed', '{CREATED}', 'last_observed', '{CREATED}', 'object_refs', json_array({_stix_id("software", "product", "version")})""",
+                 "(SELECT DISTINCT tenant_id, product, version FROM findings) b"),
+])
 RUNS = """tl AS (SELECT *, state = 'failed' AND attempts < 3 AS retry_eligible, CASE WHEN state = 'failed' AND attempts < 3 THEN updated_at + to_seconds(30 * CAST(pow(2, attempts) AS BIGINT)) END AS next_retry_at FROM playbook_actions)"""
 
 ORACLES = {
@@ -120,6 +146,7 @@ ORACLES = {
     "playbook_runs": f"""WITH {RUNS}, r AS (SELECT run_id, count(*) AS actions, count(CASE WHEN state = 'succeeded' THEN 1 END) AS succeeded, count(CASE WHEN state = 'failed' THEN 1 END) AS failed,
        count(CASE WHEN retry_eligible THEN 1 END) AS retry_eligible, min(next_retry_at) AS next_retry_at, max_by(state, seq) AS last_state FROM tl GROUP BY run_id)
       SELECT *, CASE WHEN succeeded = actions THEN 'succeeded' WHEN retry_eligible > 0 THEN 'retrying' WHEN actions - succeeded - failed > 0 THEN 'waiting' ELSE 'failed' END AS run_state FROM r""",
+    "stix_objects": f"""WITH {FINDINGS}, {IND}, flagged AS (SELECT DISTINCT tenant_id, client_ip AS indicator FROM tel WHERE client_ip IN (SELECT indicator FROM ind WHERE kind = 'ipv4')) {STIX}""",
     "triage_board": f"""WITH {FLAGGED}, {FINDINGS}, act AS (SELECT DISTINCT tenant_id FROM fl WHERE abuse_score >= 99),
       sc AS (SELECT f.*, a.tenant_id IS NOT NULL AS has_active_intel, CAST(greatest(1, least(5, ceil(cvss / 2))) AS INTEGER) * (2 + 3 * CAST(a.tenant_id IS NOT NULL AS INTEGER)) AS priority FROM findings f LEFT JOIN act a ON f.tenant_id = a.tenant_id)
       SELECT *, CAST(dense_rank() OVER (PARTITION BY tenant_id ORDER BY priority DESC, cvss DESC, cve_id) AS INTEGER) AS rank, CASE WHEN priority >= 20 THEN 'now' WHEN priority >= 8 THEN 'next' ELSE 'backlog' END AS "column" FROM sc""",
