@@ -58,3 +58,9 @@ def normal_path(path: Column) -> Column:
 def route_key(path: Column) -> Column:
     """One key for the spellings of a page: a/, a, a.html, a/index.html."""
     return F.regexp_replace(F.regexp_replace(normal_path(path), r"(^|/)index\.html$", ""), r"\.html$", "")
+
+
+def markup(html: str) -> Column:
+    """Page source without comments and without the bodies of scripts and styles."""
+    bare = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    return F.regexp_replace(bare, r"(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>", "$1")

@@ -10,6 +10,7 @@ from optelem.operators import docs
 # one Markdown document per conversation turn, with an introduction, a repeated chapter title and an appendix
 BOOKS = """SELECT conv_id * 1000 + turn AS doc_id, concat('Preface by ', role, chr(10), chr(10), '## Chapter ', CAST(turn + 1 AS STRING), ': ', role, chr(10), chr(10), text, chr(10), chr(10),
  '## Appendix B: Notes', chr(10), chr(10), 'see above', chr(10), chr(10), '## Chapter ', CAST(turn + 1 AS STRING), ': ', role, chr(10), chr(10), 'again', chr(10)) AS text FROM conversations"""
+PAPERS = """SELECT conv_id * 1000 + turn AS doc_id, concat('# Paper', chr(10), chr(10), '## ', CAST(turn + 1 AS STRING), '. The ', role, chr(10), chr(10), text, chr(10), '## Annex', chr(10)) AS text FROM conversations"""
 NOTES = """SELECT concat('note-', CAST(doc_id AS STRING)) AS id, date_add(DATE '2025-01-01', CAST(doc_id % 40 AS INT)) AS published_at, concat('Note ', CAST(doc_id % 13 AS STRING)) AS note, doc_id % 9 = 0 AS draft FROM documents"""
 REDIRECTS = ("^/th[a-z]*$",)
 
@@ -30,6 +31,7 @@ RULES = docs.LinkRules(book={"book.md": "/book/"}, owners=((r"^docs/", "https://
 
 QUERIES = {
     "split_sections": _sections,
+    "numbered_sections": lambda s, d: docs.numbered_sections(query(s, d, PAPERS)),
     "unique_slugs": lambda s, d: docs.unique_slugs(_sections(s, d)).select("doc_id", "idx", "slug"),
     "heading_index": _headings,
     "resolve_links": lambda s, d: docs.resolve_links(_links(s, d), docs.heading_targets(_headings(s, d)), RULES),
@@ -39,6 +41,7 @@ QUERIES = {
     "link_audit": lambda s, d: docs.link_audit(table(s, d, "pages"), REDIRECTS),
 }
 
+MARKUP = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g')"
 TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 SECTIONS = rf"""base AS (SELECT conv_id * 1000 + turn AS doc_id, turn, role, {TRIMMED} AS text, concat('Chapter ', CAST(turn + 1 AS STRING), ': ', role) AS chapter, lpad(CAST(turn + 1 AS STRING), CAST(greatest(2, length(CAST(turn + 1 AS STRING))) AS INTEGER), '0') AS no FROM conversations),
  sections AS (SELECT doc_id, 0 AS idx, 'Cover' AS title, 'Front Matter' AS grp, '' AS num, 'Cover' AS short_title, '' AS body FROM base
@@ -52,6 +55,10 @@ HEADS = """heads AS (SELECT doc_id, idx, 0 AS pos, 2 AS depth, title AS text, tr
 
 ORACLES = {
     "split_sections": f"WITH {SECTIONS} SELECT * FROM sections",
+    "numbered_sections": rf"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, turn + 1 AS n, role, text FROM conversations)
+      SELECT doc_id, 0 AS idx, 'Overview' AS title, '' AS num, 'Overview' AS label, 'section-overview' AS anchor, '# Paper' AS body FROM c
+      UNION ALL SELECT doc_id, 1, n || '. The ' || role, CAST(n AS STRING), 'The ' || role, 'section-' || n || '-the-' || role, regexp_replace('## ' || n || '. The ' || role || chr(10) || chr(10) || text, '\s+$', '') FROM c
+      UNION ALL SELECT doc_id, 2, 'Annex', '', 'Annex', 'section-annex', '## Annex' FROM c""",
     "unique_slugs": f"WITH {SECTIONS}, {SLUGS} SELECT doc_id, idx, slug FROM slugs",
     "heading_index": f"WITH {SECTIONS}, {SLUGS}, {HEADS} SELECT doc_id, idx, pos, depth, text, key, key AS id, '/book/' || slug || '/#' || key AS target FROM heads",
     "resolve_links": """SELECT conv_id * 1000 + turn AS doc_id, CASE turn % 3 WHEN 0 THEN '#chapter-' || (turn + 1) || '--' || role WHEN 1 THEN 'BOOK.md#appendix-b-notes' ELSE 'docs/guide.md#notes' END AS href,
@@ -61,8 +68,8 @@ ORACLES = {
       r AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, no DESC, id DESC) AS rank FROM n WHERE NOT draft)
       SELECT id, published_at, note, draft, rank, lag(id) OVER (ORDER BY rank) AS prev_id, lead(id) OVER (ORDER BY rank) AS next_id, CAST(round(rank / CAST((SELECT count(*) FROM r) AS DOUBLE) * 100) AS INTEGER) AS progress_pct FROM r""",
     "page_counts": """SELECT page_id, "check", n, n = 1 AS ok FROM (""" + " UNION ALL ".join(
-        f"""SELECT page_id, '{name}' AS "check", CAST(len(regexp_extract_all(html, '{p.replace("'", "''")}')) AS INTEGER) AS n FROM pages""" for name, p in docs.PAGE_COUNTS.items()) + ") x",
-    "link_audit": r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+        f"""SELECT page_id, '{name}' AS "check", CAST(len(regexp_extract_all(html, '{p.replace("'", "''")}')) AS INTEGER) AS n FROM (SELECT page_id, {MARKUP} AS html FROM pages) m""" for name, p in docs.PAGE_COUNTS.items()) + ") x",
+    "link_audit": r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, """ + MARKUP + r""" AS html FROM pages),
       l AS (SELECT DISTINCT page_id, origin, unnest(regexp_extract_all(html, '(?i)\s(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1)) AS link FROM p),
       r AS (SELECT DISTINCT origin, trim(regexp_replace(path, '\.html$', ''), '/') AS key FROM p)
       SELECT page_id, link, 'missing_page' AS problem FROM l WHERE link LIKE '/%' AND NOT link LIKE '//%' AND NOT EXISTS (SELECT 1 FROM r WHERE r.origin = l.origin AND r.key = trim(regexp_replace(regexp_replace(link, '[?#].*$', ''), '\.html$', ''), '/'))
