@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optelem.llm import mixing, quality_rules, simhash
+from optelem.llm import mixing, quality_rules, simhash, toxicity
 from optelem.llm.queries import MAX_BITS, SHINGLE, tokenizer
 from optelem.plans.lookups import settle
 
@@ -19,6 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*docs.columns)
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among them, scores below one half."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model, "_text")
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
     return simhash.one_per_group(docs, shingle=SHINGLE, max_bits=MAX_BITS)
@@ -39,6 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("toxicity", civil),
     ("near copies", near_copies),
     ("mixture", mixture),
     ("tokens", tokens),

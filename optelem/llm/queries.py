@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optelem.llm import mixing, quality_rules, simhash
+from optelem.llm import caps, mixing, quality_rules, simhash, toxicity, warc
 from optelem.llm.bpe import Tokenizer
+from optelem.session import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHINGLE, MAX_BITS = 4, 4
@@ -21,6 +24,12 @@ def tokenizer(spark: SparkSession) -> Tokenizer:
     return Tokenizer(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *[c for c in quality_rules.FIGURES if c != "clean_text"], F.sha2("clean_text", 256).alias("clean_sha256"))
@@ -37,10 +46,26 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark.read.format("binaryFile").load(folder), payloads=False).where("gap_reason IS NULL")
+
+    def page(uri: str):
+        return F.nullif(F.regexp_extract(uri, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+                        "record_type", page("refers_to").alias("refers_to"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_table(spark, sf_dir, "documents"), shingle=SHINGLE, max_bits=MAX_BITS)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_source_mix, op6_byte_bpe, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_source_mix, op6_byte_bpe, op7_embedding_dedup, op9_warc_salvage, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}

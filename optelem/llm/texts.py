@@ -26,19 +26,24 @@ def add_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[column.alias(name) for name, column in new.items()])
 
 
-def per_text(ddl: str, compute: Callable[[bytes], tuple]) -> Callable[[Column], Column]:
-    """A struct column computed from each whole text as UTF-8 bytes, Arrow batch by Arrow batch; NULL counts as empty."""
+def per_batch(ddl: str, compute: Callable[[list[bytes]], list[tuple]]) -> Callable[[Column], Column]:
+    """A struct column computed from whole texts as UTF-8 bytes, one Arrow batch at a time; NULL counts as empty."""
     fields = ddl_fields(ddl)
 
     @arrow_udf(ddl)
     def run(texts: pa.Array) -> pa.Array:
-        found = [compute(t.as_py() or b"") for t in texts]
+        found = compute([t or b"" for t in texts.to_pylist()])
         columns = list(zip(*found)) or [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(c, type=kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
     return lambda text: run(text.cast("binary"))
 
 
+def per_text(ddl: str, compute: Callable[[bytes], tuple]) -> Callable[[Column], Column]:
+    """`per_batch` for work that looks at one text at a time."""
+    return per_batch(ddl, lambda texts: [compute(t) for t in texts])
+
+
 def ddl_fields(ddl: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     pairs = [part.strip().split(":") for part in ddl.removeprefix("struct<").removesuffix(">").split(",")]
