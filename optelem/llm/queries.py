@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optelem.llm import caps, mixing, quality_rules, simhash, toxicity, warc
+from optelem.llm import caps, licenses, mixing, quality_rules, sharding, simhash, toxicity, warc
 from optelem.llm.bpe import Tokenizer
 from optelem.session import ensure_checkpoint_dir
 
@@ -35,6 +35,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[c for c in quality_rules.FIGURES if c != "clean_text"], F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -50,6 +54,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -67,5 +75,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_source_mix, op6_byte_bpe, op7_embedding_dedup, op9_warc_salvage, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_license_scan, op5_source_mix, op6_byte_bpe, op7_embedding_dedup,
+                                   op8_sharding, op9_warc_salvage, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
