@@ -28,6 +28,7 @@ def _words(text: str) -> list[str]:
 
 
 _PUNCTUATION = ".,;:!?…\"'`´“”‘’«»()[]{}<>*_~-–—/\\|#"
+GROUP, TEXTS = 20_000, 256  # words that are hashed, and texts that are taken apart, at a time
 _BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,19 +83,18 @@ def subwords(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int32), np.bincount(owned, minlength=len(words))
 
 
-def windows(words: int, s: Settings) -> list[tuple[int, int]]:
-    """Overlapping spans that cover all words; one span for short texts."""
+def windows(words: int, s: Settings) -> np.ndarray:
+    """Word numbers of the overlapping windows that cover a text, a row for each; a short text is one window."""
     if words <= s.window:
-        return [(0, words)] if words else []
-    starts = range(0, words - s.window, s.step)
-    return [(a, a + s.window) for a in starts] + [(words - s.window, words)]
+        return np.arange(words)[None, :]
+    starts = np.append(np.arange(0, words - s.window, s.step), words - s.window)
+    return starts[:, None] + np.arange(s.window)[None, :]
 
 
 class Model:
     """Bucket values and bias of the trained network, collapsed to the difference of its two outputs."""
 
     REMEMBERED = 300_000  # words whose value a worker keeps
-    GROUP = 256  # texts that are taken apart together
 
     def __init__(self, values: np.ndarray, bias: float, settings: Settings):
         self.values, self.bias, self.settings = values, bias, settings
@@ -126,8 +126,8 @@ class Model:
     def scores(self, texts: list[str]) -> list[float]:
         """Probabilities of the texts; without words, the bias alone decides."""
         out: list[float] = []
-        for first in range(0, len(texts), self.GROUP):
-            split = [_words(t) for t in texts[first:first + self.GROUP]]
+        for first in range(0, len(texts), TEXTS):
+            split = [_words(t) for t in texts[first:first + TEXTS]]
             self._learn(set().union(*split))
             out += [1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, self._logit(w))))) for w in split]
             if len(self._known) > self.REMEMBERED:
@@ -157,8 +157,11 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words(text)], dtype=np.int32) for text in texts]
     known = list(vocabulary)
-    buckets, counts = subwords(known + [misspelt(w, random) for w in known], s)
-    parts = np.split(buckets, np.cumsum(counts)[:-1])
+    spelt = known + [misspelt(w, random) for w in known]
+    groups = [subwords(spelt[i:i + GROUP], s) for i in range(0, len(spelt), GROUP)]
+    buckets, counts = (np.concatenate([g[k] for g in groups] or [np.zeros(0, np.int32)]) for k in (0, 1))
+    heads = np.cumsum(counts) - counts
+    del vocabulary, spelt, groups
     y = np.array(labels, dtype=float)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     table = np.zeros((s.buckets, s.dimensions), np.float32)
@@ -175,17 +178,14 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
             chosen = order[first:first + s.batch]
             step += 1
             own = [docs[d] + len(known) * (random.random(len(docs[d])) < s.misspelt) for d in chosen]
-            spans = [[x[a:b] for a, b in windows(len(x), s)] for x in own]
+            spans = [x[windows(len(x), s)] for x in own]  # a row per window
             owners = np.repeat(np.arange(len(chosen)), [len(x) for x in spans])
-            sizes = np.array([len(w) for x in spans for w in x])
-            words, place = np.unique(np.concatenate([w for x in spans for w in x]), return_inverse=True)
-            pieces = [parts[w] for w in words]
-            lengths = np.array([len(x) for x in pieces])
-            flat = np.concatenate(pieces)
+            sizes = np.repeat([x.shape[1] for x in spans], [len(x) for x in spans])
+            words, place = np.unique(np.concatenate([x.ravel() for x in spans]), return_inverse=True)
+            lengths = counts[words]
+            flat = buckets[np.repeat(heads[words] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
             apart = out[:, 1] - out[:, 0]
-            touched, at = np.unique(flat, return_inverse=True)
-            rows = table[touched]
-            of_word = np.add.reduceat((rows @ apart)[at], np.cumsum(lengths) - lengths) / lengths
+            of_word = np.add.reduceat((table @ apart)[flat], np.cumsum(lengths) - lengths) / lengths
             margin = np.add.reduceat(of_word[place], np.cumsum(sizes) - sizes) / sizes + bias[1] - bias[0]
             starts = np.flatnonzero(np.diff(owners, prepend=-1))
             sharp = s.sharpness * step / steps
@@ -195,7 +195,9 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
             wrong = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y[chosen]) * weight[chosen] / len(chosen)
             of_place = np.repeat(wrong[owners] * share / sizes, sizes)
             per_word = np.bincount(place, weights=of_place, minlength=len(words)) / lengths
-            pull = np.bincount(at, weights=np.repeat(per_word, lengths), minlength=len(touched)).astype(np.float32)
+            pulls = np.bincount(flat, weights=np.repeat(per_word, lengths), minlength=s.buckets)
+            touched = np.flatnonzero(pulls)
+            pull, rows = pulls[touched].astype(np.float32), table[touched]
             seen[touched] += pull * pull
             pace = s.rate / np.sqrt(seen[touched].mean() + seen[touched])
             turn = (pull @ rows).astype(np.float32)
