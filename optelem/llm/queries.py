@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their DuckDB oracles."""
+"""Registered queries of the ten operators; their DuckDB oracles are in oracles.py."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optelem.llm import caps, licenses, mixing, quality_rules, sharding, simhash, toxicity, warc
+from optelem.llm import caps, licenses, mixing, packing, quality_rules, sharding, simhash, toxicity, warc
 from optelem.llm.bpe import Tokenizer
 from optelem.session import ensure_checkpoint_dir
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SHINGLE, MAX_BITS = 4, 4
+SEQUENCE = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[c for c in quality_rules.FIGURES if c != "clean_text"], F.sha2("clean_text", 256).alias("clean_sha256"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words",
+                         F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = packing.library_ids(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", ids(F.col("text")).alias("ids")), capacity=SEQUENCE)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +82,5 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_license_scan, op5_source_mix, op6_byte_bpe, op7_embedding_dedup,
-                                   op8_sharding, op9_warc_salvage, op10_simhash_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mix, op6_byte_bpe,
+                                   op7_embedding_dedup, op8_sharding, op9_warc_salvage, op10_simhash_dedup)}
