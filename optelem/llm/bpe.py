@@ -13,7 +13,9 @@ remembers recent pre-tokens in a table of bounded size.
 from __future__ import annotations
 
 import base64
+import re
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,45 @@ from pyspark.sql.functions import arrow_udf
 
 from optelem.llm.texts import add_columns
 
-REMEMBERED = 300_000  # pre-tokens a worker keeps, about 60 MB
+REMEMBERED = 1_000_000  # pre-tokens a worker keeps, about 160 MB
 MAX_VOCABULARY_BYTES = 64_000_000  # of the file that is broadcast
 _SPREAD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+# Letters and digits that Unicode has taken in after version 16, as a character class.
+YOUNG = (r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+         r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+         r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+         r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+         r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+         r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+         r"\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff"
+         r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
+_beyond_latin = re.compile("[^\\x00-\\u024f]").search
+_young = re.compile(f"[{YOUNG}]").search
+
+
+# The members of the classes below U+0250, for texts that hold nothing beyond.
+LATIN = {r"\p{L}": r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": r"\t-\r \x85\xa0"}
+
+
+def latin(pattern: str) -> str:
+    """The pattern with classes written out for Latin text, which the faster engine of the standard library takes."""
+    out, in_class = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\.|\[\^?|\])", pattern):
+        if part in LATIN:
+            part = LATIN[part] if in_class else f"[{LATIN[part]}]"
+        elif part == r"\S":
+            part = "[^" + LATIN[r"\s"] + "]"
+        elif part.startswith("["):
+            in_class = True
+        elif part == "]":
+            in_class = False
+        out.append(part)
+    return "".join(out)
+
+
 def _slot(key_hash: int, displacement: int, size: int) -> int:
     x = (key_hash ^ (displacement * _SPREAD & _MASK)) * 0xBF58476D1CE4E5B9 & _MASK
     return (x >> 32) * size >> 32
@@ -83,11 +118,26 @@ class PerfectHash:
         return slot if self.keys[slot] == key else -1
 
 
+class Remembered(dict):
+    """Ids of pre-tokens as bytes, worked out when first asked for."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self._piece = codec.piece
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._piece(piece.encode())
+        found = self[piece] = pack(f"<{len(ids)}i", *ids)
+        return found
+
+
 class Codec:
     """Vocabulary of one rank file, the pattern of pre-tokens, and the two tiers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self._latin = re.compile(latin(pattern)).findall
+        self._any = regex.compile(pattern).findall
+        self._with_young = regex.compile("(?V1)" + pattern.replace(r"\p{L}", f"[\\p{{L}}--[{YOUNG}]]").replace(r"\p{N}", f"[\\p{{N}}--[{YOUNG}]]")).findall
         tokens = sorted(ranks, key=ranks.get)
         self.table = PerfectHash(tokens)
         self.slot_id = [ranks[k] for k in self.table.keys]
@@ -99,10 +149,17 @@ class Codec:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << self.width | right] = rank
+        self.first = [self.pairs.get(self.byte_id[a] << self.width | self.byte_id[b], -1) for a in range(256) for b in range(256)]
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self)
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens; letters and digits younger than Unicode 16 are symbols, as they are in the published tokenizers."""
+        if text.isascii() or not _beyond_latin(text):
+            return self._latin(text)
+        return self._with_young(text) if _young(text) else self._any(text)
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -110,52 +167,56 @@ class Codec:
         return [self.slot_id[slot]] if slot >= 0 else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        pairs, width = self.pairs, self.width
+        """Joins the pair of lowest rank, the leftmost of equal ones, until none is left; heap entries are rank << 32 | place."""
+        pairs, width, first = self.pairs, self.width, self.first
+        rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # of the pair that starts at a place, -1 without one
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+        if not heap:
+            return [self.byte_id[b] for b in piece]
+        heapify(heap)
         ids = [self.byte_id[b] for b in piece]
         n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] << width | ids[i + 1])
-            if rank is not None:
-                heap.append((rank, i))
-        heapify(heap)
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            rank, i = heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or pairs.get(ids[i] << width | ids[j]) != rank:
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
+            joined = entry >> 32
+            if rank[i] != joined:
                 continue  # one of the two has been joined to another since
-            ids[i], ids[j] = rank, -1
-            after[i] = k = after[j]
+            j = after[i]
+            k = after[j]
+            ids[i], after[i], rank[j], rank[i] = joined, k, -1, -1
             if k < n:
                 before[k] = i
-                joined = pairs.get(rank << width | ids[k])
-                if joined is not None:
-                    heappush(heap, (joined, i))
+                r = pairs.get(joined << width | ids[k], -1)
+                if r >= 0:
+                    rank[i] = r
+                    heappush(heap, r << 32 | i)
             h = before[i]
             if h >= 0:
-                joined = pairs.get(ids[h] << width | rank)
-                if joined is not None:
-                    heappush(heap, (joined, h))
-        return [x for x in ids if x >= 0]
+                r = rank[h] = pairs.get(ids[h] << width | joined, -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
-        pieces, known = self.split(text), self.known
-        for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.piece(piece.encode()), dtype="<i4").tobytes()
-        ids = b"".join(map(known.__getitem__, pieces))
+        known = self.known
+        ids = b"".join(map(known.__getitem__, self.split(text)))
         if len(known) > REMEMBERED:
             known.clear()
         return ids
 
-    def decode(self, ids: list[int | None]) -> bytes | None:
+    def decode(self, ids: list[int]) -> bytes | None:
         """Bytes of the ids; None if one of them is no id of the vocabulary."""
-        try:
-            return b"".join([self.bytes_of[i] for i in ids]) if min(ids, default=0) >= 0 else None
-        except (IndexError, TypeError):
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.bytes_of):
             return None
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -190,9 +251,11 @@ class Tokenizer:
         @arrow_udf("array<int>")
         def run(texts: pa.Array) -> pa.Array:
             codec = _codec(blob, pattern)
-            found = [codec.encode((t.as_py() or b"").decode("utf-8", "replace")) for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+            ids, offsets = bytearray(), [0]
+            for t in texts:
+                ids += codec.encode((t.as_py() or b"").decode("utf-8", "replace"))
+                offsets.append(len(ids) // 4)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(ids)]))
 
         return add_columns(df, {out: run(F.col(text).cast("binary"))})
 
@@ -203,6 +266,6 @@ class Tokenizer:
         @arrow_udf("binary")
         def run(lists: pa.Array) -> pa.Array:
             codec = _codec(blob, pattern)
-            return pa.array([None if x is None else codec.decode(x) for x in lists.to_pylist()], type=pa.binary())
+            return pa.array((codec.decode(x.values.to_numpy().tolist()) if x.is_valid and not x.values.null_count else None for x in lists), type=pa.binary())
 
         return add_columns(df, {out: run(F.col(ids))})
