@@ -15,14 +15,32 @@ from pyspark.sql import functions as F
 from optelem.llm.texts import per_text, replaced
 
 SYMBOLS = b"#*$%&|<>"
-SENTENCE_END = re.compile("[.!?…。！？][\"'”’»)\\]]*(?=\\s|$)")
-SEPARATOR = re.compile(r"(?:^|\s)(?:[|»›•·/]|>{1,2}|->|::)(?=\s|$)")
-BOILERPLATE = re.compile(
-    r"(?i)\ball rights reserved\b|\b(?:accept|use[sd]?|enable) (?:all )?cookies\b|\bcookie (?:policy|settings|notice)\b|\bprivacy policy\b"
-    r"|\bterms (?:of (?:use|service)|and conditions)\b|\benable javascript\b|\blorem ipsum\b|\bpowered by\b|\bclick here\b"
-    r"|\b(?:sign|log) ?(?:in|up|out)\b.{0,40}\b(?:account|continue|register)\b|\bsubscribe (?:to|now)\b|\bshare (?:this|on)\b"
-    r"|\bskip to (?:main )?content\b|^\s*(?:copyright|©|\(c\)) ?(?:\(c\)|©)? ?\d{4}|\bpage \d+ of \d+\b|^[^.]*[{};]\s*$"
+SENTENCE_END = "[.!?…。！？][\"'”’»)\\]]*(?:\\s|$)"
+SEPARATORS = ("|", "»", "›", "•", "·", "/", ">", ">>", "->", "::")
+# Wordings of boilerplate, each with a lower-case part that a text must hold before the regex is tried.
+BOILERPLATE = (
+    ("rights reserved", r"\ball rights reserved\b"),
+    ("cookie", r"\b(?:accept|used?|uses|enable) (?:all )?cookies\b|\bcookie (?:policy|settings|notice)\b"),
+    ("privacy", r"\bprivacy policy\b"),
+    ("terms", r"\bterms (?:of (?:use|service)|and conditions)\b"),
+    ("javascript", r"\benable javascript\b"),
+    ("lorem", r"\blorem ipsum\b"),
+    ("powered by", r"\bpowered by\b"),
+    ("click here", r"\bclick here\b"),
+    ("account", r"\b(?:sign|log) ?(?:in|up)\b.{0,40}\baccount\b"),
+    ("subscribe", r"\bsubscribe (?:to|now)\b"),
+    ("share", r"^\s*share (?:this|on)\b"),
+    ("skip to", r"\bskip to (?:main )?content\b"),
+    ("copyright", r"^\s*copyright (?:\(c\) |© ?)?\d{4}"),
+    ("©", r"^\s*© ?\d{4}"),
+    ("page ", r"\bpage \d+ of \d+\b"),
+    (";", r"^[^.]*[{};]\s*$"),
+    ("}", r"^[^.]*[{}]\s*$"),
+    ("{", r"^[^.]*[{}]\s*$"),
 )
+_separators = tuple(s.encode() for s in SEPARATORS)
+_sentence_end = re.compile(SENTENCE_END, re.ASCII).search
+_boilerplate = tuple((hint, re.compile(regex, re.ASCII | re.IGNORECASE).search) for hint, regex in BOILERPLATE)
 
 
 @dataclass(frozen=True)
@@ -33,22 +51,22 @@ class Limits:
     separator_share: float = 0.125  # ... and they are such a share of its words
     symbol_share: float = 0.5  # symbols per word
     shout_words: int = 4  # lines of capitals count as shouting from so many words on
-    fragment_words: int = 3  # a line without a sentence end fails from so many words on, or below if it is all of the text
     lost_share: float = 0.4  # a document that loses more words is rejected
 
 
-def line_failure(line: str, words: int, limits: Limits = Limits()) -> str | None:
-    """The first rule that a line with words breaks."""
-    separators = len(SEPARATOR.findall(line))
-    if separators >= limits.separators and separators >= limits.separator_share * words:
+def line_failure(line: str, words: list[bytes], boilerplate: list, limits: Limits = Limits()) -> str | None:
+    """The first rule that a line with words breaks; `boilerplate` are the searches that its text may meet."""
+    n = len(words)
+    separators = sum(map(words.count, _separators)) if n >= limits.separators else 0
+    if separators >= limits.separators and separators >= limits.separator_share * n:
         return "navigation"
-    if sum(map(line.count, "#*$%&|<>")) > limits.symbol_share * words:
+    if sum(map(line.count, "#*$%&|<>")) > limits.symbol_share * n:
         return "symbols"
-    if BOILERPLATE.search(line):
+    if any(search(line) for search in boilerplate):
         return "boilerplate"
-    if words >= limits.shout_words and line.isupper():
+    if n >= limits.shout_words and line.isupper():
         return "shouting"
-    return None if SENTENCE_END.search(line) else "punctuation"
+    return None if _sentence_end(line) else "punctuation"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -74,11 +92,13 @@ def judge(data: bytes, limits: Limits = Limits()) -> tuple:
     repeats = repeated_words(words)
     base_failed = n < 50 or 100 * repeats > 50 * n
     kept, lost, failures = [], 0, {}
+    lower = data.decode("utf-8", "replace").lower()
+    boilerplate = [search for hint, search in _boilerplate if hint in lower]
     for line in lines:
-        size = len(line.split())
-        failure = line_failure(line.decode("utf-8", "replace").strip(" \t\r\f\v"), size, limits) if size else None
+        own = line.split()
+        failure = line_failure(line.strip().decode("utf-8", "replace"), own, boilerplate, limits) if own else None
         if failure:
-            lost += size
+            lost += len(own)
             failures[failure] = failures.get(failure, 0) + 1
         else:
             kept.append(line)
