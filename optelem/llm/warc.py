@@ -27,7 +27,7 @@ MAX_DUPLICATED = 200_000  # digests with more than one page that are broadcast,
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
 HEADER_END = re.compile(rb"\r?\n\r?\n")
-START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/[01]\.\d+\r?\n")
+START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
 LONGEST_HEADER = BLOCK = 1 << 16
 
 
