@@ -152,9 +152,14 @@ def test_caps_by_brute_force(spark):
 
 
 def test_caps_recall_on_the_table(spark):
-    sf = "/root/testdata/sf0.1"
-    table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    data = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in table.collect()}
+    random = np.random.default_rng(8)
+    vectors = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
+    near = vectors[random.integers(0, len(vectors), 2000)]
+    noise = random.standard_normal(near.shape)
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    near = near / np.linalg.norm(near, axis=1, keepdims=True) + noise * random.uniform(0.1, 0.5, (len(near), 1))
+    data = dict(enumerate(np.concatenate([vectors, near]).astype(np.float32).astype(float)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "vec_id long, embedding array<float>")
     ids = sorted(data)
     unit = np.stack([data[i] / np.linalg.norm(data[i]) for i in ids])
     degree = dict(zip(ids, ((unit @ unit.T >= 0.9).sum(1) - 1).tolist()))

@@ -74,8 +74,8 @@ def test_run_equals_the_written_stages(spark, stages):
 
 
 def test_stages_of_odd_tables(spark):
-    good = " ".join(f"Word{i} follows the last one." for i in range(40))
-    data = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (None, good + " More.", None, None, None), (2, None, None, "b", 0), (3, "", "en", None, 0), (4, good * 300, "en", "a", 1)]
+    good = " ".join(f"Word{i} goes {i * 7} ways." for i in range(40))
+    data = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (None, good + " More.", None, None, None), (2, None, None, "b", 0), (3, "", "en", None, 0), (4, " ".join(f"Long{i} text{i}." for i in range(30_000)), "en", "a", 1)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.withColumn("score", F.lit("s")).withColumn("size", F.lit("z")).withColumn("kept", F.lit("k")).withColumn("clean_text", F.lit("c")).withColumn("fp", F.lit("f"))
     for empty in (False, True):
