@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def as_micros(ms: Column | str) -> Column:
+    """Whole microseconds; NaN, infinities and what a long cannot hold are NULL."""
     ms = F.col(ms) if isinstance(ms, str) else ms
-    return F.round(ms * 1000).cast("long")
+    return F.round(ms * 1000).try_cast("long")
 
 
 def mean_ms(ms: str) -> Column:
-    return F.sum(as_micros(ms)).cast("double") / (F.lit(1e3) * F.count(ms))
+    """Mean of the values that are numbers, NULL without one."""
+    micros = as_micros(ms)
+    return F.try_divide(F.sum(micros).cast("double"), F.lit(1e3) * F.count(micros))

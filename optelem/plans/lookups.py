@@ -1,23 +1,37 @@
-"""Lookup sides: broadcast only after a bounded count proves them small, otherwise a shuffled join under AQE."""
+"""Lookup sides: broadcast only after a bounded count and their column widths prove them small, otherwise a shuffled join under AQE."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from optelem.session import ensure_checkpoint_dir
 
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def lookup_side(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark `side` for broadcast when it holds at most `max_rows` rows.
+    """Mark `side` for broadcast when it holds at most `max_rows` rows and MAX_BROADCAST_BYTES of values.
 
-    The count stops at max_rows + 1. A larger side is returned without a hint: Spark then
-    sort-merges, and AQE splits the partitions of a hot key.
+    Counting stops at max_rows + 1. A larger side is returned without a hint: Spark then sort-merges, and AQE splits
+    the partitions of a hot key.
     """
-    fits = side.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(side) if fits else side
+    found = side.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_width(side)).alias("bytes")).first()
+    return F.broadcast(side) if found["n"] <= max_rows and (found["bytes"] or 0) <= MAX_BROADCAST_BYTES else side
+
+
+def _width(side: DataFrame) -> Column:
+    """Bytes of a row: the length of its strings and binaries, of nested values as JSON, and 8 for any other value."""
+    total = F.lit(8 * len(side.columns)).cast("long")
+    for field in side.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return total
 
 
 def settle(df: DataFrame) -> DataFrame:

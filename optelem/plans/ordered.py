@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optelem.functions.times import bucket
+from optelem.plans.keys import join_on
 
 CHUNK_SECONDS = 300  # a key with a third of 100 TB over a month then puts a few GB into a chunk
 
 
 def _with_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(carry, [*keys, "_chunk"], "left")
+    return join_on(df, carry, [*keys, "_chunk"], "left")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,

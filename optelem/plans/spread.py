@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle rows by `key` when a few input files would leave cores idle; a well-split input stays as it is."""
+    """Shuffle rows by `key` when the plan has fewer partitions than there are cores; a well-split input stays as it is."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(key)) if 0 < len(df.inputFiles()) < cores else df
+    planned = df.rdd.getNumPartitions()  # of the plan; nothing runs
+    return df.repartition(cores, F.xxhash64(key)) if 0 < planned < cores else df

@@ -9,7 +9,7 @@ from optelem.operators import enrich, ml, rollups
 from registry.rollups import ROLLUP
 from registry.threat import FLAGGED, flagged
 
-CUT = "2024-01-16 00:00:00"
+EARLY_CUT, CUT = "2024-01-11 00:00:00", "2024-01-16 00:00:00"
 LABELLED_SCORES = "SELECT event_id, k / 100e0 AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM tel"
 THRESHOLDS = (0.1, 0.3, 0.5, 0.7, 0.9)
 RUNS = "SELECT o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'sla' WHEN 1 THEN 'temporal' WHEN 2 THEN 'threat' ELSE 'ces' END AS model_type, concat('t', CAST(o_custkey % 8 AS STRING)) AS tenant_id FROM orders"
@@ -35,31 +35,73 @@ def _rounded(df, column="score"):
     return df.withColumn(column, F.round(column, 3))
 
 
+def _in_range(column="score", low=0.0, high=1.0):
+    return F.coalesce(F.col(column).between(low, high), F.lit(False)).alias("in_range")
+
+
+def _sla_scores(spark, d):
+    """Hours from CUT on, scored by a model of the hours before."""
+    early, late = ml.split_by_time(_rows(spark, d), CUT)
+    return ml.probabilities(late, ml.fit_sla_model(early)), early
+
+
 def _sla(spark, d):
-    rows = _rows(spark, d)
-    return _rounded(ml.probabilities(rows, ml.fit_sla_model(rows))).select("tenant_id", "hour", "label", "score")
+    return _sla_scores(spark, d)[0].select("tenant_id", "hour", "label", _in_range())
+
+
+def _sla_loss(spark, d):
+    scored, early = _sla_scores(spark, d)
+    return ml.held_out_loss(scored, early.agg(F.avg("label")).first()[0])
 
 
-def _threat_rows(spark, d):
+def _threat_rows(spark, d, cut, end=None):
     traffic = flagged(spark, d)
-    return ml.threat_features(traffic, enrich.behaviour_flags(_tel(spark, d), 0.9, 0.3), ml.location_weights(traffic))
+    known = traffic.where(F.col("event_time") < F.lit(cut).cast("timestamp_ntz"))
+    return ml.threat_features(traffic, enrich.behaviour_flags(known, 0.9, 0.3), ml.location_weights(known), cut, end)
 
 
 def _threat(spark, d):
-    rows = _threat_rows(spark, d)
-    return _rounded(ml.probabilities(rows, ml.fit_threat_model(rows))).select("tenant_id", "user_id", "label", "score")
+    """Fitted on what the days before CUT show of the ten days from it on; judged on the days after those."""
+    model = ml.fit_threat_model(_threat_rows(spark, d, EARLY_CUT, CUT))
+    return ml.probabilities(_threat_rows(spark, d, CUT), model).select("tenant_id", "user_id", "label", _in_range())
 
 
 def _ces(spark, d):
     rows = ml.platform_features(flagged(spark, d), rollups.incident_intervals(_tel(spark, d)))
-    return ml.ces_predictions(rows, ml.fit_ces_model(rows)).select("day", F.round("score", 3).alias("score"))
+    early, late = ml.split_by_time(rows, CUT, "day")
+    return ml.ces_predictions(late, ml.fit_ces_model(early)).select("day", _in_range("score", 0.0, 100.0))
 
 
 def _predict(spark, d):
+    early, late = ml.split_by_time(_rows(spark, d), CUT)
+    asked = late.select("tenant_id", "hour", F.col("features").alias("inputs"))
+    out = ml.batch_predict(asked, ml.fit_threat_model(early), "threat-1")
+    return out.select("tenant_id", "hour", F.coalesce(F.abs(F.col("outputs")[0] + F.col("outputs")[1] - 1) < 1e-9, F.lit(False)).alias("sums_to_one"), "model_version")
+
+
+def _ridge(spark, d):
+    """Per tenant whether the coefficients solve the normal equations of the ridge regression."""
     rows = _rows(spark, d)
-    asked = rows.select("tenant_id", "hour", F.col("features").alias("inputs"))
-    out = ml.batch_predict(asked, ml.fit_threat_model(rows), "threat-1")
-    return out.select("tenant_id", "hour", F.round(F.col("outputs")[1], 6).alias("output"), "model_version")
+    fitted = ml.train_per_tenant(rows)
+    x = F.concat(F.array(F.lit(1e0)), F.col("features"))
+    gap = F.col("label") - F.aggregate(F.zip_with(x, F.col("coefficients"), lambda a, b: a * b), F.lit(0e0), lambda s, v: s + v)
+    long = rows.join(fitted, "tenant_id").select("tenant_id", "n", "coefficients", F.posexplode(x).alias("i", "_x"), gap.alias("_gap"))
+    sums = long.groupBy("tenant_id", "n", "i").agg(F.sum(F.col("_x") * F.col("_gap")).alias("_r"), F.sum(F.abs(F.col("_x") * F.col("_gap"))).alias("_size"), F.first(F.get("coefficients", F.col("i"))).alias("_w"))
+    residual = F.abs(F.col("_r") - F.when(F.col("i") > 0, F.col("_w")).otherwise(0e0)) / (1 + F.col("_size"))
+    return sums.groupBy("tenant_id", "n").agg((F.max(residual) < 1e-6).alias("solved"))
+
+
+def _sketch_ranks(spark, d):
+    """Per tenant whether the percentiles of merged sketches lie within two percent of their rank."""
+    tel = _tel(spark, d)
+    merged = rollups.merged_percentiles(rollups.latency_sketches(tel), ["tenant_id"], {"p50": 0.5, "p95": 0.95})
+    joined = tel.join(merged.select("tenant_id", "p50", "p95"), "tenant_id")
+
+    def near(p, q):
+        below, at_most = F.avg((F.col("latency_ms") < F.col(p)).cast("double")), F.avg((F.col("latency_ms") <= F.col(p)).cast("double"))
+        return ((below <= q + 0.02) & (at_most >= q - 0.02)).alias(f"{p}_near")
+
+    return joined.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), near("p50", 0.5), near("p95", 0.95))
 
 
 def _distil(spark, d):
@@ -78,6 +120,7 @@ QUERIES = {
     "window_features": _features,
     "feature_pages": lambda s, d: ml.feature_pages(_rows(s, d), 100).select("tenant_id", "page", "pos", "hour", "label", F.col("features")[3].alias("error_rate")),
     "sla_model": _sla,
+    "sla_model_loss": _sla_loss,
     "threat_model": _threat,
     "ces_model": _ces,
     "spike_forecast": lambda s, d: ml.spike_forecast(_rollup(s, d)),
@@ -86,7 +129,8 @@ QUERIES = {
     "grid_search": lambda s, d: ml.grid_search(_rows(s, d), {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]})[0].withColumn("loss", F.round("loss", 6)),
     "batch_predict": _predict,
     "artefact_path": lambda s, d: query(s, d, RUNS).withColumn("path", ml.artefact_path("model_type", "tenant_id")),
-    "train_per_tenant": lambda s, d: ml.train_per_tenant(_rows(s, d)).withColumn("loss", F.round("loss", 6)).withColumn("coefficients", F.transform("coefficients", lambda c: F.round(c, 6))),
+    "train_per_tenant": _ridge,
+    "latency_sketches": _sketch_ranks,
     "distil": _distil,
     "drift": lambda s, d: ml.drift(_features(s, d), ["moving_avg_latency", "error_rate", "peak_share"], CUT),
     "threshold_report": lambda s, d: ml.threshold_report(query(s, d, LABELLED_SCORES), THRESHOLDS, 5.0, 1.0),
@@ -103,9 +147,19 @@ LIT_T = ", ".join(f"({t}e0)" for t in THRESHOLDS)
 ORACLES = {
     "window_features": f"WITH {FEATURES} SELECT * FROM feat",
     "feature_pages": f"""WITH {FEATURES}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY hour) - 1 AS no FROM feat)
-      SELECT tenant_id, CAST(no // 100 AS BIGINT) AS page, CAST(no % 100 AS INTEGER) AS pos, hour, CAST(error_rate > 0.25 AS INTEGER) AS label, error_rate FROM n""",
-    "anomaly_scores": f"""WITH {ROLLUP}, c AS (SELECT tenant_id, round(quantile_cont(avg_latency, 0.5), 6) AS m FROM roll GROUP BY tenant_id),
-      o AS (SELECT roll.*, m, abs(avg_latency - m) AS off FROM roll JOIN c ON c.tenant_id = roll.tenant_id), s AS (SELECT tenant_id, round(quantile_cont(off, 0.5), 6) AS mad FROM o GROUP BY tenant_id),
+      SELECT tenant_id, CAST(no // 100 AS BIGINT) AS page, CAST(no % 100 AS INTEGER) AS pos, hour, label, error_rate FROM (SELECT *, CAST(lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) > 0.25 AS INTEGER) AS label FROM n) l WHERE label IS NOT NULL""",
+    "sla_model": f"""WITH {FEATURES}, l AS (SELECT tenant_id, hour, CAST(lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) > 0.25 AS INTEGER) AS label FROM feat)
+      SELECT *, true AS in_range FROM l WHERE label IS NOT NULL AND hour >= TIMESTAMP '{CUT}'""",
+    "batch_predict": f"""WITH {FEATURES}, l AS (SELECT tenant_id, hour, lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) AS coming FROM feat)
+      SELECT tenant_id, hour, true AS sums_to_one, 'threat-1' AS model_version FROM l WHERE coming IS NOT NULL AND hour >= TIMESTAMP '{CUT}'""",
+    "threat_model": f"""WITH {FLAGGED}, u AS (SELECT DISTINCT tenant_id, user_id FROM fl WHERE event_time < TIMESTAMP '{CUT}'), h AS (SELECT DISTINCT tenant_id, user_id FROM fl WHERE event_time >= TIMESTAMP '{CUT}' AND is_malicious)
+      SELECT u.tenant_id, u.user_id, CAST(h.user_id IS NOT NULL AS INTEGER) AS label, true AS in_range FROM u LEFT JOIN h ON h.tenant_id = u.tenant_id AND h.user_id = u.user_id""",
+    "ces_model": f"SELECT DISTINCT CAST(event_time AS DATE) AS day, true AS in_range FROM tel WHERE event_time >= TIMESTAMP '{CUT}'",
+    "train_per_tenant": f"""WITH {FEATURES}, l AS (SELECT tenant_id, lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) AS coming FROM feat)
+      SELECT tenant_id, count(*) AS n, true AS solved FROM l WHERE coming IS NOT NULL GROUP BY tenant_id""",
+    "latency_sketches": "SELECT tenant_id, count(*) AS n, true AS p50_near, true AS p95_near FROM tel GROUP BY tenant_id",
+    "anomaly_scores": f"""WITH {ROLLUP}, c AS (SELECT tenant_id, quantile_cont(avg_latency, 0.5) AS m FROM roll GROUP BY tenant_id),
+      o AS (SELECT roll.*, m, abs(avg_latency - m) AS off FROM roll JOIN c ON c.tenant_id = roll.tenant_id), s AS (SELECT tenant_id, quantile_cont(off, 0.5) AS mad FROM o GROUP BY tenant_id),
       z AS (SELECT o.tenant_id, hour, coalesce(0.6745e0 * (avg_latency - m) / nullif(mad, 0), 0) AS z FROM o JOIN s ON s.tenant_id = o.tenant_id)
       SELECT tenant_id, hour, round(z, 4) AS z, round(least(1e0, abs(z) / 6), 4) AS score FROM z""",
     "spike_forecast": f"""WITH {ROLLUP}, e AS (SELECT *, CAST(errors AS DOUBLE) / requests AS err FROM roll),
@@ -121,7 +175,7 @@ ORACLES = {
       WHEN 'threat' THEN 'threat_models/platform_threat_model' ELSE 'ces_models/platform_ces_model' END AS path FROM ({RUNS}) r""",
     "drift": f"""WITH {FEATURES}, lng AS (SELECT hour >= TIMESTAMP '{CUT}' AS late, 'moving_avg_latency' AS feature, moving_avg_latency AS v FROM feat UNION ALL SELECT hour >= TIMESTAMP '{CUT}', 'error_rate', error_rate FROM feat UNION ALL SELECT hour >= TIMESTAMP '{CUT}', 'peak_share', peak_share FROM feat),
       e AS (SELECT feature, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM lng WHERE NOT late GROUP BY feature),
-      b AS (SELECT late, l.feature, len([q FOR q IN qs IF v > round(q, 6)]) AS bin FROM lng l JOIN e ON e.feature = l.feature WHERE v IS NOT NULL),
+      b AS (SELECT late, l.feature, len([q FOR q IN qs IF v > q]) AS bin FROM lng l JOIN e ON e.feature = l.feature WHERE v IS NOT NULL),
       g AS (SELECT feature, i AS bin FROM e, range(10) r(i)), c AS (SELECT g.feature, g.bin, count(CASE WHEN NOT late THEN 1 END) AS base, count(CASE WHEN late THEN 1 END) AS cur FROM g LEFT JOIN b ON b.feature = g.feature AND b.bin = g.bin GROUP BY ALL),
       s AS (SELECT feature, greatest(1e-4, base / CAST(sum(base) OVER (PARTITION BY feature) AS DOUBLE)) AS pb, greatest(1e-4, cur / CAST(sum(cur) OVER (PARTITION BY feature) AS DOUBLE)) AS pn FROM c)
       SELECT feature, round(sum((pn - pb) * ln(pn / pb)), 6) AS psi FROM s GROUP BY feature""",
