@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optelem.functions.times import bucket
+from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side, settled_lookup
 from optelem.plans.ordered import last_known
 from optelem.plans.percentiles import exact_percentiles
@@ -16,6 +17,7 @@ from optelem.plans.spread import spread
 
 # (reason, condition that must hold); the first failing rule names the reason
 TELEMETRY_RULES = (
+    ("missing_key", "idempotency_key IS NOT NULL"),
     ("missing_latency", "latency_in IS NOT NULL"),
     ("latency_out_of_range", "latency_in BETWEEN 0 AND 480"),
     ("bad_status", "status_code BETWEEN 100 AND 599"),
@@ -30,16 +32,26 @@ def check_contract(df: DataFrame, rules: Sequence[tuple[str, str]] = TELEMETRY_R
 
 
 def check_metadata(df: DataFrame, allowed: Sequence[str], column: str = "metadata") -> DataFrame:
-    """Add `bad_keys` and `reason`: routing tags outside the allow-list reject the row."""
-    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    bad = F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in allowed])))
+    """Add `bad_keys` and `reason`: routing tags outside the allow-list, and whatever is no JSON object, reject the row.
+
+    NULL metadata carries no tag and passes.
+    """
+    keys = F.json_object_keys(column)
+    bad = F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in allowed])))
+    malformed = F.col(column).isNotNull() & (keys.isNull() | F.try_parse_json(F.col(column)).isNull())
     return (df.withColumn("bad_keys", F.array_join(bad, ","))
-            .withColumn("reason", F.when(F.col("bad_keys") != "", F.lit("metadata_not_allowed"))))
+            .withColumn("reason", F.when(malformed, F.lit("metadata_malformed")).when(F.col("bad_keys") != "", F.lit("metadata_not_allowed"))))
+
+
+def _one_owner(mapping: DataFrame, key: str, owner: str) -> DataFrame:
+    """One row per key; a key that is listed for several owners belongs to none."""
+    owners = mapping.groupBy(key).agg(F.min(owner).alias("_low"), F.max(owner).alias("_high"))
+    return owners.select(key, F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias(owner))
 
 
 def attribute_host(df: DataFrame, tenants: DataFrame, out: str = "tenant_id") -> DataFrame:
-    """Host to tenant; unknown hosts get NULL."""
-    side = lookup_side(tenants.select("host", F.col("tenant_id").alias("_mapped")))
+    """Host to tenant; unknown hosts, and those of several tenants, get NULL."""
+    side = lookup_side(_one_owner(tenants.select("host", F.col("tenant_id").alias("_mapped")), "host", "_mapped"))
     return df.drop(out).join(side, "host", "left").withColumnRenamed("_mapped", out)
 
 
@@ -53,7 +65,8 @@ def bind_tenant(df: DataFrame, tenants: DataFrame, claimed: str = "claimed_tenan
 
 def attribute_key(df: DataFrame, keys: DataFrame, key: str = "sender_key") -> DataFrame:
     """SHA-256 of the sender key looked up among the active keys (key_hash, tenant_id, is_active)."""
-    side = lookup_side(keys.where("is_active").select(F.col("key_hash").alias("_hash"), F.col("tenant_id").alias("key_tenant")))
+    active = keys.where("is_active").select(F.col("key_hash").alias("_hash"), F.col("tenant_id").alias("key_tenant"))
+    side = lookup_side(_one_owner(active, "_hash", "key_tenant"))
     hashed = df.withColumn("_hash", F.sha2(F.col(key).cast("binary"), 256))
     return (hashed.join(side, "_hash", "left").drop("_hash", key)
             .withColumn("reason", F.when(F.col("key_tenant").isNull(), F.lit("unknown_key"))))
@@ -71,9 +84,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return picked.select("_row.*")
 
 
+ARRIVAL = ["received_at", "delivery", "event_id"]
+
+
 def dedupe(df: DataFrame) -> DataFrame:
-    """First arrival per (tenant, idempotency key)."""
-    return first_per_key(df, ["tenant_id", "idempotency_key"], ["received_at", "delivery", "event_id"])
+    """First arrival per (tenant, idempotency key). Rows without a key repeat nothing and all stay."""
+    keyed = first_per_key(df.where(F.col("idempotency_key").isNotNull()), ["tenant_id", "idempotency_key"], ARRIVAL)
+    return keyed.unionByName(df.where(F.col("idempotency_key").isNull()))
 
 
 def upcast(df: DataFrame, steps: dict[int, dict[str, str]]) -> DataFrame:
@@ -96,13 +113,26 @@ def unknown_versions(df: DataFrame, current: int) -> DataFrame:
 
 
 def dead_letters(*rejected: DataFrame, key: str = "idempotency_key", attempts: str = "delivery",
-                 payload: Sequence[str] = ("event_id", "idempotency_key", "event_type")) -> DataFrame:
-    """Rejected rows of any check with error class, original payload and attempts."""
-    shaped = [d.where(F.col("reason").isNotNull())
-              .select("event_id", F.col(key).alias("idempotency_key"), F.col("reason").alias("error_class"),
-                      F.to_json(F.struct(*payload)).alias("payload"), F.col(attempts).cast("int").alias("attempts"))
-              for d in rejected]
-    return reduce(DataFrame.unionByName, shaped)
+                 payload: Sequence[str] | None = None) -> DataFrame:
+    """Rejected rows of any check with error class, original payload and attempts.
+
+    The payload is the whole row as JSON, NULL fields included, so that `rebuilt` can give the event back.
+    """
+    def shaped(d: DataFrame) -> DataFrame:
+        fields = payload or [c for c in d.columns if c != "reason"]
+        body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampNTZFormat": PAYLOAD_TIME})
+        return d.where(F.col("reason").isNotNull()).select(
+            "event_id", F.col(key).alias("idempotency_key"), F.col("reason").alias("error_class"), body.alias("payload"), F.col(attempts).cast("int").alias("attempts"))
+
+    return reduce(DataFrame.unionByName, map(shaped, rejected))
+
+
+PAYLOAD_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
+def rebuilt(dlq: DataFrame, schema: str) -> DataFrame:
+    """The events of dead letters, from their payload."""
+    return dlq.select(F.from_json("payload", schema, {"timestampNTZFormat": PAYLOAD_TIME}).alias("_event")).select("_event.*")
 
 
 def replay(dlq: DataFrame, accepted: DataFrame, cap: int) -> DataFrame:
@@ -116,7 +146,7 @@ def replay(dlq: DataFrame, accepted: DataFrame, cap: int) -> DataFrame:
 def batch_receipts(df: DataFrame) -> DataFrame:
     """Counts per batch: accepted, duplicate, rejected. `df` carries batch_id and `reason`."""
     valid = df.where(F.col("reason").isNull())
-    winners = dedupe(valid).groupBy("batch_id").agg(F.count(F.lit(1)).alias("accepted"))
+    winners = dedupe(valid.select("tenant_id", "idempotency_key", *ARRIVAL, "batch_id")).groupBy("batch_id").agg(F.count(F.lit(1)).alias("accepted"))
     totals = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("rejected"))
     joined = totals.join(winners, "batch_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0).cast("long")))
     state = F.when(F.col("accepted") == F.col("n"), F.lit("complete")).when(F.col("accepted") > 0, F.lit("partial")).otherwise(F.lit("rejected"))
@@ -144,7 +174,7 @@ def quarantine_outliers(df: DataFrame, keys: Sequence[str] = ("tenant_id", "serv
                         k: float = 1.5) -> DataFrame:
     """Add `is_outlier`: outside the interquartile fence of the row's group."""
     fences = exact_percentiles(df, list(keys), value, {"_q1": 0.25, "_q3": 0.75}).drop("n")
-    joined = df.join(settled_lookup(fences), list(keys), "left")
+    joined = join_on(df, settled_lookup(fences), list(keys), "left")
     spread = F.col("_q3") - F.col("_q1")
     outside = (F.col(value) < F.col("_q1") - k * spread) | (F.col(value) > F.col("_q3") + k * spread)
     return joined.withColumn("is_outlier", F.coalesce(outside, F.lit(False))).drop("_q1", "_q3")
@@ -198,8 +228,8 @@ def minimise_ips(df: DataFrame, as_of: str, gap_seconds: int = 1800, user: str =
 
 
 def consent_as_of(df: DataFrame, consent: DataFrame, user: str = "user_id", time: str = "event_time") -> DataFrame:
-    """Add `consented`: the newest analytical consent at or before the event; none counts as refusal."""
-    decisions = (consent.groupBy(F.col(user).alias("_u"), F.col("decided_at").alias("_t"))
+    """Add `consented`: the newest analytical consent at or before the event; none counts as refusal, and so does a NULL user."""
+    decisions = (consent.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("_u"), F.col("decided_at").alias("_t"))
                  .agg(F.bool_and("analytical").alias("_consent"))
                  .select("_u", "_t", F.lit(0).alias("_kind"), "_consent"))
     rows = df.select(F.col(user).alias("_u"), F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.struct(*df.columns).alias("_row"))

@@ -30,7 +30,7 @@ def _judged(spark, d):
 
 
 def _dlq(spark, d):
-    return quality.dead_letters(_judged(spark, d))
+    return quality.dead_letters(_judged(spark, d), payload=["event_id", "idempotency_key", "event_type"])
 
 
 def _accepted(spark, d):

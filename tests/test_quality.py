@@ -59,7 +59,10 @@ def test_dead_letters_and_replay(spark):
     dlq = quality.dead_letters(quality.check_contract(df))
     accepted = spark.createDataFrame([("c",), ("c",), ("d",)], "idempotency_key string")
     assert rows(quality.replay(dlq, accepted, 3), "event_id", "state") == [(1, "replayable"), (2, "exhausted"), (3, "already_accepted")]
-    assert dlq.where("event_id = 1").first()["payload"] == '{"event_id":1,"idempotency_key":"a","event_type":"view"}'
+    schema = df.drop("reason").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    again = quality.rebuilt(dlq.where("event_id = 1"), schema)
+    assert rows(again) == rows(df.where("event_id = 1")) and again.dtypes == df.dtypes
+    assert rows(quality.check_contract(again), "reason") == [("missing_latency",)]
 
 
 def test_receipts(spark):
@@ -109,3 +112,22 @@ def test_tracking_cookies(spark):
     df = spark.createDataFrame([(1, header, False), (2, header, True), (3, header, None), (4, None, False)], "user_id long, cookie_header string, analytical boolean")
     kept = "necessary=1; _garden=8"
     assert rows(quality.strip_tracking_cookies(df), "user_id", "cookie_header") == [(1, kept), (2, header), (3, kept), (4, None)]
+
+
+def test_rows_without_a_key_all_stay(spark):
+    df = raw(spark, [(1, "t1", "t1", "h", None, 1, "2024-01-01 00:00:00", 1.0, 200), (2, "t1", "t1", "h", None, 1, "2024-01-01 00:00:01", 1.0, 200),
+                     (3, "t1", "t1", "h", "a", 1, "2024-01-01 00:00:00", 1.0, 200), (3, "t1", "t1", "h", "a", 2, "2024-01-01 00:00:00", 1.0, 200)])
+    assert rows(quality.dedupe(df), "event_id") == [(1,), (2,), (3,)]
+    assert rows(quality.check_contract(df).where("reason IS NOT NULL"), "event_id", "reason") == [(1, "missing_key"), (2, "missing_key")]
+
+
+def test_keys_and_hosts_listed_twice(spark):
+    hosts = spark.createDataFrame([("h", "t1"), ("h", "t1"), ("g", "t1"), ("g", "t2")], "host string, tenant_id string")
+    events = spark.createDataFrame([(1, "h"), (2, "g"), (3, "x"), (4, None)], "event_id long, host string")
+    assert rows(quality.attribute_host(events, hosts, "mapped"), "event_id", "mapped") == [(1, "t1"), (2, None), (3, None), (4, None)]
+
+
+def test_metadata_that_is_no_object(spark):
+    df = spark.createDataFrame([(1, '{"k":1}'), (2, '{"k":'), (3, "[]"), (4, "7"), (5, None), (6, ""), (7, "{}"), (8, '{"x":1,"k":2}')], "event_id long, metadata string")
+    found = dict(rows(quality.check_metadata(df, ["k"]), "event_id", "reason"))
+    assert found == {1: None, 2: "metadata_malformed", 3: "metadata_malformed", 4: "metadata_malformed", 5: None, 6: "metadata_malformed", 7: None, 8: "metadata_not_allowed"}
