@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from optelem.functions.exact import mean_ms
 from optelem.functions.times import bucket, epoch_us, trunc, ts
+from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side
 from optelem.plans.ordered import running_sum
 from optelem.plans.percentiles import exact_percentiles
@@ -71,17 +72,10 @@ def sla_compliance(df: DataFrame, max_error: float = 0.01, p99_bound: float = 10
 def latency_by_dimension(df: DataFrame, dims: Sequence[str] = ("device_type", "country", "network_class")) -> DataFrame:
     """p50, p95, p99 by every single dimension, by all together and in total; bit i of `level` is set when dimension i is rolled up.
 
-    Each row counts for every grouping inside its task; only histograms of the groupings are shuffled.
+    Histograms are taken at the finest dimensions and rolled up, so a raw row is looked at once per pass.
     """
     dims = list(dims)
-    groupings = [dims, *[[d] for d in dims], []]
-
-    def grouping(kept: list[str]) -> Column:
-        level = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in kept)
-        return F.struct(*[(F.col(d) if d in kept else F.lit(None).cast("string")).alias(d) for d in dims], F.lit(level).alias("level"))
-
-    grouped = df.select("latency_ms", F.explode(F.array(*[grouping(g) for g in groupings])).alias("_g")).select("latency_ms", "_g.*")
-    return exact_percentiles(grouped, [*dims, "level"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return exact_percentiles(df.select(*dims, "latency_ms"), dims, "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, groupings=[dims, *[[d] for d in dims], []])
 
 
 def latency_sketches(df: DataFrame, k: int = 400) -> DataFrame:
@@ -215,15 +209,21 @@ def quota_usage(df: DataFrame, tenants: DataFrame, limits: dict[str, int] | None
 def sliding_rate(df: DataFrame, limit: int, span_seconds: int = 60, chunk_seconds: int = 300) -> DataFrame:
     """Requests of the tenant in the trailing span at each request.
 
-    Each tenant is cut into time chunks; rows near a chunk's end are also sent to the next chunk,
-    where they count but are not returned.
+    A request counts one from its time and takes it back just after the span, so a running sum tells how many are
+    in the span and each row is looked at once. Each tenant is cut into time chunks; requests near a chunk's end are
+    also sent to the next chunk, where they count but are not returned.
     """
-    us = df.withColumn("_us", epoch_us("event_time")).withColumn("_chunk", bucket("event_time", chunk_seconds))
-    last = F.floor((F.col("_us") + span_seconds * 1_000_000) / F.lit(chunk_seconds * 1_000_000)).cast("long")
+    span = span_seconds * 1_000_000
+    us = df.select(F.struct(*df.columns).alias("_row"), "tenant_id", epoch_us("event_time").alias("_us"), bucket("event_time", chunk_seconds).alias("_chunk"))
+    last = F.floor((F.col("_us") + span) / F.lit(chunk_seconds * 1_000_000)).cast("long")
     spread = us.withColumn("_at", F.explode(F.sequence("_chunk", last)))
-    w = Window.partitionBy("tenant_id", "_at").orderBy("_us").rangeBetween(-span_seconds * 1_000_000, 0)
-    counted = spread.withColumn("n60", F.count(F.lit(1)).over(w)).where(F.col("_at") == F.col("_chunk"))
-    return counted.withColumn("over", F.col("n60") > limit).drop("_us", "_chunk", "_at")
+    nothing = F.lit(None).cast(us.schema["_row"].dataType)
+    enters = F.struct(F.col("_us").alias("_t"), F.lit(1).alias("_step"), F.when(F.col("_at") == F.col("_chunk"), F.col("_row")).otherwise(nothing).alias("_row"))
+    leaves = F.struct((F.col("_us") + span + 1).alias("_t"), F.lit(-1).alias("_step"), nothing.alias("_row"))
+    steps = spread.select("tenant_id", "_at", F.explode(F.array(enters, leaves)).alias("_e")).select("tenant_id", "_at", "_e.*")
+    w = Window.partitionBy("tenant_id", "_at").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    counted = steps.withColumn("n60", F.sum("_step").over(w)).where(F.col("_row").isNotNull())
+    return counted.select("_row.*", "n60", (F.col("n60") > limit).alias("over"))
 
 
 def token_bucket_audit(df: DataFrame, limits: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
@@ -259,7 +259,7 @@ def token_bucket_audit(df: DataFrame, limits: DataFrame, keys: Sequence[str] = (
 
     starts = ordered.mapInPandas(replay, schema)
     position = F.row_number().over(Window.partitionBy(*keys, "_sec").orderBy("event_time", "event_id"))
-    judged = keyed.withColumn("_pos", position).join(starts, [*keys, "_sec"])
+    judged = join_on(keyed.withColumn("_pos", position), starts, [*keys, "_sec"])
     whole = F.floor("_tokens")
     allowed = F.col("_pos") <= whole
     left = F.col("_tokens") - F.least(F.col("_pos").cast("double"), whole.cast("double"))

@@ -23,6 +23,11 @@ def tel(spark, d):
     return view(spark, d, "tel")
 
 
+def rounded(df, *columns, digits=6):
+    """Interpolated values without their last digits, which depend on how an interpolation is written."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 def _uptime(spark, d):
     return rollups.uptime_daily(query(spark, d, GAPPED))
 
@@ -39,20 +44,14 @@ def _limits(spark, d):
     return view(spark, d, "tenants").select("tenant_id", F.when(F.col("tier") == "Pro", 6).otherwise(2).alias("capacity"))
 
 
-def _sketched(spark, d):
-    """p95 per tenant off merged hourly sketches."""
-    return rollups.merged_percentiles(rollups.latency_sketches(tel(spark, d)), ["tenant_id"], {"p50": 0.5, "p95": 0.95})
-
-
 QUERIES = {
     "hourly_rollup": lambda s, d: rollups.hourly_rollup(tel(s, d)),
     "last_hour_rollup": lambda s, d: rollups.last_hour_rollup(tel(s, d), HOUR_AS_OF),
     "fast_rows": lambda s, d: rollups.fast_rows(tel(s, d), 100.0).select("event_id", "status_code", "latency_ms"),
     "uptime_daily": lambda s, d: rollups.uptime_daily(tel(s, d)),
     "fill_no_data": lambda s, d: rollups.fill_no_data(_uptime(s, d), "2024-01-01", 30),
-    "sla_compliance": lambda s, d: rollups.sla_compliance(enrich.human_traffic(enriched(s, d)), 0.25, 480.0),
-    "latency_by_dimension": lambda s, d: rollups.latency_by_dimension(enriched(s, d)),
-    "latency_sketches": _sketched,
+    "sla_compliance": lambda s, d: rounded(rollups.sla_compliance(enrich.human_traffic(enriched(s, d)), 0.25, 480.0), "p99"),
+    "latency_by_dimension": lambda s, d: rounded(rollups.latency_by_dimension(enriched(s, d)), "p50", "p95", "p99"),
     "top_origins": lambda s, d: rollups.top_origins(flagged(s, d)),
     "incident_intervals": incidents,
     "mttr": lambda s, d: rollups.mttr(incidents(s, d)),
@@ -102,7 +101,7 @@ ORACLES = {
       a AS (SELECT dd.*, coalesce(incidents, 0) AS incidents FROM dd LEFT JOIN o ON dd.tenant_id = o.tenant_id AND dd.day = o.day)
       SELECT tenant_id, day, 100e0 * (1 - CAST(sum(errors) OVER w AS DOUBLE) / CAST(sum(requests) OVER w AS DOUBLE)) AS running_sla_pct, CAST(sum(threats) OVER w AS BIGINT) AS running_threats, CAST(sum(incidents) OVER w AS BIGINT) AS running_incidents
       FROM a WINDOW w AS (PARTITION BY tenant_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""",
-    "ces_scores": f"""WITH {ROLLUP}, {INCIDENTS}, t AS (SELECT tenant_id, CAST(count(CASE WHEN status_code >= 500 THEN 1 END) AS DOUBLE) / count(*) AS err, CAST(count(CASE WHEN latency_ms > 450 THEN 1 END) AS DOUBLE) / count(*) AS slow, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM tel GROUP BY tenant_id),
+    "ces_scores": f"""WITH {ROLLUP}, {INCIDENTS}, t AS (SELECT tenant_id, CAST(count(CASE WHEN status_code >= 500 THEN 1 END) AS DOUBLE) / count(*) AS err, CAST(count(CASE WHEN latency_ms > 450 THEN 1 END) AS DOUBLE) / count(*) AS slow, quantile_cont(latency_ms, 0.99) AS p99 FROM tel GROUP BY tenant_id),
       h AS (SELECT tenant_id, stddev_samp(avg_latency) / avg(avg_latency) AS cv FROM roll GROUP BY tenant_id), i AS (SELECT tenant_id, count(*) AS n FROM inc WHERE failures >= 5 GROUP BY tenant_id),
       s AS (SELECT t.tenant_id, greatest(0, 100e0 - 10 * coalesce(n, 0) - 100 * slow) AS threat, 100e0 * (1 - err) * least(1e0, 450e0 / p99) AS sla, greatest(0, 100e0 - 5 * coalesce(n, 0) - 50 * coalesce(cv, 0)) AS stable
        FROM t LEFT JOIN h ON t.tenant_id = h.tenant_id LEFT JOIN i ON t.tenant_id = i.tenant_id)

@@ -172,3 +172,27 @@ def test_entitlement_and_billing(spark):
     remote = spark.createDataFrame([("c1", "active"), ("c2", "unpaid"), ("c4", "active"), ("c9", "active"), ("c6", "trialing")], "remote_id string, status string")
     out = rollups.reconcile_subscriptions(local, remote)
     assert {r["account_id"]: r["action"] for r in out.collect()} == {1: "upgrade", 2: "downgrade", 3: "manual_grant", 4: "keep", 5: "keep", 6: "keep", None: "orphan_remote"}
+
+
+def test_rollup_of_values_that_are_no_numbers(spark):
+    df = events(spark, [("t", "s", 1, 1, "2024-01-01 00:00:00", 200, float("nan")), ("t", "s", 1, 2, "2024-01-01 00:00:01", 500, float("inf")), ("t", "s", 1, 3, "2024-01-01 00:00:02", 200, 4.0),
+                        ("u", "s", 1, 4, "2024-01-01 00:00:00", 200, float("nan"))])
+    assert rows(rollups.hourly_rollup(df), "tenant_id", "avg_latency", "requests", "errors") == [("t", 4.0, 3, 1), ("u", None, 1, 0)]
+
+
+def test_incidents_of_a_service_without_a_name(spark):
+    data = [(None, None, 1, i, f"2024-01-01 {h:02d}:00:{s:02d}", code, 1.0) for i, (h, s, code) in enumerate([(0, 0, 500), (0, 1, 500), (0, 20, 200), (5, 0, 500), (5, 1, 500), (5, 20, 200)])]
+    assert rows(rollups.incident_intervals(events(spark, data)), "failures", "duration_s") == [(2, 20), (2, 20)]
+
+
+def test_sliding_rate_takes_one_look_at_each_row(spark):
+    import time
+    took = {}
+    for n in (10_000, 40_000):
+        df = spark.range(n).select(F.lit("t").alias("tenant_id"), F.timestamp_micros(F.col("id") * 1000).cast("timestamp_ntz").alias("event_time"), "id").cache()
+        df.count()
+        start = time.perf_counter()
+        found = rollups.sliding_rate(df, 5).agg(F.max("n60"), F.count("*")).first()
+        took[n] = time.perf_counter() - start
+        assert tuple(found) == (n, n)
+    assert took[40_000] < 6 * max(took[10_000], 0.5)
