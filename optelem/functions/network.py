@@ -25,6 +25,7 @@ def url_host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def domain_of(host: Column) -> Column:
-    """Last two labels of a host."""
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+def host_suffixes(host: Column) -> Column:
+    """The host and every domain above it, down to its last label."""
+    labels = F.split(F.lower(host), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from optelem.functions.network import domain_of
-from optelem.functions.times import bucket, trunc, ts
+from optelem.functions.network import host_suffixes
+from optelem.functions.times import bucket, epoch_us, trunc, ts
+from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.spread import spread
 
@@ -25,12 +26,21 @@ def merge_feeds(*feeds: DataFrame, as_of: str, life_hours: int = 24 * 30) -> Dat
 
 
 def match_indicators(df: DataFrame, indicators: DataFrame, min_score: int = 25) -> DataFrame:
-    """Add abuse_score (the highest of address, ASN and domain indicators) and is_malicious. `df` carries client_ip, asn, host."""
-    keyed = df.withColumn("_ipv4", F.col("client_ip")).withColumn("_asn", F.col("asn").cast("string")).withColumn("_domain", domain_of(F.col("host")))
+    """Add abuse_score (the highest of address, ASN and domain indicators) and is_malicious. `df` carries client_ip, asn, host.
+
+    A domain indicator covers the host itself and everything below it; each distinct host is looked up once, under
+    all its suffixes.
+    """
+    keyed = df.withColumn("_ipv4", F.col("client_ip")).withColumn("_asn", F.col("asn").cast("string")).withColumn("_domain", F.col("host"))
     indicators = settle(indicators.select("kind", "indicator", "abuse_score"))
-    for kind in ("ipv4", "asn", "domain"):
-        side = (indicators.where(F.col("kind") == kind).groupBy(F.col("indicator").alias(f"_{kind}"))
-                .agg(F.max("abuse_score").alias(f"_{kind}_score")))
+
+    def highest(kind: str) -> DataFrame:
+        return indicators.where(F.col("kind") == kind).groupBy(F.col("indicator").alias(f"_{kind}")).agg(F.max("abuse_score").alias(f"_{kind}_score"))
+
+    domains = highest("domain").withColumn("_suffix", F.lower("_domain")).select("_suffix", "_domain_score")
+    hosts = df.select(F.col("host").alias("_domain")).distinct().withColumn("_suffix", F.explode(host_suffixes(F.col("_domain"))))
+    by_host = hosts.join(lookup_side(domains), "_suffix").groupBy("_domain").agg(F.max("_domain_score").alias("_domain_score"))
+    for kind, side in (("ipv4", highest("ipv4")), ("asn", highest("asn")), ("domain", by_host)):
         keyed = keyed.join(lookup_side(side), f"_{kind}", "left")
     score = F.greatest("_ipv4_score", "_asn_score", "_domain_score")
     return (keyed.withColumn("abuse_score", F.coalesce(score, F.lit(0)).cast("int"))
@@ -132,14 +142,10 @@ def breach_match(accounts: DataFrame, breaches: DataFrame) -> DataFrame:
     return accounts.withColumn("email_hash", email_hash()).join(leaked, "email_hash", "left_semi").select("account_id", "tenant_id", "email_hash")
 
 
-def _grams(starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, length), " "))
-
-
 def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term, n: whole-word occurrences of brand terms, over whole texts.
 
-    Each text yields its word n-grams of the lengths that occur among the terms; they meet the
+    Each text yields its word n-grams of the lengths that occur among the terms, whatever those are; they meet the
     terms in an equi-join, never term by term.
     """
     def words(c: str) -> Column:
@@ -147,17 +153,10 @@ def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -
 
     shaped = terms.select(F.col("term").alias("_raw"), words("term").alias("_w"))
     wanted = (shaped.where(F.size("_w") > 0).select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("_len")).distinct())
-    lengths = [r["_len"] for r in wanted.select("_len").distinct().limit(64).collect()]
-    if len(lengths) == 64:
-        raise ValueError("terms have 64 or more different word counts; split them")
-    tokens = spread(documents.select("doc_id", text), "doc_id").select("doc_id", words(text).alias("_w"))
-    grams = None
-    for length in sorted(lengths):
-        starts = F.when(F.size("_w") >= length, F.sequence(F.lit(1), F.size("_w") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        part = _grams(starts, length)
-        grams = part if grams is None else F.concat(grams, part)
-    if grams is None:
-        return tokens.where(F.lit(False)).select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"))
+    lengths = wanted.agg(F.collect_set("_len").alias("_lengths")).scalar()
+    tokens = spread(documents.select("doc_id", text), "doc_id").select("doc_id", words(text).alias("_w"), lengths.alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.size("_w"))
+    grams = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))))
     exploded = tokens.select("doc_id", F.explode(grams).alias("term"))
     return exploded.join(lookup_side(wanted.select("term")), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -209,6 +208,15 @@ def cross_tenant_attempts(audit: DataFrame) -> DataFrame:
     return grouped.withColumn("severity", F.when(F.col("succeeded") > 0, F.lit("critical")).otherwise(F.lit("high")))
 
 
+TAG = "array<struct<rule:string,entity:string,window_start:timestamp_ntz,window_end:timestamp_ntz,threshold:int>>"
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def _micros(span: str) -> int:
+    number, unit = span.split()
+    return int(number) * UNIT_SECONDS[unit.rstrip("s")] * 1_000_000
+
+
 # rule: (name, condition, entity column, window, slide, threshold)
 SIEM_RULES = (
     ("error_burst", "status_code >= 500", "service_id", "1 hour", "1 hour", 5),
@@ -218,14 +226,24 @@ SIEM_RULES = (
 
 
 def siem_signals(df: DataFrame, rules: Sequence[tuple] = SIEM_RULES, time: str = "event_time") -> DataFrame:
-    """rule, tenant_id, entity, window_start, window_end, n for windows at or above their rule's threshold."""
-    parts = []
+    """rule, tenant_id, entity, window_start, window_end, n for windows at or above their rule's threshold.
+
+    One scan and one shuffle for all rules: a row is tagged with the (rule, entity, window) it counts for.
+    """
+    tags = []
     for name, condition, entity, size, slide, threshold in rules:
-        counted = (df.where(condition).groupBy("tenant_id", F.col(entity).cast("string").alias("entity"), F.window(time, size, slide).alias("w"))
-                   .agg(F.count(F.lit(1)).alias("n")))
-        parts.append(counted.where(F.col("n") >= threshold).select(F.lit(name).alias("rule"), "tenant_id", "entity",
-                                                                   F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+        width, step = (F.expr(f"CAST(INTERVAL '{x.split()[0]}' {x.split()[1].rstrip('s')} AS INTERVAL DAY TO SECOND)") for x in (size, slide))
+        us = epoch_us(time)
+        step_us, width_us = (_micros(x) for x in (slide, size))
+        newest = F.floor(us / F.lit(step_us)).cast("long")
+        oldest = F.floor((us - F.lit(width_us)) / F.lit(step_us)).cast("long") + 1
+        starts = F.transform(F.sequence(oldest, newest), lambda k: F.timestamp_micros(k * F.lit(step_us)).cast("timestamp_ntz"))
+        own = F.transform(starts, lambda s: F.struct(F.lit(name).alias("rule"), F.col(entity).cast("string").alias("entity"), s.alias("window_start"),
+                                                     (s + width).alias("window_end"), F.lit(threshold).alias("threshold")))
+        tags.append(F.when(F.expr(condition), own).otherwise(F.array().cast(TAG)))
+    tagged = df.select("tenant_id", F.explode(F.flatten(F.array(*tags))).alias("_tag")).select("tenant_id", "_tag.*")
+    counted = tagged.groupBy("rule", "tenant_id", "entity", "window_start", "window_end", "threshold").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= F.col("threshold")).select("rule", "tenant_id", "entity", "window_start", "window_end", "n")
 
 
 def siem_cases(signals: DataFrame, gap_hours: int, as_of: str) -> DataFrame:
@@ -284,21 +302,24 @@ def playbook_runs(actions: DataFrame, cap: int = 3, backoff_seconds: int = 30) -
     return runs.withColumn("run_state", state)
 
 
+UNKNOWN_IMPACT = 3
+
+
 def triage_board(findings: DataFrame, active: DataFrame) -> DataFrame:
     """Findings per tenant with priority, dense rank and board column.
 
     findings: tenant_id, product, version, cve_id, cvss. active: tenant_id of tenants under active
-    attack. Ranks are dense over the vulnerabilities of a tenant, whose number the feed bounds.
+    attack. Ranks are dense over the vulnerabilities of a tenant, whose number the feed bounds. A finding without a
+    CVSS has a middling impact and ranks after scored ones of its priority.
     """
     hot = lookup_side(active.select("tenant_id").distinct().withColumn("_active", F.lit(1)))
     scored = findings.join(hot, "tenant_id", "left").withColumn("has_active_intel", F.col("_active").isNotNull()).drop("_active")
-    impact = F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(F.col("cvss") / 2).cast("int")))
+    impact = F.when(F.col("cvss").isNull(), F.lit(UNKNOWN_IMPACT)).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), F.ceil(F.col("cvss") / 2).cast("int"))))
     scored = scored.withColumn("priority", impact * (F.lit(2) + 3 * F.col("has_active_intel").cast("int")))
-    scored = settle(scored)  # read twice below
     w = Window.partitionBy("tenant_id").orderBy(F.desc("priority"), F.desc("cvss"), F.asc("cve_id"))
     ranks = scored.select("tenant_id", "cve_id", "cvss", "priority").distinct().withColumn("rank", F.dense_rank().over(w))
     lane = F.when(F.col("priority") >= 20, F.lit("now")).when(F.col("priority") >= 8, F.lit("next")).otherwise(F.lit("backlog"))
-    return scored.join(ranks, ["tenant_id", "cve_id", "cvss", "priority"]).withColumn("column", lane)
+    return join_on(scored, ranks, ["tenant_id", "cve_id", "cvss", "priority"]).withColumn("column", lane)
 
 
 def stix_objects(findings: DataFrame, listings: DataFrame, created: str) -> DataFrame:

@@ -46,6 +46,15 @@ def _stix_objects(spark, d):
     return threat.stix_objects(findings(spark, d), _flagged_listings(spark, d), CREATED)
 
 
+def _bundled(spark, d):
+    """Per tenant the objects in its bundles, found again in the JSON, and whether all bundles are of their type."""
+    pages = threat.stix_bundle(_stix_objects(spark, d))
+    inside = F.from_json("bundle_json", "type string, id string, objects array<struct<type: string, id: string>>")
+    parsed = pages.select("tenant_id", "n_objects", inside.alias("b"))
+    return parsed.groupBy("tenant_id").agg(F.sum("n_objects").alias("objects"), F.sum(F.size("b.objects")).cast("long").alias("found"),
+                                           F.bool_and((F.col("b.type") == "bundle") & F.col("b.id").startswith("bundle--")).alias("sound"))
+
+
 def _active(spark, d):
     return flagged(spark, d).where("abuse_score >= 99").select("tenant_id")
 
@@ -71,7 +80,7 @@ QUERIES = {
     "playbook_timeline": lambda s, d: threat.playbook_timeline(view(s, d, "playbook_actions")).select("run_id", "seq", "action_id", "attempts", "state", "retry_eligible", "next_retry_at"),
     "triage_board": lambda s, d: threat.triage_board(findings(s, d), _active(s, d)),
     "stix_objects": _stix_objects,
-    "stix_bundle": lambda s, d: threat.stix_bundle(_stix_objects(s, d)),
+    "stix_bundle": _bundled,
 }
 
 IND = f"""feeds AS (SELECT * FROM ioc_feed UNION ALL {NET_FEED}),
@@ -151,4 +160,5 @@ ORACLES = {
       sc AS (SELECT f.*, a.tenant_id IS NOT NULL AS has_active_intel, CAST(greatest(1, least(5, ceil(cvss / 2))) AS INTEGER) * (2 + 3 * CAST(a.tenant_id IS NOT NULL AS INTEGER)) AS priority FROM findings f LEFT JOIN act a ON f.tenant_id = a.tenant_id)
       SELECT *, CAST(dense_rank() OVER (PARTITION BY tenant_id ORDER BY priority DESC, cvss DESC, cve_id) AS INTEGER) AS rank, CASE WHEN priority >= 20 THEN 'now' WHEN priority >= 8 THEN 'next' ELSE 'backlog' END AS "column" FROM sc""",
 }
+ORACLES["stix_bundle"] = f"SELECT tenant_id, count(*) AS objects, count(*) AS found, true AS sound FROM ({ORACLES['stix_objects']}) s GROUP BY tenant_id"
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

@@ -101,3 +101,25 @@ def test_bundles_hold_every_object_once(spark):
         assert bundle["type"] == "bundle" and len(bundle["objects"]) == r["n_objects"]
         ids += [o["id"] for o in bundle["objects"]]
     assert len(ids) == len(set(ids)) == objects.count() == 2 + 2 + 30
+
+
+def test_triage_keeps_findings_without_a_score(spark):
+    found = spark.createDataFrame([("t", "p", "1", "CVE-1", 9.8), ("t", "p", "1", "CVE-2", None), (None, "p", "1", "CVE-3", 1.0)], "tenant_id string, product string, version string, cve_id string, cvss double")
+    board = threat.triage_board(found, spark.createDataFrame([("t",)], "tenant_id string"))
+    assert rows(board, "cve_id", "priority", "rank") == [("CVE-1", 25, 1), ("CVE-2", 15, 2), ("CVE-3", 2, 1)]
+
+
+def test_domain_indicators_cover_what_is_below(spark):
+    df = spark.createDataFrame([(1, "app.evil.co.uk"), (2, "evil.co.uk"), (3, "notevil.co.uk"), (4, "a.b.c.example.com"), (5, None)], "event_id long, host string")
+    df = df.selectExpr("event_id", "host", "CAST(NULL AS STRING) AS client_ip", "CAST(NULL AS INT) AS asn")
+    listed = spark.createDataFrame([("domain", "evil.co.uk", 80), ("domain", "b.c.example.com", 50), ("domain", "example.com", 60)], "kind string, indicator string, abuse_score int")
+    assert rows(threat.match_indicators(df, listed), "event_id", "abuse_score") == [(1, 80), (2, 80), (3, 0), (4, 60), (5, 0)]
+
+
+def test_brand_terms_of_seventy_lengths(spark):
+    words = [f"w{i}" for i in range(100)]
+    terms = spark.createDataFrame([(" ".join(words[i:2 * i]),) for i in range(1, 71) if 2 * i <= 100] + [(" ".join(words[:n]),) for n in range(1, 71)], "term string")
+    text = spark.createDataFrame([(1, " ".join(words)), (2, "nothing"), (3, None)], "doc_id long, text string")
+    found = threat.brand_mentions(text, terms)
+    assert found.count() == len({r["term"] for r in terms.collect()}) and found.agg({"n": "max"}).first()[0] == 1
+    assert threat.brand_mentions(text, terms.limit(0)).count() == 0
