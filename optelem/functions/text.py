@@ -21,12 +21,31 @@ def _folds() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _spelt_out() -> dict[str, str]:
+    """Characters whose compatibility decomposition is several characters with ASCII letters or digits among them, as in a ligature; marks left out."""
+    found = {}
+    for code in range(0x80, 0xFFFF):
+        if not 0xD800 <= code <= 0xDFFF:
+            plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
+            if len(plain) > 1 and any(c.isascii() and c.isalnum() for c in plain):
+                found[chr(code)] = plain
+    return found
+
+
 FOLD_FROM, FOLD_TO = _folds()
+SPELT_OUT = _spelt_out()
+_SPELT_CLASS = "[" + "".join(SPELT_OUT) + "]"
+
+
+def _spell_out(c: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in SPELT_OUT.items() for x in pair])
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_SPELT_CLASS), 0))
+    return F.when(c.rlike(_SPELT_CLASS), F.aggregate(found, c, lambda text, x: F.replace(text, x, F.element_at(table, x)))).otherwise(c)
 
 
 def fold_accents(c: Column) -> Column:
-    """Accents off; combining marks that stand alone are dropped too."""
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "[\\u0300-\\u036f]", "")
+    """Accents off, ligatures and signs spelt out; combining marks that stand alone are dropped too."""
+    return F.regexp_replace(F.translate(_spell_out(c), FOLD_FROM, FOLD_TO), "[\\u0300-\\u036f]", "")
 
 
 def hyphenate(c: Column) -> Column:
@@ -41,7 +60,7 @@ def slug(title: Column, default: str = "chapter") -> Column:
 def anchor_key(text: Column) -> Column:
     """Stable key of a heading or fragment: escapes, accents, entities, tags and punctuation removed."""
     plain = fold_accents(F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text))
-    plain = F.regexp_replace(plain, "(?i)&(amp|lt|gt|quot|#39);", " ")
+    plain = F.regexp_replace(plain, "(?i)&(amp|lt|gt|quot|#39);", " ")  # fixed values: the entities that keys leave out
     plain = F.regexp_replace(plain, "<[^>]*>", " ")
     return hyphenate(F.lower(plain))
 
@@ -60,6 +79,16 @@ def route_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(normal_path(path), r"(^|/)index\.html$", ""), r"\.html$", "")
 
 
+# fixed values: the entities that attribute values are written with
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&#38;": "&", "&amp;": "&"}
+
+
+def plain_entities(c: Column) -> Column:
+    for entity, plain in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return c
+
+
 def markup(html: str) -> Column:
     """Page source without comments and without the bodies of scripts and styles."""
     bare = F.regexp_replace(html, "(?s)<!--.*?-->", "")
