@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from optelem.functions.times import trunc, ts
 from optelem.operators.rollups import failed, hourly_rollup
 from optelem.plans.lookups import lookup_side, settled_lookup
+from optelem.sources.sinks import read_if_present
 
 
 def coverage_gaps(df: DataFrame, rollups: DataFrame) -> DataFrame:
@@ -74,20 +75,32 @@ def table_checksum(df: DataFrame) -> DataFrame:
                   F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("xor"))
 
 
+def due_rows(df: DataFrame, as_of: str, max_age_seconds: int, time: str = "at") -> tuple[DataFrame, DataFrame]:
+    """(rows past their age, the others); rows without a time stay."""
+    old = F.coalesce(F.col(time) < ts(as_of) - F.expr(f"INTERVAL '{max_age_seconds}' SECOND"), F.lit(False))
+    return df.where(old), df.where(~old)
+
+
 def archive_then_prune(spark: SparkSession, table: str, archive: str, as_of: str, max_age_seconds: int, time: str = "at") -> int:
-    """Copy rows past their age to `archive`, compare what was read back, and only then rewrite `table` without them.
+    """Copy rows past their age to a folder of `archive` for this run, compare what was read back, and only then rewrite `table` without them.
 
-    Returns the number of archived rows. A failed comparison raises and leaves the table as it was.
+    Returns the number of archived rows. A run's folder is never replaced: a run without due rows writes none, and one
+    that is repeated after a crash goes on if its folder holds just the due rows. A failed comparison raises and
+    leaves the table as it was. `spark.read.parquet(archive)` reads all runs.
     """
     audit = spark.read.parquet(table)
-    old = F.coalesce(F.col(time) < ts(as_of) - F.expr(f"INTERVAL '{max_age_seconds}' SECOND"), F.lit(False))
-    due = audit.where(old)
-    due.write.mode("overwrite").parquet(archive)
-    wanted, found = table_checksum(due).first(), table_checksum(spark.read.schema(due.schema).parquet(archive)).first()
+    due, kept = due_rows(audit, as_of, max_age_seconds, time)
+    wanted = table_checksum(due).first()
+    if not wanted["n"]:
+        return 0
+    folder = f"{archive.rstrip('/')}/run={''.join(c for c in as_of if c.isdigit())}"
+    if read_if_present(spark, folder, due.schema) is None:
+        due.write.mode("errorifexists").parquet(folder)
+    found = table_checksum(spark.read.schema(due.schema).parquet(folder)).first()
     if wanted != found:
-        raise RuntimeError(f"archive {archive} differs from its source: {found} for {wanted}")
+        raise RuntimeError(f"archive {folder} differs from its source: {found} for {wanted}")
     staged = table.rstrip("/") + "__staged"
-    audit.where(~old).write.mode("overwrite").parquet(staged)
+    kept.write.mode("overwrite").parquet(staged)
     spark.read.schema(audit.schema).parquet(staged).write.mode("overwrite").parquet(table)
     return wanted["n"]
 

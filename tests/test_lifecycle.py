@@ -69,3 +69,22 @@ def test_subject_requests(spark):
     assert rows(lifecycle.subject_delete(df, 1), "event_id") == [(3,), (4,)]
     patch = spark.createDataFrame([(3, "fixed", None)], "event_id long, service_id string, status_code int")
     assert rows(lifecycle.subject_rectify(df, patch, ["event_id"]), "event_id", "service_id", "status_code") == [(1, "s", 200), (2, "s", 500), (3, "fixed", 200), (4, "s", 200)]
+
+
+def test_archive_runs_keep_earlier_ones(spark, tmp_path):
+    table, archive = str(tmp_path / "audit"), str(tmp_path / "archive")
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-02-01 00:00:00"), (3, "2024-03-01 00:00:00"), (4, None)], "id long, at string").selectExpr("id", "CAST(at AS timestamp_ntz) AS at")
+    df.write.parquet(table)
+    assert lifecycle.archive_then_prune(spark, table, archive, "2024-01-15 00:00:00", 86400) == 1
+    assert lifecycle.archive_then_prune(spark, table, archive, "2024-01-15 00:00:00", 86400) == 0
+    assert lifecycle.archive_then_prune(spark, table, archive, "2024-02-15 00:00:00", 86400) == 1
+    assert rows(spark.read.parquet(archive), "id") == [(1,), (2,)] and rows(spark.read.parquet(table), "id") == [(3,), (4,)]
+
+
+def test_archive_goes_on_after_a_crash_before_the_prune(spark, tmp_path):
+    table, archive = str(tmp_path / "audit"), str(tmp_path / "archive")
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-02-01 00:00:00")], "id long, at string").selectExpr("id", "CAST(at AS timestamp_ntz) AS at")
+    df.write.parquet(table)
+    df.where("id = 1").write.parquet(f"{archive}/run=20240115000000")
+    assert lifecycle.archive_then_prune(spark, table, archive, "2024-01-15 00:00:00", 86400) == 1
+    assert rows(spark.read.parquet(table), "id") == [(2,)] and rows(spark.read.parquet(archive), "id") == [(1,)]
