@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 
 from optelem.plans.lookups import lookup_side, settle
 
-# fixed values: envelope version and algorithm names, header fields that are authenticated
+# fixed values: envelope version, algorithm names and fields
 ENVELOPE_VERSION = 1
-ALGORITHM = "AES-256-GCM"
-HEADER = ("destination", "sender", "kid", "jti", "alg", "v")
+ALGORITHM, ENCRYPTION = "dir", "A256GCM"
+HEADER = ("v", "kid", "alg", "enc", "ctx", "sender", "iat", "jti")
 MODES = ("required", "optional", "disabled")
 
 
-def _header() -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in HEADER])
+def framed(*fields: str) -> Column:
+    """The fields in one text, each behind its length, so that no two different headers give the same text; NULL is marked apart from empty."""
+    texts = [F.col(c).cast("string") for c in fields]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts])
+
+
+def base64url(blob: Column) -> Column:
+    return F.regexp_replace(F.translate(F.base64(blob), "+/", "-_"), "[=\r\n]", "")
+
+
+def from_base64url(text: Column) -> Column:
+    return F.unbase64(F.translate(text, "-_", "+/"))
 
 
 def active_key(keyring: DataFrame) -> DataFrame:
@@ -37,20 +47,23 @@ def _sealed(headed: DataFrame, keyring: DataFrame, body: Column) -> DataFrame:
     key = F.broadcast(active_key(keyring).withColumn("_seal", F.lit(ENVELOPE_VERSION)))  # one row, see active_key
     keyed = headed.withColumn("_body", body).join(key, F.col("v") == F.col("_seal"))
     blob = F.call_function("aes_encrypt", F.col("_body").cast("binary"), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"),
-                           F.lit("").cast("binary"), _header().cast("binary"))
-    return (keyed.withColumn("_blob", blob).withColumn("nonce", F.base64(F.substring("_blob", 1, 12)))
-            .withColumn("ciphertext", F.base64(F.expr("substring(_blob, 13)"))).drop("_seal", "_blob", "_body", "key"))
+                           F.lit("").cast("binary"), framed(*HEADER).cast("binary"))
+    return (keyed.withColumn("_blob", blob).withColumn("nonce", base64url(F.substring("_blob", 1, 12)))
+            .withColumn("ciphertext", base64url(F.expr("substring(_blob, 13)"))).drop("_seal", "_blob", "_body", "key"))
 
 
-def seal_columns(df: DataFrame, keyring: DataFrame, payload: Sequence[str], destination: str, sender: str, event_id: str = "event_id") -> DataFrame:
-    """Replace `payload` by an envelope: v, kid, alg, destination, sender, jti, nonce, ciphertext.
+def seal_columns(df: DataFrame, keyring: DataFrame, payload: Sequence[str], ctx: str, sender: str, identity: Sequence[str] = ("tenant_id", "event_id"),
+                 issued_at: Column | None = None) -> DataFrame:
+    """Replace `payload` by an envelope: v, kid, alg, enc, ctx, sender, iat, jti, nonce, ciphertext.
 
-    Spark draws a fresh 96-bit nonce per row and puts it in front of the ciphertext. The result
+    All but the last two are authenticated. `jti` is a hash of `ctx` and the columns that identify the event, `iat`
+    the time in epoch seconds (now, or `issued_at`). Spark draws a fresh 96-bit nonce per row and puts it in front of the ciphertext. The result
     differs on every evaluation: write it before reading it twice.
     """
-    headed = (df.withColumn("v", F.lit(ENVELOPE_VERSION)).withColumn("alg", F.lit(ALGORITHM))
-              .withColumn("destination", F.lit(destination)).withColumn("sender", F.lit(sender))
-              .withColumn("jti", F.sha2(F.concat_ws("|", F.lit(destination), F.col(event_id).cast("string")), 256)))
+    issued = F.unix_timestamp(F.current_timestamp()) if issued_at is None else issued_at.cast("long")
+    headed = (df.withColumn("v", F.lit(ENVELOPE_VERSION)).withColumn("alg", F.lit(ALGORITHM)).withColumn("enc", F.lit(ENCRYPTION))
+              .withColumn("ctx", F.lit(ctx)).withColumn("sender", F.lit(sender)).withColumn("iat", issued)
+              .withColumn("jti", F.sha2(framed("ctx", *identity), 256)))
     rest = [c for c in df.columns if c not in payload]
     return _sealed(headed, keyring, F.to_json(F.struct(*payload))).select(*rest, *HEADER, "nonce", "ciphertext")
 
@@ -63,8 +76,8 @@ def _judged(envelopes: DataFrame, keyring: DataFrame, mode: str, plain: str) ->
     if mode == "disabled":
         return envelopes.withColumn("_body", given).withColumn("reason", F.when(F.col("_body").isNull(), F.lit("no_plaintext")))
     keys = lookup_side(keyring.select("kid", "key"))
-    blob = F.concat(F.unbase64("nonce"), F.unbase64("ciphertext"))
-    opened = F.call_function("try_aes_decrypt", blob, F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), _header().cast("binary")).cast("string")
+    blob = F.concat(from_base64url(F.col("nonce")), from_base64url(F.col("ciphertext")))
+    opened = F.call_function("try_aes_decrypt", blob, F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), framed(*HEADER).cast("binary")).cast("string")
     sealed = F.col("ciphertext").isNotNull()
     without = F.lit("plaintext_refused") if mode == "required" else F.when(given.isNull(), F.lit("no_plaintext"))
     body = F.when(sealed, opened) if mode == "required" else F.when(sealed, opened).otherwise(given)
@@ -94,13 +107,13 @@ def keys_due(keyring: DataFrame, as_of: str, max_age_days: int = 30) -> DataFram
 
 
 def rotate_keys(envelopes: DataFrame, keyring: DataFrame, old_kids: Sequence[str]) -> DataFrame:
-    """Re-seal the rows of `old_kids` under the active key. Rows that do not open, or old keys left over, raise."""
+    """Re-seal the rows of `old_kids` under the active key; only they are written. Rows that do not open, or old keys left over, raise."""
     old = F.col("kid").isin(*old_kids)
     judged = _judged(envelopes.where(old), keyring, "required", "plain")
     if judged.where(F.col("reason").isNotNull()).limit(1).count():
         raise RuntimeError("some rows of the old keys do not open; nothing was rotated")
     renewed = _sealed(judged.drop("kid", "nonce", "ciphertext").withColumnRenamed("_body", "_open"), keyring, F.col("_open"))
-    result = settle(envelopes.where(~old).unionByName(renewed.select(*envelopes.columns)))
-    if result.where(old).limit(1).count():
+    renewed = settle(renewed.select(*envelopes.columns))  # each evaluation would draw other nonces
+    if renewed.where(old).limit(1).count():
         raise RuntimeError("rows under a retired key are left")
-    return result
+    return envelopes.where(~F.coalesce(old, F.lit(False))).unionByName(renewed)

@@ -40,13 +40,25 @@ def test_keys_are_no_plan_literals(sealed, keyring, spark, tmp_path):
 
 
 def test_tampering_and_unknown_kid(sealed, keyring):
-    changed = (sealed.withColumn("destination", F.when(F.col("event_id") == 1, "elsewhere").otherwise(F.col("destination")))
+    changed = (sealed.withColumn("ctx", F.when(F.col("event_id") == 1, "elsewhere").otherwise(F.col("ctx")))
                .withColumn("kid", F.when(F.col("event_id") == 2, "k9").otherwise(F.col("kid")))
                .withColumn("ciphertext", F.when(F.col("event_id") == 3, F.substring("ciphertext", 1, 8)).otherwise(F.col("ciphertext"))))
     good, bad = sealing.open_columns(changed, keyring, SCHEMA)
     assert good.count() == 0 and rows(bad, "event_id", "reason") == [(1, "not_authentic"), (2, "unknown_kid"), (3, "not_authentic")]
 
 
+def test_header_fields_cannot_trade_text(spark, keyring, tmp_path):
+    df = spark.createDataFrame([(1, "t|a", "x"), (1, "t", "x"), (1, None, "x")], "event_id long, tenant_id string, email string")
+    sealing.seal_columns(df, keyring, ["email"], "store", "sensor").write.parquet(str(tmp_path / "s"))
+    sealed = spark.read.parquet(str(tmp_path / "s"))
+    assert sealed.select("jti").distinct().count() == 3
+    assert sealed.columns == ["event_id", "tenant_id", *sealing.HEADER, "nonce", "ciphertext"]
+    assert all(set(r["nonce"] + r["ciphertext"]) <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") and r["iat"] > 1_700_000_000 for r in sealed.collect())
+    swapped = sealed.withColumn("ctx", F.lit("storesen")).withColumn("sender", F.lit("sor"))
+    assert sealing.open_columns(swapped, keyring, "email string")[0].count() == 0
+    assert sealing.open_columns(sealed, keyring, "email string")[0].count() == 3
+
+
 def test_modes(sealed, keyring):
     mixed = sealed.withColumn("plain", F.when(F.col("event_id") > 1, '{"email":"p","amount":1.0}')).withColumn(
         "ciphertext", F.when(F.col("event_id") < 3, F.col("ciphertext")))
