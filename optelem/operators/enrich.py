@@ -172,8 +172,8 @@ def cpe_candidates(products: DataFrame, dictionary: DataFrame, threshold: float
     """product, cpe, match_kind, similarity: the exact dictionary entry, else the closest token set.
 
     Both sides are (name) tables of normalised texts. Candidates share a token of their prefix in
-    rarest-first order, which any pair reaching the Jaccard threshold must; frequent tokens stay
-    out of nearly every prefix.
+    rarest-first order, which any pair reaching the Jaccard threshold must, and their sizes must be
+    close enough to reach it. A pair is scored where it meets; meeting twice changes nothing.
     """
     left = _token_sets(products, "name", "product")
     right = _token_sets(dictionary, "name", "entry")
@@ -189,11 +189,12 @@ def cpe_candidates(products: DataFrame, dictionary: DataFrame, threshold: float
         need = F.size(f"{name}_tokens") - F.ceil(F.size(f"{name}_tokens") * threshold) + 1
         return exploded.withColumn("_at", F.row_number().over(by_rarity)).where(F.col("_at") <= need).drop("_at", "_freq")
 
-    pairs = (prefixes(open_left, "product").join(prefixes(right, "entry"), "token")
-             .select("product", "product_tokens", "entry", "entry_tokens").dropDuplicates(["product", "entry"]))
+    a, b = F.size("product_tokens"), F.size("entry_tokens")
+    fits = (F.col("p.token") == F.col("e.token")) & (F.least(a, b) >= F.greatest(a, b) * F.lit(threshold))  # others cannot reach it
+    pairs = prefixes(open_left, "product").alias("p").join(prefixes(right, "entry").alias("e"), fits)
     shared = F.size(F.array_intersect("product_tokens", "entry_tokens"))
-    similarity = shared.cast("double") / (F.size("product_tokens") + F.size("entry_tokens") - shared)
-    scored = pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    similarity = shared.cast("double") / (a + b - shared)
+    scored = pairs.select("product", "entry", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("product").agg(F.min(F.struct((-F.col("similarity")).alias("neg"), "entry")).alias("b"))
     near = best.select("product", F.col("b.entry").alias("entry"), F.lit("tokens").alias("match_kind"), (-F.col("b.neg")).alias("similarity"))
     same = exact.select("product", "entry", F.lit("exact").alias("match_kind"), F.lit(1e0).alias("similarity"))

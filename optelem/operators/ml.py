@@ -17,9 +17,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from optelem.functions.exact import mean_ms
+from optelem.functions.exact import as_micros, mean_ms
 from optelem.functions.times import trunc
 from optelem.operators.rollups import failed
+from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.percentiles import exact_percentiles
 
@@ -31,14 +32,14 @@ def window_features(df: DataFrame, window_hours: int = 24) -> DataFrame:
 
     Raw rows collapse to hours first; the windows run over hours of a tenant.
     """
-    us = F.round(F.col("latency_ms") * 1000)
+    us = as_micros("latency_ms")
     hourly = df.groupBy("tenant_id", trunc("hour", "event_time").alias("hour")).agg(
         mean_ms("latency_ms").alias("avg_latency"), F.count(F.lit(1)).alias("requests"), F.count_if(failed()).alias("errors"),
-        F.sum(us.cast("long")).alias("_s"), F.sum((us * us).cast("decimal(38,0)")).alias("_q"))
+        F.sum(us).alias("_s"), F.count(us).alias("_k"), F.sum(us.cast("decimal(19,0)") * us.cast("decimal(19,0)")).alias("_q"))
     by_hour = Window.partitionBy("tenant_id").orderBy("hour")
     recent = by_hour.rowsBetween(-(window_hours - 1), 0)
-    n = F.col("requests").cast("double")
-    variance = (F.col("_q").cast("double") - F.col("_s").cast("double") * F.col("_s").cast("double") / n) / F.nullif(n - 1, F.lit(0e0)) / F.lit(1e6)
+    n, k = F.col("requests").cast("double"), F.nullif(F.col("_k").cast("double"), F.lit(0e0))
+    variance = (F.col("_q").cast("double") - F.col("_s").cast("double") * F.col("_s").cast("double") / k) / F.nullif(k - 1, F.lit(0e0)) / F.lit(1e6)
     return hourly.select(
         "tenant_id", "hour", "requests",
         F.round(F.avg("avg_latency").over(recent), 9).alias("moving_avg_latency"),
@@ -50,9 +51,29 @@ def window_features(df: DataFrame, window_hours: int = 24) -> DataFrame:
 
 
 def labelled(features: DataFrame, max_error: float = 0.25) -> DataFrame:
-    """Feature arrays without NULLs and the label: did the hour break its error budget."""
+    """Feature arrays without NULLs and the label: does the tenant's next hour break its error budget.
+
+    The label looks at an hour that the features have not seen; a tenant's newest hour has none yet and is left out.
+    """
     array = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0e0)) for c in FEATURES])
-    return features.select("tenant_id", "hour", array.alias("features"), (F.col("error_rate") > max_error).cast("int").alias("label"))
+    coming = F.lead("error_rate").over(Window.partitionBy("tenant_id").orderBy("hour"))
+    return (features.select("tenant_id", "hour", array.alias("features"), (coming > max_error).cast("int").alias("label"))
+            .where("label IS NOT NULL"))
+
+
+def split_by_time(rows: DataFrame, cut: str, time: str = "hour") -> tuple[DataFrame, DataFrame]:
+    """(rows to fit on, rows to be judged on): before `cut`, and from it on."""
+    early = F.col(time) < F.lit(cut).cast("timestamp_ntz")
+    return rows.where(early), rows.where(~early)
+
+
+def held_out_loss(scored: DataFrame, prior: float) -> DataFrame:
+    """One row: n, log loss of `score` against `label`, and the loss of always saying `prior`."""
+    def loss(p: Column) -> Column:
+        p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+        return F.avg(-F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(F.lit(1e0) - p)))
+
+    return scored.agg(F.count(F.lit(1)).alias("n"), loss(F.col("score")).alias("loss"), loss(F.lit(float(prior))).alias("prior_loss"))
 
 
 def feature_pages(rows: DataFrame, page_size: int) -> DataFrame:
@@ -88,19 +109,24 @@ def probabilities(rows: DataFrame, model: PipelineModel) -> DataFrame:
 SENSITIVE_ROUTES = ("purchase", "signup")
 
 
-def threat_features(df: DataFrame, behaviour: DataFrame, locations: DataFrame) -> DataFrame:
-    """Access rows collapsed to (tenant, user): indicator share, automation, sensitive-route share, location weight; label = any indicator hit.
+def threat_features(df: DataFrame, behaviour: DataFrame, locations: DataFrame, cut: str, end: str | None = None) -> DataFrame:
+    """Accesses before `cut` collapsed to (tenant, user): indicator share, automation, sensitive-route share, location weight.
 
-    df: user_id, tenant_id, country, event_type, abuse_score, is_malicious. locations: tenant_id, country, weight.
+    The label is whether the user hits an indicator from `cut` on (before `end`), so no feature has seen it.
+    df: user_id, tenant_id, event_time, country, event_type, abuse_score, is_malicious. locations: tenant_id, country,
+    weight. `behaviour` and `locations` should come from rows before `cut` too.
     """
-    placed = df.join(lookup_side(locations), ["tenant_id", "country"], "left")
+    start, stop = (F.lit(x).cast("timestamp_ntz") for x in (cut, end))
+    later = df.where((F.col("event_time") >= start) & (stop.isNull() | (F.col("event_time") < stop)))
+    hits = later.groupBy("tenant_id", "user_id").agg(F.bool_or("is_malicious").alias("_hit"))
+    placed = df.where(F.col("event_time") < start).join(lookup_side(locations), ["tenant_id", "country"], "left")
     per_user = placed.groupBy("tenant_id", "user_id").agg(
         (F.avg("abuse_score") / 100).alias("_abuse"), (F.count_if(F.col("event_type").isin(*SENSITIVE_ROUTES)).cast("double") / F.count(F.lit(1))).alias("_routes"),
-        F.avg(F.coalesce("weight", F.lit(0e0))).alias("_place"), F.count_if("is_malicious").alias("_hits"))
+        F.avg(F.coalesce("weight", F.lit(0e0))).alias("_place"))
     flags = behaviour.select("user_id", F.col("is_automated").cast("double").alias("_auto"))
-    joined = per_user.join(flags, "user_id", "left")
+    joined = join_on(join_on(per_user, flags, ["user_id"], "left"), hits, ["tenant_id", "user_id"], "left")
     array = F.array(F.round("_abuse", 6), F.coalesce("_auto", F.lit(0e0)), F.round("_routes", 6), F.round("_place", 6))
-    return joined.select("tenant_id", "user_id", array.alias("features"), (F.col("_hits") > 2).cast("int").alias("label"))
+    return joined.select("tenant_id", "user_id", array.alias("features"), F.coalesce("_hit", F.lit(False)).cast("int").alias("label"))
 
 
 def location_weights(df: DataFrame) -> DataFrame:
@@ -163,9 +189,9 @@ def anomaly_scores(rollup: DataFrame, value: str = "avg_latency") -> DataFrame:
     """Robust z and 0..1 score per tenant and hour; a group is one tenant's hours."""
     rollup = settle(rollup)  # one row per tenant and hour, read several times below
     center = exact_percentiles(rollup, ["tenant_id"], value, {"_median": 0.5}).drop("n")
-    off = rollup.join(settled_lookup(center), "tenant_id").withColumn("_off", F.abs(F.col(value) - F.col("_median")))
+    off = join_on(rollup, settled_lookup(center), ["tenant_id"]).withColumn("_off", F.abs(F.col(value) - F.col("_median")))
     spread = exact_percentiles(off, ["tenant_id"], "_off", {"_mad": 0.5}).drop("n")
-    joined = off.join(settled_lookup(spread), "tenant_id")
+    joined = join_on(off, settled_lookup(spread), ["tenant_id"])
     z = F.coalesce(F.try_divide(F.lit(0.6745) * (F.col(value) - F.col("_median")), F.nullif(F.col("_mad"), F.lit(0e0))), F.lit(0e0))
     return joined.select("tenant_id", "hour", F.round(z, 4).alias("z"), F.round(F.least(F.lit(1e0), F.abs(z) / 6), 4).alias("score"))
 
@@ -279,7 +305,7 @@ def distil(features: DataFrame, teacher: DataFrame, key: Sequence[str], seed: in
 
 def drift(features: DataFrame, columns: Sequence[str], cut: str, time: str = "hour", bins: int = 10, epsilon: float = 1e-4) -> DataFrame:
     """feature, psi: shift of each feature between the rows before and from `cut`, over deciles of the earlier ones."""
-    long = settle(features).select((F.col(time) >= F.lit(cut).cast("timestamp_ntz")).alias("_late"),
+    long = features.select((F.col(time) >= F.lit(cut).cast("timestamp_ntz")).alias("_late"),
                            *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["_late"], list(columns), "feature", "_v").where("_v IS NOT NULL")
     probs = {f"_q{i}": i / bins for i in range(1, bins)}
     edges = exact_percentiles(long.where(~F.col("_late")), ["feature"], "_v", probs).drop("n")

@@ -29,7 +29,7 @@ def test_features(spark):
     assert (first["latency_delta"], first["latency_variance"], first["error_rate"], first["hour_of_day"], first["peak_share"]) == (None, 50.0, 0.5, 5, 1.0)
     assert (second["moving_avg_latency"], second["latency_delta"], second["latency_variance"], second["peak_share"]) == (27.5, 25.0, None, 0.5)
     arrays = ml.labelled(ml.window_features(df), 0.25).orderBy("hour").collect()
-    assert [r["label"] for r in arrays] == [1, 0] and len(arrays[0]["features"]) == len(ml.FEATURES)
+    assert [(r["hour"].hour, r["label"]) for r in arrays] == [(5, 0)] and len(arrays[0]["features"]) == len(ml.FEATURES)
 
 
 def test_pages(spark):
@@ -139,3 +139,25 @@ def test_nearest(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     out = ml.nearest_vectors(df, [(1, [1.0, 0.0])], 3)
     assert rows(out, "rank", "vec_id", "score") == [(1, 1, 1.0), (2, 2, 0.707107), (3, 4, -1.0)]
+
+
+def test_labels_and_losses_look_ahead(spark):
+    data = [("t", "s", 1, i, f"2024-01-01 {i:02d}:00:00", 500 if i % 2 else 200, 1.0) for i in range(6)]
+    rows_ = ml.labelled(ml.window_features(events(spark, data)), 0.25).orderBy("hour").collect()
+    errors = [r["features"][ml.FEATURES.index("error_rate")] for r in rows_]
+    assert [r["label"] for r in rows_] == [1, 0, 1, 0, 1] and errors == [0.0, 1.0, 0.0, 1.0, 0.0]
+    early, late = ml.split_by_time(ml.window_features(events(spark, data)), "2024-01-01 04:00:00")
+    assert (early.count(), late.count()) == (4, 2)
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.2)], "label int, score double")
+    found = ml.held_out_loss(scored, 0.5).first()
+    assert found["n"] == 2 and found["loss"] < found["prior_loss"]
+
+
+def test_threat_labels_come_after_the_features(spark):
+    df = spark.createDataFrame([("t", 1, "2024-01-01", "DE", "view", 0, False), ("t", 1, "2024-01-09", "DE", "view", 99, True), ("t", 2, "2024-01-01", "DE", "signup", 99, True), ("t", 3, "2024-01-09", "DE", "view", 99, True)],
+                               "tenant_id string, user_id long, event_time string, country string, event_type string, abuse_score int, is_malicious boolean").withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    flags = spark.createDataFrame([(1, True)], "user_id long, is_automated boolean")
+    places = spark.createDataFrame([("t", "DE", 1.0)], "tenant_id string, country string, weight double")
+    got = ml.threat_features(df, flags, places, "2024-01-05")
+    assert [(r["user_id"], r["label"], list(r["features"])) for r in got.orderBy("user_id").collect()] == [(1, 1, [0.0, 1.0, 0.0, 1.0]), (2, 0, [0.99, 0.0, 1.0, 1.0])]
+    assert got.where("label = 1").count() == 1 and ml.threat_features(df, flags, places, "2024-01-05", "2024-01-06").where("label = 1").count() == 0
