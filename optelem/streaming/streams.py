@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from optelem.functions.exact import as_micros
-from optelem.operators import enrich, quality, threat
+from optelem.functions.exact import mean_ms
+from optelem.operators import enrich, quality, sealing, threat
 from optelem.operators.rollups import TIER_LIMITS, failed
 from optelem.operators.threat import SIEM_RULES
 from optelem.plans.lookups import lookup_side
@@ -33,7 +35,7 @@ def stream_dedupe(stream: DataFrame, watermark: str = WATERMARK, time: str = "ev
 
 def stream_hourly_rollup(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """tenant_id, hour, avg_latency, requests, errors; update mode, so late rows inside the watermark correct an hour."""
-    mean = F.sum(as_micros("latency_ms")).cast("double") / (F.lit(1e3) * F.count("latency_ms"))
+    mean = mean_ms("latency_ms")
     return (stream.withWatermark("event_time", watermark).groupBy("tenant_id", F.window("event_time", "1 hour").alias("w"))
             .agg(mean.alias("avg_latency"), F.count(F.lit(1)).alias("requests"), F.count_if(failed()).alias("errors"))
             .select("tenant_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "avg_latency", "requests", "errors"))
@@ -176,6 +178,37 @@ class IngestTargets:
     checkpoint: str
 
 
+class IngestTables(NamedTuple):
+    """Lookup tables of an ingest stream; the last two only where events are sealed or carry a sender key."""
+
+    tenants: DataFrame
+    blocks: DataFrame
+    indicators: DataFrame
+    keyring: DataFrame | None = None
+    sender_keys: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class IngestRules:
+    """What an ingest stream does besides contract, tenant and lateness; a field that is left out switches its step off.
+
+    payload: schema of sealed payloads, opened under `mode`. steps, current: upcasts by version, and the version that
+    they lead to. sender_key: column with the key of the sender. tags: routing tags that metadata may carry. families:
+    prefixes of product-local identifiers in the column `family`, and the universal ones.
+    """
+
+    late_limit: str = WATERMARK
+    payload: str | None = None
+    mode: str = "required"
+    steps: dict[int, dict[str, str]] | None = None
+    current: int | None = None
+    sender_key: str | None = None
+    tags: tuple[str, ...] | None = None
+    metadata: str = "metadata"
+    families: dict[str, str] | None = None
+    family: str = "family"
+
+
 def judge(batch: DataFrame, tenants: DataFrame, late_limit: str = WATERMARK) -> DataFrame:
     """Batch rows with `reason`: contract, tenant binding, lateness, first one wins."""
     bound = quality.bind_tenant(batch, tenants).withColumnRenamed("reason", "_tenant_reason")
@@ -183,25 +216,60 @@ def judge(batch: DataFrame, tenants: DataFrame, late_limit: str = WATERMARK) ->
     return quality.check_contract(bound).withColumn("reason", F.coalesce("reason", "_tenant_reason", late)).drop("_tenant_reason")
 
 
-def ingest_stream(stream: DataFrame, read_tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]], targets: IngestTargets,
-                  late_limit: str = WATERMARK, **trigger) -> StreamingQuery:
-    """Checks, deduplication, enrichment, keyed results, dead letters and receipts in one restart-safe query.
+def judge_all(batch: DataFrame, tables: IngestTables, rules: IngestRules = IngestRules()) -> tuple[DataFrame, DataFrame | None]:
+    """(events with `reason`, envelopes that did not open): opening, upcasting, then every check, the first broken one wins.
 
-    The judged batch is persisted once and feeds every target. Results are keyed, the side outputs
-    are one folder per batch id, so a batch that runs again after a crash changes nothing.
+    The order is version, contract, tenant, sender key, metadata, lateness. An envelope that does not open has no
+    event to check; its row is the reject.
+    """
+    rows, unopened = batch, None
+    if rules.payload:
+        rows, unopened = sealing.open_columns(batch, tables.keyring, rules.payload, rules.mode)
+    reasons = []
+    if rules.steps is not None:
+        rows = quality.upcast(rows, rules.steps)
+        known = F.coalesce(F.col("version") == F.lit(rules.current), F.lit(False))
+        rows = rows.withColumn("_version_reason", F.when(~known, F.lit("unknown_version")))
+        reasons.append("_version_reason")
+    if rules.sender_key:
+        rows = quality.attribute_key(rows, tables.sender_keys, rules.sender_key)
+        foreign = F.when(~F.col("key_tenant").eqNullSafe(F.col("claimed_tenant")), F.lit("key_of_other_tenant"))
+        rows = rows.withColumn("_key_reason", F.coalesce("reason", foreign)).drop("reason", "key_tenant")
+    if rules.tags is not None:
+        rows = quality.check_metadata(rows, rules.tags, rules.metadata).withColumnRenamed("reason", "_tag_reason").drop("bad_keys")
+    if rules.families:
+        rows = quality.rename_family(rows, rules.family, rules.families)
+    judged = judge(rows, tables.tenants, rules.late_limit)
+    late = F.col("reason") == "late"
+    reasons += [F.when(~late, F.col("reason")), *[c for c in ("_key_reason", "_tag_reason") if c in rows.columns], "reason"]
+    own = [c for c in judged.columns if not (c.startswith("_") and c.endswith("_reason"))]
+    return judged.withColumn("reason", F.coalesce(*reasons)).select(*own), unopened
+
+
+def ingest_stream(stream: DataFrame, read_tables: Callable[[SparkSession], tuple], targets: IngestTargets, rules: IngestRules = IngestRules(),
+                  **trigger) -> StreamingQuery:
+    """The whole ingest path in one restart-safe query: opening, upcasting, checks, deduplication, enrichment, keyed results, dead letters and receipts.
+
+    `read_tables` gives the fields of IngestTables and is called for each batch. The judged batch is persisted once
+    and feeds every target. Results are keyed, the side outputs are one folder per batch id, so a batch that runs
+    again after a crash changes nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        tenants, blocks, indicators = read_tables(batch.sparkSession)
-        judged = judge(batch, tenants, late_limit).persist()
+        tables = IngestTables(*read_tables(batch.sparkSession))
+        judged, unopened = judge_all(batch, tables, rules)
+        judged = judged.persist()
         try:
             good = quality.dedupe(judged.where("reason IS NULL"))
-            placed = threat.match_indicators(enrich.network_class(enrich.geo_asn(enrich.parse_user_agent(good), blocks)), indicators)
+            placed = threat.match_indicators(enrich.network_class(enrich.geo_asn(enrich.parse_user_agent(good), tables.blocks)), tables.indicators)
             rows = placed.drop("reason").withColumn("day", F.to_date("event_time"))
             # the earliest arrival wins also against rows of earlier batches
             first = -F.unix_micros(F.col("received_at").cast("timestamp"))
             upsert_results(rows, targets.results, ["tenant_id", "idempotency_key"], [first, -F.col("delivery"), -F.col("event_id")])
-            quality.dead_letters(judged).write.mode("overwrite").parquet(f"{targets.dead_letters}/batch={batch_id}")
-            receipt = quality.batch_receipts(judged.withColumn("batch_id", F.concat_ws("-", F.lit(str(batch_id)), "tenant_id")))
+            rejected = [judged] if unopened is None else [judged, unopened]
+            quality.dead_letters(*rejected).write.mode("overwrite").parquet(f"{targets.dead_letters}/batch={batch_id}")
+            shared = ["tenant_id", "idempotency_key", *quality.ARRIVAL, "reason"]
+            seen = reduce(DataFrame.unionByName, [d.select(*shared) for d in rejected])
+            receipt = quality.batch_receipts(seen.withColumn("batch_id", F.concat_ws("-", F.lit(str(batch_id)), "tenant_id")))
             receipt.write.mode("overwrite").parquet(f"{targets.receipts}/batch={batch_id}")
         finally:
             judged.unpersist()

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from optelem.fixtures import view
-from optelem.operators import enrich, quality, rollups, threat
+from optelem.operators import enrich, quality, rollups, sealing, threat
+from optelem.plans.lookups import settle
 from optelem.sources import sinks, tables
 from optelem.streaming import streams
 from tests.conftest import SMALL, rows
@@ -162,3 +163,38 @@ def test_ingest_end_to_end(spark, tmp_path):
     before = rows(results, "tenant_id", "idempotency_key", "event_id")
     results, dlq, receipts = once()
     assert rows(results, "tenant_id", "idempotency_key", "event_id") == before and receipts.agg(F.sum("n")).first()[0] == raw.count()
+
+
+def test_ingest_of_sealed_events(spark, tmp_path):
+    """One reject of each kind on the whole path; a restart adds nothing."""
+    raw = view(spark, SMALL, "raw_tel").where("event_id < 60 AND delivery = 1").where("claimed_tenant = tenant_id AND latency_in IS NOT NULL")
+    good = raw.withColumn("sender_key", F.concat(F.lit("key-"), "tenant_id")).withColumn("metadata", F.lit('{"zone":"a"}')).withColumn("family", F.lit("local_x"))
+    odd = good.limit(7).select("event_id").collect()
+    ids = [r["event_id"] for r in odd]
+
+    def swapped(column, i, value):
+        return F.when(F.col("event_id") == ids[i], F.lit(value)).otherwise(F.col(column))
+
+    sent = (good.withColumn("version", swapped("version", 0, 9)).withColumn("sender_key", swapped("sender_key", 1, "stolen")).withColumn("metadata", swapped("metadata", 2, '{"zone":'))
+            .withColumn("status_code", swapped("status_code", 3, 999)).withColumn("claimed_tenant", swapped("claimed_tenant", 4, "t99"))
+            .withColumn("received_at", F.when(F.col("event_id") == ids[5], F.col("event_time") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("received_at"))))
+    key = spark.createDataFrame([("k1", bytes(range(32)), "2024-01-01", True)], "kid string, key binary, created_at string, is_active boolean")
+    sealed = settle(sealing.seal_columns(sent, key, ["client_ip", "latency_in"], "ingest", "edge")).withColumn("ctx", swapped("ctx", 6, "elsewhere"))
+    sealed = settle(sealed)
+    sealed.write.parquet(str(tmp_path / "raw"))
+    owners = view(spark, SMALL, "tenants").select(F.sha2(F.concat(F.lit("key-"), "tenant_id"), 256).alias("key_hash"), "tenant_id", F.lit(True).alias("is_active"))
+    rules = streams.IngestRules(payload="client_ip string, latency_in double", steps={1: {"latency_in": "latency_in * 1"}}, current=2, sender_key="sender_key", tags=("zone",), families={"local_": "threat_"})
+    targets = streams.IngestTargets(*[str(tmp_path / x) for x in ("results", "dlq", "receipts", "ck")])
+
+    def read_tables(s):
+        return (*lookups(s), key, owners)
+
+    want, unopened = streams.judge_all(sealed, streams.IngestTables(*read_tables(spark)), rules)
+    for _ in range(2):
+        s = spark.readStream.schema(sealed.schema).parquet(str(tmp_path / "raw"))
+        streams.ingest_stream(s, read_tables, targets, rules).awaitTermination(400)
+        results, dlq = spark.read.parquet(targets.results), spark.read.parquet(targets.dead_letters)
+        assert rows(dlq, "event_id", "error_class") == sorted(zip(ids, ["unknown_version", "unknown_key", "metadata_malformed", "bad_status", "tenant_mismatch", "late", "not_authentic"]))
+        assert rows(results, "event_id") == rows(want.where("reason IS NULL"), "event_id") and unopened.count() == 1
+        assert rows(results.select("version", "family").distinct()) == [(2, "threat_x")]
+        assert spark.read.parquet(targets.receipts).agg(F.sum("n"), F.sum("rejected")).first()[:] == (sent.count(), 7)
