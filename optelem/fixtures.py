@@ -23,6 +23,11 @@ SELECT event_id, CAST(regexp_extract(props,'[0-9]+',0) AS INT) AS k, concat('t',
     "raw_tel": """
 SELECT t.*, event_time AS received_at, 1 AS delivery, CASE WHEN event_id % 53 = 0 THEN 't99' ELSE tenant_id END AS claimed_tenant, CASE WHEN event_id % 37 = 0 THEN NULL ELSE latency_ms END AS latency_in FROM tel t
  UNION ALL SELECT t.*, event_time + INTERVAL '5' MINUTE, 2, tenant_id, latency_ms FROM tel t WHERE event_id % 20 = 0
+""",
+    "odd_tel": """
+SELECT event_id, k, CASE WHEN event_id % 23 = 0 THEN NULL ELSE tenant_id END AS tenant_id, CASE WHEN event_id % 19 < 3 THEN NULL ELSE service_id END AS service_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id,
+ event_time, event_type, CASE WHEN event_id % 17 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 31 = 0 THEN NULL ELSE latency_ms END AS latency_ms, status_code, client_ip, user_agent, host, version,
+ CASE WHEN event_id % 13 = 0 THEN NULL ELSE idempotency_key END AS idempotency_key, event_time AS received_at, 1 AS delivery FROM tel
 """,
     "tenants": """
 SELECT concat('t', CAST(n_nationkey AS STRING)) AS tenant_id, concat('app', CAST(n_nationkey AS STRING), '.example.com') AS host, CASE WHEN n_nationkey % 3 = 0 THEN 'Pro' ELSE 'Standard' END AS tier, n_nationkey = 0 AS is_platform, n_nationkey % 2 = 0 AS is_published FROM nation WHERE n_nationkey < 8

@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 
 def scan_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """source, cluster_id, batch_id, pos, record: one row per record of posted batch documents (JSON lines).
+    """`parse_batches` of the files of a folder."""
+    return parse_batches(spark.read.text(folder))
+
+
+def parse_batches(lines: DataFrame) -> DataFrame:
+    """source, cluster_id, batch_id, pos, record: one row per record of posted batch documents, a JSON document per `value`.
 
     Records keep every key as Variant.
     """
     schema = "source string, cluster_id string, batch_id string, records array<variant>"
-    parsed = spark.read.text(folder).select(F.from_json("value", schema).alias("b")).where("b IS NOT NULL")
+    parsed = lines.select(F.from_json("value", schema).alias("b")).where("b IS NOT NULL")
     return parsed.select("b.source", "b.cluster_id", "b.batch_id", F.posexplode("b.records").alias("pos", "record"))
 
 
 def load_predictions(spark: SparkSession, folder: str, fields: dict[str, str], times: list[str]) -> DataFrame:
-    """Scored results as JSON lines; columns match by name, `times` are parsed where they can be."""
+    """`parse_predictions` of the files of a folder."""
+    return parse_predictions(spark.read.text(folder), fields, times)
+
+
+def parse_predictions(lines: DataFrame, fields: dict[str, str], times: list[str]) -> DataFrame:
+    """Scored results, a JSON object per `value`; columns match by name, `times` are parsed where they can be."""
     schema = ", ".join(f"{n} {'string' if n in times else t}" for n, t in fields.items())
-    rows = spark.read.schema(schema).json(folder)
+    rows = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     return rows.select(*[F.try_to_timestamp(F.col(n)).alias(n) if n in times else F.col(n) for n in fields])
 
 
@@ -31,12 +41,16 @@ def _front(name: str):
 
 
 def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Markdown notes as id, title, summary, published_at, updated_at, note, categories, featured, draft, body, error.
+    """`parse_notes` of the Markdown files of a folder."""
+    return parse_notes(spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value"))
 
-    `error` names the first broken rule: front matter, a required field, a date, categories, or
+
+def parse_notes(files: DataFrame) -> DataFrame:
+    """Markdown notes (path, value) as id, title, summary, published_at, updated_at, note, categories, featured, draft, body, error.
+
+    Dates may carry a time of day, by which notes are ordered. `error` names the first broken rule: front matter, a required field, a date, categories, or
     (for notes that are no drafts) fewer than two level-two sections.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
     fence = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n(.*)$"
     parts = (files.withColumn("_has", F.col("value").rlike(fence))
              .withColumn("_front", F.regexp_extract("value", fence, 1)).withColumn("body", F.regexp_replace(F.regexp_extract("value", fence, 2), r"^\s+|\s+$", "")))
@@ -46,9 +60,9 @@ def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
     categories = F.filter(F.transform(listed, lambda c: F.regexp_replace(F.trim(c), r"""^["']|["']$""", "")), lambda c: c != "")
     rows = parts.select(
         F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("id"), _front("title").alias("title"), _front("summary").alias("summary"),
-        F.substring(_front("publishedAt"), 1, 10).try_cast("date").alias("published_at"), _front("updatedAt").alias("_updated"),
+        _front("publishedAt").try_cast("timestamp_ntz").alias("published_at"), _front("updatedAt").alias("_updated"),
         _front("note").alias("note"), categories.alias("categories"), _front("featured").alias("_featured"), _front("draft").alias("_draft"), "body", "_has")
-    rows = (rows.withColumn("updated_at", F.substring("_updated", 1, 10).try_cast("date"))
+    rows = (rows.withColumn("updated_at", F.col("_updated").try_cast("timestamp_ntz"))
             .withColumn("featured", F.coalesce(F.col("_featured").try_cast("boolean"), F.lit(False)))
             .withColumn("draft", F.coalesce(F.col("_draft").try_cast("boolean"), F.lit(False))))
     sections = F.regexp_count("body", F.lit(r"(?m)^##\s+\S.*$"))
@@ -61,8 +75,13 @@ def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lockfile_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """path, ecosystem, package, version from manifest lines `name==version` and - `name`: version."""
-    lines = spark.read.text(folder, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.trim("value").alias("line"))
+    """`parse_manifests` of the files below a folder."""
+    return parse_manifests(spark.read.text(folder, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value"))
+
+
+def parse_manifests(lines: DataFrame) -> DataFrame:
+    """path, ecosystem, package, version from manifest lines (path, value) `name==version` and - `name`: version."""
+    lines = lines.select("path", F.trim("value").alias("line"))
     pinned, listed = r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?==([^\s;#]+)", r"^(?:[-*]\s+)?`([^`]+)`:\s*[~^>=<v]*\s*([0-9][^\s,;]*)"
     is_pinned = F.col("line").rlike(pinned)
     package = F.when(is_pinned, F.regexp_extract("line", pinned, 1)).otherwise(F.regexp_extract("line", listed, 1))

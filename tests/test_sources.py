@@ -67,7 +67,7 @@ def test_notes(spark, tmp_path):
     out = {r["id"]: r for r in documents.scan_notes(spark, str(tmp_path)).collect()}
     assert {k: r["error"] for k, r in out.items()} == {"ok": None, "inline": None, "nocat": "no_categories", "short": "too_few_sections", "draft": None, "date": "bad_date", "bare": "no_front_matter"}
     assert (out["ok"]["title"], out["ok"]["categories"], out["ok"]["featured"], out["ok"]["draft"]) == ("T: x", ["Data", "Ops"], True, False)
-    assert out["inline"]["categories"] == ["A", "B"] and str(out["inline"]["updated_at"]) == "2024-02-01" and out["ok"]["body"].startswith("## One")
+    assert out["inline"]["categories"] == ["A", "B"] and str(out["inline"]["updated_at"]) == "2024-02-01 00:00:00" and out["ok"]["body"].startswith("## One")
 
 
 def test_lockfiles(spark, tmp_path):
