@@ -1,18 +1,20 @@
 """format("telemetry_ingest"): batch and stream writes as batch envelopes in a landing folder.
 
-Register with `spark.dataSource.register(TelemetryIngest)`. Options: path (a folder every executor
-reaches), source, cluster_id. Each task writes JSON lines of at most 25 records and 8 MiB; files
-become visible when the write commits.
+Register with `spark.dataSource.register(TelemetryIngest)`. Options: path (a folder that every executor reaches,
+local or any address Arrow's file systems know), source, cluster_id. Each task writes JSON lines, each a request of at
+most 25 records and 8 MiB with its envelope; files become visible when the write commits. A batch id is a hash of the
+batch's records, so a batch that is written again has the same one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
 from optelem.sources.sinks import MAX_BYTES, MAX_EVENTS
@@ -40,44 +42,62 @@ class _Landing:
     def __init__(self, options) -> None:
         if "path" not in options:
             raise ValueError("telemetry_ingest needs the option path")
-        self.path, self.source, self.cluster = options["path"], options.get("source", "spark"), options.get("cluster_id")
+        self.address, self.source, self.cluster = options["path"], options.get("source", "spark"), options.get("cluster_id")
 
-    def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/.{uuid.uuid4().hex}.pending"
-        records, size, count = [], 0, 0
-        with open(name, "w", encoding="utf-8") as out:
-            def flush() -> None:
-                body = ",".join(records)
-                head = {"source": self.source, "cluster_id": self.cluster, "batch_id": uuid.uuid4().hex}
-                out.write(json.dumps(head)[:-1] + ', "records": [' + body + "]}\n")
+    def _folder(self) -> tuple[fs.FileSystem, str]:
+        if "://" in self.address or self.address.startswith("file:"):
+            files, path = fs.FileSystem.from_uri(self.address)
+        else:
+            files, path = fs.LocalFileSystem(), self.address
+        return files, path.rstrip("/")
+
+    def _request(self, records: list[str]) -> bytes:
+        body = ",".join(records)
+        head = {"source": self.source, "cluster_id": self.cluster, "batch_id": hashlib.sha256(body.encode()).hexdigest()}
+        return (json.dumps(head)[:-1] + ', "records": [' + body + "]}").encode()
 
+    def write(self, rows: Iterator) -> Written:
+        files, path = self._folder()
+        files.create_dir(path, recursive=True)
+        name = f"{path}/.{uuid.uuid4().hex}.pending"
+        envelope = len(self._request([]))
+        records, size, count = [], envelope, 0
+        with files.open_output_stream(name) as out:
             for row in rows:
                 text = json.dumps(_plain(row), ensure_ascii=False)
                 n = len(text.encode())
-                if n > MAX_BYTES:
+                if envelope + n > MAX_BYTES:
                     raise ValueError("a record is larger than a batch may be; separate such rows first")
-                if records and (len(records) == MAX_EVENTS or size + n > MAX_BYTES):
-                    flush()
-                    records, size = [], 0
+                if records and (len(records) == MAX_EVENTS or size + 1 + n > MAX_BYTES):
+                    out.write(self._request(records) + b"\n")
+                    records, size = [], envelope
+                size += n + bool(records)
                 records.append(text)
-                size, count = size + n, count + 1
+                count += 1
             if records:
-                flush()
+                out.write(self._request(records) + b"\n")
         return Written(name, count)
 
     def publish(self, messages, prefix: str) -> None:
+        """Give the files their names; what an earlier attempt of the same job or batch has left under the prefix goes."""
+        files, path = self._folder()
+        kept = set()
         for number, message in enumerate(m for m in messages if m is not None and m.pending):
-            final = f"{self.path}/{prefix}-{number:05d}.json"
             if message.records == 0:
-                os.remove(message.pending)
+                files.delete_file(message.pending)
             else:
-                os.replace(message.pending, final)
+                final = f"{path}/{prefix}-{number:05d}.json"
+                files.move(message.pending, final)
+                kept.add(final.rsplit("/", 1)[1])
+        for found in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if found.base_name.startswith(f"{prefix}-") and found.base_name not in kept:
+                files.delete_file(found.path)
 
     def discard(self, messages) -> None:
+        files, _ = self._folder()
         for message in messages:
-            if message is not None and message.pending and os.path.exists(message.pending):
-                os.remove(message.pending)
+            if message is not None and message.pending and files.get_file_info(message.pending).is_file:
+                files.delete_file(message.pending)
 
 
 class IngestWriter(DataSourceWriter):

@@ -19,20 +19,29 @@ MAX_EVENTS = 25
 MAX_BYTES = 8 * 1024 * 1024
 
 
+ENVELOPE = '{"source":"","tenant_id":"","batch_id":"","records":[]}'
+ID_BYTES = 64
+
+
+def _room(max_bytes: int) -> Column:
+    """Bytes that the envelope of a request leaves for records."""
+    return F.lit(max_bytes - len(ENVELOPE) - ID_BYTES) - F.octet_length("source") - F.octet_length("tenant_id")
+
+
 def oversized(df: DataFrame, record: str = "record", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Records that fit no batch."""
-    return df.where(F.octet_length(record) > max_bytes).withColumn("reason", F.lit("record_too_large"))
+    """Records that fit no request, as rejects for `quality.dead_letters`; `pack_batches` packs the others."""
+    return df.where(F.octet_length(record) > F.coalesce(_room(max_bytes), F.lit(0))).withColumn("reason", F.lit("record_too_large"))
 
 
 def pack_batches(df: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, bucket_rows: int = 50_000) -> DataFrame:
-    """tenant_id, source, batch_id, pos, event_id, record, n_bytes: batches within both limits.
+    """tenant_id, source, batch_id, pos, event_id, record, n_bytes: batches whose requests, envelope and commas included, keep both limits.
 
     Input: tenant_id, source, event_id, record (JSON text). A tenant's source is hashed into buckets
     of about `bucket_rows` records, so a hot one spreads over many tasks; packing walks each bucket
     in event order with constant state.
     """
-    sized = df.select("tenant_id", "source", "event_id", "record", F.octet_length("record").cast("long").alias("n_bytes"))
-    sized = sized.where(F.col("n_bytes") <= max_bytes)
+    sized = df.select("tenant_id", "source", "event_id", "record", F.octet_length("record").cast("long").alias("n_bytes"), _room(max_bytes).cast("long").alias("_room"))
+    sized = sized.where(F.col("n_bytes") <= F.col("_room"))
     buckets = sized.groupBy("tenant_id", "source").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).cast("long").alias("_buckets"))
     placed = (sized.join(settled_lookup(buckets), ["tenant_id", "source"])
               .withColumn("_bucket", F.pmod(F.xxhash64("event_id"), F.col("_buckets"))).drop("_buckets"))
@@ -43,15 +52,15 @@ def pack_batches(df: DataFrame, max_events: int = MAX_EVENTS, max_bytes: int = M
         owner, number, count, size = None, 0, 0, 0
         for pdf in batches:
             numbers, positions = [], []
-            for key, n in zip(zip(*[pdf[k] for k in keys]), pdf["n_bytes"]):
+            for key, n, room in zip(zip(*[pdf[k] for k in keys]), pdf["n_bytes"], pdf["_room"]):
                 if key != owner:
                     owner, number, count, size = key, 0, 0, 0
-                elif count == max_events or size + n > max_bytes:
+                elif count == max_events or size + n > room:
                     number, count, size = number + 1, 0, 0
                 numbers.append(number)
                 positions.append(count)
-                count, size = count + 1, size + n
-            yield pdf.assign(_number=numbers, pos=positions)
+                count, size = count + 1, size + n + 1  # the comma
+            yield pdf.drop(columns="_room").assign(_number=numbers, pos=positions)
 
     packed = ordered.mapInPandas(pack, "tenant_id string, source string, event_id long, record string, n_bytes long, _bucket long, _number long, pos int")
     batch_id = F.sha2(F.concat_ws("|", "tenant_id", "source", F.col("_bucket").cast("string"), F.col("_number").cast("string")), 256)

@@ -93,8 +93,11 @@ def test_packing_limits_and_hot_source(spark):
 
 def test_packing_by_bytes(spark):
     big = records(spark, 5, size=60)
-    out = sinks.pack_batches(big.unionByName(records(spark, 1, size=101).withColumn("event_id", F.lit(99).cast("long"))), max_bytes=100)
+    out = sinks.pack_batches(big.unionByName(records(spark, 1, size=101).withColumn("event_id", F.lit(99).cast("long"))), max_bytes=220)
     assert rows(out.groupBy("batch_id").count(), "count") == [(1,)] * 5
+    assert all(len(r["document"].encode()) <= 220 for r in sinks.batch_documents(out).collect())
+    full = sinks.batch_documents(sinks.pack_batches(records(spark, 40, size=17), max_bytes=500))
+    assert max(len(r["document"]) for r in full.collect()) in range(483, 501)
     assert sinks.oversized(records(spark, 1, size=101), max_bytes=100).count() == 1
     document = sinks.batch_documents(sinks.pack_batches(records(spark, 3))).first()["document"]
     assert len(json.loads(document)["records"]) == 3
@@ -138,3 +141,6 @@ def test_ingest_format(spark, tmp_path):
     back = documents.scan_batches(spark, path)
     assert rows(back.groupBy("batch_id").count(), "count") == [(10,), (25,), (25,)]
     assert back.where(F.expr("variant_get(record, '$.s', 'string')") == "é").count() == 60 and back.first()["source"] == "unit"
+    again = f"file://{tmp_path}/again"
+    spark.range(60).select("id", F.lit("é").alias("s"), F.current_date().alias("d")).coalesce(1).write.format("telemetry_ingest").mode("append").option("path", again).option("source", "unit").save()
+    assert rows(documents.scan_batches(spark, again).select("batch_id").distinct()) == rows(back.select("batch_id").distinct())
