@@ -269,8 +269,13 @@ def token_bucket_audit(df: DataFrame, limits: DataFrame, keys: Sequence[str] = (
             .drop("_sec", "_pos", "_tokens"))
 
 
-def ingest_health(df: DataFrame, dlq: DataFrame, as_of: str, max_lag_seconds: int, max_dlq_share: float) -> DataFrame:
-    """check, value, state; an empty input is degraded, never healthy."""
+def ingest_health(df: DataFrame, dlq: DataFrame, as_of: str, max_lag_seconds: int, max_dlq_share: float, max_dlq_depth: int | None = None,
+                  models: DataFrame | None = None, max_model_age_seconds: int = 86400) -> DataFrame:
+    """check, value, state; an empty input is degraded, never healthy.
+
+    Freshness of the newest event and share of dead letters; with a bound also their number, and with `models`
+    (model_type, trained_at) the age of the model type that was last trained longest ago.
+    """
     lag = (df.where(F.col("event_time") <= ts(as_of))
            .agg(F.max("event_time").alias("_newest"))
            .select(F.lit("freshness_lag_s").alias("check"),
@@ -281,6 +286,12 @@ def ingest_health(df: DataFrame, dlq: DataFrame, as_of: str, max_lag_seconds: in
     depth = totals.select(F.lit("dlq_share").alias("check"), F.try_divide(F.col("_d"), F.col("_n") - F.col("_d")).alias("value"),
                           F.lit(max_dlq_share).alias("bound"))
     rows = lag.unionByName(depth)
+    if max_dlq_depth is not None:
+        rows = rows.unionByName(totals.select(F.lit("dlq_depth").alias("check"), F.coalesce("_d", F.lit(0e0)).alias("value"), F.lit(float(max_dlq_depth)).alias("bound")))
+    if models is not None:
+        newest = models.where(F.col("trained_at") <= ts(as_of)).groupBy("model_type").agg(F.max("trained_at").alias("_newest"))
+        age = F.expr(f"timestampdiff(SECOND, _oldest, CAST('{as_of}' AS TIMESTAMP_NTZ))").cast("double")
+        rows = rows.unionByName(newest.agg(F.min("_newest").alias("_oldest")).select(F.lit("model_age_s").alias("check"), age.alias("value"), F.lit(float(max_model_age_seconds)).alias("bound")))
     state = F.when(F.coalesce(F.col("value") <= F.col("bound"), F.lit(False)), F.lit("ok")).otherwise(F.lit("degraded"))
     return rows.select("check", "value", state.alias("state"))
 

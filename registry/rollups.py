@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from optelem.fixtures import query, view, with_views
-from optelem.operators import enrich, rollups
+from optelem.operators import enrich, ml, rollups
 from optelem.sources import sinks
 from registry.enrichment import ENR, enriched
 from registry.quality import DLQ, _dlq
@@ -19,6 +19,9 @@ REQUESTS = "SELECT o_orderkey AS request_id, o_custkey AS account_id FROM orders
 PROFILES = "SELECT account_id, tier, remote_id IS NOT NULL AND account_id % 10 <> 3 AS subscription_active FROM billing_local"
 
 
+TRAINED = "SELECT concat('m', CAST(k % 3 AS STRING)) AS model_type, event_time AS trained_at FROM tel WHERE k % 40 < 3"
+
+
 def tel(spark, d):
     return view(spark, d, "tel")
 
@@ -44,6 +47,13 @@ def _limits(spark, d):
     return view(spark, d, "tenants").select("tenant_id", F.when(F.col("tier") == "Pro", 6).otherwise(2).alias("capacity"))
 
 
+def _forecast_ces(spark, d):
+    """Scores lowered by the spike forecast of each tenant's newest hour."""
+    rollup = rollups.hourly_rollup(tel(spark, d))
+    newest = ml.spike_forecast(rollup).groupBy("tenant_id").agg(F.max_by("forecast", "hour").alias("forecast"))
+    return rollups.ces_scores(tel(spark, d), rollup, incidents(spark, d), 450.0, newest)
+
+
 QUERIES = {
     "hourly_rollup": lambda s, d: rollups.hourly_rollup(tel(s, d)),
     "last_hour_rollup": lambda s, d: rollups.last_hour_rollup(tel(s, d), HOUR_AS_OF),
@@ -62,7 +72,8 @@ QUERIES = {
     "quota_usage": lambda s, d: rollups.quota_usage(tel(s, d), view(s, d, "tenants"), {"Standard": 1, "Pro": 2}),
     "sliding_rate": lambda s, d: rollups.sliding_rate(tel(s, d), 1).select("event_id", "n60", "over"),
     "token_bucket_audit": lambda s, d: rollups.token_bucket_audit(tel(s, d), _limits(s, d)).select("event_id", "tenant_id", "allowed", "remaining", "retry_after"),
-    "ingest_health": lambda s, d: rollups.ingest_health(tel(s, d), _dlq(s, d), NOW, 60, 0.1),
+    "ingest_health": lambda s, d: rollups.ingest_health(tel(s, d), _dlq(s, d), NOW, 60, 0.1, 100, query(s, d, TRAINED), 3 * 86400),
+    "ces_with_forecast": _forecast_ces,
     "visible_rows": lambda s, d: rollups.visible_rows(query(s, d, STATUS_PAGES), rollups.Viewer("Operator", "t1", False, ("mfa",))),
     "entitled_rows": lambda s, d: rollups.entitled_rows(query(s, d, REQUESTS), query(s, d, PROFILES)),
     "reconcile_subscriptions": lambda s, d: rollups.reconcile_subscriptions(view(s, d, "billing_local"), view(s, d, "billing_remote")),
@@ -76,6 +87,10 @@ INCIDENTS = """runs AS (SELECT *, count(CASE WHEN status_code < 500 THEN 1 END)
   (SELECT tenant_id, service_id, run, count(CASE WHEN status_code >= 500 THEN 1 END) AS failures, min(CASE WHEN status_code >= 500 THEN event_time END) AS started_at, max(CASE WHEN status_code < 500 THEN event_time END) AS ended_at FROM runs GROUP BY ALL) x WHERE failures >= 2)"""
 UPTIME = "SELECT tenant_id, service_id, CAST(event_time AS DATE) AS day, count(*) AS checks, 100e0 * count(CASE WHEN status_code < 500 THEN 1 END) / count(*) AS uptime_pct"
 DIMS = "device_type, country, network_class"
+SPIKES = """e AS (SELECT *, CAST(errors AS DOUBLE) / requests AS err FROM roll),
+ x AS (SELECT tenant_id, hour, (coalesce((avg_latency - min(avg_latency) OVER t) / nullif(max(avg_latency) OVER t - min(avg_latency) OVER t, 0), 0) + coalesce((err - min(err) OVER t) / nullif(max(err) OVER t - min(err) OVER t, 0), 0)) / 2 AS x FROM e WINDOW t AS (PARTITION BY tenant_id)),
+ q AS (SELECT tenant_id, hour, list({'v': x, 's': 0e0}) OVER (PARTITION BY tenant_id ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS seq FROM x),
+ spikes AS (SELECT tenant_id, hour, list_reduce(seq, lambda a, b: {'v': CASE WHEN a.v * 0.9e0 + b.v >= 1 THEN 0e0 ELSE a.v * 0.9e0 + b.v END, 's': a.s + CASE WHEN a.v * 0.9e0 + b.v >= 1 THEN 1e0 ELSE 0e0 END}, {'v': 0e0, 's': 0e0}) AS st FROM q)"""
 
 ORACLES = {
     "hourly_rollup": f"WITH {ROLLUP} SELECT * FROM roll",
@@ -106,6 +121,11 @@ ORACLES = {
       s AS (SELECT t.tenant_id, greatest(0, 100e0 - 10 * coalesce(n, 0) - 100 * slow) AS threat, 100e0 * (1 - err) * least(1e0, 450e0 / p99) AS sla, greatest(0, 100e0 - 5 * coalesce(n, 0) - 50 * coalesce(cv, 0)) AS stable
        FROM t LEFT JOIN h ON t.tenant_id = h.tenant_id LEFT JOIN i ON t.tenant_id = i.tenant_id)
       SELECT tenant_id, round(threat, 6) AS threat, round(sla, 6) AS sla, round(stable, 6) AS stable, round(0.4e0 * threat + 0.35e0 * sla + 0.25e0 * stable, 6) AS ces FROM s""",
+    "ces_with_forecast": f"""WITH {ROLLUP}, {INCIDENTS}, {SPIKES}, t AS (SELECT tenant_id, CAST(count(CASE WHEN status_code >= 500 THEN 1 END) AS DOUBLE) / count(*) AS err, CAST(count(CASE WHEN latency_ms > 450 THEN 1 END) AS DOUBLE) / count(*) AS slow, quantile_cont(latency_ms, 0.99) AS p99 FROM tel GROUP BY tenant_id),
+      h AS (SELECT tenant_id, stddev_samp(avg_latency) / avg(avg_latency) AS cv FROM roll GROUP BY tenant_id), i AS (SELECT tenant_id, count(*) AS n FROM inc GROUP BY tenant_id), fc AS (SELECT tenant_id, max_by(round(least(1e0, (st.s + st.v) / 12e0), 6), hour) AS f FROM spikes GROUP BY tenant_id),
+      s AS (SELECT t.tenant_id, greatest(0, 100e0 - 10 * coalesce(n, 0) - 100 * slow) AS threat, 100e0 * (1 - err) * least(1e0, 450e0 / p99) AS sla, greatest(0, 100e0 - 5 * coalesce(n, 0) - 50 * coalesce(cv, 0)) AS stable, coalesce(f, 0) AS f
+       FROM t LEFT JOIN h ON t.tenant_id = h.tenant_id LEFT JOIN i ON t.tenant_id = i.tenant_id LEFT JOIN fc ON fc.tenant_id = t.tenant_id)
+      SELECT tenant_id, round(threat, 6) AS threat, round(sla, 6) AS sla, round(stable, 6) AS stable, round((0.4e0 * threat + 0.35e0 * sla + 0.25e0 * stable) * (1 - 0.1e0 * f), 6) AS ces FROM s""",
     "overview_series": f"""WITH {ROLLUP}, lng AS (SELECT tenant_id, hour, 'avg_latency' AS name, avg_latency AS y FROM roll UNION ALL SELECT tenant_id, hour, 'requests', requests FROM roll UNION ALL SELECT tenant_id, hour, 'errors', errors FROM roll)
       SELECT tenant_id, name, CAST(row_number() OVER (PARTITION BY tenant_id, name ORDER BY hour) - 1 AS INTEGER) AS pos, strftime(hour, '%Y-%m-%dT%H:%M') AS x, y FROM lng""",
     "token_bucket_audit": """WITH secs AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY sec) AS rn FROM (SELECT tenant_id, cap, epoch_us(event_time) // 1000000 AS sec, count(*) AS n
@@ -119,7 +139,8 @@ ORACLES = {
       JOIN (SELECT tenant_id, CAST(CASE tier WHEN 'Pro' THEN 2 ELSE 1 END AS BIGINT) AS quota FROM tenants) t ON u.tenant_id = t.tenant_id""",
     "sliding_rate": "SELECT event_id, n60, n60 > 1 AS over FROM (SELECT event_id, count(*) OVER (PARTITION BY tenant_id ORDER BY event_time RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n60 FROM tel) x",
     "ingest_health": f"""WITH {DLQ}, v AS (SELECT 'freshness_lag_s' AS "check", CAST((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(event_time))) // 1000000 AS DOUBLE) AS value, 60 AS b FROM tel WHERE event_time <= TIMESTAMP '{NOW}'
-       UNION ALL SELECT 'dlq_share', CAST((SELECT count(*) FROM dlq) AS DOUBLE) / (SELECT count(*) FROM tel), 0.1) SELECT "check", value, CASE WHEN value <= b THEN 'ok' ELSE 'degraded' END AS state FROM v""",
+       UNION ALL SELECT 'dlq_share', CAST((SELECT count(*) FROM dlq) AS DOUBLE) / (SELECT count(*) FROM tel), 0.1 UNION ALL SELECT 'dlq_depth', CAST((SELECT count(*) FROM dlq) AS DOUBLE), 100
+       UNION ALL SELECT 'model_age_s', CAST((epoch_us(TIMESTAMP '{NOW}') - epoch_us((SELECT min(t) FROM (SELECT max(trained_at) AS t FROM ({TRAINED}) z WHERE trained_at <= TIMESTAMP '{NOW}' GROUP BY model_type) y))) // 1000000 AS DOUBLE), 259200) SELECT "check", value, CASE WHEN value <= b THEN 'ok' ELSE 'degraded' END AS state FROM v""",
     "visible_rows": f"SELECT *, tenant_id = 't1' AND NOT is_platform AS can_write FROM ({STATUS_PAGES}) p WHERE is_published OR is_platform OR tenant_id = 't1'",
     "entitled_rows": f"SELECT r.*, EXISTS (SELECT 1 FROM ({PROFILES}) p WHERE p.account_id = r.account_id AND tier = 'Pro' AND subscription_active) AS entitled FROM ({REQUESTS}) r",
     "reconcile_subscriptions": """SELECT account_id, coalesce(l.remote_id, r.remote_id) AS remote_id, tier, status, CASE WHEN account_id IS NULL THEN 'orphan_remote' WHEN l.remote_id IS NULL AND tier = 'Pro' THEN 'manual_grant' WHEN r.remote_id IS NULL THEN 'keep'
