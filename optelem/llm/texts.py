@@ -27,7 +27,10 @@ def add_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 
 def per_batch(ddl: str, compute: Callable[[list[bytes]], list[tuple]]) -> Callable[[Column], Column]:
-    """A struct column computed from whole texts as UTF-8 bytes, one Arrow batch at a time; NULL counts as empty."""
+    """A struct column computed from whole texts as UTF-8 bytes, one Arrow batch at a time; NULL counts as empty.
+
+    It is declared nondeterministic, though it is not, so that a filter on one of its fields does not compute it twice.
+    """
     fields = ddl_fields(ddl)
 
     @arrow_udf(ddl)
@@ -36,7 +39,8 @@ def per_batch(ddl: str, compute: Callable[[list[bytes]], list[tuple]]) -> Callab
         columns = list(zip(*found)) or [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(c, type=kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
-    return lambda text: run(text.cast("binary"))
+    once = run.asNondeterministic()
+    return lambda text: once(text.cast("binary"))
 
 
 def per_text(ddl: str, compute: Callable[[bytes], tuple]) -> Callable[[Column], Column]:
