@@ -142,7 +142,10 @@ def pack(df: DataFrame, row_id: str = "doc_id", ids: str = "ids", capacity: int
 
 
 def library_ids(spark: SparkSession, rank_file: str, pattern: str) -> Callable[[Column], Column]:
-    """Token ids by the installed tokenizer library: the input of `pack` where ids are only a means."""
+    """Token ids by the installed tokenizer library: the input of `pack` where ids are only a means.
+
+    Declared nondeterministic, though it is not, so that a filter on the ids does not tokenize twice.
+    """
     with open(rank_file, "rb") as f:
         data = spark.sparkContext.broadcast(f.read(MAX_VOCABULARY_BYTES))
     made: dict[str, tiktoken.Encoding] = {}
@@ -157,4 +160,5 @@ def library_ids(spark: SparkSession, rank_file: str, pattern: str) -> Callable[[
             offsets.append(offsets[-1] + len(found[-1]))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    return lambda text: run(text.cast("binary"))
+    once = run.asNondeterministic()
+    return lambda text: once(text.cast("binary"))
