@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents through quality rules, toxicity, near-duplicates, mixing and tokenization."""
+"""The corpus pipeline: documents through quality rules, toxicity, near-duplicates, mixing and tokenization.
+
+Every stage takes any columns beside those of documents, whatever their names, and returns them; empty tables stay empty.
+NULL and empty texts fail the quality rules; a later stage that is given some scores them as wordless, puts them into one
+near-duplicate group, takes none of their words and gives them no tokens. Rows that repeat a document are judged alike;
+one of them passes the near-duplicate stage. A row with a NULL id passes it only where its group has no other. NULL is a
+source of its own to the mixture. Texts are never cut.
+"""
 
 from __future__ import annotations
 

@@ -92,16 +92,19 @@ def windows(words: int, s: Settings) -> np.ndarray:
 
 
 class Model:
-    """Bucket values and bias of the trained network, collapsed to the difference of its two outputs."""
+    """Bucket values and bias of the trained network, collapsed to the difference of its two outputs.
 
-    REMEMBERED = 300_000  # words whose value a worker keeps
+    `wordless` is the logit of texts without words.
+    """
+
+    REMEMBERED = 200_000  # words whose value a worker keeps
 
-    def __init__(self, values: np.ndarray, bias: float, settings: Settings):
-        self.values, self.bias, self.settings = values, bias, settings
+    def __init__(self, values: np.ndarray, bias: float, settings: Settings, wordless: float):
+        self.values, self.bias, self.settings, self.wordless = values, bias, settings, wordless
         self._known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.values, self.bias, self.settings
+        return self.values, self.bias, self.settings, self.wordless
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -115,7 +118,7 @@ class Model:
     def _logit(self, words: list[str]) -> float:
         s = self.settings
         if not words:
-            return self.bias
+            return self.wordless
         each = np.array([self._known[w] for w in words])
         if len(words) <= s.window:
             return float(each.mean()) + self.bias
@@ -123,11 +126,11 @@ class Model:
         starts = np.append(np.arange(0, len(words) - s.window, s.step), len(words) - s.window)
         return float((sums[starts + s.window] - sums[starts]).max()) / s.window + self.bias
 
-    def scores(self, texts: list[str]) -> list[float]:
-        """Probabilities of the texts; without words, the bias alone decides."""
+    def scores(self, texts: list[str | bytes]) -> list[float]:
+        """Probabilities of the texts (or their UTF-8 bytes)."""
         out: list[float] = []
         for first in range(0, len(texts), TEXTS):
-            split = [_words(t) for t in texts[first:first + TEXTS]]
+            split = [_words(t if isinstance(t, str) else t.decode("utf-8", "replace")) for t in texts[first:first + TEXTS]]
             self._learn(set().union(*split))
             out += [1.0 / (1.0 + math.exp(-min(60.0, max(-60.0, self._logit(w))))) for w in split]
             if len(self._known) > self.REMEMBERED:
@@ -148,11 +151,13 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
     """Gradient steps on the cross entropy of each text; a sample with one class or none gives that constant.
 
     The margin of a text is a mean of its windows' margins, weighted by a softmax that sharpens from step to step, so
-    training starts with the average of the text and ends with the worst window. A margin depends on an embedding only
+    training starts with the average of the text and ends with the worst window. A text without words is no likelier
+    to be toxic than the sample's share. A margin depends on an embedding only
     through the difference of the two outputs, so a step needs one number per bucket and not one vector per word.
     """
     if len(set(labels)) < 2:
-        return Model(np.zeros(s.buckets, np.float32), 20.0 if 1 in labels else -20.0, s)
+        always = 20.0 if 1 in labels else -20.0
+        return Model(np.zeros(s.buckets, np.float32), always, s, always)
     random = np.random.default_rng(s.seed)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words(text)], dtype=np.int32) for text in texts]
@@ -204,7 +209,8 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
             table[touched] = rows * (1 - s.decay) - (pace * pull)[:, None] * apart
             out -= s.out_rate * np.stack([-turn, turn], axis=1)
             bias -= s.out_rate * wrong.sum() * np.array([-1, 1], np.float32)
-    return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]), s)
+    offset, share = float(bias[1] - bias[0]), float(y.mean())
+    return Model(table @ (out[:, 1] - out[:, 0]), offset, s, min(offset, math.log(share / (1 - share))))
 
 
 def held_out(row_id: Column) -> Column:
@@ -237,6 +243,6 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: list[bytes]) -> list[tuple]:
-        return [(p, int(p >= 0.5)) for p in shared.value.scores([t.decode("utf-8", "replace") for t in texts])]
+        return [(p, int(p >= 0.5)) for p in shared.value.scores(texts)]
 
     return replaced(df, per_batch("struct<score:double,predicted:int>", compute)(F.col(text)), ["score", "predicted"])
