@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from optelem.functions.times import trunc, ts
 from optelem.operators.rollups import failed, hourly_rollup
 from optelem.plans.lookups import lookup_side, settled_lookup
-from optelem.sources.sinks import read_if_present
+from optelem.sources.sinks import drop_rows, read_if_present
 
 
 def coverage_gaps(df: DataFrame, rollups: DataFrame) -> DataFrame:
@@ -75,21 +75,26 @@ def table_checksum(df: DataFrame) -> DataFrame:
                   F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("xor"))
 
 
+def past_age(as_of: str, max_age_seconds: int, time: str = "at") -> Column:
+    return F.coalesce(F.col(time) < ts(as_of) - F.expr(f"INTERVAL '{max_age_seconds}' SECOND"), F.lit(False))
+
+
 def due_rows(df: DataFrame, as_of: str, max_age_seconds: int, time: str = "at") -> tuple[DataFrame, DataFrame]:
     """(rows past their age, the others); rows without a time stay."""
-    old = F.coalesce(F.col(time) < ts(as_of) - F.expr(f"INTERVAL '{max_age_seconds}' SECOND"), F.lit(False))
+    old = past_age(as_of, max_age_seconds, time)
     return df.where(old), df.where(~old)
 
 
-def archive_then_prune(spark: SparkSession, table: str, archive: str, as_of: str, max_age_seconds: int, time: str = "at") -> int:
+def archive_then_prune(spark: SparkSession, table: str, archive: str, as_of: str, max_age_seconds: int, time: str = "at", partition: str | None = None) -> int:
     """Copy rows past their age to a folder of `archive` for this run, compare what was read back, and only then rewrite `table` without them.
 
     Returns the number of archived rows. A run's folder is never replaced: a run without due rows writes none, and one
     that is repeated after a crash goes on if its folder holds just the due rows. A failed comparison raises and
-    leaves the table as it was. `spark.read.parquet(archive)` reads all runs.
+    leaves the table as it was. `spark.read.parquet(archive)` reads all runs. With the table's partition column only
+    partitions with due rows are rewritten.
     """
     audit = spark.read.parquet(table)
-    due, kept = due_rows(audit, as_of, max_age_seconds, time)
+    due, _ = due_rows(audit, as_of, max_age_seconds, time)
     wanted = table_checksum(due).first()
     if not wanted["n"]:
         return 0
@@ -99,9 +104,7 @@ def archive_then_prune(spark: SparkSession, table: str, archive: str, as_of: str
     found = table_checksum(spark.read.schema(due.schema).parquet(folder)).first()
     if wanted != found:
         raise RuntimeError(f"archive {folder} differs from its source: {found} for {wanted}")
-    staged = table.rstrip("/") + "__staged"
-    kept.write.mode("overwrite").parquet(staged)
-    spark.read.schema(audit.schema).parquet(staged).write.mode("overwrite").parquet(table)
+    drop_rows(spark, table, past_age(as_of, max_age_seconds, time), partition)
     return wanted["n"]
 
 
@@ -125,23 +128,24 @@ def erase_receipt(before: dict[str, DataFrame], after: dict[str, DataFrame], ten
     return out
 
 
-def erase_tenant_files(spark: SparkSession, paths: dict[str, str], tenant: str) -> DataFrame:
-    """Rewrite every Parquet table without the tenant and prove it: rows of the tenant left raise before any receipt."""
-    counts = {}
+def erase_tenant_files(spark: SparkSession, paths: dict[str, str], tenant: str, partitions: dict[str, str] | None = None) -> DataFrame:
+    """Take the tenant out of every Parquet table and prove it: rows left raise before any receipt.
+
+    `partitions` names the partition column of tables that have one; of those only partitions with rows of the tenant
+    are rewritten.
+    """
+    counts = []
+    mine = F.col("tenant_id").eqNullSafe(F.lit(tenant))
     for name, path in paths.items():
-        df = spark.read.parquet(path)
-        staged = path.rstrip("/") + "__staged"
-        erase_tenant({name: df}, tenant)[name].write.mode("overwrite").parquet(staged)
-        kept = spark.read.schema(df.schema).parquet(staged)
-        left = kept.where(F.col("tenant_id") == tenant).count()
-        if left:
-            raise RuntimeError(f"{name}: {left} rows of {tenant} left in the rewrite")
-        counts[name] = (df.where(F.col("tenant_id") == tenant).count(), kept.count())
-        kept.write.mode("overwrite").parquet(path)
-        if spark.read.schema(df.schema).parquet(path).where(F.col("tenant_id") == tenant).count():
-            raise RuntimeError(f"{name}: rows of {tenant} left after the rewrite")
-    rows = [(name, removed, kept, 0) for name, (removed, kept) in counts.items()]
-    return spark.createDataFrame(rows, "table_name string, removed long, kept long, remaining long")
+        schema = spark.read.parquet(path).schema
+        before = spark.read.schema(schema).parquet(path).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others")).first()
+        if before["mine"]:
+            drop_rows(spark, path, mine, (partitions or {}).get(name))
+        after = spark.read.schema(schema).parquet(path).agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others")).first()
+        if after["mine"] or after["others"] != before["others"]:
+            raise RuntimeError(f"{name}: {after['mine']} rows of {tenant} left, {after['others']} of {before['others']} others")
+        counts.append((name, before["mine"], after["others"], 0))
+    return spark.createDataFrame(counts, "table_name string, removed long, kept long, remaining long")
 
 
 def subject_export(tables: dict[str, DataFrame], subject: int, key: str = "user_id") -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from optelem.functions.times import ts
-from optelem.plans.lookups import settled_lookup
+from optelem.plans.keys import join_on
+from optelem.plans.lookups import lookup_side, settle, settled_lookup
 
 # fixed values: ingest limits
 MAX_EVENTS = 25
@@ -94,6 +95,31 @@ def read_if_present(spark: SparkSession, path: str, schema: T.StructType) -> Dat
         raise
 
 
+def drop_rows(spark: SparkSession, path: str, gone: Column, partition: str | None = None) -> None:
+    """Rewrite the Parquet table at `path` without the rows for which `gone` holds.
+
+    With the name of its partition column, only partitions that hold such rows are written, and those that hold
+    nothing else are removed. What is kept is staged next to the table before anything of it is replaced.
+    """
+    df = spark.read.parquet(path)
+    gone = F.coalesce(gone, F.lit(False))
+    staged = path.rstrip("/") + "__staged"
+    if partition is None:
+        df.where(~gone).write.mode("overwrite").parquet(staged)
+        spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(path)
+        return
+    folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
+    touched = settle(df.where(gone).select(F.col(partition), folder.alias("_folder")).distinct())
+    affected = join_on(df, lookup_side(touched.select(partition).distinct()), [partition], "left_semi")
+    affected.where(~gone).write.mode("overwrite").parquet(staged)
+    kept = spark.read.schema(df.schema).parquet(staged)
+    emptied = join_on(touched, kept.select(partition).distinct(), [partition], "left_anti").select("_folder").collect()  # partitions, not rows
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for row in emptied:
+        target = spark._jvm.org.apache.hadoop.fs.Path(row["_folder"])
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def upsert_results(batch: DataFrame, target: str, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day") -> None:
     """Merge a batch into a Parquet read model: the newest version of each key wins.
 

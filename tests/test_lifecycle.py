@@ -88,3 +88,28 @@ def test_archive_goes_on_after_a_crash_before_the_prune(spark, tmp_path):
     df.where("id = 1").write.parquet(f"{archive}/run=20240115000000")
     assert lifecycle.archive_then_prune(spark, table, archive, "2024-01-15 00:00:00", 86400) == 1
     assert rows(spark.read.parquet(table), "id") == [(2,)] and rows(spark.read.parquet(archive), "id") == [(1,)]
+
+
+def files_of(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_untouched_partitions_keep_their_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d1"), ("b", 3, "d2"), ("a", 4, "d3"), (None, 5, None)], "tenant_id string, n int, day string")
+    df.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    before = files_of(tmp_path / "t")
+    receipt = lifecycle.erase_tenant_files(spark, {"t": str(tmp_path / "t")}, "a", {"t": "day"})
+    assert rows(receipt) == [("t", 2, 3, 0)]
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "tenant_id", "n", "day") == sorted([("b", 2, "d1"), ("b", 3, "d2"), (None, 5, None)], key=repr)
+    after = files_of(tmp_path / "t")
+    assert {p for p in before if "day=d2" in str(p) or "DEFAULT" in str(p)} == {p for p in after if before.get(p) == after[p]}
+    assert not (tmp_path / "t" / "day=d3").exists()
+    assert rows(lifecycle.erase_tenant_files(spark, {"t": str(tmp_path / "t")}, "a", {"t": "day"})) == [("t", 0, 3, 0)]
+
+
+def test_archive_of_a_partitioned_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", "d1"), (2, "2024-03-01 00:00:00", "d1"), (3, "2024-03-01 00:00:00", "d2")], "id long, at string, day string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    df.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    kept = files_of(tmp_path / "t" / "day=d2")
+    assert lifecycle.archive_then_prune(spark, str(tmp_path / "t"), str(tmp_path / "a"), "2024-02-01 00:00:00", 86400, partition="day") == 1
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "id") == [(2,), (3,)] and files_of(tmp_path / "t" / "day=d2") == kept
