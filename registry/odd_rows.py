@@ -17,6 +17,8 @@ HOSTS = "SELECT event_id, client_ip, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 T
 PAGES = """SELECT page_id, concat('https://site', CAST(page_id % 3 AS STRING), '.example.com/p', CAST(page_id AS STRING)) AS url, concat('<p id="z z">x</p><a href=/gone', CAST(page_id AS STRING), '>a</a><link href="/style.css"><img src=''/i.png''>',
  '<a href="#z%20z">b</a><a href="#none">c</a><a href="/q?a=1&amp;b=2">d</a><a href="p', CAST(page_id AS STRING), '.html">self</a>') AS html FROM pages"""
 HEADINGS = "SELECT doc_id, concat('Spark™ ﬁnal Ⅷ №', CAST(doc_id AS STRING), ' ½ Éa ', CASE doc_id % 3 WHEN 0 THEN '㎏' WHEN 1 THEN '&amp;' ELSE 'ß' END) AS text FROM documents"
+BODIES = """SELECT doc_id, 1 AS idx, concat('s', CAST(doc_id AS STRING)) AS slug, concat('# Alpha', chr(10), chr(10), '```', chr(10), '## no heading', chr(10), '```', chr(10), 'Big Title', chr(10), '=====', chr(10), chr(10), 'Small', chr(10), '---', chr(10),
+ '### Beta ###', chr(10), 'text # no', chr(10), '## Beta', chr(10), '~~~', chr(10), '# open fence ', CAST(doc_id AS STRING)) AS body FROM documents"""
 NOTES = "SELECT concat('n', CAST(doc_id AS STRING)) AS id, date_add(DATE '2025-01-01', CAST(doc_id % 7 AS INT)) AS published_at, concat(CASE doc_id % 2 WHEN 0 THEN 'Note ' ELSE 'Part ' END, CAST(doc_id % 3 AS STRING), '.', CAST(doc_id % 23 AS STRING)) AS note, doc_id % 9 = 0 AS draft FROM documents"
 TERMS = "SELECT conv_id * 100 + turn AS doc_id, text FROM conversations"
 
@@ -62,6 +64,7 @@ QUERIES = {
     "odd_archive": _due,
     "odd_links": lambda s, d: docs.link_audit(query(s, d, PAGES)),
     "odd_anchor_keys": lambda s, d: query(s, d, HEADINGS).select("doc_id", anchor_key(F.col("text")).alias("key")),
+    "odd_headings": lambda s, d: docs.heading_index(query(s, d, BODIES)),
     "odd_notes": lambda s, d: docs.ordered_notes(query(s, d, NOTES)).select("id", "rank", "prev_id", "next_id"),
     "odd_brand_terms": lambda s, d: threat.brand_mentions(query(s, d, TERMS), table(s, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 2, F.col("item_id").cast("int") + 1), " ").alias("term"))),
 }
@@ -103,6 +106,8 @@ ORACLES = {
     "odd_archive": "SELECT event_id, k <> 7 AND event_time < TIMESTAMP '2024-01-15 00:00:00' AS archived FROM odd_tel",
     "odd_links": """SELECT page_id, '/gone' || page_id AS link, 'missing_page' AS problem FROM pages UNION ALL SELECT page_id, '#none', 'missing_fragment' FROM pages UNION ALL SELECT page_id, '/q?a=1&b=2', 'missing_page' FROM pages""",
     "odd_anchor_keys": "SELECT doc_id, 'sparktm-final-viii-no' || doc_id || '-1-2-ea' || CASE doc_id % 3 WHEN 0 THEN '-kg' ELSE '' END AS key FROM documents",
+    "odd_headings": """SELECT doc_id, 1 AS idx, CAST(pos AS INTEGER) AS pos, CAST(depth AS INTEGER) AS depth, v.text, key, id, '/book/s' || doc_id || '/#' || id AS target FROM documents,
+      (VALUES (0, 1, 'Alpha', 'alpha', 'alpha'), (1, 1, 'Big Title', 'big-title', 'big-title'), (2, 2, 'Small', 'small', 'small'), (3, 3, 'Beta', 'beta', 'beta'), (4, 2, 'Beta', 'beta', 'beta-2')) v(pos, depth, text, key, id)""",
     "odd_notes": """WITH n AS (SELECT 'n' || doc_id AS id, doc_id % 7 AS day, CASE doc_id % 2 WHEN 0 THEN 'note' ELSE 'part' END AS word, doc_id % 3 AS major, doc_id % 23 AS minor FROM documents WHERE doc_id % 9 <> 0),
       r AS (SELECT id, row_number() OVER (ORDER BY day DESC, word DESC, major DESC, minor DESC, id DESC) AS rank FROM n) SELECT *, lag(id) OVER (ORDER BY rank) AS prev_id, lead(id) OVER (ORDER BY rank) AS next_id FROM r""",
     "odd_brand_terms": r"""WITH words AS (SELECT conv_id * 100 + turn AS doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM conversations),

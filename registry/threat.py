@@ -73,7 +73,7 @@ QUERIES = {
     "tenant_vs_global": lambda s, d: threat.tenant_vs_global(flagged(s, d), threat.global_baseline(flagged(s, d), AS_OF)),
     "cross_tenant_attempts": lambda s, d: threat.cross_tenant_attempts(view(s, d, "audit_log")),
     "siem_signals": lambda s, d: threat.siem_signals(view(s, d, "tel")),
-    "siem_cases": lambda s, d: threat.siem_cases(threat.siem_signals(view(s, d, "tel")), 24, AS_OF).drop("case_id"),
+    "siem_cases": lambda s, d: threat.siem_cases(threat.siem_signals(view(s, d, "tel")), 24, AS_OF),
     "audit_summary": lambda s, d: threat.audit_summary(view(s, d, "audit_log")),
     "response_actions": lambda s, d: threat.response_actions(query(s, d, SCORES)),
     "playbook_runs": lambda s, d: threat.playbook_runs(view(s, d, "playbook_actions")),
@@ -148,7 +148,7 @@ ORACLES = {
     "siem_cases": f"""WITH {SIEM}, m AS (SELECT *, CASE WHEN window_start <= max(window_end) OVER (PARTITION BY tenant_id, entity ORDER BY window_start, window_end, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS o FROM sig),
       c AS (SELECT *, sum(o) OVER (PARTITION BY tenant_id, entity ORDER BY window_start, window_end, rule ROWS UNBOUNDED PRECEDING) AS cn FROM m),
       g AS (SELECT tenant_id, entity, array_to_string(list_sort(list(DISTINCT rule)), ',') AS rules, count(*) AS signals, min(window_start) AS started_at, max(window_end) AS last_seen_at FROM c GROUP BY tenant_id, entity, cn)
-      SELECT *, CASE WHEN contains(rules, ',') THEN 'high' WHEN signals > 1 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN last_seen_at + INTERVAL 24 HOUR < TIMESTAMP '{AS_OF}' THEN 'closed' ELSE 'open' END AS state FROM g""",
+      SELECT *, sha256(concat_ws('|', tenant_id, entity, strftime(started_at, '%Y%m%d%H%M%S'))) AS case_id, CASE WHEN contains(rules, ',') THEN 'high' WHEN signals > 1 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN last_seen_at + INTERVAL 24 HOUR < TIMESTAMP '{AS_OF}' THEN 'closed' ELSE 'open' END AS state FROM g""",
     "audit_summary": "SELECT actor_tenant, actor, action, outcome, count(*) AS n, CAST(grouping(actor_tenant, actor, action, outcome) AS INTEGER) AS level FROM audit_log GROUP BY ROLLUP (actor_tenant, actor, action, outcome)",
     "response_actions": f"SELECT event_id, tenant_id, score, CASE WHEN score < 0.5 THEN 'allow' WHEN score < 0.7 THEN 'throttle' WHEN score < 0.9 THEN 'challenge' ELSE 'block' END AS action, score >= 0.7 AS in_review FROM ({SCORES}) s",
     "playbook_timeline": f"WITH {RUNS} SELECT run_id, CAST(seq AS INTEGER) AS seq, action_id, attempts, state, retry_eligible, next_retry_at FROM tl",
