@@ -14,7 +14,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from optelem.functions.exact import as_micros, mean_ms
@@ -356,3 +356,51 @@ def nearest_vectors(catalog: DataFrame, queries: Sequence[tuple[int, Sequence[fl
         F.try_divide(dot(F.col("_e"), F.col("_q.qv")), F.col("_n") * F.sqrt(dot(F.col("_q.qv"), F.col("_q.qv")))), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+QUERY_BLOCK = 10_000  # query vectors that are broadcast at a time; with 64 components of 8 bytes about 5 MB
+
+
+def nearest_to_table(catalog: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: cosine top-k of a table of queries (query_id, embedding) in the whole catalog, exact.
+
+    Queries are taken in blocks; a block is broadcast, and each task keeps the best k of its rows per query, so a scan
+    leaves k rows per query and task. Vectors that are NULL, zero or of another length match nothing; ties go to the
+    smaller vec_id.
+    """
+    spark = catalog.sparkSession
+    usable = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    ordered = usable.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-usable.count() // block)))))
+    ordered = settle(ordered)
+    parts = [_best_in_tasks(spark, catalog, ordered.where(F.col("_block") == b), k) for b in sorted(r["_block"] for r in ordered.select("_block").distinct().collect())]
+    if not parts:
+        parts = [catalog.where(F.lit(False)).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0e0).alias("score"))]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best_in_tasks(spark: SparkSession, catalog: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = [(r["query_id"], np.array(r["embedding"], dtype=float)) for r in queries.select("query_id", "embedding").collect() if None not in r["embedding"]]
+    rows = [(q, v / np.linalg.norm(v)) for q, v in rows if np.linalg.norm(v) > 0]
+    shared = spark.sparkContext.broadcast(rows)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = {}
+        for n in {len(v) for _, v in shared.value}:
+            own = [(q, v) for q, v in shared.value if len(v) == n]
+            tables[n] = [np.array([q for q, _ in own]), np.stack([v for _, v in own]), np.full((len(own), 0), -np.inf), np.zeros((len(own), 0), dtype=np.int64)]
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) in tables)]
+            for n, group in pdf.groupby(pdf["embedding"].map(len)):
+                ids, matrix = group["vec_id"].to_numpy(dtype=np.int64), np.stack(group["embedding"].tolist()).astype(float)
+                norms = np.linalg.norm(matrix, axis=1)
+                there = norms > 0
+                table = tables[n]
+                score = np.concatenate([table[2], np.round(table[1] @ (matrix[there] / norms[there, None]).T, 6)], axis=1)
+                names = np.concatenate([table[3], np.tile(ids[there], (len(table[0]), 1))], axis=1)
+                order = np.lexsort((names, -score), axis=1)[:, :k]
+                table[2], table[3] = np.take_along_axis(score, order, axis=1), np.take_along_axis(names, order, axis=1)
+        for asked, _, score, names in tables.values():
+            yield pd.DataFrame({"query_id": np.repeat(asked, score.shape[1]), "vec_id": names.ravel(), "score": score.ravel()})
+
+    return catalog.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")

@@ -135,6 +135,7 @@ QUERIES = {
     "drift": lambda s, d: ml.drift(_features(s, d), ["moving_avg_latency", "error_rate", "peak_share"], CUT),
     "threshold_report": lambda s, d: ml.threshold_report(query(s, d, LABELLED_SCORES), THRESHOLDS, 5.0, 1.0),
     "nearest_vectors": _nearest,
+    "nearest_to_table": lambda s, d: ml.nearest_to_table(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, 200),
 }
 
 FEATURES = f"""h AS (SELECT tenant_id, date_trunc('hour', event_time) AS hour, CAST(sum(CAST(round(latency_ms * 1000) AS BIGINT)) AS DOUBLE) / (1e3 * count(latency_ms)) AS avg_latency, count(*) AS requests,
@@ -185,4 +186,5 @@ ORACLES = {
     "nearest_vectors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id IN (0, 17, 101)),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
 }
+ORACLES["nearest_to_table"] = ORACLES["nearest_vectors"].replace("q.vec_id IN (0, 17, 101)", "q.vec_id % 50 = 0")
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}
