@@ -24,10 +24,10 @@ def _headings(spark, d):
 
 
 def _links(spark, d):
-    return query(spark, d, """SELECT conv_id * 1000 + turn AS doc_id, concat(CASE turn % 3 WHEN 0 THEN '#chapter-' WHEN 1 THEN 'BOOK.md#appendix-b-' ELSE 'docs/guide.md#' END, CASE turn % 3 WHEN 0 THEN concat(CAST(turn + 1 AS STRING), '--', role) ELSE 'notes' END) AS href FROM conversations""")
+    return query(spark, d, """SELECT conv_id * 1000 + turn AS doc_id, concat(CASE turn % 3 WHEN 0 THEN '#chapter-' WHEN 1 THEN 'MANUAL.md#appendix-b-' ELSE 'docs/guide.md#' END, CASE turn % 3 WHEN 0 THEN concat(CAST(turn + 1 AS STRING), '--', role) ELSE 'notes' END) AS href FROM conversations""")
 
 
-RULES = docs.LinkRules(book={"book.md": "/book/"}, owners=((r"^docs/", "https://code.example.com/docs-owner"), (r".", "https://code.example.com/site")))
+RULES = docs.LinkRules(book={"manual.md": "/book/"}, owners=((r"^docs/", "https://code.example.com/docs-owner"), (r".", "https://code.example.com/site")))
 
 QUERIES = {
     "split_sections": _sections,
@@ -61,7 +61,7 @@ ORACLES = {
       UNION ALL SELECT doc_id, 2, 'Annex', '', 'Annex', 'section-annex', '## Annex' FROM c""",
     "unique_slugs": f"WITH {SECTIONS}, {SLUGS} SELECT doc_id, idx, slug FROM slugs",
     "heading_index": f"WITH {SECTIONS}, {SLUGS}, {HEADS} SELECT doc_id, idx, pos, depth, text, key, key AS id, '/book/' || slug || '/#' || key AS target FROM heads",
-    "resolve_links": """SELECT conv_id * 1000 + turn AS doc_id, CASE turn % 3 WHEN 0 THEN '#chapter-' || (turn + 1) || '--' || role WHEN 1 THEN 'BOOK.md#appendix-b-notes' ELSE 'docs/guide.md#notes' END AS href,
+    "resolve_links": """SELECT conv_id * 1000 + turn AS doc_id, CASE turn % 3 WHEN 0 THEN '#chapter-' || (turn + 1) || '--' || role WHEN 1 THEN 'MANUAL.md#appendix-b-notes' ELSE 'docs/guide.md#notes' END AS href,
       CASE turn % 3 WHEN 0 THEN '/book/chapter-' || (turn + 1) || '-' || role || '/#chapter-' || (turn + 1) || '-' || role WHEN 1 THEN '/book/appendix-b-notes/#appendix-b-notes' ELSE 'https://code.example.com/docs-owner/docs/guide.md#notes' END AS new_href,
       CASE turn % 3 WHEN 0 THEN 'heading' WHEN 1 THEN 'document' ELSE 'repository' END AS how FROM conversations""",
     "ordered_notes": """WITH n AS (SELECT concat('note-', CAST(doc_id AS STRING)) AS id, CAST(DATE '2025-01-01' + CAST(doc_id % 40 AS INTEGER) AS DATE) AS published_at, concat('Note ', CAST(doc_id % 13 AS STRING)) AS note, doc_id % 13 AS no, doc_id % 9 = 0 AS draft FROM documents),
