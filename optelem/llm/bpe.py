@@ -27,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 
 from optelem.llm.texts import add_columns
 
-REMEMBERED = 1_000_000  # pre-tokens a worker keeps, about 160 MB
+REMEMBERED = 700_000  # pre-tokens a worker keeps, about 110 MB
 MAX_VOCABULARY_BYTES = 64_000_000  # of the file that is broadcast
 _SPREAD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
