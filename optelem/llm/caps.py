@@ -5,7 +5,8 @@ block has a small random code, and every combination of one code word per block
 filters whose cap of angle it lies in; they are list-decoded block by block, dropping combinations that cannot reach
 the cap any more, so the work follows the output and not the number of filters. Vectors that share a filter are
 compared exactly in double precision. The number of filters grows with the number of vectors, which keeps the
-expected number of vectors per cap constant at any size.
+expected number of vectors per cap constant at any size. The caps narrow with it, so one code finds fewer of the pairs;
+the number of codes grows until the expected recall of pairs at the threshold is the wanted one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,16 @@ class Caps:
     """Settings of the filters: in each code a vector of a uniform set lies in about `per_vector` caps, and a cap holds about `per_cap` vectors.
 
     Filters of one product code share their code words, so a pair that one code misses is likely to be found by
-    another; several small codes find more than a large one. With these, measured recall of random pairs in 64
-    dimensions at a cosine of 0.9 is above 0.99 for 3,000 and for 50,000 vectors.
+    another; several small codes find more than a large one. There are `codes` of them or as many more as `recall`
+    takes (see `codes_for`). Two blocks spread the caps over the vectors more evenly than three, so they serve up to
+    a thousand million filters.
     """
 
     codes: int = 8
+    recall: float = 0.998
     per_vector: float = 8.0
     per_cap: float = 8.0
-    code_words: int = 512  # per block at most; more filters take more blocks
+    code_words: int = 32768  # per block at most; more filters take more blocks
     seed: int = 20
 
 
@@ -65,29 +69,82 @@ class Filters:
         self.codes = []
         for a, b in self.spans:
             words = random.standard_normal((self.words, b - a))
-            self.codes.append(words / np.linalg.norm(words, axis=1, keepdims=True) / math.sqrt(self.blocks))
+            self.codes.append((words / np.linalg.norm(words, axis=1, keepdims=True) / math.sqrt(self.blocks)).astype(np.float32))
+
+    def size(self) -> int:
+        return self.rotation.nbytes + sum(c.nbytes for c in self.codes)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and filter numbers of all caps that the unit vectors (rows) lie in."""
-        turned = unit @ self.rotation
+        turned = (unit @ self.rotation).astype(np.float32)
+        step = max(1, _SCORES // self.words)
+        parts = [self._decoded(turned[start:start + step], start) for start in range(0, len(unit), step)]
+        return np.concatenate([np.zeros(0, int), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+
+    def _decoded(self, turned: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
         scores = [turned[:, a:b] @ code.T for (a, b), code in zip(self.spans, self.codes)]
-        order = [np.argsort(-s, axis=1) for s in scores]
-        falling = [np.take_along_axis(s, o, axis=1) for s, o in zip(scores, order)]
-        best = np.stack([s[:, 0] for s in falling], axis=1)
-        rest = np.concatenate([np.cumsum(best[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((len(unit), 1))], axis=1)
-        rows, found = [], []
-        for r in range(len(unit)):
-            sums, number = np.zeros(1), np.zeros(1, dtype=np.int64)
-            for b in range(self.blocks):
-                least = self.height - rest[r, b] - sums
-                counts = np.searchsorted(-falling[b][r], -least, side="right")
-                parent = np.repeat(np.arange(len(sums)), counts)
-                child = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts)
-                sums = sums[parent] + falling[b][r][child]
-                number = number[parent] * self.words + order[b][r][child]
-            rows.append(np.full(len(number), r))
-            found.append(number)
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(found or [np.zeros(0, np.int64)])
+        best = np.stack([s.max(axis=1) for s in scores], axis=1).astype(np.float64)
+        rest = np.concatenate([np.cumsum(best[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((len(turned), 1))], axis=1)
+        least = self.height - (best.sum(axis=1, keepdims=True) - best)
+        row = np.arange(len(turned))
+        sums, number = np.zeros(len(row)), np.zeros(len(row), dtype=np.int64)
+        for b, score in enumerate(scores):
+            of, word = np.nonzero(score >= least[:, b, None])
+            own = score[of, word].astype(np.float64)
+            falling = np.lexsort((-own, of))
+            word, own = word[falling], own[falling]
+            first = np.searchsorted(of, np.arange(len(turned)))
+            # Scores lie within -1 and 1, so rows stay apart in one ascending key.
+            counts = np.maximum(0, np.searchsorted(of * 4.0 - own, row * 4.0 - (self.height - rest[row, b] - sums), side="right") - first[row])
+            parent = np.repeat(np.arange(len(row)), counts)
+            child = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row[parent]]
+            sums = sums[parent] + own[child]
+            number = number[parent] * self.words + word[child]
+            row = row[parent]
+        return row + start, number
+
+
+_SCORES = 1 << 21  # of one block that are held at a time
+_PLANTED = 1000
+
+
+def planted(dimensions: int, cosine: float, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at exactly this cosine."""
+    random = np.random.default_rng([seed, dimensions])
+    x, z = random.standard_normal((2, pairs, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
+
+
+def meets(filters: Filters, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and y share a cap."""
+    (a, m), (b, n) = filters.decode(x), filters.decode(y)
+    total = filters.words ** filters.blocks
+    if total * len(x) >= 1 << 63:
+        shared = [r for r, _ in set(zip(a.tolist(), m.tolist())) & set(zip(b.tolist(), n.tolist()))]
+    else:
+        shared = np.intersect1d(a * total + m, b * total + n) // total
+    out = np.zeros(len(x), dtype=bool)
+    out[np.asarray(shared, dtype=int)] = True
+    return out
+
+
+@lru_cache(maxsize=64)
+def codes_for(dimensions: int, vectors: int, cosine: float, caps: Caps) -> int:
+    """Codes that find the wanted share of the pairs at this cosine.
+
+    A code is turned at random, so it finds any pair at one cosine with the same probability, whatever the vectors
+    are, and codes miss independently. The probability is measured with planted pairs in the first four codes, and
+    two standard errors are taken off; links above the threshold are found more often.
+    """
+    if dimensions <= 3:
+        return caps.codes
+    rates = [meets(Filters(dimensions, vectors, caps, code), *planted(dimensions, cosine, _PLANTED, caps.seed + code)).mean() for code in range(4)]
+    rate = float(np.mean(rates))
+    rate -= 2 * math.sqrt(max(rate * (1 - rate), 1e-4) / (4 * _PLANTED))
+    return max(caps.codes, math.ceil(math.log(1 - caps.recall) / math.log1p(-max(rate, 1 / (4 * _PLANTED)))))
 
 
 def units(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -105,22 +162,28 @@ def units(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 _SLICE = 1024
+_HELD = 1 << 28  # bytes of filters that a task keeps
 
 
-def _decoded(vectors: int, caps: Caps):
+def _decoded(vectors: int, caps: Caps, cosine: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[tuple[int, int], Filters] = {}
+        held = 0
         for whole in batches:
             for start in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(start, _SLICE)
                 column = batch.column(batch.schema.get_field_index("vector"))
                 for rows, unit in units(column):
                     dimension = unit.shape[1]
-                    for code in range(caps.codes):
-                        if (dimension, code) not in filters:
-                            filters[dimension, code] = Filters(dimension, vectors, caps, code)
-                        at, number = filters[dimension, code].decode(unit)
-                        cell = (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dimension * caps.codes + code)).view(np.int64)
+                    for code in range(codes_for(dimension, vectors, cosine, caps)):
+                        own = filters.get((dimension, code))
+                        if own is None:
+                            own = Filters(dimension, vectors, caps, code)
+                            if held + own.size() <= _HELD:  # others are made again for each slice
+                                filters[dimension, code] = own
+                                held += own.size()
+                        at, number = own.decode(unit)
+                        cell = (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((dimension << 16) + code)).view(np.int64)
                         take = pa.array(rows[at])
                         yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(batch.schema.get_field_index("node")).take(take), column.take(take)],
                                                          names=["cell", "node", "vector"])
@@ -160,7 +223,7 @@ def usable(vector: Column) -> Column:
 def links(nodes: DataFrame, cosine: float = 0.9, caps: Caps = Caps()) -> DataFrame:
     """Distinct pairs (u, v), u < v, of `nodes` (node long, vector array) at the given cosine or above, as far as filters find them."""
     kind = nodes.schema["vector"].dataType.simpleString()
-    cells = nodes.select("node", "vector").mapInArrow(_decoded(nodes.count(), caps), f"cell long, node long, vector {kind}")
+    cells = nodes.select("node", "vector").mapInArrow(_decoded(nodes.count(), caps, cosine), f"cell long, node long, vector {kind}")
     return tiled(cells, "node").mapInArrow(_verified(cosine), "u long, v long").distinct()
 
 

@@ -174,6 +174,16 @@ def test_caps_of_nameless_and_repeated_rows(spark):
     assert found == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True), (4, 0, 4, True)], key=repr)
 
 
+@pytest.mark.parametrize("vectors", [51_282, 262_500, 1_000_000, 10_000_000])
+def test_caps_recall_does_not_fall_with_the_table(vectors):
+    x, y = caps.planted(64, 0.9, 600, 77)
+    settings = caps.Caps()
+    missed = np.ones(len(x), dtype=bool)
+    for code in range(caps.codes_for(64, vectors, 0.9, settings)):
+        missed &= ~caps.meets(caps.Filters(64, vectors, settings, code), x, y)
+    assert missed.mean() <= 0.01
+
+
 def test_cap_height_is_the_quantile():
     random = np.random.default_rng(2).standard_normal((200_000, 12))
     first = random[:, 0] / np.linalg.norm(random, axis=1)
