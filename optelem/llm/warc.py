@@ -27,8 +27,9 @@ MAX_DUPLICATED = 200_000  # digests with more than one page that are broadcast,
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = re.compile(rb"WARC/[01]\.\d+\r?\n")
 HEADER_END = re.compile(rb"\r?\n\r?\n")
+NEXT_VERSION = re.compile(rb"\nWARC/[01]\.\d+\r?\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
-LONGEST_HEADER = BLOCK = 1 << 16
+USUAL_HEADER = BLOCK = 1 << 16
 
 
 def record_uri(row_id: Column) -> Column:
@@ -96,7 +97,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, bytes], bytes, int] |
     version = VERSION.match(data, at)
     if not version:
         return "version"
-    end = HEADER_END.search(data, version.end() - 2, version.end() + LONGEST_HEADER)
+    end = HEADER_END.search(data, version.end() - 2, version.end() + USUAL_HEADER)
+    if not end:  # a longer one ends before the next version line
+        following = NEXT_VERSION.search(data, version.end())
+        end = HEADER_END.search(data, version.end() - 2, following.start() + 1 if following else len(data))
     if not end:
         return "header"
     fields: dict[str, bytes] = {}

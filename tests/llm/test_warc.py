@@ -76,6 +76,15 @@ def test_pages_written_and_read_back(spark, tmp_path):
     assert warc.read(spark.read.format("binaryFile").load(str(tmp_path / "none"))).count() == 0
 
 
+def test_long_headers_are_read(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "data:," + "x" * 100_000, "<p>one</p>"), (2, "u", "two")], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), str(tmp_path / "w"))
+    found = warc.read(spark.read.format("binaryFile").load(str(tmp_path / "w"))).collect()
+    assert sorted((r["gap_reason"], r["record_id"], bytes(r["payload"])) for r in found) == [(None, "<urn:page:1>", b"<p>one</p>"), (None, "<urn:page:2>", b"two")]
+    unended = b"WARC/1.1\r\na: " + b"x" * 100_000
+    assert [(k, why) for k, _, why, _ in parts(unended + b"\r\n" + record(b"one"))] == [("gap", "header"), ("record", None)]
+
+
 def test_damage_in_files_is_logged(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record(b"one") + b"\x00junk\x00" + record(b"two", name="b"))
     (tmp_path / "y.warc.gz").write_bytes(gzip.compress(record(b"three", name="c")) + b"\x1f\x8b\x08broken" + gzip.compress(record(b"four", name="d")))
