@@ -30,6 +30,7 @@ HEADER_END = re.compile(rb"\r?\n\r?\n")
 NEXT_VERSION = re.compile(rb"\nWARC/[01]\.\d+\r?\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r?\n")
 USUAL_HEADER = BLOCK = 1 << 16
+READ_AHEAD = 8  # bytes that inflate may hold
 
 
 def record_uri(row_id: Column) -> Column:
@@ -123,33 +124,57 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, bytes], bytes, int] |
     return fields, block, stop + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content and end of the gzip member at a position, or the check that failed."""
-    unzip, parts, view = zlib.decompressobj(31), [], memoryview(data)
-    try:
-        while at < len(data) and not unzip.eof:
-            parts.append(unzip.decompress(view[at:at + BLOCK]))
-            at = min(len(data), at + BLOCK)
-    except zlib.error:
-        return "member"
-    return (b"".join(parts), at - len(unzip.unused_data)) if unzip.eof else "cut off"
+def parse_member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at a position, and the check that failed; the content is then what was unpacked before."""
+    unzip, parts, view, step = zlib.decompressobj(31), [], memoryview(data), BLOCK
+    while step and at < len(data) and not unzip.eof:
+        trial = unzip.copy()
+        try:
+            parts.append(trial.decompress(view[at:at + step]))
+        except zlib.error:
+            step //= 2
+            continue
+        unzip, at = trial, min(len(data), at + step)
+    return b"".join(parts), at - len(unzip.unused_data), None if unzip.eof else "cut off" if step else "member"
+
+
+def _packed_end(data: bytes, at: int, size: int) -> int:
+    """Where the first `size` bytes of the content of the member at a position end, or up to READ_AHEAD bytes before."""
+    unzip, view, begin, step = zlib.decompressobj(31), memoryview(data), at, BLOCK
+    while step and at < len(data):
+        trial = unzip.copy()
+        try:
+            made = len(trial.decompress(view[at:at + step]))
+        except zlib.error:
+            made = size
+        if made < size:
+            unzip, size, at = trial, size - made, at + step
+        else:
+            step //= 2
+    return max(begin + 1, at + 1 - READ_AHEAD)
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """('record', first byte, end, None, fields, block) and ('gap', first byte, end, reason, None, None), in file order."""
+    """('record', first byte, end, None, fields, block) and ('gap', first byte, end, reason, None, None), in file order.
+
+    Records of a gzip member all have the member's bytes. Bytes between them that are no record are a gap with the
+    member's bytes too, and with their own first byte and end in the content in place of the fields. Of a member that
+    breaks, the records unpacked before count; the gap begins after them.
+    """
     at, bad_from, reason = 0, None, None
     while at < len(data):
         found: list[tuple] = []
+        broken = None
         if data.startswith(b"\x1f\x8b\x08", at):
-            member = parse_member(data, at)
-            if not isinstance(member, str):
-                content, stop = member
-                inner = [x for x in salvage(content)] if not content.startswith(b"\x1f\x8b") else []
-                if inner and all(x[0] == "record" for x in inner):
-                    found = [("record", at, stop, None, x[4], x[5]) for x in inner]
-                else:
-                    member = "content"
-            why = member if isinstance(member, str) else ""
+            content, stop, broken = parse_member(data, at)
+            inner = list(salvage(content)) if not content.startswith(b"\x1f\x8b") else []
+            while broken and inner and inner[-1][0] == "gap":
+                inner.pop()
+            if any(x[0] == "record" for x in inner):
+                if broken:
+                    stop = _packed_end(data, at, inner[-1][2])
+                found = [(x[0], at, stop, x[3], x[4] if x[0] == "record" else x[1:3], x[5]) for x in inner]
+            why = broken or "content"
         else:
             one = parse_record(data, at)
             if not isinstance(one, str):
@@ -161,16 +186,17 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 bad_from = None
             yield from found
             at = stop
-            continue
+            if not broken:
+                continue
         if bad_from is None:
             bad_from, reason = at, why
-        following = START.search(data, at + 1)
+        following = START.search(data, at if found else at + 1)
         at = following.start() if following else len(data)
     if bad_from is not None:
         yield "gap", bad_from, len(data), reason, None, None
 
 
-_FOUND = ("file string, first_byte long, end_byte long, gap_reason string, record_type string, record_id string, target_uri string, "
+_FOUND = ("file string, first_byte long, end_byte long, gap_reason string, content_first long, content_end long, record_type string, record_id string, target_uri string, "
           "refers_to string, payload_digest string, payload_bytes long, payload binary")
 _SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in _FOUND.split(", "))])
 HTTP_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
@@ -179,7 +205,7 @@ HTTP_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 def _row(file: str, found: tuple, payloads: bool) -> tuple:
     kind, first, end, reason, fields, block = found
     if kind == "gap":
-        return file, first, end, reason, None, None, None, None, None, None, None
+        return file, first, end, reason, *(fields or (None, None)), None, None, None, None, None, None, None
 
     def text(name: str) -> str | None:
         return fields[name].decode("utf-8", "replace") if name in fields else None
@@ -192,7 +218,7 @@ def _row(file: str, found: tuple, payloads: bool) -> tuple:
     stated = HTTP_LENGTH.search(block[:http.end()]) if http and revisit else None
     size = int(stated[1]) if stated else None if revisit else len(payload)
     digest = text("warc-payload-digest") if revisit else "sha1:" + hashlib.sha1(payload).hexdigest()
-    return file, first, end, None, text("warc-type"), text("warc-record-id"), text("warc-target-uri"), text("warc-refers-to"), digest, size, payload if payloads else None
+    return file, first, end, None, None, None, text("warc-type"), text("warc-record-id"), text("warc-target-uri"), text("warc-refers-to"), digest, size, payload if payloads else None
 
 
 def _salvaged(payloads: bool, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +239,8 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
     """Records and gaps of archives given as `path` and `content`, as the binaryFile source reads them.
 
     Gaps have a `gap_reason` (version, header, length, cut off, end, digest, member, content) and no record; an empty
-    or NULL file has neither. The payload of an HTTP response is its body, its digest is computed from it; a revisit
+    or NULL file has neither. A gap within a gzip member that holds records besides has the member's bytes, and its
+    own place in the content as `content_first` and `content_end`. The payload of an HTTP response is its body, its digest is computed from it; a revisit
     has an empty payload, and its digest and size are those that it states for the page it refers to. Without
     `payloads` the column `payload` is NULL.
     """

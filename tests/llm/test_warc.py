@@ -85,6 +85,30 @@ def test_long_headers_are_read(spark, tmp_path):
     assert [(k, why) for k, _, why, _ in parts(unended + b"\r\n" + record(b"one"))] == [("gap", "header"), ("record", None)]
 
 
+def test_records_of_damaged_members_count(spark, tmp_path):
+    records = [record(bytes(random.Random(i).choices(range(256), k=3000)), name=str(i)) for i in range(30)]
+    blocks = [r.split(b"\r\n\r\n", 1)[1][:-4] for r in records]
+    whole = gzip.compress(b"".join(records[:2]) + b"junk" + b"".join(records[2:4]) + b"tail") + gzip.compress(records[4])
+    found = list(warc.salvage(whole))
+    assert [f[5] for f in found if f[0] == "record"] == blocks[:5]
+    start = len(records[0] + records[1])
+    assert [f[4] for f in found if f[0] == "gap"] == [(start, start + 4), (start + 4 + len(records[2] + records[3]), start + 8 + len(records[2] + records[3]))]
+    for level in (0, 6):
+        one = gzip.compress(b"".join(records), level)
+        late = bytearray(one)
+        late[-6] ^= 1
+        for bad, least in ((one[:-9], 29), (bytes(late), 30), (one[:len(one) // 2], 14)):
+            data = records[0] + bad + gzip.compress(records[7]) + records[8]
+            found = list(warc.salvage(data))
+            got = [f[5] for f in found if f[0] == "record"]
+            assert got[0] == blocks[0] and got[-2:] == [blocks[7], blocks[8]] and got[1:-2] == blocks[:len(got) - 3] and len(got) - 3 >= least
+            gap = [f for f in found if f[0] == "gap"]
+            assert level == 0 or len(gap) == 1 and gap[0][1] == found[1][2] and gap[0][2] == len(records[0] + bad)
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    rows = warc.read(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert sum(r["gap_reason"] is None for r in rows) == 5 and {r["content_first"] for r in rows if r["gap_reason"]} == {start, start + 4 + len(records[2] + records[3])}
+
+
 def test_damage_in_files_is_logged(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record(b"one") + b"\x00junk\x00" + record(b"two", name="b"))
     (tmp_path / "y.warc.gz").write_bytes(gzip.compress(record(b"three", name="c")) + b"\x1f\x8b\x08broken" + gzip.compress(record(b"four", name="d")))
