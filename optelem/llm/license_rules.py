@@ -1,6 +1,7 @@
 """Signature rules of the licence scan, written over lower-case words with one blank between them.
 
-A rule is label, priority (1 wins over 4), confidence, the keyword without which it is not tried, and a regex.
+A rule is label, priority (1 wins over 4), confidence, the keyword without which it is not tried, and a regex. Every
+alternative of the regex holds one of the keywords as a whole word.
 NAMES holds one hand-written name signature per licence, from which its tag rule follows; GRANTS, FAMILIES and
 NOTICES hold wordings of grants, names without a version, and notices.
 """
@@ -30,7 +31,7 @@ BY, NC, ND, SA = "(?:attribution|by)", "(?: non ?commercial| nc)", "(?: no ?deri
 
 # Identifier, keyword and name signature; the tag rule is made from the identifier.
 NAMES = [
-    ("0BSD", "0bsd", "(?:zero clause bsd|bsd zero clause|0bsd)"),
+    ("0BSD", "0bsd|bsd", "(?:zero clause bsd|bsd zero clause|0bsd)"),
     ("AAL", "attribution", f"attribution assurance {L}"),
     ("AFL-2.1", "academic", f"academic free {L}{V} ?2 1"),
     ("AFL-3.0", "academic", f"academic free {L}{V} ?3(?: 0)?"),
@@ -42,10 +43,10 @@ NAMES = [
     ("APSL-2.0", "apple", f"apple public source {L}{V} ?2(?: 0)?"),
     ("Artistic-1.0", "artistic", f"artistic {L}{V} ?1(?: 0)?"),
     ("Artistic-2.0", "artistic", f"artistic {L}{V} ?2(?: 0)?"),
-    ("Beerware", "beer", f"beer ?ware {L}"),
+    ("Beerware", "beer|beerware", f"beer ?ware {L}"),
     ("BlueOak-1.0.0", "oak", f"blue oak model {L}(?: 1 0 0)?"),
     ("BSD-1-Clause", "bsd", f"(?:bsd (?:1|one) clause|(?:1|one) clause bsd)(?: {L})?"),
-    ("BSD-2-Clause", "bsd", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {L})?"),
+    ("BSD-2-Clause", "bsd|freebsd", f"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {L})?"),
     ("BSD-3-Clause", "bsd", f"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)(?: {L})?"),
     ("BSD-4-Clause", "bsd", f"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|(?:original|old) bsd)(?: {L})?"),
     ("BSL-1.0", "boost", f"boost software {L}(?:{V} ?1(?: 0)?)?"),
@@ -55,7 +56,7 @@ NAMES = [
     ("CC0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
     ("CDDL-1.0", "common", f"common development and distribution {L}{V} ?1(?: 0)?"),
     ("CDDL-1.1", "common", f"common development and distribution {L}{V} ?1 1"),
-    ("CECILL-2.1", "cecill", "cecill(?: version| v)? ?2 1"),
+    ("CECILL-2.1", "cecill|cecill2", "cecill(?: version| v)? ?2 1"),
     ("CECILL-B", "cecill", "cecill b"),
     ("CECILL-C", "cecill", "cecill c"),
     ("ClArtistic", "clarified", f"clarified artistic {L}"),
@@ -89,7 +90,7 @@ NAMES = [
     ("IPL-1.0", "ibm", f"ibm public {L}(?:{V} ?1 0)?"),
     ("ISC", "isc", f"isc {L}"),
     ("JSON", "json", f"json {L}"),
-    ("LAL-1.3", "libre", f"licence art libre(?: 1 3)?|free art {L}(?: 1 3)?"),
+    ("LAL-1.3", "libre|art", f"licence art libre(?: 1 3)?|free art {L}(?: 1 3)?"),
     ("LGPL-2.0-only", "public|gpl|lgpl", f"{LGPL}{V} v?2(?: 0)?"),
     ("LGPL-2.1-only", "public|gpl|lgpl", f"{LGPL}{V} v?2 1"),
     ("LGPL-3.0-only", "public|gpl|lgpl", f"{LGPL}{V} v?3(?: 0)?"),
@@ -98,7 +99,7 @@ NAMES = [
     ("LPL-1.02", "lucent", f"lucent public {L}(?:{V} ?1 02)?"),
     ("LPPL-1.3c", "latex", f"latex project public {L}(?:{V} ?1 3c?)?"),
     ("MirOS", "miros", f"miros {L}"),
-    ("MIT", "mit", f"mit {L}|{L} mit|(?:expat|x11) {L}"),
+    ("MIT", "mit|expat|x11", f"mit {L}|{L} mit|(?:expat|x11) {L}"),
     ("MIT-0", "mit", "mit no attribution|mit 0"),
     ("Motosoto", "motosoto", f"motosoto(?: open source)? {L}"),
     ("MPL-1.0", "mozilla", f"mozilla public {L}{V} ?v?1 0"),
@@ -146,7 +147,7 @@ NAMES = [
     ("VSL-1.0", "vovida", f"vovida software {L}(?: 1 0)?"),
     ("W3C", "w3c", f"w3c software(?: notice and)? {L}"),
     ("Watcom-1.0", "watcom", f"sybase open watcom public {L}(?: 1 0)?"),
-    ("WTFPL", "wtfpl", "wtfpl|do what the fuck you want to public licen[cs]e"),
+    ("WTFPL", "wtfpl|fuck", "wtfpl|do what the fuck you want to public licen[cs]e"),
     ("Xnet", "net", f"x net {L}"),
     ("ZPL-2.1", "zope", f"zope public {L}(?:{V} ?2 1)?"),
     ("Zlib", "zlib", f"zlib(?: libpng)? {L}"),
@@ -182,7 +183,7 @@ GRANTS = [
     ("JSON", "evil", "the software shall be used for good not evil"),
     ("EUPL-1.2", "eupl", "licen[cs]ed under the eupl(?: 1 2)?"),
     ("SSPL-1.0", "sspl", "licen[cs]ed under the sspl(?: v?1)?"),
-    ("Elastic-2.0", "elastic", f"you may not provide the software to third parties as a hosted or managed service|licen[cs]ed under the elastic {L}(?: 2 0)?"),
+    ("Elastic-2.0", "elastic|hosted", f"you may not provide the software to third parties as a hosted or managed service|licen[cs]ed under the elastic {L}(?: 2 0)?"),
 ]
 
 # Names without a version.

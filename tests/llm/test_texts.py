@@ -152,6 +152,46 @@ def test_licences_by_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def spelt_out(regex):
+    """A sentence for each way through the alternatives, options and classes of a rule; repeats as often as they must, and once."""
+    from re import _parser as parser
+
+    def ways(parts):
+        out = [""]
+        for kind, value in parts:
+            if kind is parser.LITERAL:
+                own = [chr(value)]
+            elif kind is parser.IN:
+                own = [chr(v) if k is parser.LITERAL else "7" if v is parser.CATEGORY_DIGIT else "word" for k, v in value]
+            elif kind is parser.BRANCH:
+                own = [w for branch in value[1] for w in ways(branch)]
+            elif kind is parser.SUBPATTERN:
+                own = ways(value[3])
+            else:
+                assert kind in (parser.MAX_REPEAT, parser.MIN_REPEAT), kind
+                least, most, inner = value
+                own = [w * n for n in {least, min(most, max(least, 1))} for w in (ways(inner) if n else [""])]
+            out = list(dict.fromkeys(a + b for a in out for b in own))
+        return out
+
+    return ways(parser.parse(regex))
+
+
+def test_licence_keywords_are_in_every_alternative(spark):
+    rules = all_rules()
+    sentences = {}
+    for r in rules:
+        for sentence in spelt_out(r.regex):
+            assert set(r.keyword.split("|")) & set(sentence.split()), (r.label, r.keyword, sentence)
+            sentences.setdefault(sentence, r)
+    shortest = {}
+    for sentence, r in sentences.items():  # Spark and the version without a prefilter: one for each rule and keyword
+        shortest.setdefault((r, *sorted(set(r.keyword.split("|")) & set(sentence.split()))), sentence)
+    for i, found in enumerate(licenses.scan(documents(spark, [(i, t, "s") for i, t in enumerate(shortest.values())])).orderBy("doc_id").collect()):
+        words = "|".join(found["text"].split())
+        assert tuple(found[c] for c in licenses.RESULTS) == brute_labels(found["text"], [r._replace(keyword=words) for r in rules]), (i, found["text"])
+
+
 def test_licence_rules_are_sound():
     rules = all_rules()
     assert len(rules) > 200 and len({licenses.pattern(r) for r in rules}) > 200
