@@ -2,8 +2,8 @@
 
 A rule is label, priority (1 wins over 4), confidence, the keyword without which it is not tried, and a regex. Every
 alternative of the regex holds one of the keywords as a whole word.
-NAMES holds one hand-written name signature per licence, from which its tag rule follows; GRANTS, FAMILIES and
-NOTICES hold wordings of grants, names without a version, and notices.
+NAMES holds one hand-written name signature per licence, from which its tag rule follows; GRANTS, WORDINGS,
+FAMILIES and NOTICES hold wordings of grants, passages of full texts, names without a version, and notices.
 """
 
 from __future__ import annotations
@@ -186,10 +186,73 @@ GRANTS = [
     ("Elastic-2.0", "elastic|hosted", f"you may not provide the software to third parties as a hosted or managed service|licen[cs]ed under the elastic {L}(?: 2 0)?"),
 ]
 
+# Passages of full texts, and more grants, of the licences above.
+PERMIT = "permission to use copy modify and(?: or)? distribute this software"
+WORDINGS = [
+    ("0BSD", "permission", f"{PERMIT} for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("AFL-3.0", "academic", f"licen[cs]ed under the academic free {L}{V} 3 0"),
+    ("AFL-2.1", "academic", f"licen[cs]ed under the academic free {L}{V} 2 1"),
+    ("AGPL-3.0-only", "affero", f"the gnu affero general public {L} is a free copyleft {L} for software and other kinds of works"),
+    ("Apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution 1 definitions"),
+    ("Artistic-1.0", "semblance", "maintains some semblance of artistic control over the development of the package"),
+    ("Artistic-2.0", "establishes", f"this {L} establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("Beerware", "retain", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("BlueOak-1.0.0", "infringe", "to do everything with this software that would otherwise infringe that contributor s copyright in it"),
+    ("BSD-3-Clause", "endorse", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSL-1.0", "accompanying", f"any person or organization obtaining a copy of the software and accompanying documentation covered by this {L}"),
+    ("BUSL-1.1", "licensor", f"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the {L}d work"),
+    ("CC0-1.0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("CPL-1.0", "accompanying", f"the accompanying program is provided under the terms of this common public {L}"),
+    ("ECL-2.0", "educational", f"licen[cs]ed under the educational community {L}{V} 2 0"),
+    ("Elastic-2.0", "hosted", "you may not provide the software to third parties as a hosted or managed service where the service provides users with access to any substantial set of the features or functionality of the software"),
+    ("EPL-1.0", "eclipse", f"made available under the terms of the eclipse public {L}{V} v?1 0 which accompanies this distribution"),
+    ("EPL-2.0", "eclipse", f"made available under the terms of the eclipse public {L}{V} v?2 0 which is available at"),
+    ("epl", "eclipse", f"the accompanying program is provided under the terms of this eclipse public {L}"),
+    ("EUPL-1.1", "eupl", f"licen[cs]ed under the eupl{V} 1 1"),
+    ("EUPL-1.2", "eupl", f"licen[cs]ed under the eupl{V} 1 2"),
+    ("Fair", "instrument", "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("FTL", "freetype", "portions of this software are copyright(?: c)?(?: \\S+)? the freetype project"),
+    ("gfdl", "textbook", f"the purpose of this {L} is to make a manual textbook or other functional and useful document free"),
+    ("GPL-1.0-only", "mercy", f"the {L} agreements of most software companies try to keep users at the mercy of those companies"),
+    ("GPL-3.0-only", "copyleft", f"the gnu general public {L} is a free copyleft {L} for software and other kinds of works"),
+    ("HPND", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("IJG", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("IPL-1.0", "ibm", f"the accompanying program is provided under the terms of this ibm public {L}"),
+    ("LGPL-2.0-only", "ordinary", "first released version of the library gpl it is numbered 2 because it goes with version 2 of the ordinary gpl"),
+    ("LGPL-2.1-only", "successor", f"it also counts as the successor of the gnu library public {L} version 2 hence the version number 2 1"),
+    ("LGPL-3.0-only", "incorporates", f"this version of the gnu lesser general public {L} incorporates the terms and conditions of version 3 of the gnu general public {L}"),
+    ("LPPL-1.3c", "latex", f"may be distributed and or modified under the conditions of the latex project public {L}"),
+    ("MirOS", "disclaimer", "provided that these terms and disclaimer and all copyright notices are retained or reproduced in an accompanying document"),
+    ("MPL-1.1", "mozilla", f"the contents of this file are subject to the mozilla public {L}{V} 1 1"),
+    ("MPL-2.0", "contributor", f"each contributor hereby grants you a world wide royalty free non exclusive {L}"),
+    ("MulanPSL-2.0", "mulan", f"licen[cs]ed under mulan psl{V} v?2"),
+    ("NCSA", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("NTP", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("ODbL-1.0", "database", f"is made available under the open database {L}"),
+    ("OFL-1.1", "worldwide", f"the goals of the open font {L} ofl are to stimulate worldwide development of collaborative font projects"),
+    ("OGL-UK-3.0", "government", f"contains public sector information licen[cs]ed under the open government {L}{V} v?3 0"),
+    ("OpenSSL", "openssl", "the names openssl toolkit and openssl project must not be used to endorse or promote products"),
+    ("OSL-3.0", "open", f"licen[cs]ed under the open software {L}{V} 3 0"),
+    ("PDDL-1.0", "dedication", f"is made available under the public domain dedication and {L}"),
+    ("PHP-3.01", "php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("PolyForm-Noncommercial-1.0.0", "noncommercial", "any noncommercial purpose is a permitted purpose"),
+    ("PostgreSQL", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("PSF-2.0", "psf", f"psf hereby grants {L}e a nonexclusive royalty free world wide {L}"),
+    ("Sleepycat", "accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("SSPL-1.0", "functionality", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("Unicode-3.0", "permission", "permission is hereby granted free of charge to any person obtaining a copy of data files and any associated documentation"),
+    ("Unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("UPL-1.0", "associated", "any person obtaining a copy of this software associated documentation and or data"),
+    ("Vim", "charityware", "vim is charityware"),
+    ("W3C", "permission", "permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("WTFPL", "verbatim", f"copy and distribute verbatim or modified copies of this {L} document and changing it is allowed as long as the name is changed"),
+    ("Zlib", "liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+]
+
 # Names without a version.
 FAMILIES = [
     ("agpl", "affero|agpl", AGPL), ("lgpl", "lesser|library|lgpl", LGPL),
-    ("gpl", "gpl", "(?:gnu )?gpl"), ("gpl", "copyleft", "copyleft"), ("gfdl", "documentation", f"free documentation {L}"), ("gfdl", "gfdl", "gfdl"),
+    ("gpl", "gpl", "(?:gnu )?gpl"), ("gpl", "general", f"(?:gnu )?general public {L}"), ("gpl", "copyleft", "copyleft"), ("gfdl", "documentation", f"free documentation {L}"), ("gfdl", "gfdl", "gfdl"),
     ("apache", "apache", f"apache(?: software)? {L}"), ("bsd", "bsd", f"bsd(?: style)? {L}"), ("mpl", "mozilla", f"mozilla public {L}"), ("mpl", "mpl", "mpl"),
     ("epl", "eclipse", f"eclipse public {L}"), ("cddl", "cddl", "cddl"), ("eupl", "eupl", "eupl"), ("artistic", "artistic", f"artistic {L}"),
     ("afl", "academic", f"academic free {L}"), ("cc", "commons", f"creative commons(?: {L})?"), ("osl", "software", f"open software {L}"),
@@ -241,6 +304,7 @@ def creative_commons() -> list[Rule]:
 def all_rules() -> list[Rule]:
     rules = [Rule(name.lower(), TAG, 1.0, "spdx", f"spdx {L} identifier {words_of(name)}") for name, _, _ in NAMES]
     rules += [Rule(label.lower(), TAG, 0.98, keyword, regex) for label, keyword, regex in GRANTS]
+    rules += [Rule(label.lower(), TAG, 0.98, keyword, regex) for label, keyword, regex in WORDINGS]
     rules += creative_commons()
     rules += [Rule(name.lower(), TEXT, 0.95, keyword, regex) for name, keyword, regex in NAMES]
     rules += [Rule(label, NAME, 0.75, keyword, regex) for label, keyword, regex in FAMILIES]

@@ -192,6 +192,14 @@ def test_licence_keywords_are_in_every_alternative(spark):
         assert tuple(found[c] for c in licenses.RESULTS) == brute_labels(found["text"], [r._replace(keyword=words) for r in rules]), (i, found["text"])
 
 
+@pytest.mark.parametrize(("text", "label"), [
+    ("This is under the General Public Licence.", "gpl"), ("Usage of the works is permitted provided that this instrument is retained with the works", "fair"),
+    ("GNU Lesser General Public Licence", "lgpl"), ("The accompanying program is provided under the terms of this Common Public Licence", "cpl-1.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"", "0bsd")])
+def test_licence_wordings(text, label):
+    assert brute_labels(text, all_rules())[5] == label
+
+
 def test_licence_rules_are_sound():
     rules = all_rules()
     assert len(rules) > 200 and len({licenses.pattern(r) for r in rules}) > 200
