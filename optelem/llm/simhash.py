@@ -124,14 +124,18 @@ def groups(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: i
 def one_per_group(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of `df` whose id is the smallest of their group, one row per group, with the columns of `df`.
 
-    Rows that repeat an id are all alike to the operator, one of them stays. A row with a NULL id stays only where
-    its whole group has none.
+    An id may stand on rows of several groups; it represents those of which it is the smallest. Rows that repeat an id
+    within a group are all alike to the operator, one of them stays. A row with a NULL id stays only where its whole
+    group has none.
     """
     found = groups(df, row_id, text, shingle, max_bits)
-    kept = (found.where(F.col(row_id) == F.col("component_id")).groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("_rows")))
+    least = F.col(row_id) == F.col("component_id")
+    kept = found.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.max(least).alias("_least")).where("_least")
     joined = df.join(kept, F.col(row_id) == F.col("_id"))
     once = joined.where("_rows = 1")
-    often = joined.where("_rows > 1").dropDuplicates([row_id])
+    places = found.where(least).select(F.col(row_id).alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+    repeated = joined.where("_rows > 1").withColumn("_fp", fingerprint(F.col(text), shingle))
+    often = repeated.join(places, ["_id", "_fp"]).dropDuplicates(["_id", "_root"])
     nameless = df.where(F.col(row_id).isNull()).withColumn("_fp", fingerprint(F.col(text), shingle))
     orphans = found.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
     alone = nameless.join(orphans, "_fp").dropDuplicates(["_root"])

@@ -129,6 +129,15 @@ def brute_links(vectors, cosine=0.9):
     return edges
 
 
+def test_one_per_group_of_ids_in_several_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a), (1, b), (2, a), (3, b), (4, c), (5, c), (5, a), (4, c)]
+    kept = simhash.one_per_group(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    assert rows(kept) == sorted([(1, a), (1, b), (4, c)], key=repr)
+    kept = simhash.one_per_group(spark.createDataFrame([(2, a), (2, b), (1, b)], "doc_id long, text string"))
+    assert rows(kept) == sorted([(2, a), (1, b)], key=repr)
+
+
 def test_caps_by_brute_force(spark):
     random = np.random.default_rng(11)
     base = random.standard_normal((120, 16))
