@@ -119,7 +119,10 @@ def _packed(capacity: int, pad: int, dtype: str, batches: Iterable[pa.RecordBatc
                 ids, tokens, size = [], [], 0
             shard = number
             ids.append(row_id)
-            tokens.append(own.values.to_numpy().astype(dtype))
+            values = own.values.to_numpy(zero_copy_only=False)
+            if not (values.min() >= 0 and values.max() <= np.iinfo(dtype).max):  # NULL is NaN here
+                raise ValueError(f"ids of document {row_id} do not fit {dtype}")
+            tokens.append(values.astype(dtype))
             size += len(tokens[-1])
     if ids:
         yield from rows()
@@ -131,7 +134,7 @@ def pack(df: DataFrame, row_id: str = "doc_id", ids: str = "ids", capacity: int
     Per row: its shard, window and number, the tokens used, the document and first token of each segment, cumulative
     segment lengths from 0, and as binary arrays of `dtype` the ids, padded with `pad`, and positions that start from 0
     in each segment. Every token occurs once. NULL and empty id lists take no room. Repeated rows and NULL ids are
-    packed like others. `dtype` must hold every id and the capacity.
+    packed like others. `dtype` must hold every id and the capacity, else it raises.
     """
     if capacity > np.iinfo(dtype).max:
         raise ValueError("positions do not fit the type")
@@ -147,7 +150,10 @@ def library_ids(spark: SparkSession, rank_file: str, pattern: str) -> Callable[[
     Declared nondeterministic, though it is not, so that a filter on the ids does not tokenize twice.
     """
     with open(rank_file, "rb") as f:
-        data = spark.sparkContext.broadcast(f.read(MAX_VOCABULARY_BYTES))
+        blob = f.read(MAX_VOCABULARY_BYTES + 1)
+    if len(blob) > MAX_VOCABULARY_BYTES:
+        raise ValueError(f"{rank_file} is larger than a vocabulary may be")
+    data = spark.sparkContext.broadcast(blob)
     made: dict[str, tiktoken.Encoding] = {}
 
     @arrow_udf("array<int>")

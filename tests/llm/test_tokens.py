@@ -120,6 +120,19 @@ def test_packing_loses_nothing(spark, sf, library):
     assert sum(r["n_tokens"] for r in packed) > 0.97 * queries.SEQUENCE * (len(packed) - 2)
 
 
+def test_packing_refuses_what_does_not_fit(spark, monkeypatch, tmp_path):
+    for bad in (65_536, -1, None):
+        df = spark.createDataFrame([(1, [5, 65_535]), (2, [7, bad])], "doc_id long, ids array<int>")
+        with pytest.raises(Exception, match="do not fit <u2"):
+            packing.pack(df, capacity=8).collect()
+    wide = spark.createDataFrame([(1, [5, 65_536])], "doc_id long, ids array<int>")
+    assert unpacked(packing.pack(wide.limit(0), capacity=8).collect()) == {} and packing.pack(wide, capacity=8, dtype="<u4").count() == 1
+    monkeypatch.setattr(packing, "MAX_VOCABULARY_BYTES", 10)
+    (tmp_path / "ranks").write_bytes(b"x" * 11)
+    with pytest.raises(ValueError, match="larger"):
+        packing.library_ids(spark, str(tmp_path / "ranks"), ".")
+
+
 def test_packing_of_odd_tables(spark, monkeypatch):
     data = [(1, [5] * 10), (1, [5] * 10), (2, None), (3, []), (None, [7, 8, 9]), (4, list(range(23)))]
     df = spark.createDataFrame(data, "doc_id long, ids array<int>").withColumn("shard", F.lit("x"))
