@@ -85,4 +85,25 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest
  CASE WHEN last <> page_id THEN CAST(last AS BIGINT) END AS refers_to FROM q"""
 
 
-ORACLES = {"op2_quality_rules": quality_rules(), "op4_license_scan": license_scan(), "op5_source_mix": source_mix(), "op9_warc_salvage": warc_salvage()}
+def filter_audit() -> str:
+    words = WORDS.format("t")
+    return rf"""WITH RECURSIVE letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+ orders(filter_order, applied, step) AS (SELECT letter, bit, 1 FROM letters UNION ALL
+   SELECT filter_order || letter, applied | bit, step + 1 FROM orders JOIN letters ON applied & bit = 0),
+ steps AS (SELECT filter_order, s.step, l.letter, l.bit, coalesce((SELECT sum(b.bit) FROM letters b WHERE contains(filter_order[:s.step - 1], b.letter)), 0)::INT AS before
+   FROM orders, (SELECT unnest(range(1, 6)) AS step) s JOIN letters l ON l.letter = filter_order[s.step] WHERE orders.step = 5),
+ d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, part, t, {words} AS words, doc_id > min(doc_id) OVER (PARTITION BY t) AS copied FROM d),
+ m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+   + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(copied, false)::INT AS mask FROM w),
+ l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+ c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+ r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+   sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+   sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM r"""
+
+
+ORACLES = {"op2_quality_rules": quality_rules(), "op4_license_scan": license_scan(), "op5_source_mix": source_mix(), "op9_warc_salvage": warc_salvage(),
+           "op11_filter_audit": filter_audit()}
