@@ -105,5 +105,26 @@ SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce
  CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM r"""
 
 
+def phrase_collocations() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+ p AS (SELECT rid, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+ g AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, words FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w) x, (SELECT unnest(range(1, 6)) AS m) s
+   WHERE i + m - 1 <= len(words)),
+ f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+ n AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+ c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1),
+ i AS (SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(2, m)) AS s FROM c) x, (SELECT unnest(range(1, 5)) AS i) y
+   WHERE i + s - 1 <= m GROUP BY ALL),
+ k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, n, CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS score FROM k JOIN n USING (lang)
+   JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(words[1:k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(words[k + 1:], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+ CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b QUALIFY rank <= 2000"""
+
+
 ORACLES = {"op2_quality_rules": quality_rules(), "op4_license_scan": license_scan(), "op5_source_mix": source_mix(), "op9_warc_salvage": warc_salvage(),
-           "op11_filter_audit": filter_audit()}
+           "op11_filter_audit": filter_audit(),
+           "op12_phrase_collocations": phrase_collocations()}
