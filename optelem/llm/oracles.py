@@ -125,6 +125,19 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b QUALIFY rank <= 2000"""
 
 
+def html_main_text() -> str:
+    """For pages of the form that the table has: one article element of h1 and p elements with inline markup."""
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, page_id, url, coalesce(html, '') AS h, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS host FROM pages),
+ a AS (SELECT rid, host, regexp_replace(regexp_extract(h, '(?s)<article>(.*)', 1), '(?s)</article>.*', '') AS body FROM d),
+ p AS (SELECT rid, host, body, unnest(string_split_regex(body, '</?(?:p|h1)>')) AS part, unnest(range(len(string_split_regex(body, '</?(?:p|h1)>')))) AS no FROM a),
+ b AS (SELECT rid, host, body, no, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'),
+   '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM p),
+ s AS (SELECT host, count(DISTINCT body) AS pages FROM a WHERE host <> '' GROUP BY host),
+ t AS (SELECT host, line FROM b JOIN s USING (host) WHERE line <> '' GROUP BY host, line, pages HAVING count(DISTINCT body) >= 10 AND count(DISTINCT body) >= 0.5 * pages),
+ f AS (SELECT rid, string_agg(line, chr(10) ORDER BY no) AS text FROM b WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.host = b.host AND t.line = b.line) GROUP BY rid)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM d LEFT JOIN f USING (rid)"""
+
+
 ORACLES = {"op2_quality_rules": quality_rules(), "op4_license_scan": license_scan(), "op5_source_mix": source_mix(), "op9_warc_salvage": warc_salvage(),
            "op11_filter_audit": filter_audit(),
-           "op12_phrase_collocations": phrase_collocations()}
+           "op12_phrase_collocations": phrase_collocations(), "op13_html_main_text": html_main_text()}

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators; their DuckDB oracles are in oracles.py."""
+"""Registered queries of the operators; their DuckDB oracles are in oracles.py."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optelem.llm import audit, caps, licenses, mixing, packing, phrases, quality_rules, sharding, simhash, toxicity, warc
+from optelem.llm import audit, caps, licenses, mixing, packing, phrases, quality_rules, sharding, simhash, site_templates, toxicity, warc
 from optelem.llm.bpe import Tokenizer
 from optelem.session import ensure_checkpoint_dir
 
@@ -90,5 +90,9 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mix, op6_byte_bpe,
-                                   op7_embedding_dedup, op8_sharding, op9_warc_salvage, op10_simhash_dedup, op11_filter_audit, op12_phrase_collocations)}
+                                   op7_embedding_dedup, op8_sharding, op9_warc_salvage, op10_simhash_dedup, op11_filter_audit, op12_phrase_collocations, op13_html_main_text)}
