@@ -24,6 +24,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
         "optgroup": ({"option", "optgroup"}, {"select"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
         "tr": ({"tr"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"})}
 SCOPE = frozenset("table td th caption object template button marquee applet".split())  # an end tag does not reach beyond these
+WIDE = frozenset("select svg math audio video canvas noscript map picture".split())  # not blocks, but their end tag ends blocks within
 
 # What is not the article: by element, by role, by the first or last part of a class or id.
 CUT_TAGS = frozenset("""head title script style template noscript nav footer aside form iframe object embed canvas svg audio video button select textarea
@@ -92,7 +93,7 @@ class Page:
             tag = found[2].lower()
             if found[1]:
                 if tag not in ("body", "html"):
-                    end({tag} if tag not in HEADINGS else HEADINGS, SCOPE - {tag} if tag in BLOCKS or tag in SCOPE else (SCOPE | BLOCKS) - {tag})
+                    end({tag} if tag not in HEADINGS else HEADINGS, SCOPE - {tag} if tag in BLOCKS or tag in SCOPE or tag in WIDE else (SCOPE | BLOCKS) - {tag})
                 continue
             if tag in BLOCKS:
                 if tag not in IN_P:
