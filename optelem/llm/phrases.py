@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from optelem.plans.lookups import settle, settled_lookup
 
 FILTER_BITS = 27  # 16 MB as a bitmap
-BLOCK_BYTES = 8 << 20  # of text worked on at once, or one longer text
-HELD = 2_000_000  # cells or windows that a task holds before it passes them on
+BLOCK_BYTES = 2 << 20  # of text worked on at once, or one longer text
+HELD = 400_000  # cells or windows that a task holds before it passes them on
 GROUP_WINDOWS = 200_000  # the memory budget of a group
 MAX_GROUPS = 10_000  # beyond them groups grow, which bounds the prefixes that need a list
 SALTS = 64
@@ -154,8 +154,10 @@ class _Sums:
 
     def drain(self, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.size > bound and (len(self.merged()[0]) > bound // 2 or not bound):
-            yield self.merged()
+            cells, counts = self.merged()
             self.held, self.size = [], 0
+            for i in range(0, len(cells), 50_000):
+                yield cells[i:i + 50_000], counts[i:i + 50_000]
 
 
 def _cell_counts(bits: int, known: Bitmap | None) -> Callable:
@@ -364,7 +366,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest:
     A phrase scores as its worst cut in two: how much likelier it is than its parts side by side. A phrase that occurs
     only within a longer one, `longest` words at most, goes; then the word before or after it is always the same, so
     one word more decides it. NULL texts are empty and a NULL language is `und`, like texts that say so. Texts of any
-    length are read whole, a task holds one text or 8 MB. Rows that repeat a text count again. Equal scores rank by
+    length are read whole, a task holds one text or 2 MB. Rows that repeat a text count again. Equal scores rank by
     `a`, then by the phrase's bytes. A table without such phrases has no rows. Other columns are ignored.
     """
     phrases, totals = frequent_phrases(df, text, lang, longest, least, filter_bits, budget)
