@@ -2,13 +2,13 @@
 
 A window is the text that follows a word in its piece, cut at the longest phrase of interest: the suffix of the text,
 truncated in depth. Windows that begin alike share a branch of the suffix tree, so the tree can be cut into subtrees by
-prefix: a prefix with more windows than a group may hold is extended by a word, and the prefixes that result are dealt
-to groups of about the memory budget. Each group is sorted by itself and read once; a subtree's node count is the sum of
-its leaves. Only prefixes above the budget span groups, their partial sums are added up.
+prefix: a prefix with more windows than an eighth of a group's budget is extended by a word, and the prefixes that
+result are dealt to groups of about the memory budget. Each group is built by itself; a subtree's node count is the sum
+of its leaves. Only prefixes above the budget span groups, their partial sums are added up.
 
-Before windows are shuffled, two passes sum the words and then the word pairs by hash cell. A bitmap of fixed size marks
-the cells that reach the least frequency; a window ends before a pair whose cell does not. Cells add up what collides, so
-the bitmap never hides a frequent pair, and every count that is returned is exact.
+Before that, two passes sum the words and then the word pairs by hash cell. Bitmaps of fixed size mark the cells that
+reach the least frequency, or the budget; a window ends before a pair whose cell does not reach it. Cells add up what
+collides, so a bitmap never hides a frequent pair, and every count that is returned is exact.
 """
 
 from __future__ import annotations
@@ -28,8 +28,7 @@ from optelem.plans.lookups import settle, settled_lookup
 FILTER_BITS = 27  # 16 MB as a bitmap
 BLOCK_BYTES = 2 << 20  # of text worked on at once, or one longer text
 HELD = 400_000  # cells or windows that a task holds before it passes them on
-GROUP_WINDOWS = 200_000  # the memory budget of a group
-MAX_GROUPS = 10_000  # beyond them groups grow, which bounds the prefixes that need a list
+GROUP_WINDOWS = 500_000  # the memory budget of a group, about 100 MB
 SALTS = 64
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 in a word, 1 between words, 2 between pieces
 _CLASS[[0x20, 0x09]] = 1
@@ -160,14 +159,32 @@ class _Sums:
                 yield cells[i:i + 50_000], counts[i:i + 50_000]
 
 
-def _cell_counts(bits: int, known: Bitmap | None) -> Callable:
-    """(lang, cell, n): sums by cell of words, or of pairs of known words. The words of a language stand under cell -1."""
+COUNTS = "bucket int, cells binary, counts binary, lang string, n long"
+BUCKET_BITS = 15
+
+
+def _packed(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted cells and their counts, one row for each bucket of 2 ** 15 neighbouring cells."""
+    bucket = cells >> BUCKET_BITS
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(first, len(cells))
+    low = (cells & (1 << BUCKET_BITS) - 1).astype("<u2")
+    binary = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v)]) for v in (low, counts.astype("<i8"))]
+    none = pa.nulls(len(first))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), *binary, none.cast(pa.string()), none.cast(pa.int64())], names=["bucket", "cells", "counts", "lang", "n"])
 
-    def rows(langs: list, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "cell", "n"])
+
+def _cell_counts(bits: int, known: Bitmap | None) -> Callable:
+    """Sums by cell of the words, or of the pairs of known words, packed by bucket; and rows (lang, n) of all words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, totals = _Sums(), {}
+
+        def words_by_lang() -> pa.RecordBatch:
+            none = pa.nulls(len(totals))
+            return pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(list(totals), pa.string()),
+                                               pa.array(list(totals.values()), pa.int64())], names=["bucket", "cells", "counts", "lang", "n"])
+
         for words in blocks(batches):
             if not len(words.kind):
                 continue
@@ -177,156 +194,215 @@ def _cell_counts(bits: int, known: Bitmap | None) -> Callable:
                 for lang, n in zip(words.langs, words.counts.tolist()):
                     totals[lang] = totals.get(lang, 0) + n
                 if len(totals) > 10_000:
-                    yield rows(list(totals), np.full(len(totals), -1), np.array(list(totals.values())))
-                    totals = {}
+                    yield words_by_lang()
+                    totals.clear()
             else:
                 often = known[word_cells(hashes, bits)][words.kind]
                 at = np.flatnonzero(words.joined & often[:-1] & often[1:])
-                cells, counts = np.unique(pair_cells(hashes[words.kind[at]], hashes[words.kind[at + 1]], bits), return_counts=True)
-                sums.add(cells, counts)
+                sums.add(*np.unique(pair_cells(hashes[words.kind[at]], hashes[words.kind[at + 1]], bits), return_counts=True))
             for cells, counts in sums.drain(HELD):
-                yield rows([None] * len(cells), cells, counts)
+                yield _packed(cells, counts)
         for cells, counts in sums.drain(0):
-            yield rows([None] * len(cells), cells, counts)
-        yield rows(list(totals), np.full(len(totals), -1), np.array(list(totals.values()), dtype=np.int64))
+            yield _packed(cells, counts)
+        yield words_by_lang()
+
+    return run
+
+
+def _marks(bits: int, levels: list[int]) -> Callable:
+    """(level, bucket, bitmap) from packed counts sorted by bucket: the cells whose sum reaches levels[level]."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sums = None, np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+
+        def marked() -> Iterator[pa.RecordBatch]:
+            for level, least in enumerate(levels):
+                reached = sums >= least
+                if current is not None and reached.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([current], pa.int32()), pa.array([np.packbits(reached, bitorder="little").tobytes()], pa.binary())],
+                                                     names=["level", "bucket", "bitmap"])
+
+        for batch in batches:
+            for bucket, cells, counts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if bucket != current:
+                    yield from marked()
+                    current = bucket
+                    sums[:] = 0
+                sums[np.frombuffer(cells, dtype="<u2")] += np.frombuffer(counts, dtype="<i8")  # cells of a row are distinct
+        yield from marked()
 
     return run
 
 
-def _bitmap(cells: DataFrame, least: int, bits: int) -> Bitmap:
-    """The cells (cell, n) that reach `least`. Of any table the driver sees at most 2 ** bits bits."""
-    marked = cells.where(F.col("n") >= least).where("cell >= 0")
-    found = marked.groupBy(F.shiftright("cell", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(32767))).alias("bitmap"))
-    packed = np.zeros(max(1, 1 << bits >> 3), dtype=np.uint8)
-    for bucket, bitmap in found.toLocalIterator():
-        part = np.frombuffer(bytes(bitmap), dtype=np.uint8)[: len(packed)]
-        packed[bucket << 12: (bucket << 12) + len(part)] = part
-    return Bitmap(bits, zlib.compress(packed, 1))
+def _bitmaps(packed: DataFrame, bits: int, levels: list[int]) -> list[Bitmap]:
+    """For each level the cells whose sum reaches it. Of any table the driver sees at most 2 ** bits bits a level."""
+    by_bucket = packed.repartition("bucket").sortWithinPartitions("bucket")
+    cells = [np.zeros(max(1 << BUCKET_BITS, 1 << bits) >> 3, dtype=np.uint8) for _ in levels]
+    for level, bucket, bitmap in by_bucket.mapInArrow(_marks(bits, levels), "level int, bucket int, bitmap binary").toLocalIterator():
+        cells[level][bucket << BUCKET_BITS - 3: bucket + 1 << BUCKET_BITS - 3] = np.frombuffer(bytes(bitmap), dtype=np.uint8)
+    return [Bitmap(bits, zlib.compress(c, 1)) for c in cells]
+
+
+@dataclass(frozen=True)
+class Filters:
+    """Cells of words and pairs that are frequent, and of those that are too frequent for one group."""
+
+    words: Bitmap
+    heavy_words: Bitmap
+    pairs: Bitmap
+    heavy_pairs: Bitmap
+
 
+def windows_of(words: Words, filters: Filters, longest: int) -> Iterator[tuple[str, bytes, int, int]]:
+    """(lang, window, depth, n): distinct windows of a block, words with a blank after each, and the depth of their prefix.
 
-def windows_of(words: Words, often: np.ndarray, linked: np.ndarray, longest: int) -> Iterator[tuple[str, bytes, int]]:
-    """(lang, window, n): distinct windows of a block, words with a blank after each. They begin at words that are
-    `often` and run on over pairs that are `linked`, `longest` words at most."""
+    They begin at frequent words and run on over frequent pairs, `longest` words at most. The prefix is the first word;
+    two words where that word is heavy; the whole window where the pair is heavy too, which `depth` above `longest` says.
+    """
+    hashes = words.hashes()
+    cells = word_cells(hashes, filters.words.bits)
+    often = filters.words[cells][words.kind]
+    linked = words.joined & often[:-1] & often[1:]
+    at = np.flatnonzero(linked)
+    pair = pair_cells(hashes[words.kind[at]], hashes[words.kind[at + 1]], filters.pairs.bits)
+    linked[at] = filters.pairs[pair]
+    heavy_pair = np.zeros(len(often), dtype=bool)
+    heavy_pair[at] = filters.heavy_pairs[pair]
     run = np.zeros(len(often), dtype=np.int64)  # pairs that a window goes on for
     for _ in range(longest - 1):
         run[:-1] = np.where(linked, np.minimum(run[1:] + 1, longest - 1), 0)
     at = np.flatnonzero(often)
     paths = [t + b" " for t in words.texts]
-    langs, branch, spelled = words.langs, words.kind, paths
+    langs, spelled, depths = words.langs, paths, np.where(filters.heavy_words[cells], 2, 1)
     place = words.kind[at]
     for depth in range(longest):
         ends = run[at] == depth
         found, _, counts = distinct(place[ends], len(spelled))
         for i, n in zip(found.tolist(), counts.tolist()):
-            yield langs[i], spelled[i], n
+            yield langs[i], spelled[i], int(depths[i]), n
         at, place = at[~ends], place[~ends]
         if not len(at):
             return
-        found, place, _ = distinct(place * len(paths) + branch[at + depth + 1], len(spelled) * len(paths))
+        found, place, _ = distinct(place * len(paths) + words.kind[at + depth + 1], len(spelled) * len(paths))
         before, after = found // len(paths), found % len(paths)
-        langs, spelled = [langs[i] for i in before], [spelled[i] + paths[j] for i, j in zip(before, after)]
+        langs, spelled, depths = [langs[i] for i in before], [spelled[i] + paths[j] for i, j in zip(before, after)], depths[before]
+        if depth == 0:
+            example = np.zeros(len(found), dtype=np.int64)
+            example[place] = at
+            depths = np.where((depths == 2) & heavy_pair[example], longest + 1, depths)
+
+
+def prefix_group(lang: str, window: bytes, depth: int, longest: int, groups: int) -> int:
+    prefix = window if depth > longest else b" ".join(window.split(b" ", depth)[:depth])
+    return xxhash.xxh64_intdigest(prefix, xxhash.xxh32_intdigest(lang.encode())) % groups
+
 
+def _grouped_windows(filters: Filters, longest: int, groups: int) -> Callable:
+    """(group_no, lang, depth, windows, counts): a task's windows, sorted, one row per group, language and depth."""
+    names = ["group_no", "lang", "depth", "windows", "counts"]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary())
 
-def _local_windows(words_known: Bitmap, pairs_known: Bitmap, longest: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], int] = {}
+        held: dict[tuple[str, int, bytes], int] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            items = list(held.items())
-            for i in range(0, len(items), 50_000):
-                part = items[i:i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang for (lang, _), _ in part], pa.string()), pa.array([w for (_, w), _ in part], pa.binary()),
-                                                  pa.array([n for _, n in part], pa.int64())], names=["lang", "win", "n"])
+            dealt: dict[tuple[int, str, int], list] = {}
+            for (lang, depth, window), n in held.items():
+                dealt.setdefault((prefix_group(lang, window, depth, longest, groups), lang, depth), []).append((window, n))
+            held.clear()
+            out = []
+            for key in sorted(dealt):
+                part = sorted(dealt.pop(key))
+                out.append((*key, b"\n".join([w for w, _ in part]), np.array([n for _, n in part], dtype="<i8").tobytes()))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
         size = 0
         for words in blocks(batches):
             if not len(words.kind):
                 continue
-            hashes = words.hashes()
-            often = words_known[word_cells(hashes, words_known.bits)][words.kind]
-            linked = words.joined & often[:-1] & often[1:]
-            at = np.flatnonzero(linked)
-            linked[at] = pairs_known[pair_cells(hashes[words.kind[at]], hashes[words.kind[at + 1]], pairs_known.bits)]
-            for lang, window, n in windows_of(words, often, linked, longest):
-                key = lang, window
-                if key not in held:
-                    size += len(window) + 100
-                held[key] = held.get(key, 0) + n
-            if size > 100 * HELD:
+            for lang, window, depth, n in windows_of(words, filters, longest):
+                key = lang, depth, window
+                before = held.get(key)
+                if before is None:
+                    size += len(window) + 150
+                held[key] = n + (before or 0)
+            if size > 200 * HELD:
                 yield from rows()
-                held, size = {}, 0
+                size = 0
         yield from rows()
 
     return run
 
 
-def _subtrees(least: int) -> Callable:
-    """(lang, phrase, words, f, whole) from sorted windows (group_no, lang, win, depth, n).
+def subtree_counts(leaves: dict[bytes, list[int]], least: int) -> Iterator[tuple[bytes, int, int, bool]]:
+    """(phrase, words, f, whole) of the nodes of the subtrees whose leaves are `leaves`, window: [n, depth].
 
-    The path to the current leaf is a stack; a leaf's total goes to its parent when the path leaves it. Nodes as deep as
-    their group's prefix are `whole`, and returned if they reach `least`; shallower ones are this group's share.
+    The path to the current leaf is a stack; a node's total goes to its parent when the path leaves it. Nodes as deep as
+    the prefix are `whole`, and returned if they reach `least`; shallower ones are this group's share.
     """
+    path, totals, depths = [], [], []
+
+    def leave(down_to: int) -> Iterator[tuple[bytes, int, int, bool]]:
+        while len(path) > down_to:
+            n, whole = totals[-1], len(path) >= depths[-1]
+            if n >= least or not whole:
+                yield b" ".join(path), len(path), n, whole
+            path.pop(), totals.pop(), depths.pop()
+            if totals:
+                totals[-1] += n
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, totals, depths, key = [], [], [], None
-        out: list[tuple] = []
-
-        def leave(down_to: int) -> None:
-            while len(path) > down_to:
-                n, whole = totals[-1], len(path) >= depths[-1]
-                if n >= least or not whole:
-                    out.append((key[1], b" ".join(path), len(path), n, whole))
-                path.pop(), totals.pop(), depths.pop()
-                if totals:
-                    totals[-1] += n
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.bool_())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "phrase", "words", "f", "whole"])
+    for window in sorted(leaves):
+        n, depth = leaves[window]
+        words = window[:-1].split(b" ")
+        same = 0
+        for a, b in zip(path, words):
+            if a != b:
+                break
+            same += 1
+        yield from leave(same)
+        for word in words[same:]:
+            path.append(word), totals.append(0), depths.append(depth)
+        totals[-1] += n
+    yield from leave(0)
 
-        for batch in batches:
-            for group, lang, window, depth, n in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if key != (group, lang):
-                    leave(0)
-                    key = group, lang
-                words = window[:-1].split(b" ")
-                same = 0
-                for a, b in zip(path, words):
-                    if a != b:
-                        break
-                    same += 1
-                leave(same)
-                for word in words[same:]:
-                    path.append(word), totals.append(0), depths.append(depth)
-                totals[-1] += n
-            yield rows()
-        leave(0)
-        yield rows()
 
-    return run
+def _subtrees(least: int) -> Callable:
+    """(lang, phrase, words, f, whole) from rows of `_grouped_windows` sorted by group and language, one group in memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaves = None, {}
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            found = list(subtree_counts(leaves, least))
+            leaves.clear()
+            for i in range(0, len(found), 50_000):
+                columns = list(zip(*found[i:i + 50_000]))
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([key[1]] * len(columns[0]), pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                                 names=["lang", "phrase", "words", "f", "whole"])
 
-def group_windows(windows: DataFrame, longest: int, budget: int = GROUP_WINDOWS) -> DataFrame:
-    """`windows` (lang, win, n) with `depth` and `group_no`: vertical partitioning by prefixes within the budget.
+        for batch in batches:
+            for group, lang, depth, windows, counts in zip(*[batch.column(i) for i in range(5)]):
+                here = group.as_py(), lang.as_py()
+                if key != here:
+                    if key:
+                        yield from rows()
+                    key = here
+                depth = depth.as_py()
+                for window, n in zip(windows.as_py().split(b"\n"), np.frombuffer(counts.as_py(), dtype="<i8").tolist()):
+                    leaf = leaves.get(window)
+                    if leaf is None:
+                        leaves[window] = [n, depth]
+                    else:
+                        leaf[0] += n
+        if key:
+            yield from rows()
 
-    A prefix with more than an eighth of a group's windows is extended by a word, again and again; there are at most
-    8 * MAX_GROUPS such prefixes of each length. A group gets the prefixes whose hash falls to it.
-    """
-    total = windows.count()
-    budget = max(budget, -(-total // MAX_GROUPS))
-    text = F.col("win").cast("string")
-    cur = windows.withColumn("depth", F.lit(1)).withColumn("prefix", F.substring_index(text, " ", 1))
-    for level in range(1, longest + 1):
-        heavy = cur.where(F.col("depth") == level).groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > budget // 8)
-        heavy = settle(heavy.select("lang", "prefix", F.lit(1).alias("_more")))
-        if heavy.isEmpty():
-            break
-        cur = cur.join(F.broadcast(heavy), ["lang", "prefix"], "left").withColumn("depth", F.col("depth") + F.coalesce("_more", F.lit(0))).drop("_more")
-        cur = cur.withColumn("prefix", F.when(F.col("depth") > level, F.substring_index(text, " ", level + 1)).otherwise(F.col("prefix")))
-    groups = max(1, -(-total // budget))
-    return cur.select(F.pmod(F.xxhash64("lang", "prefix"), F.lit(groups)).alias("group_no"), "lang", "win", "depth", "n")
+    return run
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, filter_bits: int = FILTER_BITS,
@@ -336,21 +412,18 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", long
     `n` counts all words of a language. Both tables are checkpoints.
     """
     texts = df.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-
-    def counted(known: Bitmap | None) -> DataFrame:
-        cells = texts.mapInArrow(_cell_counts(filter_bits, known), "lang string, cell long, n long")
-        return settle(cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("cell") < 0)))
-
-    first = counted(None)
-    words_known = _bitmap(first, least, filter_bits)
-    pairs_known = _bitmap(counted(words_known), least, filter_bits)
-    windows = settle(texts.mapInArrow(_local_windows(words_known, pairs_known, longest), "lang string, win binary, n long"))
-    dealt = group_windows(windows, longest, budget)
-    dealt = dealt.repartition("group_no").sortWithinPartitions("group_no", "lang", "win").select("group_no", "lang", "win", "depth", "n")
-    nodes = settle(dealt.mapInArrow(_subtrees(least), "lang string, phrase binary, words int, f long, whole boolean"))
+    levels = [least, max(least, budget // 8)]
+    counted = settle(texts.mapInArrow(_cell_counts(filter_bits, None), COUNTS))
+    totals = settle(counted.where("bucket IS NULL").groupBy("lang").agg(F.sum("n").alias("n")))
+    words, heavy_words = _bitmaps(counted.where("bucket IS NOT NULL").select("bucket", "cells", "counts"), filter_bits, levels)
+    paired = texts.mapInArrow(_cell_counts(filter_bits, words), COUNTS).where("bucket IS NOT NULL")
+    pairs, heavy_pairs = _bitmaps(paired.select("bucket", "cells", "counts"), filter_bits, levels)
+    groups = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // budget))
+    windows = texts.mapInArrow(_grouped_windows(Filters(words, heavy_words, pairs, heavy_pairs), longest, groups), "group_no long, lang string, depth int, windows binary, counts binary")
+    nodes = settle(windows.repartition("group_no").sortWithinPartitions("group_no", "lang").mapInArrow(_subtrees(least), "lang string, phrase binary, words int, f long, whole boolean"))
     shared = nodes.where("NOT whole").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     found = nodes.where("whole").drop("whole").unionByName(shared).withColumn("phrase", F.col("phrase").cast("string"))
-    return settle(found), first.where("cell < 0").select("lang", "n")
+    return settle(found), totals
 
 
 def floor_score(a: str = "a", n: str = "n", left: str = "l", right: str = "r") -> F.Column:

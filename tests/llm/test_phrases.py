@@ -1,6 +1,7 @@
 """Phrase collocations against a plain count of all word sequences."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -78,11 +79,28 @@ def test_long_text_is_read_whole_and_block_size_is_not_seen(spark, monkeypatch):
     assert found(spark.createDataFrame(data, DOCS), least=5, top=5000) == brute(data, 5, 5000)
 
 
-def test_prefixes_above_the_budget_are_extended(spark):
-    windows = spark.createDataFrame([("en", f"a b c{i} ".encode(), 1) for i in range(100)] + [("en", f"a d{i} ".encode(), 2) for i in range(5)] + [("en", b"e ", 7)], "lang string, win binary, n long")
-    dealt = phrases.group_windows(windows, 5, budget=80)
-    assert {(r.depth, r[1]) for r in dealt.groupBy("depth").count().collect()} == {(3, 100), (2, 5), (1, 1)}
-    assert dealt.groupBy("group_no").count().count() > 1
+def test_prefixes_above_the_budget_are_extended():
+    def marked(*cells):
+        bits = np.zeros(1 << 17, dtype=np.uint8)
+        for cell in cells:
+            bits[cell >> 3] |= 1 << (cell & 7)
+        return phrases.Bitmap(20, zlib.compress(bits))
+
+    data = b"a b c1. a b c2. a d. e a"
+    words = phrases.split_words(["en"], np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    h = dict(zip(words.texts, words.hashes()))
+    every = phrases.Bitmap(20, zlib.compress(np.full(1 << 17, 255, np.uint8)))
+    a, ab = phrases.word_cells(np.array([h[b"a"]]), 20)[0], phrases.pair_cells(np.array([h[b"a"]]), np.array([h[b"b"]]), 20)[0]
+    found = sorted(phrases.windows_of(words, phrases.Filters(every, marked(a), every, marked(ab)), 5))
+    assert [(w, depth, n) for _, w, depth, n in found] == [(b"a ", 2, 1), (b"a b c1 ", 6, 1), (b"a b c2 ", 6, 1), (b"a d ", 2, 1), (b"b c1 ", 1, 1), (b"b c2 ", 1, 1),
+                                                           (b"c1 ", 1, 1), (b"c2 ", 1, 1), (b"d ", 1, 1), (b"e a ", 1, 1)]
+    group = [phrases.prefix_group("en", w, d, 5, 1 << 40) for _, w, d, _ in found]
+    assert group[4] == group[5] and len(set(group)) == len(group) - 1
+
+
+def test_node_counts_are_sums_of_leaves():
+    leaves = {b"a b c ": [3, 2], b"a b ": [1, 2], b"a\x01 ": [2, 1], b"a ": [5, 2], b"b ": [4, 1]}
+    assert sorted(phrases.subtree_counts(leaves, 3)) == [(b"a", 1, 9, False), (b"a b", 2, 4, True), (b"a b c", 3, 3, True), (b"b", 1, 4, True)]
 
 
 def test_no_phrases(spark):
