@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from optelem.fixtures import query, table, view, with_views
-from optelem.operators import enrich, ml, rollups
+from optelem.operators import enrich, ml, rollups, vectors
 from registry.rollups import ROLLUP
 from registry.threat import FLAGGED, flagged
 
@@ -116,6 +116,19 @@ def _nearest(spark, d):
     return ml.nearest_vectors(catalog, [(r["vec_id"], r["embedding"]) for r in wanted], 10)
 
 
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _recall(spark, d):
+    """Do the probed cells hold nine of ten true neighbours of all the queries together?"""
+    catalog, asked = table(spark, d, "embeddings"), _asked(spark, d)
+    index = vectors.build_index(catalog)
+    found = vectors.nearest_by_index(index, asked, 10, index.probes(0.97))
+    recall = vectors.recall_at(found, vectors.nearest_to_table(catalog, asked, 10), 10)
+    return recall.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
 QUERIES = {
     "window_features": _features,
     "feature_pages": lambda s, d: ml.feature_pages(_rows(s, d), 100).select("tenant_id", "page", "pos", "hour", "label", F.col("features")[3].alias("error_rate")),
@@ -135,7 +148,8 @@ QUERIES = {
     "drift": lambda s, d: ml.drift(_features(s, d), ["moving_avg_latency", "error_rate", "peak_share"], CUT),
     "threshold_report": lambda s, d: ml.threshold_report(query(s, d, LABELLED_SCORES), THRESHOLDS, 5.0, 1.0),
     "nearest_vectors": _nearest,
-    "nearest_to_table": lambda s, d: ml.nearest_to_table(table(s, d, "embeddings"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, 200),
+    "nearest_to_table": lambda s, d: vectors.nearest_to_table(table(s, d, "embeddings"), _asked(s, d), 10),
+    "vector_index_recall": _recall,
 }
 
 FEATURES = f"""h AS (SELECT tenant_id, date_trunc('hour', event_time) AS hour, CAST(sum(CAST(round(latency_ms * 1000) AS BIGINT)) AS DOUBLE) / (1e3 * count(latency_ms)) AS avg_latency, count(*) AS requests,
@@ -186,5 +200,6 @@ ORACLES = {
     "nearest_vectors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id IN (0, 17, 101)),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
 }
+ORACLES["vector_index_recall"] = "SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0"
 ORACLES["nearest_to_table"] = ORACLES["nearest_vectors"].replace("q.vec_id IN (0, 17, 101)", "q.vec_id % 50 = 0")
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

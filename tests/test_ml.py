@@ -162,18 +162,3 @@ def test_threat_labels_come_after_the_features(spark):
     got = ml.threat_features(df, flags, places, "2024-01-05")
     assert [(r["user_id"], r["label"], list(r["features"])) for r in got.orderBy("user_id").collect()] == [(1, 1, [0.0, 1.0, 0.0, 1.0]), (2, 0, [0.99, 0.0, 1.0, 1.0])]
     assert got.where("label = 1").count() == 1 and ml.threat_features(df, flags, places, "2024-01-05", "2024-01-06").where("label = 1").count() == 0
-
-
-def test_nearest_to_a_table_of_queries(spark):
-    rng = np.random.default_rng(4)
-    vectors = rng.standard_normal((300, 5)).astype(np.float32).tolist() + [None, [0.0] * 5, [1.0, 2.0]]
-    catalog = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(5)
-    asked = catalog.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding")
-    got = rows(ml.nearest_to_table(catalog, asked, 3, block=7), "query_id", "rank", "vec_id")
-    unit = np.array(vectors[:300], dtype=float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    want = []
-    for q in range(0, 300, 10):
-        score = np.round(unit @ unit[q], 6)
-        want += [(q, n + 1, int(v)) for n, v in enumerate(np.lexsort((np.arange(300), -score))[:3])]
-    assert got == sorted(want, key=repr) and len(rows(ml.nearest_to_table(catalog, asked.limit(0), 3))) == 0
