@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def _folds() -> tuple[str, str]:
     """Characters whose compatibility decomposition is one ASCII letter or digit plus marks, and that letter."""
     source, target = [], []
-    for code in range(0x80, 0xFFFF):
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code <= 0xDFFF:
             continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
@@ -24,7 +24,7 @@ def _folds() -> tuple[str, str]:
 def _spelt_out() -> dict[str, str]:
     """Characters whose compatibility decomposition is several characters with ASCII letters or digits among them, as in a ligature; marks left out."""
     found = {}
-    for code in range(0x80, 0xFFFF):
+    for code in range(0x80, 0x110000):
         if not 0xD800 <= code <= 0xDFFF:
             plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
             if len(plain) > 1 and any(c.isascii() and c.isalnum() for c in plain):

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optelem.functions.times import bucket
+from optelem.plans.digests import differing_leaves, digest_tree, framed, rows_in
 from optelem.plans.keys import join_on
-from optelem.plans.lookups import lookup_side, settled_lookup
+from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.ordered import last_known
 from optelem.plans.percentiles import exact_percentiles
 from optelem.plans.spread import spread
@@ -154,20 +155,30 @@ def batch_receipts(df: DataFrame) -> DataFrame:
                          "rejected", state.alias("state"))
 
 
-def reconcile_checksums(sent: DataFrame, landed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Per key: match, changed, missing or extra, comparing the multiset of row checksums on both sides."""
+def changed_keys(sent: DataFrame, landed: DataFrame, key: str, columns: Sequence[str], leaves: DataFrame | None = None) -> DataFrame:
+    """key, verdict of the keys whose rows differ: changed, missing or extra, comparing the multisets of rows on both sides.
+
+    Two digest trees are compared level by level; only rows of ranges that differ are opened. `leaves` are those ranges
+    where they are known already, as from trees that were written beside the tables.
+    """
+    if leaves is None:
+        leaves = differing_leaves(digest_tree(sent, key, columns), digest_tree(landed, key, columns))
+
     def shaped(d: DataFrame, is_sent: bool) -> DataFrame:
-        checksum = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-        return d.select(F.col(key).alias("key"), checksum.alias("checksum"),
-                        F.lit(int(is_sent)).alias("_s"), F.lit(int(not is_sent)).alias("_l"))
+        return rows_in(d, key, leaves).select(F.col(key).alias("key"), F.sha2(framed(*columns), 256).alias("checksum"), F.lit(int(is_sent)).alias("_s"), F.lit(int(not is_sent)).alias("_l"))
 
     both = shaped(sent, True).unionByName(shaped(landed, False))
     rows = both.groupBy("key", "checksum").agg(F.sum("_s").alias("_s"), F.sum("_l").alias("_l"))
-    per_key = rows.groupBy("key").agg(F.sum("_s").alias("sent"), F.sum("_l").alias("landed"),
-                                      F.bool_or(F.col("_s") != F.col("_l")).alias("_differs"))
-    verdict = (F.when(~F.col("_differs"), F.lit("match")).when(F.col("landed") == 0, F.lit("missing"))
-               .when(F.col("sent") == 0, F.lit("extra")).otherwise(F.lit("changed")))
-    return per_key.select("key", verdict.alias("verdict"))
+    per_key = rows.groupBy("key").agg(F.sum("_s").alias("sent"), F.sum("_l").alias("landed"), F.bool_or(F.col("_s") != F.col("_l")).alias("_differs"))
+    verdict = F.when(F.col("landed") == 0, F.lit("missing")).when(F.col("sent") == 0, F.lit("extra")).otherwise(F.lit("changed"))
+    return per_key.where("_differs").select("key", verdict.alias("verdict"))
+
+
+def reconcile_checksums(sent: DataFrame, landed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Per key: match, changed, missing or extra, comparing the multiset of rows on both sides; see `changed_keys`."""
+    changed = settle(changed_keys(sent, landed, key, columns))
+    matched = join_on(sent.select(F.col(key).alias("key")).distinct(), changed.select("key", F.lit(True).alias("_changed")), ["key"], "left").where("_changed IS NULL")
+    return matched.select("key", F.lit("match").alias("verdict")).unionByName(changed)
 
 
 def quarantine_outliers(df: DataFrame, keys: Sequence[str] = ("tenant_id", "service_id"), value: str = "latency_ms",

@@ -198,10 +198,11 @@ def tier_limit(tier: str = "tier", limits: dict[str, int] | None = None):
 
 
 def quota_usage(df: DataFrame, tenants: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """Requests per tenant and minute against the tier limit."""
+    """Requests per tenant and minute against the tier limit; of a tenant that is listed more than once the lowest limit holds."""
+    quotas = tenants.select("tenant_id", tier_limit(limits=limits).cast("long").alias("quota")).groupBy("tenant_id").agg(F.min("quota").alias("quota"))
     used = df.groupBy("tenant_id", trunc("minute", "event_time").alias("minute")).agg(F.count(F.lit(1)).alias("used"))
-    joined = used.join(lookup_side(tenants.select("tenant_id", "tier")), "tenant_id", "left")
-    joined = joined.withColumn("quota", tier_limit(limits=limits).cast("long"))
+    joined = used.join(lookup_side(quotas), "tenant_id", "left")
+    joined = joined.withColumn("quota", F.coalesce("quota", F.lit(min((limits or TIER_LIMITS).values())).cast("long")))
     return joined.select("tenant_id", "minute", "used", "quota", F.greatest(F.lit(0).cast("long"), F.col("quota") - F.col("used")).alias("remaining"),
                          (F.col("used") > F.col("quota")).alias("over"))
 
@@ -226,16 +227,21 @@ def sliding_rate(df: DataFrame, limit: int, span_seconds: int = 60, chunk_second
     return counted.select("_row.*", "n60", (F.col("n60") > limit).alias("over"))
 
 
+def one_limit(limits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, capacity: one row per key; of several limits the lowest holds."""
+    return limits.groupBy(*keys).agg(F.min("capacity").alias("capacity"))
+
+
 def token_bucket_audit(df: DataFrame, limits: DataFrame, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Replay a token bucket over logged requests: allowed, remaining, retry_after.
 
-    `limits` holds the keys and `capacity` (per minute). Tokens refill at each whole second, so the
+    `limits` holds the keys and `capacity` (per minute), the lowest of a key holds. Tokens refill at each whole second, so the
     state changes once per key and second: the sequential replay sees per-second counts only, cut
     wherever an idle minute has certainly refilled the bucket. The verdict of a request follows
     from its position within its second.
     """
     keys = list(keys)
-    keyed = (df.join(lookup_side(limits.select(*keys, "capacity")), keys, "left")
+    keyed = (df.join(lookup_side(one_limit(limits, keys)), keys, "left")
              .withColumn("capacity", F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))))
              .withColumn("_sec", bucket("event_time", 1)))
     seconds = keyed.groupBy(*keys, "capacity", "_sec").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from optelem.plans.digests import framed
 from optelem.plans.lookups import lookup_side, settle
 
 # fixed values: envelope version, algorithm names and fields
@@ -20,12 +21,6 @@ HEADER = ("v", "kid", "alg", "enc", "ctx", "sender", "iat", "jti")
 MODES = ("required", "optional", "disabled")
 
 
-def framed(*fields: str) -> Column:
-    """The fields in one text, each behind its length, so that no two different headers give the same text; NULL is marked apart from empty."""
-    texts = [F.col(c).cast("string") for c in fields]
-    return F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts])
-
-
 def base64url(blob: Column) -> Column:
     return F.regexp_replace(F.translate(F.base64(blob), "+/", "-_"), "[=\r\n]", "")
 

@@ -12,13 +12,26 @@ def scan_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_batches(lines: DataFrame) -> DataFrame:
-    """source, cluster_id, batch_id, pos, record: one row per record of posted batch documents, a JSON document per `value`.
+    """source, cluster_id, batch_id, pos, record, reason, raw: one row per record of posted batch documents, a JSON document per `value`.
 
-    Records keep every key as Variant.
+    Records keep every key as Variant. A document without records leaves one row, with the `reason` and its text in
+    `raw`: empty_document, malformed_json, or no_records (none listed, or no list).
     """
     schema = "source string, cluster_id string, batch_id string, records array<variant>"
-    parsed = lines.select(F.from_json("value", schema).alias("b")).where("b IS NOT NULL")
-    return parsed.select("b.source", "b.cluster_id", "b.batch_id", F.posexplode("b.records").alias("pos", "record"))
+    parsed = lines.select("value", F.from_json("value", schema).alias("b"))
+    whole = F.try_parse_json("value")
+    reason = (F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "empty_document").when(whole.isNull(), "malformed_json")
+              .when(F.coalesce(F.size("b.records"), F.lit(0)) <= 0, "no_records"))
+    judged = parsed.withColumn("reason", reason)
+    records = F.when(F.col("reason").isNull(), F.col("b.records"))
+    return judged.select("b.source", "b.cluster_id", "b.batch_id", F.posexplode_outer(records).alias("pos", "record"), "reason",
+                         F.when(F.col("reason").isNotNull(), F.coalesce("value", F.lit(""))).alias("raw"))
+
+
+def batch_dead_letters(batches: DataFrame) -> DataFrame:
+    """Documents of `parse_batches` without records, in the columns of `quality.dead_letters`: the payload is the text as it came, its hash the key."""
+    return batches.where("reason IS NOT NULL").select(F.lit(None).cast("long").alias("event_id"), F.sha2("raw", 256).alias("idempotency_key"),
+                                                      F.col("reason").alias("error_class"), F.col("raw").alias("payload"), F.lit(1).alias("attempts"))
 
 
 def load_predictions(spark: SparkSession, folder: str, fields: dict[str, str], times: list[str]) -> DataFrame:

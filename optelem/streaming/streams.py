@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from optelem.functions.exact import mean_ms
 from optelem.operators import enrich, quality, sealing, threat
-from optelem.operators.rollups import TIER_LIMITS, failed
+from optelem.operators.rollups import TIER_LIMITS, failed, one_limit
 from optelem.operators.threat import SIEM_RULES
 from optelem.plans.lookups import lookup_side
 from optelem.sources.sinks import upsert_results
@@ -115,7 +115,7 @@ class TokenBucket(StatefulProcessor):
 
 def stream_token_bucket(stream: DataFrame, limits: DataFrame) -> DataFrame:
     """Decision per request as it arrives; a bucket idle for an hour is full and its state expires. Needs the RocksDB state store."""
-    shaped = (stream.join(lookup_side(limits.select("tenant_id", "capacity")), "tenant_id", "left")
+    shaped = (stream.join(lookup_side(one_limit(limits, ["tenant_id"])), "tenant_id", "left")
               .select("tenant_id", "event_id", "event_time", F.col("event_time").cast("long").alias("second"),
                       F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))).cast("double").alias("capacity")))
     return shaped.groupBy("tenant_id").transformWithStateInPandas(TokenBucket(), BUCKET_OUTPUT, "append", "processingTime")

@@ -23,6 +23,11 @@ NOTES = "SELECT concat('n', CAST(doc_id AS STRING)) AS id, date_add(DATE '2025-0
 TERMS = "SELECT conv_id * 100 + turn AS doc_id, text FROM conversations"
 
 
+LISTED_TWICE = "SELECT tenant_id, tier FROM tenants UNION ALL SELECT tenant_id, 'Standard' AS tier FROM tenants WHERE tenant_id IN ('t1', 't3') UNION ALL SELECT tenant_id, 'Pro' AS tier FROM tenants WHERE tenant_id = 't4' UNION ALL SELECT 't5' AS tenant_id, NULL AS tier"
+ALIKE = "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'a|b' WHEN event_id % 4 = 1 THEN NULL ELSE '~' END AS x, CASE WHEN event_id % 4 = 0 THEN 'c' WHEN event_id % 4 = 1 THEN '' ELSE concat('3:', CAST(event_id AS STRING)) END AS y FROM tel"
+NOT_ALIKE = "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'a' WHEN event_id % 8 = 4 THEN 'a|b' WHEN event_id % 8 = 1 THEN '~' WHEN event_id % 8 = 5 THEN NULL ELSE '~' END AS x, CASE WHEN event_id % 8 = 0 THEN 'b|c' WHEN event_id % 8 = 4 THEN 'c' WHEN event_id % 4 = 1 THEN '' ELSE concat('3:', CAST(event_id AS STRING)) END AS y FROM tel"
+
+
 def odd(spark, d):
     return view(spark, d, "odd_tel")
 
@@ -57,6 +62,10 @@ QUERIES = {
     "odd_incidents": lambda s, d: rollups.incident_intervals(odd(s, d)),
     "odd_sliding_rate": lambda s, d: rollups.sliding_rate(odd(s, d), 1, 600).select("event_id", "n60", "over"),
     "odd_token_bucket": lambda s, d: rollups.token_bucket_audit(odd(s, d), _limits(s, d)).select("event_id", "tenant_id", "capacity", "allowed"),
+    "odd_limits": lambda s, d: rollups.token_bucket_audit(odd(s, d), query(s, d, LISTED_TWICE).select("tenant_id", F.when(F.col("tier") == "Pro", 6).when(F.col("tier") == "Standard", 2).alias("capacity"))).select("event_id", "tenant_id", "capacity"),
+    "odd_quota": lambda s, d: rollups.quota_usage(view(s, d, "tel"), query(s, d, LISTED_TWICE), {"Standard": 1, "Pro": 3}),
+    "odd_checksums": lambda s, d: quality.reconcile_checksums(query(s, d, ALIKE), query(s, d, NOT_ALIKE), "event_id", ["x", "y"]),
+    "odd_planes": lambda s, d: table(s, d, "documents").select("doc_id", anchor_key(F.concat_ws(" ", F.lit("𝐀lpha 𝟙 🄐"), "lang", "doc_id")).alias("key")),
     "odd_behaviour": lambda s, d: enrich.behaviour_flags(odd(s, d), max_regularity=0.9, min_interaction=0.3),
     "odd_anomaly": lambda s, d: ml.anomaly_scores(rollups.hourly_rollup(odd(s, d).where("latency_ms IS NOT NULL AND NOT isnan(latency_ms)"))),
     "odd_indicators": _flagged,
@@ -74,6 +83,11 @@ MEAN = f"CAST(sum(CASE WHEN {GOOD} THEN CAST(round(latency_ms * 1000) AS BIGINT)
 ROLL = "SELECT tenant_id, date_trunc('hour', event_time) AS hour, {0} AS avg_latency, count(*) AS requests, count(CASE WHEN status_code >= 500 THEN 1 END) AS errors FROM odd_tel {1} GROUP BY ALL"
 
 ORACLES = {
+    "odd_limits": f"""SELECT event_id, o.tenant_id, coalesce(cap, 60) AS capacity FROM odd_tel o LEFT JOIN (SELECT tenant_id, min(CASE tier WHEN 'Pro' THEN 6 WHEN 'Standard' THEN 2 END) AS cap FROM ({LISTED_TWICE}) l GROUP BY tenant_id) m ON m.tenant_id = o.tenant_id""",
+    "odd_quota": f"""WITH u AS (SELECT tenant_id, date_trunc('minute', event_time) AS minute, count(*) AS used FROM tel GROUP BY ALL), m AS (SELECT tenant_id, min(CASE tier WHEN 'Pro' THEN 3 ELSE 1 END) AS q FROM ({LISTED_TWICE}) l GROUP BY tenant_id)
+      SELECT u.tenant_id, minute, used, CAST(coalesce(q, 1) AS BIGINT) AS quota, CAST(greatest(0, coalesce(q, 1) - used) AS BIGINT) AS remaining, used > coalesce(q, 1) AS over FROM u LEFT JOIN m ON m.tenant_id = u.tenant_id""",
+    "odd_planes": "SELECT doc_id, concat_ws('-', 'alpha-1-a', lang, doc_id) AS key FROM documents",
+    "odd_checksums": "SELECT event_id AS key, CASE WHEN event_id % 8 IN (0, 1) THEN 'changed' ELSE 'match' END AS verdict FROM tel",
     "odd_contract": """SELECT event_id, CASE WHEN idempotency_key IS NULL THEN 'missing_key' WHEN latency_ms IS NULL THEN 'missing_latency' WHEN isnan(latency_ms) OR NOT latency_ms BETWEEN 0 AND 480 THEN 'latency_out_of_range'
       WHEN NOT status_code BETWEEN 100 AND 599 THEN 'bad_status' WHEN tenant_id IS NULL THEN 'bad_tenant' END AS reason FROM odd_tel""",
     "odd_metadata": "SELECT event_id, CASE WHEN event_id % 8 = 6 THEN 'who' ELSE '' END AS bad_keys, CASE WHEN event_id % 8 < 3 THEN 'metadata_malformed' WHEN event_id % 8 = 6 THEN 'metadata_not_allowed' END AS reason FROM tel",

@@ -9,7 +9,7 @@ from optelem.operators import quality, sealing
 from optelem.plans.lookups import settle
 from optelem.sources import documents, tables
 
-BATCH_LINES = """SELECT CASE WHEN event_id % 50 = 0 THEN '{"source": ' ELSE concat('{"source":"s', CAST(event_id % 3 AS STRING), '","cluster_id":"c","batch_id":"b', CAST(event_id AS STRING), '","records":[{"id":', CAST(event_id AS STRING), '},{"id":', CAST(event_id * 2 AS STRING), ',"more":[1,2]}]}') END AS value FROM tel"""
+BATCH_LINES = """SELECT CASE WHEN event_id % 50 = 0 THEN '{"source": ' WHEN event_id % 50 = 1 THEN '' WHEN event_id % 50 = 2 THEN 'junk' WHEN event_id % 50 = 3 THEN '{"source":"s9","records":[]}' WHEN event_id % 50 = 4 THEN NULL ELSE concat('{"source":"s', CAST(event_id % 3 AS STRING), '","cluster_id":"c","batch_id":"b', CAST(event_id AS STRING), '","records":[{"id":', CAST(event_id AS STRING), '},{"id":', CAST(event_id * 2 AS STRING), ',"more":[1,2]}]}') END AS value FROM tel"""
 PREDICTIONS = """SELECT concat('{"score":', CAST(k AS STRING), ',"event_id":', CAST(event_id AS STRING), ',"scored_at":"', CASE WHEN event_id % 7 = 0 THEN 'yesterday' ELSE '2024-01-02T03:04:05' END, '","extra":true}') AS value FROM tel"""
 NOTE_FILES = """SELECT concat('file:/notes/note-', CAST(doc_id AS STRING), '.md') AS path, concat(CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('---', chr(10)) END, 'title: "T ', CAST(doc_id AS STRING), '"', chr(10),
  CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('summary: s', chr(10)) END, 'publishedAt: ', CASE doc_id % 5 WHEN 0 THEN '2026-07-05garbage' WHEN 1 THEN '2026-07-05T10:20:30' ELSE '2026-07-05' END, chr(10),
@@ -50,7 +50,8 @@ def _rotated(spark, d):
 
 
 QUERIES = {
-    "scan_batches": lambda s, d: documents.parse_batches(query(s, d, BATCH_LINES)).select("source", "cluster_id", "batch_id", "pos", F.variant_get("record", "$.id", "long").alias("id")),
+    "scan_batches": lambda s, d: documents.parse_batches(query(s, d, BATCH_LINES)).select("source", "cluster_id", "batch_id", "pos", F.variant_get("record", "$.id", "long").alias("id"), "reason", "raw"),
+    "batch_dead_letters": lambda s, d: documents.batch_dead_letters(documents.parse_batches(query(s, d, BATCH_LINES))),
     "load_predictions": lambda s, d: documents.parse_predictions(query(s, d, PREDICTIONS), {"event_id": "long", "score": "double", "scored_at": "timestamp"}, ["scored_at"]).withColumn("scored_at", F.col("scored_at").cast("timestamp_ntz")),
     "scan_notes": lambda s, d: documents.parse_notes(query(s, d, NOTE_FILES)).select("id", "title", "summary", "published_at", "note", F.array_join("categories", "|").alias("categories"), "draft", "error"),
     "lockfile_inventory": lambda s, d: documents.parse_manifests(query(s, d, MANIFESTS)),
@@ -61,7 +62,11 @@ QUERIES = {
 }
 
 ORACLES = {
-    "scan_batches": "SELECT 's' || event_id % 3 AS source, 'c' AS cluster_id, 'b' || event_id AS batch_id, CAST(pos AS INTEGER) AS pos, event_id * (1 + pos) AS id FROM tel, range(2) r(pos) WHERE event_id % 50 <> 0",
+    "scan_batches": """SELECT 's' || event_id % 3 AS source, 'c' AS cluster_id, 'b' || event_id AS batch_id, CAST(pos AS INTEGER) AS pos, event_id * (1 + pos) AS id, NULL AS reason, NULL AS raw FROM tel, range(2) r(pos) WHERE event_id % 50 > 4
+      UNION ALL SELECT CASE WHEN event_id % 50 = 3 THEN 's9' END, NULL, NULL, NULL, NULL, CASE event_id % 50 WHEN 0 THEN 'malformed_json' WHEN 2 THEN 'malformed_json' WHEN 3 THEN 'no_records' ELSE 'empty_document' END, coalesce(value, '')
+      FROM tel JOIN (VALUES (0, '{"source": '), (1, ''), (2, 'junk'), (3, '{"source":"s9","records":[]}'), (4, NULL)) v(m, value) ON m = event_id % 50 WHERE event_id % 50 < 5""",
+    "batch_dead_letters": """SELECT CAST(NULL AS BIGINT) AS event_id, sha256(value) AS idempotency_key, reason AS error_class, value AS payload, 1 AS attempts FROM tel JOIN (VALUES (0, 'malformed_json', '{"source": '), (1, 'empty_document', ''),
+      (2, 'malformed_json', 'junk'), (3, 'no_records', '{"source":"s9","records":[]}'), (4, 'empty_document', '')) v(m, reason, value) ON m = event_id % 50""",
     "load_predictions": "SELECT event_id, CAST(k AS DOUBLE) AS score, CASE WHEN event_id % 7 <> 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS scored_at FROM tel",
     "scan_notes": """SELECT 'note-' || doc_id AS id, CASE WHEN ok THEN 'T ' || doc_id END AS title, CASE WHEN ok AND doc_id % 7 <> 0 THEN 's' END AS summary,
       CASE WHEN ok THEN CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP '2026-07-05 10:20:30' ELSE TIMESTAMP '2026-07-05' END END AS published_at, CASE WHEN ok THEN 'Note 1.' || doc_id END AS note, CASE WHEN ok THEN 'a|b c' ELSE '' END AS categories, false AS draft,

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from optelem.operators import quality
+from optelem.plans import digests
 from tests.conftest import rows
 
 
@@ -131,3 +132,26 @@ def test_metadata_that_is_no_object(spark):
     df = spark.createDataFrame([(1, '{"k":1}'), (2, '{"k":'), (3, "[]"), (4, "7"), (5, None), (6, ""), (7, "{}"), (8, '{"x":1,"k":2}')], "event_id long, metadata string")
     found = dict(rows(quality.check_metadata(df, ["k"]), "event_id", "reason"))
     assert found == {1: None, 2: "metadata_malformed", 3: "metadata_malformed", 4: "metadata_malformed", 5: None, 6: "metadata_malformed", 7: None, 8: "metadata_not_allowed"}
+
+
+def test_digest_tree_opens_only_ranges_that_differ(spark):
+    sent = spark.range(5000).selectExpr("id", "CAST(id % 7 AS STRING) AS v")
+    landed = sent.withColumn("v", F.when(F.col("id") == 17, "x").otherwise(F.col("v"))).where("id <> 40").unionByName(sent.where("id = 99"))
+    trees = [digests.digest_tree(d, "id", ["v"]) for d in (sent, landed)]
+    assert trees[0].where("level = 2").agg(F.sum("n")).first()[0] == 5000 == trees[0].where("level = 0").agg(F.sum("n")).first()[0]
+    leaves = digests.differing_leaves(*trees)
+    assert leaves.count() == 3
+    opened = digests.rows_in(landed, "id", leaves)
+    assert opened.count() < 10 and digests.rows_in(landed, "id", leaves, inside=False).count() + opened.count() == landed.count()
+    changed = quality.changed_keys(sent, landed, "id", ["v"], leaves)
+    assert rows(changed) == [(17, "changed"), (40, "missing"), (99, "changed")]
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2  # both sides, one of them a union
+    assert rows(quality.reconcile_checksums(sent, sent, "id", ["v"]).groupBy("verdict").count()) == [("match", 5000)]
+    assert digests.differing_leaves(*[digests.digest_tree(d.limit(0), "id", ["v"]) for d in (sent, landed)]).count() == 0
+
+
+def test_rows_that_read_alike_are_different(spark):
+    one = spark.createDataFrame([(1, "a|b", "c"), (2, None, "x"), (3, "1:a", "b"), (None, "n", "n"), (None, "m", "m"), (4, "", None)], "id long, x string, y string")
+    other = spark.createDataFrame([(1, "a", "b|c"), (2, "~", "x"), (3, "1:a", "b"), (None, "m", "m"), (None, "n", "n"), (4, None, "")], "id long, x string, y string")
+    assert rows(quality.reconcile_checksums(one, other, "id", ["x", "y"])) == sorted([(1, "changed"), (2, "changed"), (3, "match"), (None, "match"), (4, "changed")], key=repr)

@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from optelem.operators import quality
 from optelem.sources import documents, sinks, tables
 from optelem.sources.ingest_format import TelemetryIngest
 from tests.conftest import SMALL, events, rows
@@ -40,9 +41,15 @@ def test_stale(spark, tmp_path):
 def test_batches_keep_unknown_keys(spark, tmp_path):
     docs = [{"source": "k8s", "cluster_id": "c", "batch_id": "b1", "records": [{"pod": "p", "n": 1}, {"pod": "q", "extra": {"x": [1]}}]},
             {"source": "spark", "records": []}, {"source": "wh", "records": [{"tenant": "t"}]}]
-    (tmp_path / "f.json").write_text("\n".join(json.dumps(d) for d in docs) + "\nnot json\n")
+    (tmp_path / "f.json").write_text("\n".join(json.dumps(d) for d in docs) + "\nnot json\n\n[1]\n{\"records\": 5}\n")
     out = documents.scan_batches(spark, str(tmp_path))
-    assert rows(out.select("source", "cluster_id", "batch_id", "pos", F.to_json("record"))) == sorted([
+    lost = out.where("reason IS NOT NULL")
+    assert rows(lost, "reason", "raw", "pos") == sorted([("no_records", json.dumps(docs[1]), None), ("malformed_json", "not json", None), ("empty_document", "", None),
+                                                         ("no_records", "[1]", None), ("no_records", '{"records": 5}', None)], key=repr)
+    letters = documents.batch_dead_letters(out)
+    other = quality.dead_letters(spark.createDataFrame([(1, "k", 2, "bad_status")], "event_id long, idempotency_key string, delivery int, reason string"))
+    assert letters.unionByName(other).count() == 6 and rows(letters.where("payload = 'not json'"), "error_class", "attempts") == [("malformed_json", 1)]
+    assert rows(out.where("reason IS NULL").select("source", "cluster_id", "batch_id", "pos", F.to_json("record"))) == sorted([
         ("k8s", "c", "b1", 0, '{"n":1,"pod":"p"}'), ("k8s", "c", "b1", 1, '{"extra":{"x":[1]},"pod":"q"}'), ("wh", None, None, 0, '{"tenant":"t"}')], key=repr)
 
 
