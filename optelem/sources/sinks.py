@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -120,23 +121,64 @@ def drop_rows(spark: SparkSession, path: str, gone: Column, partition: str | Non
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def upsert_results(batch: DataFrame, target: str, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day") -> None:
-    """Merge a batch into a Parquet read model: the newest version of each key wins.
+BUCKETS = 16
 
-    Only partitions the batch touches are rewritten. Equal batches give equal tables, so a batch
-    may be applied again after a crash. A key must keep its partition value.
+
+def _newest(df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*newest)).alias("_row")).select("_row.*")
+
+
+def upsert_results(batch: DataFrame, target: str, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day", batch_id: int | str | None = None,
+                   buckets: int = BUCKETS) -> None:
+    """Add a batch to a keyed read model: a file set per batch in folders by (partition, key bucket, batch). Nothing older is read or written.
+
+    A batch that is applied again replaces its own files, so it adds nothing; `batch_id` names it, by default a digest of
+    its rows. `read_results` shows the newest version of each key, `compact_results` merges folders. The number of
+    buckets of a target must stay the same.
     """
-    spark = batch.sparkSession
-    merged = batch
-    current = read_if_present(spark, target, batch.schema)
-    if current is not None:
-        touched = settled_lookup(batch.select(partition).distinct())
-        merged = current.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
-    latest = merged.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*newest)).alias("_row")).select("_row.*")
-    staged = target.rstrip("/") + "__staged"
-    latest.write.mode("overwrite").parquet(staged)
-    (spark.read.schema(batch.schema).parquet(staged).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target))
+    if batch_id is None:
+        mark = batch.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)"))).first()
+        batch_id = f"{mark[0]}x{mark[1]}"
+    rows = _newest(batch, keys, newest, batch.columns)
+    placed = rows.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("file_set", F.lit(f"b{batch_id}"))
+    (placed.repartition(partition, "key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition, "key_bucket", "file_set").parquet(target))
+
+
+def _file_sets(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame | None:
+    return read_if_present(spark, target, T.StructType([*schema.fields, T.StructField("key_bucket", T.IntegerType()), T.StructField("file_set", T.StringType())]))
+
+
+def read_results(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], newest: Sequence[str | Column]) -> DataFrame:
+    """The read model at `target`: the newest version of each key, whatever file sets it lies in. Filters on the partition are pushed to the files."""
+    found = _file_sets(spark, target, schema)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return _newest(found, keys, newest, schema.names)
+
+
+def compact_results(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day", most: int = 8) -> int:
+    """Merge buckets with more than `most` file sets into one set each and return their number; others are not touched.
+
+    The merged set is complete before the old ones are deleted, and rows that stand in both are one to a reader, so a
+    crash at any point loses nothing and the next run goes on.
+    """
+    found = _file_sets(spark, target, schema)
+    if found is None:
+        return 0
+    folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
+    sets = settle(found.select(partition, "key_bucket", "file_set", folder.alias("_folder")).distinct())  # folders, not rows
+    full = settle(sets.groupBy(partition, "key_bucket").agg(F.count_distinct("file_set").alias("_sets"), F.max("file_set").alias("_last")).where(F.col("_sets") > most))
+    number = full.count()
+    if number:
+        merged = _newest(join_on(found, lookup_side(full.select(partition, "key_bucket")), [partition, "key_bucket"], "left_semi"), keys, newest, [*schema.names, "key_bucket"])
+        name = f"m{uuid.uuid4().hex}"
+        (merged.withColumn("file_set", F.lit(name)).repartition(partition, "key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(partition, "key_bucket", "file_set").parquet(target))
+        for row in join_on(sets, full.select(partition, "key_bucket"), [partition, "key_bucket"], "left_semi").select("_folder").distinct().toLocalIterator():
+            path = spark._jvm.org.apache.hadoop.fs.Path(row["_folder"])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return number
 
 
 def export_tenant(df: DataFrame, tenant: str, job: str, root: str, fmt: str = "parquet") -> DataFrame:

@@ -6,7 +6,6 @@ are arguments. Every query takes a checkpoint folder and restarts from it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -14,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -23,8 +22,9 @@ from optelem.functions.exact import mean_ms
 from optelem.operators import enrich, quality, sealing, threat
 from optelem.operators.rollups import TIER_LIMITS, failed, one_limit
 from optelem.operators.threat import SIEM_RULES
+from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side
-from optelem.sources.sinks import upsert_results
+from optelem.sources.sinks import BUCKETS, read_results, upsert_results
 
 WATERMARK = "10 minutes"
 
@@ -42,14 +42,19 @@ def stream_hourly_rollup(stream: DataFrame, watermark: str = WATERMARK) -> DataF
             .select("tenant_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "avg_latency", "requests", "errors"))
 
 
-def write_rollup(rollup: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keyed read model of the hourly rollup: (tenant, hour) with the most requests wins, days are partitions."""
-    def write(batch: DataFrame, _: int) -> None:
-        kept = batch.withColumn("day", F.to_date("hour")).persist()  # read twice by the upsert
-        try:
-            upsert_results(kept, target, ["tenant_id", "hour"], ["requests", "errors", "avg_latency"])
-        finally:
-            kept.unpersist()
+ROLLUP_KEYS, ROLLUP_NEWEST = ["tenant_id", "hour"], ["requests", "errors", "avg_latency"]
+
+
+def read_rollup(spark: SparkSession, target: str) -> DataFrame:
+    """The hourly rollup as it stands: of a (tenant, hour) the version with the most requests."""
+    schema = T.StructType.fromDDL("tenant_id string, hour timestamp_ntz, avg_latency double, requests long, errors long, day date")
+    return read_results(spark, target, schema, ROLLUP_KEYS, ROLLUP_NEWEST).drop("day")
+
+
+def write_rollup(rollup: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
+    """Keyed read model of the hourly rollup, days are partitions; `read_rollup` shows it."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_results(batch.withColumn("day", F.to_date("hour")), target, ROLLUP_KEYS, ROLLUP_NEWEST, batch_id=batch_id, buckets=buckets)
 
     return (rollup.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -73,54 +78,62 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str =
                     F.expr("timestampdiff(SECOND, _s, _e)").alias("duration_s"), "events"))
 
 
-BUCKET_OUTPUT = "tenant_id string, event_id long, allowed boolean, remaining long, retry_after long"
+BUCKET_OUTPUT = "tenant_id string, second timestamp, capacity double, tokens double, requests long, allowed long"
 
 
 class TokenBucket(StatefulProcessor):
-    """Bucket of one tenant: tokens at the start of the newest second and how many that second has used."""
+    """Bucket of one tenant: its newest second, the tokens at the start of it and the requests in it. Sees one row per second."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("second", T.LongType()), T.StructField("tokens", T.DoubleType()), T.StructField("used", T.LongType())])
         self.bucket = handle.getValueState("bucket", schema, 3_600_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # requests come in no order: four numbers of each are held, not its row
-        held = [[pdf["event_time"].to_numpy(dtype="datetime64[us]").astype(np.int64), pdf["event_id"].to_numpy(), pdf["second"].to_numpy(), pdf["capacity"].to_numpy()] for pdf in rows]
-        times, ids, seconds, capacities = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((ids, times))
-        state = self.bucket.get() if self.bucket.exists() else None
-        second, tokens, used = state if state else (None, 0.0, 0)
-        out, names = [], ["tenant_id", "event_id", "allowed", "remaining", "retry_after"]
-        for event_id, at, capacity in zip(ids[order], seconds[order], capacities[order]):
-            rate = capacity / 60.0
-            if second is None:
-                second, tokens, used = at, float(capacity), 0
-            elif at > second:
-                tokens = min(float(capacity), tokens - min(float(used), float(int(tokens))) + (at - second) * rate)
-                second, used = at, 0
-            used += 1
-            whole = int(tokens)
-            left = tokens - min(used, whole)
-            ok = used <= whole
-            out.append((key[0], event_id, ok, int(left), 0 if ok else math.ceil((1.0 - left) / rate)))
-            if len(out) == 50_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+        found = pd.concat(list(rows)).sort_values("second")  # a row per second since the last batch, however many requests
+        second, tokens, used = self.bucket.get() if self.bucket.exists() else (None, 0.0, 0)
+        starts = []
+        for at, capacity, n in zip(found["second"].to_numpy(dtype="datetime64[s]").astype(np.int64).tolist(), found["capacity"].tolist(), found["requests"].tolist()):
+            tokens = float(capacity) if second is None else min(float(capacity), tokens - min(float(used), float(int(tokens))) + (at - second) * capacity / 60.0)
+            second, used = at, n
+            starts.append(tokens)
         self.bucket.update((int(second), float(tokens), int(used)))
-        yield pd.DataFrame(out, columns=names)
+        whole = np.floor(starts).astype(np.int64)
+        yield found[["second", "capacity", "requests"]].assign(tenant_id=key[0], tokens=starts, allowed=np.minimum(whole, found["requests"].to_numpy()))[
+            ["tenant_id", "second", "capacity", "tokens", "requests", "allowed"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_token_bucket(stream: DataFrame, limits: DataFrame) -> DataFrame:
-    """Decision per request as it arrives; a bucket idle for an hour is full and its state expires. Needs the RocksDB state store."""
-    shaped = (stream.join(lookup_side(one_limit(limits, ["tenant_id"])), "tenant_id", "left")
-              .select("tenant_id", "event_id", "event_time", F.col("event_time").cast("long").alias("second"),
-                      F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))).cast("double").alias("capacity")))
+def stream_token_bucket(stream: DataFrame, limits: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """tenant_id, second, capacity, tokens, requests, allowed: the bucket at the start of each second in which a tenant sent requests.
+
+    Two chained stateful operators: requests are counted per tenant and second, and a second's count goes on to the
+    tenant's bucket when the watermark has passed it. No task holds requests. `bucket_decisions` gives the decision for
+    each request. A bucket idle for an hour is full and its state expires. Needs the RocksDB state store.
+    """
+    counted = (stream.withWatermark("event_time", watermark).groupBy("tenant_id", F.window("event_time", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
+               .select("tenant_id", F.col("w.start").alias("second"), "requests"))
+    shaped = counted.join(lookup_side(one_limit(limits, ["tenant_id"])), "tenant_id", "left").select(
+        "tenant_id", "second", "requests", F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))).cast("double").alias("capacity"))
     return shaped.groupBy("tenant_id").transformWithStateInPandas(TokenBucket(), BUCKET_OUTPUT, "append", "processingTime")
 
 
+def bucket_decisions(requests: DataFrame, seconds: DataFrame) -> DataFrame:
+    """tenant_id, event_id, allowed, remaining, retry_after of the requests whose second is in the output of `stream_token_bucket`.
+
+    A request's decision follows from its place within its second.
+    """
+    placed = requests.select("tenant_id", "event_id", "event_time", F.date_trunc("second", F.col("event_time").cast("timestamp")).alias("second"))
+    placed = placed.withColumn("_pos", F.row_number().over(Window.partitionBy("tenant_id", "second").orderBy("event_time", "event_id")))
+    judged = join_on(placed, seconds.select("tenant_id", "second", "capacity", "tokens"), ["tenant_id", "second"])
+    whole = F.floor("tokens")
+    left = F.col("tokens") - F.least(F.col("_pos").cast("double"), whole.cast("double"))
+    allowed = F.col("_pos") <= whole
+    retry = F.ceil((F.lit(1e0) - left) / (F.col("capacity") / F.lit(60e0))).cast("long")
+    return judged.select("tenant_id", "event_id", allowed.alias("allowed"), F.floor(left).cast("long").alias("remaining"), F.when(~allowed, retry).otherwise(F.lit(0).cast("long")).alias("retry_after"))
+
+
 def stream_enrich(stream: DataFrame, read_tables: Callable[[SparkSession], tuple[DataFrame, DataFrame, DataFrame]], out: str,
                   checkpoint: str, **trigger) -> StreamingQuery:
     """Tenant, network and indicator columns per micro-batch. `read_tables` is called for each batch, so refreshed feeds are seen."""
@@ -183,6 +196,7 @@ class IngestTargets:
     dead_letters: str
     receipts: str
     checkpoint: str
+    buckets: int = BUCKETS
 
 
 class IngestTables(NamedTuple):
@@ -253,6 +267,20 @@ def judge_all(batch: DataFrame, tables: IngestTables, rules: IngestRules = Inges
     return judged.withColumn("reason", F.coalesce(*reasons)).select(*own), unopened
 
 
+RESULT_KEYS = ["tenant_id", "idempotency_key"]
+
+
+def earliest() -> list:
+    """The earliest arrival of an event wins, also against rows of earlier batches."""
+    return [-F.unix_micros(F.col("received_at").cast("timestamp")), -F.col("delivery"), -F.col("event_id")]
+
+
+def read_ingested(spark: SparkSession, targets: IngestTargets) -> DataFrame:
+    """The keyed results of `ingest_stream`, one row per event."""
+    schema = spark.read.parquet(targets.results).drop("key_bucket", "file_set").schema
+    return read_results(spark, targets.results, schema, RESULT_KEYS, earliest())
+
+
 def ingest_stream(stream: DataFrame, read_tables: Callable[[SparkSession], tuple], targets: IngestTargets, rules: IngestRules = IngestRules(),
                   **trigger) -> StreamingQuery:
     """The whole ingest path in one restart-safe query: opening, upcasting, checks, deduplication, enrichment, keyed results, dead letters and receipts.
@@ -269,9 +297,7 @@ def ingest_stream(stream: DataFrame, read_tables: Callable[[SparkSession], tuple
             good = quality.dedupe(judged.where("reason IS NULL"))
             placed = threat.match_indicators(enrich.network_class(enrich.geo_asn(enrich.parse_user_agent(good), tables.blocks)), tables.indicators)
             rows = placed.drop("reason").withColumn("day", F.to_date("event_time"))
-            # the earliest arrival wins also against rows of earlier batches
-            first = -F.unix_micros(F.col("received_at").cast("timestamp"))
-            upsert_results(rows, targets.results, ["tenant_id", "idempotency_key"], [first, -F.col("delivery"), -F.col("event_id")])
+            upsert_results(rows, targets.results, RESULT_KEYS, earliest(), batch_id=batch_id, buckets=targets.buckets)
             rejected = [judged] if unopened is None else [judged, unopened]
             quality.dead_letters(*rejected).write.mode("overwrite").parquet(f"{targets.dead_letters}/batch={batch_id}")
             shared = ["tenant_id", "idempotency_key", *quality.ARRIVAL, "reason"]

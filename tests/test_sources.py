@@ -119,7 +119,23 @@ def test_upsert(spark, tmp_path):
     for _ in range(2):
         sinks.upsert_results(batch([("a", 1, "old", "d1"), ("b", 1, "x", "d2"), ("a", 2, "new", "d1")]), target, ["k"], ["version"])
     sinks.upsert_results(batch([("a", 1, "late", "d1"), ("c", 1, "c", "d1")]), target, ["k"], ["version"])
-    assert rows(spark.read.parquet(target), "k", "v") == [("a", "new"), ("b", "x"), ("c", "c")]
+    schema = batch([("a", 1, "", "")]).schema
+
+    def now():
+        return rows(sinks.read_results(spark, target, schema, ["k"], ["version"]), "k", "v")
+
+    assert now() == [("a", "new"), ("b", "x"), ("c", "c")]
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(files) == 4  # a repeated batch adds nothing: two days of the first, two keys of the other
+    sinks.upsert_results(batch([("b", 2, "y", "d2")]), target, ["k"], ["version"], batch_id=7)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(after) == 5 and files.items() <= after.items()  # no older file is written
+    assert not list(tmp_path.rglob("*__staged*")) and now() == [("a", "new"), ("b", "y"), ("c", "c")]
+    assert sinks.compact_results(spark, target, schema, ["k"], ["version"], most=1) == 2  # the buckets of a and b
+    left = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert now() == [("a", "new"), ("b", "y"), ("c", "c")] and len(left) == 3 and len(left.items() & after.items()) == 1
+    assert sinks.compact_results(spark, target, schema, ["k"], ["version"], most=1) == 0
+    assert rows(sinks.read_results(spark, str(tmp_path / "none"), schema, ["k"], ["version"])) == []
 
 
 def test_export(spark, tmp_path):

@@ -67,8 +67,8 @@ def test_hourly_rollup_and_restart(spark, feed, tel, tmp_path):
     target, checkpoint = str(tmp_path / "t"), str(tmp_path / "ck")
     for _ in range(2):
         s = streams.stream_hourly_rollup(stream(spark, feed, tel.schema))
-        streams.write_rollup(s, target, checkpoint).awaitTermination(240)
-        assert rows(spark.read.parquet(target).drop("day")) == rows(rollups.hourly_rollup(tel))
+        streams.write_rollup(s, target, checkpoint, buckets=2).awaitTermination(240)
+        assert rows(streams.read_rollup(spark, target)) == rows(rollups.hourly_rollup(tel))
 
 
 def test_signals(spark, feed, tel, tmp_path):
@@ -90,10 +90,14 @@ def test_token_bucket(spark, feed, tel, tmp_path):
     tight = tel.withColumn("event_time", (F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("event_id") / 4))).cast("timestamp_ntz"))
     folder = str(tmp_path / "tight")
     tight.repartitionByRange(3, "event_time").sortWithinPartitions("event_time", "event_id").write.parquet(folder)
-    s = streams.stream_token_bucket(stream(spark, in_order(folder), tight.schema), limits)
-    out = run(s, "append", tmp_path / "out", tmp_path / "ck")
-    want = rollups.token_bucket_audit(tight, limits).select(*out.columns)
+    limits = limits.unionByName(limits.where("tenant_id = 't1'").withColumn("capacity", F.col("capacity") + 5))
+    s = streams.stream_token_bucket(stream(spark, in_order(folder), tight.schema), limits, "0 seconds")
+    seconds = run(s, "append", tmp_path / "out", tmp_path / "ck")
+    out = streams.bucket_decisions(tight, seconds)
+    end = tight.agg(F.max("event_time")).first()[0]
+    want = rollups.token_bucket_audit(tight, limits).where(F.col("event_time") < F.lit(end).cast("timestamp_ntz")).select(*out.columns)  # the last second is still open
     assert rows(out) == rows(want) and out.where("NOT allowed").count() > 0 and out.where("allowed").count() > 0
+    assert seconds.agg(F.sum("allowed")).first()[0] == out.where("allowed").count() and seconds.count() < out.count()
 
 
 def lookups(spark):
@@ -147,12 +151,12 @@ def test_ingest_end_to_end(spark, tmp_path):
     raw = raw.withColumn("received_at", F.when((F.col("event_id") == 7) & (F.col("delivery") == 1), F.col("event_time") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("received_at"))).cache()
     raw.repartitionByRange(3, "received_at").write.parquet(str(tmp_path / "raw"))
     in_order(str(tmp_path / "raw"))
-    targets = streams.IngestTargets(str(tmp_path / "results"), str(tmp_path / "dlq"), str(tmp_path / "receipts"), str(tmp_path / "ck"))
+    targets = streams.IngestTargets(str(tmp_path / "results"), str(tmp_path / "dlq"), str(tmp_path / "receipts"), str(tmp_path / "ck"), buckets=1)
 
     def once():
         s = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "raw"))
         streams.ingest_stream(s, lookups, targets).awaitTermination(400)
-        return spark.read.parquet(targets.results), spark.read.parquet(targets.dead_letters), spark.read.parquet(targets.receipts)
+        return streams.read_ingested(spark, targets), spark.read.parquet(targets.dead_letters), spark.read.parquet(targets.receipts)
 
     results, dlq, receipts = once()
     judged = streams.judge(raw, view(spark, SMALL, "tenants"))
@@ -184,7 +188,7 @@ def test_ingest_of_sealed_events(spark, tmp_path):
     sealed.write.parquet(str(tmp_path / "raw"))
     owners = view(spark, SMALL, "tenants").select(F.sha2(F.concat(F.lit("key-"), "tenant_id"), 256).alias("key_hash"), "tenant_id", F.lit(True).alias("is_active"))
     rules = streams.IngestRules(payload="client_ip string, latency_in double", steps={1: {"latency_in": "latency_in * 1"}}, current=2, sender_key="sender_key", tags=("zone",), families={"local_": "threat_"})
-    targets = streams.IngestTargets(*[str(tmp_path / x) for x in ("results", "dlq", "receipts", "ck")])
+    targets = streams.IngestTargets(*[str(tmp_path / x) for x in ("results", "dlq", "receipts", "ck")], buckets=2)
 
     def read_tables(s):
         return (*lookups(s), key, owners)
@@ -193,7 +197,7 @@ def test_ingest_of_sealed_events(spark, tmp_path):
     for _ in range(2):
         s = spark.readStream.schema(sealed.schema).parquet(str(tmp_path / "raw"))
         streams.ingest_stream(s, read_tables, targets, rules).awaitTermination(400)
-        results, dlq = spark.read.parquet(targets.results), spark.read.parquet(targets.dead_letters)
+        results, dlq = streams.read_ingested(spark, targets), spark.read.parquet(targets.dead_letters)
         assert rows(dlq, "event_id", "error_class") == sorted(zip(ids, ["unknown_version", "unknown_key", "metadata_malformed", "bad_status", "tenant_mismatch", "late", "not_authentic"]))
         assert rows(results, "event_id") == rows(want.where("reason IS NULL"), "event_id") and unopened.count() == 1
         assert rows(results.select("version", "family").distinct()) == [(2, "threat_x")]
