@@ -23,7 +23,7 @@ from optelem.operators import enrich, quality, sealing, threat
 from optelem.operators.rollups import TIER_LIMITS, failed, one_limit
 from optelem.operators.threat import SIEM_RULES
 from optelem.plans.keys import join_on
-from optelem.plans.lookups import lookup_side
+from optelem.plans.lookups import settled_lookup
 from optelem.sources.sinks import BUCKETS, read_results, upsert_results
 
 WATERMARK = "10 minutes"
@@ -114,7 +114,7 @@ def stream_token_bucket(stream: DataFrame, limits: DataFrame, watermark: str = W
     """
     counted = (stream.withWatermark("event_time", watermark).groupBy("tenant_id", F.window("event_time", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
                .select("tenant_id", F.col("w.start").alias("second"), "requests"))
-    shaped = counted.join(lookup_side(one_limit(limits, ["tenant_id"])), "tenant_id", "left").select(
+    shaped = counted.join(settled_lookup(one_limit(limits, ["tenant_id"])), "tenant_id", "left").select(
         "tenant_id", "second", "requests", F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))).cast("double").alias("capacity"))
     return shaped.groupBy("tenant_id").transformWithStateInPandas(TokenBucket(), BUCKET_OUTPUT, "append", "processingTime")
 

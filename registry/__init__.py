@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "enrichment", "rollups", "threat", "lifecycle", "ml", "docs", "odd_rows", "readers")
+AREAS = ("quality", "enrichment", "rollups", "threat", "lifecycle", "ml", "docs", "odd_rows", "readers", "replays")
 
 
 def _merged(attribute: str) -> dict:
