@@ -23,7 +23,7 @@ from optelem.operators import enrich, quality, sealing, threat
 from optelem.operators.rollups import TIER_LIMITS, failed, one_limit
 from optelem.operators.threat import SIEM_RULES
 from optelem.plans.keys import join_on
-from optelem.plans.lookups import settled_lookup
+from optelem.plans.lookups import lookup_side
 from optelem.sources.sinks import BUCKETS, read_results, upsert_results
 
 WATERMARK = "10 minutes"
@@ -86,7 +86,7 @@ class TokenBucket(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("second", T.LongType()), T.StructField("tokens", T.DoubleType()), T.StructField("used", T.LongType())])
-        self.bucket = handle.getValueState("bucket", schema, 3_600_000)
+        self.bucket = handle.getValueState("bucket", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values("second")  # a row per second since the last batch, however many requests
@@ -110,13 +110,13 @@ def stream_token_bucket(stream: DataFrame, limits: DataFrame, watermark: str = W
 
     Two chained stateful operators: requests are counted per tenant and second, and a second's count goes on to the
     tenant's bucket when the watermark has passed it. No task holds requests. `bucket_decisions` gives the decision for
-    each request. A bucket idle for an hour is full and its state expires. Needs the RocksDB state store.
+    each request. A tenant's state is three numbers. Needs the RocksDB state store.
     """
     counted = (stream.withWatermark("event_time", watermark).groupBy("tenant_id", F.window("event_time", "1 second").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
                .select("tenant_id", F.col("w.start").alias("second"), "requests"))
-    shaped = counted.join(settled_lookup(one_limit(limits, ["tenant_id"])), "tenant_id", "left").select(
+    shaped = counted.join(lookup_side(one_limit(limits, ["tenant_id"])), "tenant_id", "left").select(
         "tenant_id", "second", "requests", F.coalesce("capacity", F.lit(min(TIER_LIMITS.values()))).cast("double").alias("capacity"))
-    return shaped.groupBy("tenant_id").transformWithStateInPandas(TokenBucket(), BUCKET_OUTPUT, "append", "processingTime")
+    return shaped.groupBy("tenant_id").transformWithStateInPandas(TokenBucket(), BUCKET_OUTPUT, "append", "none")
 
 
 def bucket_decisions(requests: DataFrame, seconds: DataFrame) -> DataFrame:
