@@ -13,9 +13,9 @@ from optelem.session import ensure_checkpoint_dir
 from optelem.sources import documents, sinks
 from optelem.sources.ingest_format import TelemetryIngest
 from optelem.streaming import streams
-from optelem.streaming.replay import read_out, replay, to_files
+from optelem.streaming.replay import ROCKSDB, read_out, replay, to_files
 from registry.quality import JUDGED
-from registry.rollups import ROLLUP
+from registry.rollups import ORACLES as BATCH, ROLLUP, _limits
 
 RULE = ("error_burst", "status_code >= 500", "tenant_id", "1 hour", "1 hour", 2)
 LATE = "SELECT event_id, event_time, CASE WHEN event_id % 17 = 0 THEN event_time + INTERVAL '11' MINUTE WHEN event_id % 17 = 1 THEN event_time + INTERVAL '10' MINUTE ELSE received_at END AS received_at, delivery FROM raw_tel"
@@ -65,6 +65,15 @@ def _sessions(spark, d):
     return found.where(F.col("ended_at") < F.lit(_before(spark, d)).cast("timestamp_ntz"))
 
 
+def _bucket(spark, d):
+    def start(stream, folders):
+        return to_files(lambda s: streams.stream_token_bucket(s, _limits(spark, d)))(stream, folders)
+
+    seconds = read_out(spark, replay(_tel(spark, d), "event_time", start, conf=ROCKSDB))
+    early = _tel(spark, d).where(F.col("event_time") < F.lit(_before(spark, d)).cast("timestamp_ntz"))
+    return streams.bucket_decisions(early, seconds)
+
+
 def _lookups(spark, d):
     return view(spark, d, "tenants"), view(spark, d, "geo_blocks"), threat.merge_feeds(view(spark, d, "ioc_feed"), as_of="2024-02-01 00:00:00")
 
@@ -136,6 +145,7 @@ QUERIES = {
     "stream_hourly_rollup": _rollup,
     "stream_signals": _signals,
     "stream_sessions": _sessions,
+    "stream_token_bucket": _bucket,
     "stream_enrich": _enriched,
     "late_rows": lambda s, d: streams.late_rows(query(s, d, LATE)).select("event_id", "delivery", "reason"),
     "live_ticks": _ticks,
@@ -167,3 +177,4 @@ ORACLES = {
     "export_tenant": "SELECT event_id, tenant_id, latency_ms, count(*) OVER () AS job_rows FROM tel WHERE tenant_id = 't3'",
 }
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}
+ORACLES["stream_token_bucket"] = f"SELECT * FROM ({BATCH['token_bucket_audit']}) b WHERE event_id IN (SELECT event_id FROM events WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events))"
