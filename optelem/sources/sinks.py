@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from optelem.functions.times import ts
 from optelem.plans.keys import join_on
 from optelem.plans.lookups import lookup_side, settle, settled_lookup
+from optelem.sources.landing import write_counted
 
 # fixed values: ingest limits
 MAX_EVENTS = 25
@@ -191,9 +192,7 @@ def export_tenant(df: DataFrame, tenant: str, job: str, root: str, fmt: str = "p
     if df.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant))).limit(1).count():
         raise PermissionError(f"rows of other tenants in the export of {tenant}")
     path = f"{root}/tenants/{tenant}/exports/{job}"
-    writer = df.write.mode("errorifexists")
-    (writer.option("header", "true") if fmt == "csv" else writer).format(fmt).save(path)
-    n = df.sparkSession.read.format(fmt).schema(df.schema).options(**({"header": "true"} if fmt == "csv" else {})).load(path).count()
+    n = write_counted(df, path, {"n": F.count(F.lit(1))}, fmt=fmt, mode="errorifexists", **({"header": "true"} if fmt == "csv" else {}))["n"]
     return df.sparkSession.createDataFrame([(job, tenant, fmt, path, n, "complete")],
                                            "job_id string, tenant_id string, format string, path string, n long, status string")
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from optelem.fixtures import query, view, with_views
 from optelem.operators import rollups, threat
 from optelem.session import ensure_checkpoint_dir
-from optelem.sources import documents, sinks
+from optelem.sources import documents, landing, sinks
 from optelem.sources.ingest_format import TelemetryIngest
 from optelem.streaming import streams
 from optelem.streaming.replay import ROCKSDB, read_out, replay, to_files
-from registry.quality import JUDGED
+from registry.quality import JUDGED, _judged
 from registry.rollups import ORACLES as BATCH, ROLLUP, _limits
 
 RULE = ("error_burst", "status_code >= 500", "tenant_id", "1 hour", "1 hour", 2)
@@ -94,6 +94,29 @@ def _ticks(spark, d):
     return ticks.agg(F.count(F.lit(1)).alias("ticks"), F.sum("count").alias("n"), F.max("cursor").alias("cursor"))
 
 
+def _written_ticks(spark, d):
+    """Rows read back per micro-batch beside the tick that its write counted."""
+    folders = []
+
+    def start(stream, f):
+        folders[:] = [f"{f.out}/rows", f"{f.out}/ticks"]
+        return landing.ticking_batches(stream, "event_id", *folders, f.checkpoint)
+
+    replay(_tel(spark, d), "event_time", start)
+    written = spark.read.parquet(folders[0]).groupBy("batch").agg(F.count(F.lit(1)).alias("_n"), F.max("event_id").alias("_top"))
+    both = spark.read.parquet(folders[1]).join(written, "batch", "full")
+    same = F.coalesce((F.col("count") == F.col("_n")) & (F.col("cursor") == F.col("_top")), F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("ticks"), F.sum("count").alias("n"), F.max("cursor").alias("cursor"), F.bool_and(same).alias("as_written"))
+
+
+def _landed_receipt(spark, d):
+    """The raw table as one batch: its receipt beside the number of rows in the files."""
+    accepted, rejected = _folder(spark, "accepted"), _folder(spark, "rejected")
+    receipt = landing.land_batch(_judged(spark, d), "raw", accepted, rejected)
+    files = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias(c)).select(F.lit("raw").alias("batch_id"), c) for p, c in ((accepted, "rows_accepted"), (rejected, "rows_rejected"))]
+    return receipt.join(files[0], "batch_id").join(files[1], "batch_id")
+
+
 def _batches(spark, d):
     def start(stream, folders):
         return sinks.write_batches(stream, folders.out, folders.checkpoint)
@@ -149,6 +172,8 @@ QUERIES = {
     "stream_enrich": _enriched,
     "late_rows": lambda s, d: streams.late_rows(query(s, d, LATE)).select("event_id", "delivery", "reason"),
     "live_ticks": _ticks,
+    "ticking_batches": _written_ticks,
+    "land_batch": _landed_receipt,
     "ingest_stream": _ingested,
     "write_batches": _batches,
     "telemetry_ingest": _landed,
@@ -169,6 +194,10 @@ ORACLES = {
     "stream_enrich": "SELECT event_id, tel.host, t.tenant_id AS mapped FROM tel LEFT JOIN tenants t ON tel.host = t.host",
     "late_rows": f"SELECT event_id, delivery, 'late' AS reason FROM ({LATE}) l WHERE event_id % 17 = 0",
     "live_ticks": "SELECT CAST(3 AS BIGINT) AS ticks, CAST(count(*) AS BIGINT) AS n, max(event_id) AS cursor FROM tel",
+    "ticking_batches": "SELECT CAST(3 AS BIGINT) AS ticks, CAST(count(*) AS BIGINT) AS n, max(event_id) AS cursor, true AS as_written FROM tel",
+    "land_batch": f"""WITH {JUDGED}, c AS (SELECT count(*) AS n, count(reason) AS rejected, (SELECT count(*) FROM (SELECT DISTINCT tenant_id, idempotency_key FROM judged WHERE reason IS NULL) k) AS accepted FROM judged)
+      SELECT 'raw' AS batch_id, n, accepted, n - accepted - rejected AS duplicate, rejected, CASE WHEN accepted = n THEN 'complete' WHEN accepted > 0 THEN 'partial' ELSE 'rejected' END AS state,
+      accepted AS rows_accepted, rejected AS rows_rejected FROM c""",
     "ingest_stream": f"""WITH {JUDGED}, good AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, idempotency_key ORDER BY received_at, delivery, event_id) AS rn FROM judged WHERE reason IS NULL)
       SELECT event_id, idempotency_key, delivery, NULL AS error_class FROM good WHERE rn = 1 UNION ALL SELECT event_id, idempotency_key, delivery, reason FROM judged WHERE reason IS NOT NULL""",
     "write_batches": "SELECT event_id, tenant_id FROM tel",
