@@ -142,23 +142,64 @@ def breach_match(accounts: DataFrame, breaches: DataFrame) -> DataFrame:
     return accounts.withColumn("email_hash", email_hash()).join(leaked, "email_hash", "left_semi").select("account_id", "tenant_id", "email_hash")
 
 
+def _words(c: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _first(words: str, n: Column | int) -> Column:
+    return F.array_join(F.slice(words, 1, n), " ")
+
+
+MAX_DEPTH = 31  # doubling depths of a trie, more than an array can hold words
+
+
+def term_trie(wanted: DataFrame) -> DataFrame:
+    """prefix, lengths, goes_on: the first 1, 2, 4, 8... words of terms, the lengths of terms with that prefix that are
+    shorter than twice of it, and whether longer ones share it. wanted: _w (words), _len."""
+    depths = F.filter(F.array(*[F.lit(2 ** j) for j in range(MAX_DEPTH - 1)]), lambda d: d <= F.col("_len"))
+    levels = wanted.select("_w", "_len", F.explode(depths).alias("_depth"))
+    short = F.col("_len") < F.col("_depth").cast("long") * 2
+    return levels.groupBy(_first("_w", F.col("_depth")).alias("prefix")).agg(F.collect_set(F.when(short, F.col("_len"))).alias("lengths"), F.bool_or(~short).alias("goes_on"))
+
+
+def term_starts(tokens: DataFrame, trie: DataFrame, longest: int) -> DataFrame:
+    """doc_id, _rest, _lengths: positions whose words begin a term, the words from there, and the lengths still possible.
+
+    tokens: doc_id, _w. A position walks the trie at depths 1, 2, 4, ... and goes on only while a longer term shares its
+    words, so a length is proposed only where its term's first half stands. With a small trie this is one pass over the
+    texts; with one too large to broadcast, positions travel with at most `longest` words each.
+    """
+    root = lookup_side(trie)
+    if root is trie:
+        starts = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.slice("_w", i, longest))
+        rows = tokens.where(F.size("_w") > 0).select("doc_id", F.explode(starts).alias("_rest")).withColumn("_at", F.col("_rest")[0])
+        walk = rows.join(root, F.col("_at") == F.col("prefix"))
+    else:
+        rows = tokens.select("doc_id", "_w", F.posexplode("_w").alias("_pos", "_at"))
+        walk = rows.join(root, F.col("_at") == F.col("prefix")).withColumn("_rest", F.slice("_w", F.col("_pos") + 1, longest))
+    walk = walk.select("doc_id", "_rest", F.col("lengths").alias("_lengths"), F.col("goes_on").alias("_on"))
+    depth = 2
+    while depth <= longest:
+        here = F.when(F.col("_on") & (F.size("_rest") >= depth), _first("_rest", depth))
+        found = walk.withColumn("_at", here).join(root, F.col("_at") == F.col("prefix"), "left")
+        more = F.when(F.col("lengths").isNull(), F.col("_lengths")).otherwise(F.concat("_lengths", "lengths"))
+        walk = found.select("doc_id", "_rest", more.alias("_lengths"), F.coalesce("goes_on", F.lit(False)).alias("_on"))
+        depth *= 2
+    return walk.select("doc_id", "_rest", F.filter("_lengths", lambda n: n <= F.size("_rest")).alias("_lengths"))
+
+
 def brand_mentions(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term, n: whole-word occurrences of brand terms, over whole texts.
 
-    Each text yields its word n-grams of the lengths that occur among the terms, whatever those are; they meet the
-    terms in an equi-join, never term by term.
+    Texts walk a trie of the terms; only positions that begin a term become rows, see `term_starts`.
     """
-    def words(c: str) -> Column:
-        return F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    shaped = terms.select(F.col("term").alias("_raw"), words("term").alias("_w"))
-    wanted = (shaped.where(F.size("_w") > 0).select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("_len")).distinct())
-    lengths = wanted.agg(F.collect_set("_len").alias("_lengths")).scalar()
-    tokens = spread(documents.select("doc_id", text), "doc_id").select("doc_id", words(text).alias("_w"), lengths.alias("_lengths"))
-    fitting = F.filter("_lengths", lambda n: n <= F.size("_w"))
-    grams = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))))
-    exploded = tokens.select("doc_id", F.explode(grams).alias("term"))
-    return exploded.join(lookup_side(wanted.select("term")), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    shaped = terms.select(_words("term").alias("_w")).where(F.size("_w") > 0).withColumn("_len", F.size("_w"))
+    wanted = settle(shaped.select(F.array_join("_w", " ").alias("term"), "_w", "_len").distinct())
+    longest = wanted.agg(F.max("_len")).first()[0] or 1
+    tokens = spread(documents.select("doc_id", text), "doc_id").select("doc_id", _words(text).alias("_w"))
+    starts = term_starts(tokens, term_trie(wanted), longest)
+    proposed = starts.select("doc_id", "_rest", F.explode("_lengths").alias("_n")).select("doc_id", _first("_rest", F.col("_n")).alias("term"))
+    return proposed.join(lookup_side(wanted.select("term")), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def traffic_spikes(df: DataFrame, key: str = "asn", buckets: int = 24, min_buckets: int = 6, limit: float = 3.0) -> DataFrame:

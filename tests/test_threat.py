@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,34 @@ def test_brand_terms_of_seventy_lengths(spark):
     found = threat.brand_mentions(text, terms)
     assert found.count() == len({r["term"] for r in terms.collect()}) and found.agg({"n": "max"}).first()[0] == 1
     assert threat.brand_mentions(text, terms.limit(0)).count() == 0
+
+
+def test_brand_rows_follow_hits(spark):
+    """Positions that begin no term never become rows, and a common first word proposes no long term."""
+    filler = "the quick brown fox the lazy dog " * 200
+    docs = spark.createDataFrame([(i, filler + ("the house of acme brands and sons " if i % 10 == 0 else "")) for i in range(50)], "doc_id long, text string")
+    names = ["the house of acme brands and sons", "the house of acme", "acme brands", "house"]
+    words = spark.createDataFrame([(n.split(), len(n.split()), n) for n in names], "_w array<string>, _len int, term string")
+    tokens = docs.select("doc_id", threat._words("text").alias("_w"))
+    starts = threat.term_starts(tokens, threat.term_trie(words), 7)
+    proposed = starts.select(F.explode("_lengths")).count()
+    hits = threat.brand_mentions(docs, words)
+    assert hits.agg(F.sum("n")).first()[0] == proposed == 5 * 4
+
+
+def test_brand_trie_against_all_windows(spark, monkeypatch):
+    """Nested terms, terms across doubling depths, repeats, with a trie that is broadcast and one that is not."""
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(99, None), (1, "a b a b")]
+    terms = sorted({" ".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(40)})
+    want = {}
+    for i, text in texts:
+        w = (text or "").split()
+        for t in terms:
+            n = sum(w[k:k + len(t.split())] == t.split() for k in range(len(w)))
+            if n:
+                want[i, t] = want.get((i, t), 0) + n
+    docs, listed = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    for _ in range(2):
+        assert {(r[0], r[1]): r[2] for r in threat.brand_mentions(docs, listed).select("doc_id", "term", "n").collect()} == want
+        monkeypatch.setattr(threat, "lookup_side", lambda side, max_rows=0: side)
