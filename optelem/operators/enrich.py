@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from optelem.functions.network import ip_to_long, prefix16, url_host
 from optelem.functions.times import bucket, epoch_us
 from optelem.operators.quality import session_spans
-from optelem.plans.lookups import lookup_side, settled_lookup
+from optelem.plans.lookups import lookup_side, settle, settled_lookup
 from optelem.plans.ordered import previous_row
 
 # fixed values: first matching pattern names the class
@@ -168,32 +168,48 @@ def _token_sets(df: DataFrame, text: str, out: str) -> DataFrame:
         f"{out}_tokens", F.array_sort(F.array_distinct(F.filter(F.split(F.col(out), "[^a-z0-9]+"), lambda t: t != ""))))
 
 
+def candidate_meetings(products: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """product, product_tokens, entry, entry_tokens of pairs that may reach the Jaccard threshold; a pair may come more than once.
+
+    Tokens are ranked rarest first. The first token that two names share, at place i of a and j of b, leaves at most
+    1 + min(a - i, b - j) shared tokens; if even those miss the threshold the pair never meets there. Places and sizes
+    are part of the join key: a product row is made only for the (size, place) of entries that hold its token and may
+    reach the threshold, so a word that stands in every name, last by rarity, brings no pairs together.
+    """
+    spread = products.select(F.explode("product_tokens").alias("token")).unionByName(entries.select(F.explode("entry_tokens").alias("token")))
+    frequency = settled_lookup(spread.groupBy("token").agg(F.count(F.lit(1)).alias("_freq")))
+
+    def reach(shared: Column, a: Column, b: Column) -> Column:
+        return shared.cast("double") / (a + b - shared) >= F.lit(threshold)
+
+    def prefixes(side: DataFrame, name: str) -> DataFrame:
+        size = F.size(f"{name}_tokens")
+        exploded = side.select(name, f"{name}_tokens", size.alias("_size"), F.explode(f"{name}_tokens").alias("token")).join(frequency, "token")
+        placed = exploded.withColumn("_place", F.row_number().over(Window.partitionBy(name).orderBy("_freq", "token")))
+        rest = F.col("_size") - F.col("_place") + 1
+        return placed.where(reach(rest, F.col("_size"), rest)).drop("_freq")
+
+    right = settle(prefixes(entries, "entry"))
+    kinds = right.groupBy("token").agg(F.collect_set(F.struct("_size", "_place")).alias("_kinds"))
+    left = prefixes(products, "product").withColumnsRenamed({"_size": "_a", "_place": "_i"}).join(lookup_side(kinds), "token")
+    open_kinds = F.filter("_kinds", lambda k: reach(F.least(F.col("_a") - F.col("_i"), k["_size"] - k["_place"]) + 1, F.col("_a"), k["_size"]))
+    asked = left.select("product", "product_tokens", "token", F.explode(open_kinds).alias("_k")).select("product", "product_tokens", "token", "_k.*")
+    return asked.join(right, ["token", "_size", "_place"]).select("product", "product_tokens", "entry", "entry_tokens")
+
+
 def cpe_candidates(products: DataFrame, dictionary: DataFrame, threshold: float = 0.5) -> DataFrame:
     """product, cpe, match_kind, similarity: the exact dictionary entry, else the closest token set.
 
-    Both sides are (name) tables of normalised texts. Candidates share a token of their prefix in
-    rarest-first order, which any pair reaching the Jaccard threshold must, and their sizes must be
-    close enough to reach it. A pair is scored where it meets; meeting twice changes nothing.
+    Both sides are (name) tables of normalised texts. Pairs come from `candidate_meetings` and are scored where they
+    meet; meeting twice changes nothing.
     """
     left = _token_sets(products, "name", "product")
     right = _token_sets(dictionary, "name", "entry")
     exact = left.join(right.select(F.col("entry")), F.col("product") == F.col("entry"))
     open_left = left.join(right.select(F.col("entry").alias("product")), "product", "left_anti")
-
-    spread = left.select(F.explode("product_tokens").alias("token")).unionByName(right.select(F.explode("entry_tokens").alias("token")))
-    frequency = settled_lookup(spread.groupBy("token").agg(F.count(F.lit(1)).alias("_freq")))
-
-    def prefixes(side: DataFrame, name: str) -> DataFrame:
-        exploded = side.select(name, f"{name}_tokens", F.explode(f"{name}_tokens").alias("token")).join(frequency, "token")
-        by_rarity = Window.partitionBy(name).orderBy("_freq", "token")
-        need = F.size(f"{name}_tokens") - F.ceil(F.size(f"{name}_tokens") * threshold) + 1
-        return exploded.withColumn("_at", F.row_number().over(by_rarity)).where(F.col("_at") <= need).drop("_at", "_freq")
-
-    a, b = F.size("product_tokens"), F.size("entry_tokens")
-    fits = (F.col("p.token") == F.col("e.token")) & (F.least(a, b) >= F.greatest(a, b) * F.lit(threshold))  # others cannot reach it
-    pairs = prefixes(open_left, "product").alias("p").join(prefixes(right, "entry").alias("e"), fits)
+    pairs = candidate_meetings(open_left, right, threshold)
     shared = F.size(F.array_intersect("product_tokens", "entry_tokens"))
-    similarity = shared.cast("double") / (a + b - shared)
+    similarity = shared.cast("double") / (F.size("product_tokens") + F.size("entry_tokens") - shared)
     scored = pairs.select("product", "entry", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("product").agg(F.min(F.struct((-F.col("similarity")).alias("neg"), "entry")).alias("b"))
     near = best.select("product", F.col("b.entry").alias("entry"), F.lit("tokens").alias("match_kind"), (-F.col("b.neg")).alias("similarity"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from optelem.operators import enrich
@@ -91,6 +92,30 @@ def test_cpe_token_matches_are_exact(spark):
         assert abs(got[p][0] + neg) < 1e-9 and e.replace(" ", "_") in got[p][1]
 
 
+def test_a_word_in_every_name_brings_no_pairs(spark):
+    """1,500 products and 1,500 entries that all hold one word: meetings stay below ten times the results."""
+    names = lambda k: spark.range(1500).select(F.concat(F.lit("server "), F.concat_ws(" ", *[F.concat(F.lit(f"{c}"), F.col("id").cast("string")) for c in k])).alias("name"))
+    products, entries = names("ab"), names("abc")
+    left, right = enrich._token_sets(products, "name", "product"), enrich._token_sets(entries, "name", "entry")
+    out = enrich.cpe_candidates(products, entries)
+    assert out.count() == 1500 and out.agg(F.min("similarity"), F.max("similarity")).first()[:] == (0.75, 0.75)
+    assert enrich.candidate_meetings(left, right, 0.5).count() <= 10 * 1500
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.7, 1.0])
+def test_no_pair_is_lost_at_any_threshold(spark, threshold):
+    import random
+    rng = random.Random(3)
+    names = sorted({" ".join(sorted(rng.sample([f"w{i}" for i in range(12)], rng.randint(1, 11)))) for _ in range(120)})
+    left, right = spark.createDataFrame([(n,) for n in names[::2]], "name string"), spark.createDataFrame([(n,) for n in names[1::2] + names[:3]], "name string")
+    a, b = enrich._token_sets(left, "name", "product"), enrich._token_sets(right, "name", "entry")
+    met = {(r["product"], r["entry"]) for r in enrich.candidate_meetings(a, b, threshold).collect()}
+    for p in names[::2]:
+        for e in names[1::2] + names[:3]:
+            x, y = set(p.split()), set(e.split())
+            assert len(x & y) / len(x | y) < threshold or (p, e) in met
+
+
 def test_version_ranges(spark):
     inv = spark.createDataFrame([("t", "x", "9.9"), ("t", "x", "10.0.1"), ("t", "x", "15.9-rc1"), ("t", "x", "16"), ("t", "x", "")], "tenant_id string, tech_name string, version string")
     feed = spark.createDataFrame([("CVE-1", "X", 10, 15, 5.0)], "cve_id string, product string, major_from int, major_to int, cvss double")
