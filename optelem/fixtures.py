@@ -108,6 +108,8 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + sql[15:]
     if sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql

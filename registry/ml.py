@@ -11,6 +11,7 @@ from registry.threat import FLAGGED, flagged
 
 EARLY_CUT, CUT = "2024-01-11 00:00:00", "2024-01-16 00:00:00"
 LABELLED_SCORES = "SELECT event_id, k / 100e0 AS score, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM tel"
+GRID = {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}
 THRESHOLDS = (0.1, 0.3, 0.5, 0.7, 0.9)
 RUNS = "SELECT o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'sla' WHEN 1 THEN 'temporal' WHEN 2 THEN 'threat' ELSE 'ces' END AS model_type, concat('t', CAST(o_custkey % 8 AS STRING)) AS tenant_id FROM orders"
 
@@ -31,8 +32,8 @@ def _rollup(spark, d):
     return rollups.hourly_rollup(_tel(spark, d))
 
 
-def _rounded(df, column="score"):
-    return df.withColumn(column, F.round(column, 3))
+def _rounded(df, column="score", places=3):
+    return df.withColumn(column, F.round(column, places))
 
 
 def _in_range(column="score", low=0.0, high=1.0):
@@ -139,7 +140,7 @@ QUERIES = {
     "spike_forecast": lambda s, d: ml.spike_forecast(_rollup(s, d)),
     "anomaly_scores": lambda s, d: ml.anomaly_scores(_rollup(s, d)),
     "forecast_30d": lambda s, d: ml.forecast_30d(flagged(s, d)),
-    "grid_search": lambda s, d: ml.grid_search(_rows(s, d), {"regParam": [0.0, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]})[0].withColumn("loss", F.round("loss", 6)),
+    "grid_search": lambda s, d: _rounded(ml.grid_search(_rows(s, d), GRID, fold=F.dayofmonth("hour") % 3)[0], "loss", 6),
     "batch_predict": _predict,
     "artefact_path": lambda s, d: query(s, d, RUNS).withColumn("path", ml.artefact_path("model_type", "tenant_id")),
     "train_per_tenant": _ridge,
@@ -159,7 +160,28 @@ FEATURES = f"""h AS (SELECT tenant_id, date_trunc('hour', event_time) AS hour, C
   FROM h WINDOW w AS (PARTITION BY tenant_id ORDER BY hour), r AS (PARTITION BY tenant_id ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
 LIT_T = ", ".join(f"({t}e0)" for t in THRESHOLDS)
 
+# the same losses by proximal gradient steps: one list of coefficients per (held-out fold, parameters) and step
+GRID_SQL = f"""WITH RECURSIVE {FEATURES}, l AS (SELECT day(hour) % 3 AS f, [1e0, coalesce(moving_avg_latency, 0e0), coalesce(latency_delta, 0e0), coalesce(latency_variance, 0e0), coalesce(error_rate, 0e0), CAST(hour_of_day AS DOUBLE), coalesce(peak_share, 0e0),
+   CAST(CAST(lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) > 0.25 AS INTEGER) AS DOUBLE)] AS z FROM feat),
+ known AS (SELECT * FROM l WHERE z[8] IS NOT NULL), held(t) AS (VALUES (0), (1), (2)),
+ means AS (SELECT t, i, avg(z[i]) AS m FROM known, held, range(1, 9) r(i) WHERE f <> t GROUP BY ALL),
+ cov AS (SELECT h.t, a.i, b.i AS j, avg((z[a.i] - a.m) * (z[b.i] - b.m)) AS v FROM known, held h JOIN means a ON a.t = h.t JOIN means b ON b.t = h.t WHERE f <> h.t AND a.i > 1 AND b.i > 1 GROUP BY ALL),
+ sd AS (SELECT t, i, sqrt(v) AS s FROM cov WHERE i = j),
+ cor AS (SELECT cov.t, cov.i, list(v / (a.s * b.s) ORDER BY cov.j) AS row FROM cov JOIN sd a ON a.t = cov.t AND a.i = cov.i JOIN sd b ON b.t = cov.t AND b.i = cov.j WHERE cov.i < 8 AND cov.j < 8 GROUP BY ALL),
+ pull AS (SELECT cov.t, list(v / s ORDER BY cov.i) AS r, list(s ORDER BY cov.i) AS s FROM cov JOIN sd ON sd.t = cov.t AND sd.i = cov.i WHERE cov.i < 8 AND cov.j = 8 GROUP BY ALL),
+ sys AS (SELECT cor.t, lam, alpha, no, list(row ORDER BY cor.i) AS q, any_value(r) AS r, lam * alpha AS l1, lam * (1 - alpha) / any_value(y.s) AS l2, 1 / max(list_sum([abs(c) for c in row])) AS step
+   FROM cor JOIN pull ON pull.t = cor.t JOIN sd y ON y.t = cor.t AND y.i = 8, (VALUES (0e0, 0e0, 0), (0e0, 0.5e0, 1), (0.1e0, 0e0, 2), (0.1e0, 0.5e0, 3), (1e0, 0e0, 4), (1e0, 0.5e0, 5)) g(lam, alpha, no) GROUP BY cor.t, lam, alpha, no),
+ steps AS (SELECT 0 AS k, t, no, [0e0, 0e0, 0e0, 0e0, 0e0, 0e0] AS w FROM sys
+   UNION ALL SELECT k + 1, steps.t, steps.no, [sign(w[i] - step * (list_dot_product(q[i], w) - r[i])) * greatest(abs(w[i] - step * (list_dot_product(q[i], w) - r[i])) - step * l1, 0e0) / (1 + step * l2) for i in range(1, 7)]
+   FROM steps JOIN sys ON sys.t = steps.t AND sys.no = steps.no WHERE k < 2500),
+ fit AS (SELECT st.t, st.no, [w[i] / s[i] for i in range(1, 7)] AS b, any_value(y.m) - list_sum(list(w[x.i - 1] / s[x.i - 1] * x.m)) AS b0 FROM steps st JOIN pull ON pull.t = st.t JOIN means x ON x.t = st.t AND x.i BETWEEN 2 AND 7 JOIN means y ON y.t = st.t AND y.i = 8 WHERE k = 2500 GROUP BY st.t, st.no, w, s),
+ err AS (SELECT no, t, sqrt(avg(pow(z[8] - b0 - list_dot_product(b, z[2:7]), 2))) AS rmse FROM known JOIN fit ON f = t GROUP BY ALL),
+ losses AS (SELECT no, avg(rmse) AS loss FROM err GROUP BY no)
+ SELECT '[(''elasticNetParam'', ' || (CASE alpha WHEN 0 THEN '0.0' ELSE '0.5' END) || '), (''regParam'', ' || (CASE lam WHEN 0 THEN '0.0' WHEN 1 THEN '1.0' ELSE '0.1' END) || ')]' AS params, round(loss, 6) AS loss,
+   losses.no = (SELECT no FROM losses ORDER BY round(loss, 10), no LIMIT 1) AS is_best FROM losses JOIN (SELECT DISTINCT no, lam, alpha FROM sys) g ON g.no = losses.no"""
+
 ORACLES = {
+    "grid_search": GRID_SQL,
     "window_features": f"WITH {FEATURES} SELECT * FROM feat",
     "feature_pages": f"""WITH {FEATURES}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY hour) - 1 AS no FROM feat)
       SELECT tenant_id, CAST(no // 100 AS BIGINT) AS page, CAST(no % 100 AS INTEGER) AS pos, hour, label, error_rate FROM (SELECT *, CAST(lead(error_rate) OVER (PARTITION BY tenant_id ORDER BY hour) > 0.25 AS INTEGER) AS label FROM n) l WHERE label IS NOT NULL""",

@@ -86,6 +86,41 @@ def test_grid_search_finds_the_known_best(spark):
     assert table.where("is_best").first()["loss"] == table.agg(F.min("loss")).first()[0]
 
 
+def test_grid_search_against_fitted_models(spark):
+    """Losses by sums equal those of Spark's own regression fitted and judged fold by fold; a constant feature, an offset one and odd rows are in it."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    rng = random.Random(9)
+    data = []
+    for i in range(240):
+        x = [rng.gauss(0, 1), 50 + rng.gauss(0, 4), 7.0, rng.random()]
+        data.append((i, x + [x[0] * 0.5 + rng.gauss(0, 0.3)], 2 * x[0] - 0.3 * x[1] + rng.gauss(0, 1)))
+    df = spark.createDataFrame(data, "i int, features array<double>, label double")
+    odd = spark.createDataFrame([(0, None, 1.0), (1, [1.0, float("nan"), 7.0, 0.0, 0.0], 1.0), (2, [1.0, 1.0, 7.0, 0.0, 0.0], None), (3, [1.0, None, 7.0, 0.0, 0.0], 2.0)], df.schema)
+    grid = {"regParam": [0.0, 0.3, 2.0], "elasticNetParam": [0.0, 0.5, 1.0]}
+    table, best = ml.grid_search(df.unionByName(odd), grid, fold=F.col("i") % 3)
+    got = {r["params"]: r["loss"] for r in table.collect()}
+    shaped = df.withColumn("v", array_to_vector("features")).cache()
+    for reg in grid["regParam"]:
+        for alpha in grid["elasticNetParam"]:
+            losses = []
+            for held in range(3):
+                model = LinearRegression(featuresCol="v", regParam=reg, elasticNetParam=alpha, solver="normal", maxIter=1000, tol=1e-12).fit(shaped.where(F.col("i") % 3 != held))
+                losses.append(model.evaluate(shaped.where(F.col("i") % 3 == held)).rootMeanSquaredError)
+            assert got[str(sorted({"regParam": reg, "elasticNetParam": alpha}.items()))] == pytest.approx(sum(losses) / 3, rel=1e-5)
+    assert got[str(sorted(best.items()))] == min(got.values()) and len(got) == 9
+
+
+def test_grid_search_of_odd_tables(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 1.0), ([2.0, 2.0], 1.0), ([3.0, 2.0], 1.0), ([4.0, 2.0], 1.0)] * 5, "features array<double>, label double")
+    table, best = ml.grid_search(df.withColumn("i", F.monotonically_increasing_id()), {"regParam": [0.5, 1.0]}, fold=F.col("features")[0].cast("int") % 2)
+    assert best == {"regParam": 0.5} and [r["loss"] for r in table.collect()] == [0.0, 0.0]  # a label that never changes; ties to the first
+    with pytest.raises(ValueError, match="two folds"):
+        ml.grid_search(df.where("false"), {"regParam": [0.0]})
+    with pytest.raises(ValueError, match="maxDepth"):
+        ml.grid_search(df, {"maxDepth": [3]})
+
+
 def test_batch_predict_pins_the_version(spark):
     data = separable(spark)
     out = ml.batch_predict(data.withColumnRenamed("features", "inputs"), ml.fit_threat_model(data), "v7")
