@@ -113,8 +113,8 @@ def _landed_receipt(spark, d):
     """The raw table as one batch: its receipt beside the number of rows in the files."""
     accepted, rejected = _folder(spark, "accepted"), _folder(spark, "rejected")
     receipt = landing.land_batch(_judged(spark, d), "raw", accepted, rejected)
-    files = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias(c)).select(F.lit("raw").alias("batch_id"), c) for p, c in ((accepted, "rows_accepted"), (rejected, "rows_rejected"))]
-    return receipt.join(files[0], "batch_id").join(files[1], "batch_id")
+    in_files = {c: spark.read.parquet(p).agg(F.count(F.lit(1))).scalar() for c, p in (("rows_accepted", accepted), ("rows_rejected", rejected))}
+    return receipt.withColumns(in_files)
 
 
 def _batches(spark, d):
