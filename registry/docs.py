@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from optelem.fixtures import query, table, with_views
@@ -38,6 +40,7 @@ QUERIES = {
     "ordered_notes": lambda s, d: docs.ordered_notes(query(s, d, NOTES)),
     "page_counts": lambda s, d: docs.page_counts(table(s, d, "pages")),
     "page_audit": lambda s, d: docs.page_audit(table(s, d, "pages")),
+    "page_tree_checks": lambda s, d: docs.page_tree_checks(query(s, d, FORMS), NAMELESS),
     "link_audit": lambda s, d: docs.link_audit(table(s, d, "pages"), REDIRECTS),
 }
 
@@ -53,7 +56,43 @@ SLUGS = """slugs AS (SELECT doc_id, idx, title, CASE WHEN nth = 1 THEN s ELSE s
   (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM sections) a) b)"""
 HEADS = """heads AS (SELECT doc_id, idx, 0 AS pos, 2 AS depth, title AS text, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS key, slug FROM slugs WHERE idx >= 2)"""
 
+# every page of the table with fields, buttons, references and links in place of some of its tags
+FORMS = """SELECT page_id, replace(replace(replace(replace(html, '<p>', concat('<p id="p', CAST(page_id % 3 AS STRING), '" aria-controls="p1 q">')), '<b>', '<button>'), '</b>', '</button>'),
+ '<div class="ad">', '<label for="p2"><input name=""><input id=free><select name=s></select><a target=_blank rel=noopener href="/x?a=1&amp;b=2"><i title="<button> id=z"></i></button><button aria-label=" &amp;"></button><button> </button><button>')  AS html FROM pages"""
+NAMELESS = ("free",)
+
+
+def _linear(pattern: str) -> str:
+    """A pattern without possessive marks, as a SQL literal."""
+    return "'" + re.sub(r"([*+?])\+", r"\1", pattern).replace("'", "''") + "'"
+
+
+def _tree_sql(source: str, nameless: tuple[str, ...] = ()) -> str:
+    free = "".join(f" AND coalesce(id, '') <> '{n}'" for n in nameless)
+    return rf"""tok AS (SELECT page_id, regexp_extract_all(html, {_linear(docs.PAGE_TOKEN)}) AS toks FROM (SELECT page_id, {MARKUP} AS html FROM ({source}) src) m),
+      tt AS (SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tok),
+      tk AS (SELECT *, CASE WHEN regexp_matches(tok, '^<[a-zA-Z]') THEN 'open' WHEN tok LIKE '</%' THEN 'close' WHEN regexp_matches(tok, '^<[!?]') OR regexp_matches(tok, {_linear(docs.BLANK_TEXT)}) THEN 'none' ELSE 'text' END AS kind,
+        lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag FROM tt),
+      aa AS (SELECT page_id, i, unnest(al) AS a, generate_subscripts(al, 1) AS o FROM (SELECT page_id, i, regexp_extract_all(regexp_replace(tok, '^<[^\s/>]*', ''), {_linear(docs.TAG_ATTRIBUTE)}) AS al FROM tk WHERE kind = 'open') x),
+      av AS (SELECT page_id, i, o, lower(regexp_extract(a, '^[^\s=]*')) AS name, replace(regexp_replace(regexp_replace(a, '^[^=]*=?\s*', ''), '(?s)^"(.*)"$|^''(.*)''$', '\1\2'), '&amp;', '&') AS v FROM aa),
+      att AS (SELECT * FROM av QUALIFY row_number() OVER (PARTITION BY page_id, i, name ORDER BY o) = 1),
+      tg AS (SELECT tk.page_id, tk.i, tk.tag, {", ".join(f"max(CASE WHEN name = '{n}' THEN v END) AS {n}" for n in ("id", "target", "rel", "type", "name", "disabled"))}, max(CASE WHEN name = 'aria-label' THEN v END) AS label
+        FROM tk LEFT JOIN att ON att.page_id = tk.page_id AND att.i = tk.i WHERE kind = 'open' GROUP BY ALL),
+      ids AS (SELECT DISTINCT page_id, id FROM tg WHERE id <> ''),
+      wanted AS (SELECT page_id, unnest(regexp_split_to_array(v, '\s+')) AS w FROM att WHERE name IN {docs.REFERENCES}),
+      folded AS (SELECT page_id, list_reduce(list({{'k': kind, 's': [trim(coalesce(label, '')) <> ''], 'n': 0}} ORDER BY i), lambda st, t: {{'k': '', 's': CASE WHEN t.k = 'text' THEN list_transform(st.s, lambda x: true) WHEN t.k = 'open' THEN list_concat(t.s, st.s)
+          WHEN t.k = 'close' THEN st.s[2:] ELSE st.s END, 'n': st.n + CASE WHEN t.k = 'close' AND len(st.s) > 0 AND NOT st.s[1] THEN 1 ELSE 0 END}}, {{'k': '', 's': []::BOOLEAN[], 'n': 0}}) AS st
+        FROM (SELECT tk.*, label FROM tk LEFT JOIN tg ON tg.page_id = tk.page_id AND tg.i = tk.i WHERE kind = 'text' OR tk.tag = 'button') r GROUP BY page_id),
+      tree AS (SELECT page_id, 'duplicate_id' AS "check", count(*) - count(DISTINCT id) AS n FROM tg WHERE id <> '' GROUP BY page_id
+        UNION ALL SELECT page_id, 'dangling_reference', count(*) FROM wanted ANTI JOIN ids ON ids.page_id = wanted.page_id AND ids.id = w WHERE w <> '' GROUP BY page_id
+        UNION ALL SELECT page_id, 'label_without_control', count(*) FROM att ANTI JOIN ids ON ids.page_id = att.page_id AND ids.id = v WHERE name = 'for' AND v <> '' AND EXISTS (SELECT 1 FROM tg WHERE tg.page_id = att.page_id AND tg.i = att.i AND tag = 'label') GROUP BY page_id
+        UNION ALL SELECT page_id, 'unsafe_blank_link', count(*) FROM tg WHERE tag = 'a' AND target = '_blank' AND NOT (list_has_all(regexp_split_to_array(coalesce(rel, ''), '\s+'), ['noopener', 'noreferrer'])) GROUP BY page_id
+        UNION ALL SELECT page_id, 'control_without_name', count(*) FROM tg WHERE tag IN {docs.CONTROLS} AND coalesce(type, '') <> 'hidden' AND disabled IS NULL AND coalesce(name, '') = ''{free} GROUP BY page_id
+        UNION ALL SELECT page_id, 'unnamed_button', st.n + len(list_filter(st.s, lambda x: NOT x)) FROM folded)"""
+
+
 ORACLES = {
+    "page_tree_checks": f"""WITH {_tree_sql(FORMS, NAMELESS)} SELECT page_id, "check", CAST(n AS INTEGER) AS n FROM tree WHERE n > 0""",
     "split_sections": f"WITH {SECTIONS} SELECT * FROM sections",
     "numbered_sections": rf"""WITH c AS (SELECT conv_id * 1000 + turn AS doc_id, turn + 1 AS n, role, text FROM conversations)
       SELECT doc_id, 0 AS idx, 'Overview' AS title, '' AS num, 'Overview' AS label, 'section-overview' AS anchor, '# Paper' AS body FROM c
@@ -75,4 +114,5 @@ ORACLES = {
       SELECT page_id, link, 'missing_page' AS problem FROM l WHERE link LIKE '/%' AND NOT link LIKE '//%' AND NOT EXISTS (SELECT 1 FROM r WHERE r.origin = l.origin AND r.key = trim(regexp_replace(regexp_replace(link, '[?#].*$', ''), '\.html$', ''), '/'))
       AND NOT regexp_matches('/' || trim(regexp_replace(link, '[?#].*$', ''), '/'), '^/th[a-z]*$')""",
 }
+ORACLES["page_audit"] = f"""WITH {_tree_sql("SELECT page_id, html FROM pages")} SELECT page_id, "check", n FROM ({ORACLES["page_counts"]}) c WHERE NOT ok UNION ALL SELECT page_id, "check", CAST(n AS INTEGER) FROM tree WHERE n > 0"""
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

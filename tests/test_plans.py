@@ -107,7 +107,7 @@ def test_lookup_side_is_checked(spark):
     assert "broadcast" not in joined._jdf.queryExecution().logical().toString().lower()
 
 
-PYTHON_ALLOWED = {"token_bucket_audit", "odd_limits", "vector_index_recall", "nearest_to_table", "odd_token_bucket", "pack_batches", "train_per_tenant", "page_audit"}
+PYTHON_ALLOWED = {"token_bucket_audit", "odd_limits", "vector_index_recall", "nearest_to_table", "odd_token_bucket", "pack_batches", "train_per_tenant"}
 
 
 def plan_of(spark, name):
