@@ -11,6 +11,7 @@ Only histograms of a fixed number of cells, and the few documents above a thousa
 from __future__ import annotations
 
 import heapq
+import json
 from bisect import bisect_left
 from itertools import accumulate
 
@@ -138,8 +139,8 @@ def assign(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 8
     need = [max(0.0, mean - x) for x in loads]
     need = [n * (1 - over / sum(need)) if sum(need) else 0.0 for n in need]
     filled = rest.select("node", _filled(rest, need).cast("int").alias("shard"))
-    spark = nodes.sparkSession
-    singles = spark.createDataFrame(single, "node long, shard int")
+    told = F.from_json(F.lit(json.dumps([{"node": node, "shard": s} for node, s in single])), "array<struct<node: bigint, shard: int>>")
+    singles = nodes.sparkSession.range(1).select(F.inline(told))
     return placed.where("shard IS NOT NULL").select("node", "shard").unionByName(singles).unionByName(filled)
 
 
