@@ -114,9 +114,11 @@ def assign(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 8
 
     `links` may name hubs with one node, and nodes in several hubs. A hub larger than a shard is cut; so is nothing
     else while there is room. Sizes differ by about the largest document or a thousandth of a shard. An empty table
-    has no shards.
+    has no shards. A column `key` (long) of `nodes` stands for the node wherever the result depends on it, so that it
+    does not depend on how nodes are numbered.
     """
-    hashed = settle(nodes.select("node", "size", F.xxhash64("node", "size").alias("_h")))
+    key = "key" if "key" in nodes.columns else "node"
+    hashed = settle(nodes.select("node", "size", F.col(key).alias("_key"), F.xxhash64(key, "size").alias("_h")))
     total = hashed.agg(F.sum("size")).first()[0] or 0
     mean = total / shards
     room = [mean] * shards
@@ -125,11 +127,11 @@ def assign(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 8
     placed = settle(_released(propagate(bound, real, shards, room, rounds), shards, room))
     loose = settle(hashed.join(placed.where("shard IS NOT NULL").select("node"), "node", "left_anti"))
     loads = _loads(placed, shards)
-    big = loose.where(F.col("size") * BIG_SHARE > mean).select("node", "size").collect()
+    big = loose.where(F.col("size") * BIG_SHARE > mean).select("node", "size", "_key").collect()
     heap = [(load, s) for s, load in enumerate(loads)]
     heapq.heapify(heap)
     single = []
-    for node, size in sorted(((r["node"], r["size"]) for r in big), key=lambda x: (-x[1], x[0])):
+    for _, _, node, size in sorted((-r["size"], r["_key"], r["node"], r["size"]) for r in big):
         load, s = heapq.heappop(heap)
         heapq.heappush(heap, (load + size, s))
         single.append((node, s))
@@ -145,12 +147,16 @@ def assign(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 8
 
 
 def slots(placed: DataFrame, shards: int) -> DataFrame:
-    """`placed` (node, shard, ...) with `slot`, gapless from 0 in each shard; rows are numbered within hash cells, after the rows of earlier cells."""
-    dealt = placed.withColumn("_h", F.xxhash64("node", "shard")).withColumn("_c", _cell())
+    """`placed` (node, shard, ...) with `slot`, gapless from 0 in each shard; rows are numbered within hash cells, after the rows of earlier cells.
+
+    As in `assign`, a column `key` decides in place of the node.
+    """
+    key = "key" if "key" in placed.columns else "node"
+    dealt = placed.withColumn("_h", F.xxhash64(key, "shard")).withColumn("_c", _cell())
     counts = dealt.groupBy("shard", "_c").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
     offsets = F.broadcast(counts.select("shard", "_c", F.coalesce(before, F.lit(0)).alias("_before")))  # at most shards * CELLS rows
-    number = F.row_number().over(Window.partitionBy("shard", "_c").orderBy("_h", "node")) - 1
+    number = F.row_number().over(Window.partitionBy("shard", "_c").orderBy("_h", key, "node")) - 1
     return dealt.join(offsets, ["shard", "_c"]).withColumn("slot", (F.col("_before") + number).cast("long")).drop("_h", "_c", "_before")
 
 
@@ -158,11 +164,15 @@ def shard_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", shards
     """row_id, size, text_crc32, law, shard, slot, grown_shard of every row of `df`, linked through equal texts.
 
     The size is the text's UTF-8 bytes plus 1; a NULL text counts as empty. Repeated rows are rows of their own and
-    linked like other copies, NULL ids are kept. Law `bytes` holds, so `grown_shard` is NULL.
+    linked like other copies, NULL ids are kept. Law `bytes` holds, so `grown_shard` is NULL. A row's place follows from
+    its id, its text and its number among rows that have both alike, not from the partition that it is read from.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = settle(df.select(F.col(row_id).alias("_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-                            F.md5(body.cast("binary")).alias("hub")).withColumn("node", F.monotonically_increasing_id()))
-    placed = slots(assign(rows.select("node", "size"), rows.select("node", "hub"), shards, rounds), shards)
+    shaped = df.select(F.col(row_id).alias("_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.md5(body.cast("binary")).alias("hub"))
+    counted = shaped.groupBy("_id", "size", "text_crc32", "hub").agg(F.count(F.lit(1)).alias("_copies"))
+    each = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).withColumn("key", F.xxhash64("_id", F.col("_id").isNull(), "hub", "_nth"))
+    rows = settle(each.drop("_copies", "_nth").withColumn("node", F.monotonically_increasing_id()))
+    assigned = assign(rows.select("node", "size", "key"), rows.select("node", "hub"), shards, rounds)
+    placed = slots(assigned.join(rows.select("node", "key"), "node"), shards).select("node", "shard", "slot")
     return rows.join(placed, "node").select(F.col("_id").alias(row_id), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                                             F.lit(None).cast("int").alias("grown_shard"))

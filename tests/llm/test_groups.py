@@ -242,6 +242,14 @@ def test_shards_with_a_hot_group_and_odd_rows(spark):
     assert shards_of(spark, data[:3]) and shards_of(spark, []) == []
 
 
+def test_shards_do_not_follow_the_layout(spark):
+    """The same rows from one partition, from eleven and in another order lie in the same shards and slots, repeats included."""
+    data = [(i, f"text {i % 160} " * (1 + i % 9)) for i in range(400)] + [(3, "text 3 " * 4)] * 5 + [(None, None)] * 3 + [(900, "w" * 20_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    shards = [rows(sharding.shard_rows(d, shards=4)) for d in (df.coalesce(1), df.repartition(11), df.orderBy(F.desc("text"), "doc_id").coalesce(2))]
+    assert shards[0] == shards[1] == shards[2] and len(shards[0]) == len(data)
+
+
 def test_sharding_is_native(spark, monkeypatch):
     from optelem.plans import lookups
     plans = []
