@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from optelem.plans.lookups import settle
+from optelem.plans.lookups import settle, settled_lookup
 
 CELLS = 4096  # of a histogram
 CELL_BITS = 12
@@ -64,7 +64,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, room: list[float]
         loads = _loads(placed, shards)
         free = [int(r - x) if r - x > LEAST_ROOM * r else 0 for r, x in zip(room, loads)]
         here = links.join(placed.select("node", "shard"), "node")
-        counts = here.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("_n"))
+        counts = settled_lookup(here.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("_n")))  # apart from the join, which can then split a hot hub
         pulls = here.select("node", "hub", F.col("shard").alias("_own")).join(counts, "hub")
         pulls = pulls.where((F.col("shard") == F.col("_own")) | (_by_shard(free, F.col("shard")) > 0))
         best = (pulls.groupBy("node", "shard").agg(F.sum("_n").alias("_n")).groupBy("node")
@@ -122,7 +122,8 @@ def assign(nodes: DataFrame, links: DataFrame, shards: int = 16, rounds: int = 8
     total = hashed.agg(F.sum("size")).first()[0] or 0
     mean = total / shards
     room = [mean] * shards
-    real = settle(links.join(links.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub"), "hub").select("node", "hub"))
+    shared = settled_lookup(links.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hub"))
+    real = settle(links.join(shared, "hub").select("node", "hub"))
     bound = hashed.join(real.select("node").distinct(), "node", "left_semi")
     placed = settle(_released(propagate(bound, real, shards, room, rounds), shards, room))
     loose = settle(hashed.join(placed.where("shard IS NOT NULL").select("node"), "node", "left_anti"))
