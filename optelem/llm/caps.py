@@ -58,13 +58,14 @@ class Filters:
     def __init__(self, dimensions: int, vectors: int, caps: Caps, code: int = 0):
         wanted = max(64.0, vectors * caps.per_vector / caps.per_cap)
         blocks = max(2, math.ceil(math.log(wanted) / math.log(caps.code_words)))
-        self.blocks = min(blocks, dimensions)
+        space = dimensions if dimensions > 3 else _LIFTED  # the rotation turns fewer dimensions into a subspace of this one
+        self.blocks = min(blocks, space)
         self.words = math.ceil(wanted ** (1 / self.blocks))
         total = float(self.words) ** self.blocks
-        self.height = cap_height(dimensions, min(0.5, caps.per_vector / total)) if dimensions > 3 else -1.0
+        self.height = cap_height(space, min(0.5, caps.per_vector / total))
         random = np.random.default_rng([caps.seed, dimensions, self.blocks, code])
-        self.rotation = np.linalg.qr(random.standard_normal((dimensions, dimensions)))[0]
-        edges = np.linspace(0, dimensions, self.blocks + 1).astype(int)
+        self.rotation = np.linalg.qr(random.standard_normal((space, space)))[0][:dimensions]
+        edges = np.linspace(0, space, self.blocks + 1).astype(int)
         self.spans = list(zip(edges[:-1], edges[1:]))
         self.codes = []
         for a, b in self.spans:
@@ -104,15 +105,18 @@ class Filters:
         return row + start, number
 
 
+_LIFTED = 16  # dimensions; blocks of a circle or a sphere itself would leave most directions without a filter
 _SCORES = 1 << 21  # of one block that are held at a time
 _PLANTED = 1000
 
 
 def planted(dimensions: int, cosine: float, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random pairs of unit vectors at exactly this cosine."""
+    """Random pairs of unit vectors at exactly this cosine; on a line, where only 1 and -1 occur, pairs of equal ones."""
     random = np.random.default_rng([seed, dimensions])
     x, z = random.standard_normal((2, pairs, dimensions))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dimensions == 1:
+        return x, x.copy()
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
@@ -139,8 +143,6 @@ def codes_for(dimensions: int, vectors: int, cosine: float, caps: Caps) -> int:
     are, and codes miss independently. The probability is measured with planted pairs in the first four codes, and
     two standard errors are taken off; links above the threshold are found more often.
     """
-    if dimensions <= 3:
-        return caps.codes
     rates = [meets(Filters(dimensions, vectors, caps, code), *planted(dimensions, cosine, _PLANTED, caps.seed + code)).mean() for code in range(4)]
     rate = float(np.mean(rates))
     rate -= 2 * math.sqrt(max(rate * (1 - rate), 1e-4) / (4 * _PLANTED))

@@ -200,6 +200,32 @@ def test_cap_height_is_the_quantile():
         assert abs(np.mean(first >= caps.cap_height(12, share)) - share) < share * 0.1
 
 
+@pytest.mark.parametrize("dimensions", [1, 2, 3])
+def test_few_dimensions_take_few_caps(dimensions):
+    """Caps per vector stay alike from two thousand vectors to two hundred thousand, and pairs at the threshold are found."""
+    x, _ = caps.planted(dimensions, 0.9, 2_000, 5)
+    for vectors in (2_000, 20_000, 200_000):
+        filters = caps.Filters(dimensions, vectors, caps.Caps())
+        assert len(filters.decode(x)[0]) < 40 * len(x)
+    codes = caps.codes_for(dimensions, 20_000, 0.9, caps.Caps())
+    a, b = caps.planted(dimensions, 0.9, 1_000, 77)
+    found = np.zeros(len(a), dtype=bool)
+    for code in range(codes):
+        found |= caps.meets(caps.Filters(dimensions, 20_000, caps.Caps(), code), a, b)
+    assert found.mean() >= 0.99 and codes <= 64
+
+
+@pytest.mark.parametrize("dimensions", [1, 2, 3])
+def test_links_in_few_dimensions(spark, dimensions):
+    random = np.random.default_rng(dimensions)
+    vectors = random.standard_normal((240, dimensions))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in caps.groups(df).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
 def shards_of(spark, data):
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("node", F.lit(1))
     return sharding.shard_rows(df).collect()
