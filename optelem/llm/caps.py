@@ -58,7 +58,7 @@ class Filters:
     def __init__(self, dimensions: int, vectors: int, caps: Caps, code: int = 0):
         wanted = max(64.0, vectors * caps.per_vector / caps.per_cap)
         blocks = max(2, math.ceil(math.log(wanted) / math.log(caps.code_words)))
-        space = dimensions if dimensions > 3 else _LIFTED  # the rotation turns fewer dimensions into a subspace of this one
+        space = max(dimensions, _LIFTED)  # the rotation turns fewer dimensions into a subspace of this one
         self.blocks = min(blocks, space)
         self.words = math.ceil(wanted ** (1 / self.blocks))
         total = float(self.words) ** self.blocks
@@ -105,7 +105,7 @@ class Filters:
         return row + start, number
 
 
-_LIFTED = 16  # dimensions; blocks of a circle or a sphere itself would leave most directions without a filter
+_LIFTED = 16  # dimensions; products of smaller blocks would leave many directions without a filter
 _SCORES = 1 << 21  # of one block that are held at a time
 _PLANTED = 1000
 

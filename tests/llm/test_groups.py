@@ -200,7 +200,7 @@ def test_cap_height_is_the_quantile():
         assert abs(np.mean(first >= caps.cap_height(12, share)) - share) < share * 0.1
 
 
-@pytest.mark.parametrize("dimensions", [1, 2, 3])
+@pytest.mark.parametrize("dimensions", [1, 2, 3, 4, 5, 8])
 def test_few_dimensions_take_few_caps(dimensions):
     """Caps per vector stay alike from two thousand vectors to two hundred thousand, and pairs at the threshold are found."""
     x, _ = caps.planted(dimensions, 0.9, 2_000, 5)
