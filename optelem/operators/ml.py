@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -86,17 +87,24 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_raw", array_to_vector("features"))
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which holds the session; a session that has observed a metric cannot go to tasks."""
+    last = model.stages[-1]
+    last._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def fit_sla_model(rows: DataFrame, hidden: int = 8, seed: int = 7, max_iter: int = 60) -> PipelineModel:
     """Perceptron on (features, label) whose class-1 probability is the breach probability."""
     width = rows.select(F.size("features")).first()[0]
     net = MultilayerPerceptronClassifier(layers=[width, hidden, 2], featuresCol="_scaled", labelCol="label", seed=seed, maxIter=max_iter)
-    return Pipeline(stages=[StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), net]).fit(_vectors(rows))
+    return _without_summary(Pipeline(stages=[StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), net]).fit(_vectors(rows)))
 
 
 def fit_threat_model(rows: DataFrame, reg: float = 0.01) -> PipelineModel:
     """Logistic model of the access threat probability on (features, label)."""
     model = LogisticRegression(featuresCol="_scaled", labelCol="label", regParam=reg)
-    return Pipeline(stages=[StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), model]).fit(_vectors(rows))
+    return _without_summary(Pipeline(stages=[StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), model]).fit(_vectors(rows)))
 
 
 def probabilities(rows: DataFrame, model: PipelineModel) -> DataFrame:
