@@ -52,6 +52,32 @@ def test_root_cause_ties_and_windows(spark):
     assert rows(out, "complaint_id", "cause", "hits", "severity") == [(1, "a:500", 1, "low"), (2, "unknown", 0, "none"), (3, "a:500", 1, "low")]
 
 
+def test_root_cause_of_any_window(spark):
+    """Against a plain count; the longest window has more minutes than an array may have places."""
+    import datetime as dt
+    import random
+    from collections import Counter
+    pick, start = random.Random(5), dt.datetime(2024, 1, 1)
+
+    def when():
+        return start + dt.timedelta(seconds=pick.randrange(6 * 3600))
+
+    data = [(pick.choice(["t", "u", None]), pick.choice(["a", "b", None]), 1, i, None if i % 41 == 0 else str(when()), pick.choice([200, 500, 503, None]), 1.0) for i in range(300)]
+    asks = [(i, pick.choice(["t", "u", "v", None]), None if i % 29 == 0 else str(when())) for i in range(60)]
+    complaints = spark.createDataFrame(asks, "complaint_id long, tenant_id string, at string").withColumn("filed_at", F.col("at").cast("timestamp_ntz"))
+
+    def minute(text):
+        return (dt.datetime.fromisoformat(text) - start) // dt.timedelta(minutes=1)
+
+    for window in (0, 1, 7, 60, 1_200_000_000):
+        want = []
+        for i, tenant, at in asks:
+            near = Counter((service, status) for t, service, _, _, when_, status, _ in data if at and when_ and t and t == tenant and (status or 0) >= 500 and abs(minute(when_) - minute(at)) <= window)
+            best = min(near, key=lambda k: (-near[k], k[0] or "", k[1]), default=None)
+            want.append((i, "unknown" if best is None else ":".join(str(x) for x in best if x is not None), near[best] if best else 0))
+        assert rows(enrich.complaint_root_cause(complaints, events(spark, data), window), "complaint_id", "cause", "hits") == sorted(want, key=repr)
+
+
 def test_safe_targets(spark):
     urls = ["https://ok.example.com/x", "http://10.1.2.3/", "http://172.20.0.1/", "http://172.32.0.1/", "http://localhost:80/", "http://169.254.1.1/", "http://169.254.169.254/latest",
             "http://u:p@ok.example.com/", "https://evil.example.org/", "ftp://ok.example.com/", None]
