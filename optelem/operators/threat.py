@@ -25,11 +25,12 @@ def merge_feeds(*feeds: DataFrame, as_of: str, life_hours: int = 24 * 30) -> Dat
     return newest.where(alive).select("kind", "indicator", "e.feed", "e.abuse_score", "e.listed_at")
 
 
-def match_indicators(df: DataFrame, indicators: DataFrame, min_score: int = 25) -> DataFrame:
+def match_indicators(df: DataFrame, indicators: DataFrame, min_score: int = 25, seen: DataFrame | None = None) -> DataFrame:
     """Add abuse_score (the highest of address, ASN and domain indicators) and is_malicious. `df` carries client_ip, asn, host.
 
     A domain indicator covers the host itself and everything below it; each distinct host is looked up once, under
-    all its suffixes.
+    all its suffixes. The hosts are read from `seen`, rows that hold those of `df` at least and are cheaper to read, by
+    default from `df` itself.
     """
     keyed = df.withColumn("_ipv4", F.col("client_ip")).withColumn("_asn", F.col("asn").cast("string")).withColumn("_domain", F.col("host"))
     indicators = settle(indicators.select("kind", "indicator", "abuse_score"))
@@ -38,8 +39,8 @@ def match_indicators(df: DataFrame, indicators: DataFrame, min_score: int = 25)
         return indicators.where(F.col("kind") == kind).groupBy(F.col("indicator").alias(f"_{kind}")).agg(F.max("abuse_score").alias(f"_{kind}_score"))
 
     domains = highest("domain").withColumn("_suffix", F.lower("_domain")).select("_suffix", "_domain_score")
-    hosts = df.select(F.col("host").alias("_domain")).distinct().withColumn("_suffix", F.explode(host_suffixes(F.col("_domain"))))
-    by_host = hosts.join(lookup_side(domains), "_suffix").groupBy("_domain").agg(F.max("_domain_score").alias("_domain_score"))
+    hosts = (df if seen is None else seen).select(F.col("host").alias("_domain")).distinct().withColumn("_suffix", F.explode(host_suffixes(F.col("_domain"))))
+    by_host = settle(hosts.join(lookup_side(domains), "_suffix").groupBy("_domain").agg(F.max("_domain_score").alias("_domain_score")))
     for kind, side in (("ipv4", highest("ipv4")), ("asn", highest("asn")), ("domain", by_host)):
         keyed = keyed.join(lookup_side(side), f"_{kind}", "left")
     score = F.greatest("_ipv4_score", "_asn_score", "_domain_score")

@@ -130,17 +130,17 @@ def _newest(df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column],
 
 
 def upsert_results(batch: DataFrame, target: str, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day", batch_id: int | str | None = None,
-                   buckets: int = BUCKETS) -> None:
+                   buckets: int = BUCKETS, distinct: bool = False) -> None:
     """Add a batch to a keyed read model: a file set per batch in folders by (partition, key bucket, batch). Nothing older is read or written.
 
     A batch that is applied again replaces its own files, so it adds nothing; `batch_id` names it, by default a digest of
     its rows. `read_results` shows the newest version of each key, `compact_results` merges folders. The number of
-    buckets of a target must stay the same.
+    buckets of a target must stay the same. `distinct` says that the batch holds each key once already.
     """
     if batch_id is None:
         mark = batch.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)"))).first()
         batch_id = f"{mark[0]}x{mark[1]}"
-    rows = _newest(batch, keys, newest, batch.columns)
+    rows = batch if distinct else _newest(batch, keys, newest, batch.columns)
     placed = rows.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("file_set", F.lit(f"b{batch_id}"))
     (placed.repartition(partition, "key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition, "key_bucket", "file_set").parquet(target))
@@ -150,12 +150,15 @@ def _file_sets(spark: SparkSession, target: str, schema: T.StructType) -> DataFr
     return read_if_present(spark, target, T.StructType([*schema.fields, T.StructField("key_bucket", T.IntegerType()), T.StructField("file_set", T.StringType())]))
 
 
-def read_results(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], newest: Sequence[str | Column]) -> DataFrame:
-    """The read model at `target`: the newest version of each key, whatever file sets it lies in. Filters on the partition are pushed to the files."""
+def read_results(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], newest: Sequence[str | Column], columns: Sequence[str] | None = None) -> DataFrame:
+    """The read model at `target`: the newest version of each key, whatever file sets it lies in. Filters on the partition are pushed to the files.
+
+    With `columns`, only those are shuffled and returned.
+    """
     found = _file_sets(spark, target, schema)
     if found is None:
-        return spark.createDataFrame([], schema)
-    return _newest(found, keys, newest, schema.names)
+        return spark.createDataFrame([], schema).select(*(columns or schema.names))
+    return _newest(found, keys, newest, columns or schema.names)
 
 
 def compact_results(spark: SparkSession, target: str, schema: T.StructType, keys: Sequence[str], newest: Sequence[str | Column], partition: str = "day", most: int = 8) -> int:

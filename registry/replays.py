@@ -133,7 +133,7 @@ def _ingested(spark, d):
         return streams.ingest_stream(timed, lambda s: _lookups(s, d), targets[0])
 
     replay(view(spark, d, "raw_tel"), "received_at", start)
-    good = streams.read_ingested(spark, targets[0]).select("event_id", "idempotency_key", "delivery", F.lit(None).cast("string").alias("error_class"))
+    good = streams.read_ingested(spark, targets[0], ["event_id", "idempotency_key", "delivery"]).select("*", F.lit(None).cast("string").alias("error_class"))
     dead = spark.read.parquet(targets[0].dead_letters)
     return good.unionByName(dead.select("event_id", "idempotency_key", F.col("attempts").alias("delivery"), "error_class"))
 

@@ -167,3 +167,18 @@ def test_ingest_format(spark, tmp_path):
     again = f"file://{tmp_path}/again"
     spark.range(60).select("id", F.lit("é").alias("s"), F.current_date().alias("d")).coalesce(1).write.format("telemetry_ingest").mode("append").option("path", again).option("source", "unit").save()
     assert rows(documents.scan_batches(spark, again).select("batch_id").distinct()) == rows(back.select("batch_id").distinct())
+
+
+def test_results_of_distinct_keys_and_named_columns(spark, tmp_path):
+    """A batch without repeats is dealt out once, and readers that name columns shuffle no others."""
+    schema = spark.createDataFrame([], "k string, version int, v string, day string").schema
+    target = str(tmp_path / "t")
+    first = spark.createDataFrame([("a", 1, "x", "d1"), ("b", 1, "y", "d1"), (None, 3, "z", "d2")], schema)
+    sinks.upsert_results(first, target, ["k"], ["version"], batch_id=1, buckets=2, distinct=True)
+    sinks.upsert_results(spark.createDataFrame([("a", 2, "new", "d1")], schema), target, ["k"], ["version"], batch_id=2, buckets=2, distinct=True)
+    found = sinks.read_results(spark, target, schema, ["k"], ["version"], ["v"])
+    assert found.columns == ["v"] and rows(found) == [("new",), ("y",), ("z",)]
+    narrow = sinks.read_results(spark, target, schema, ["k"], ["version"], ["k"])
+    read = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "v#" not in read.split("ReadSchema")[0] and rows(narrow) == [("a",), ("b",), (None,)]
+    assert sinks.read_results(spark, str(tmp_path / "none"), schema, ["k"], ["version"], ["v"]).columns == ["v"]

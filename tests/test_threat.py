@@ -155,3 +155,12 @@ def test_brand_trie_against_all_windows(spark, monkeypatch):
     for _ in range(2):
         assert {(r[0], r[1]): r[2] for r in threat.brand_mentions(docs, listed).select("doc_id", "term", "n").collect()} == want
         monkeypatch.setattr(threat, "lookup_side", lambda side, max_rows=0: side)
+
+
+def test_hosts_are_looked_up_in_the_rows_named_for_it(spark):
+    """The lookups of `match_indicators` do not compute the rows themselves when another table holds their hosts."""
+    seen = spark.createDataFrame([(1, "1.1.1.1", 1, "a.evil.com"), (2, "2.2.2.2", 2, "ok.org"), (3, None, None, None)], "event_id long, client_ip string, asn long, host string")
+    listed = spark.createDataFrame([("domain", "evil.com", 60), ("ipv4", "2.2.2.2", 30)], "kind string, indicator string, abuse_score int")
+    dear = seen.withColumn("host", F.when(F.rand() < 2, F.raise_error(F.lit("computed"))).cast("string"))
+    threat.match_indicators(dear, listed, seen=seen)
+    assert rows(threat.match_indicators(seen, listed, seen=seen), "event_id", "abuse_score") == [(1, 60), (2, 30), (3, 0)] == rows(threat.match_indicators(seen, listed), "event_id", "abuse_score")
