@@ -128,7 +128,7 @@ def one_per_group(df: DataFrame, row_id: str = "doc_id", text: str = "text", shi
     within a group are all alike to the operator, one of them stays. A row with a NULL id stays only where its whole
     group has none.
     """
-    found = groups(df, row_id, text, shingle, max_bits)
+    found = settle(groups(df, row_id, text, shingle, max_bits))  # four numbers a row, read by every branch below
     least = F.col(row_id) == F.col("component_id")
     kept = found.where(F.col(row_id).isNotNull()).groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.max(least).alias("_least")).where("_least")
     joined = df.join(kept, F.col(row_id) == F.col("_id"))

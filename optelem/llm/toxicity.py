@@ -12,6 +12,7 @@ number per n-gram bucket, a few hundred kilobytes that are broadcast whatever th
 from __future__ import annotations
 
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ def _words(text: str) -> list[str]:
 
 
 _PUNCTUATION = ".,;:!?…\"'`´“”‘’«»()[]{}<>*_~-–—/\\|#"
-GROUP, TEXTS = 20_000, 256  # words that are hashed, and texts that are taken apart, at a time
+GROUP, TEXTS = 2000, 256  # words that are hashed, and texts that are taken apart, at a time
 _BASE, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,11 +163,17 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words(text)], dtype=np.int32) for text in texts]
     known = list(vocabulary)
-    spelt = known + [misspelt(w, random) for w in known]
-    groups = [subwords(spelt[i:i + GROUP], s) for i in range(0, len(spelt), GROUP)]
-    buckets, counts = (np.concatenate([g[k] for g in groups] or [np.zeros(0, np.int32)]) for k in (0, 1))
+    del vocabulary
+    held, sizes = array("i"), []  # grows in place, so the buckets of all words are never there twice
+    for spell in (lambda w: w, lambda w: misspelt(w, random)):
+        for i in range(0, len(known), GROUP):
+            own, each = subwords([spell(w) for w in known[i:i + GROUP]], s)
+            held.frombytes(own.tobytes())
+            sizes.append(each)
+    buckets, counts = np.frombuffer(held, dtype=np.int32), np.concatenate(sizes or [np.zeros(0, np.int32)])
     heads = np.cumsum(counts) - counts
-    del vocabulary, spelt, groups
+    n_known = len(known)
+    del known, sizes
     y = np.array(labels, dtype=float)
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     table = np.zeros((s.buckets, s.dimensions), np.float32)
@@ -182,7 +189,7 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
         for first in range(0, len(order), s.batch):
             chosen = order[first:first + s.batch]
             step += 1
-            own = [docs[d] + len(known) * (random.random(len(docs[d])) < s.misspelt) for d in chosen]
+            own = [docs[d] + n_known * (random.random(len(docs[d])) < s.misspelt) for d in chosen]
             spans = [x[windows(len(x), s)] for x in own]  # a row per window
             owners = np.repeat(np.arange(len(chosen)), [len(x) for x in spans])
             sizes = np.repeat([x.shape[1] for x in spans], [len(x) for x in spans])

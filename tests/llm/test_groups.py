@@ -290,3 +290,9 @@ def test_registered_groups_on_the_small_tables(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(queries.op10_simhash_dedup(spark, sf)) == sorted(brute_groups(docs), key=repr)
     check_shards(queries.op8_sharding(spark, sf).collect(), docs, 2 * max(len((t or "").encode()) for _, t in docs))
+
+
+def test_one_per_group_joins_its_groups_once(spark):
+    """Its branches read the settled groups; a plan that makes them anew in each keeps hundreds of stages in the driver."""
+    plan = simhash.one_per_group(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 16
